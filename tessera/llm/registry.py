@@ -8,12 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, packing, sharding, warc
+from tessera.llm import audio, bpe, line_crf, packing, sharding, simhash, warc, wrapper
 from tessera.llm.common import table
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
+def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    return line_crf.apply_rules(docs, chain).drop("text")
+
+
+def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.deduplicated(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,7 +62,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip)
+    f.__name__: f for f in (op1_simhash_components, op3_line_crf_rules, op4_wrapper_text, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip)
 }
 
 ORACLE_SQL: dict[str, str] = {}
