@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, line_crf, packing, sharding, simhash, warc, wrapper
+from tessera.llm import audio, bpe, line_crf, ngram_lm, packing, pii, sharding, simhash, warc, wrapper
 from tessera.llm.common import table
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: A caller with real data passes a secret of its own.
+PII_KEY = "public example key"
 
 
 def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,12 @@ def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = ngram_lm.classify(docs, ngram_lm.trusted_ids(table(spark, sf_dir, "labels")))
+    return out.withColumn("perplexity", F.round("perplexity", 6)).withColumn("mean_cost", F.round("mean_cost", 6))
+
+
 def op3_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = line_crf.fit(docs, table(spark, sf_dir, "labels"))
@@ -29,6 +37,10 @@ def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_entities")
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.deduplicated(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,7 +52,7 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), end_id=1, max_length=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), public_tokenizers.PATTERN, end_id=1, max_length=2048)
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +74,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op3_line_crf_rules, op4_wrapper_text, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip)
+    f.__name__: f for f in (op1_simhash_components, op2_kneser_ney_quality, op3_line_crf_rules, op4_wrapper_text, op5_pii_surrogates, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip)
 }
 
 ORACLE_SQL: dict[str, str] = {}
