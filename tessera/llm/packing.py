@@ -11,27 +11,29 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import SLICE_ROWS, gapless_index, materialize
 
-#: Distinct words whose ids a worker keeps; the memory it takes is then let go.
-CACHED_WORDS = 300_000
+#: Distinct words of a generation; a worker keeps the ids of two.
+CACHED_WORDS = 250_000
 #: Characters that are tokenized together.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 #: Rows numbered by one window at about.
 CELL_ROWS = 4096
 
-#: Blanks and the characters up to the next blank.
-UNIT = re.compile(r" *[^ ]+| +")
-#: White space before a blank: there a match of the pre-tokenizer may span two units.
-UNSAFE = re.compile(r"[^\S ] |[\x1c-\x1f\x85\xa0​﻿] ")
+#: A word of Latin letters, with its blank, and sentence marks after it: two matches of the pre-tokenizer's pattern.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+#: White space before a blank: there a match of the pre-tokenizer may span two words.
+BEFORE_BLANK = tuple(f"{c} " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
+UNSAFE = re.compile("[\x80-\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff] ")
 
 
 def pieces_of(n: int, max_length: int) -> list[tuple[int, int]]:
@@ -46,47 +48,69 @@ def pieces_of(n: int, max_length: int) -> list[tuple[int, int]]:
     return out
 
 
+def byte_characters() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte: its own where it has one, else the next above 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library, each distinct word once.
+    """Encodes texts with the BPE model of a tokenizer file, each distinct word once.
 
     A word starts at a blank that follows no white space, where byte-level pre-tokenization always splits, so
-    the ids of the words are the ids of the text. Texts with other white space before a blank are encoded whole.
+    the ids of the words are the ids of the text. Texts with other white space before a blank, or with several
+    blanks together, are pre-tokenized whole. Special tokens' strings are ordinary text.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, pattern: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(tokenizer_path).model
+        self.split = regex.compile(pattern).findall
+        self.byte = byte_characters()
+        #: Ids by word, without its blank: of late and of before that.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _parts(self, unit: str) -> list[str]:
+        m = PLAIN.fullmatch(unit)
+        return [x for x in m.groups() if x] if m else self.split(unit)
 
-    def _new(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            self.known[unit] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+    def _ids(self, parts: Iterable[str]) -> dict[str, bytes]:
+        tokens, byte = self.model.tokenize, self.byte
+        return {x: array("I", [t.id for t in tokens(x.encode().decode("latin-1").translate(byte))]).tobytes() for x in parts}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [[t] if UNSAFE.search(t) else UNIT.findall(t) for t in texts]
-        new: set[str] = set()
-        for u in units:
-            new.update(u)
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        self._new([u for u in new if u not in self.known])
+            self.known, self.older = {}, self.known
+        heads, words = [], []
+        for t in texts:
+            plain = "  " not in t and t[-1:] != " " and not any(x in t for x in BEFORE_BLANK) and (t.isascii() or not UNSAFE.search(t))
+            first, *rest = t.split(" ") if plain else [t]
+            heads.append(self._parts(first) if first else [])
+            words.append(rest)
+        new: set[str] = set()
+        for w in words:
+            new.update(w)
+        new.difference_update(self.known)
+        self.known.update({w: self.older[w] for w in new & self.older.keys()})
+        split = {w: self._parts(f" {w}") for w in new if w not in self.known}
+        ids = self._ids({x for parts in (*split.values(), *heads) for x in parts})
+        self.known.update({w: b"".join([ids[x] for x in parts]) for w, parts in split.items()})
         get = self.known.__getitem__
-        out = [b"".join(map(get, u)) for u in units]
-        for u in units:
-            if len(u) == 1 and len(u[0]) > 64:
-                self.known.pop(u[0], None)
-        return out
+        return [b"".join([ids[x] for x in head]) + b"".join(map(get, w)) for head, w in zip(heads, words, strict=True)]
 
 
-def tokenized_pieces(df: DataFrame, tokenizer_path: str, end_id: int, max_length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int, max_length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of every piece."""
     schema = StructType([StructField("doc_id", df.schema[id_col].dataType), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]])
     arrow, end = to_arrow_schema(schema), end_id.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path, pattern)
 
         def rows(docs: list, texts: list[str]) -> Iterator[tuple]:
             for doc, ids in zip(docs, encoder.encode(texts), strict=True):
@@ -116,11 +140,11 @@ def tokenized_pieces(df: DataFrame, tokenizer_path: str, end_id: int, max_length
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, max_length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, max_length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces with sequence_id and offset. Sequences are numbered from 0 without gaps, bucket by bucket, the longest first."""
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
-    pieces = materialize(tokenized_pieces(df, tokenizer_path, end_id, max_length, id_col, text_col), "pieces")
+    pieces = materialize(tokenized_pieces(df, tokenizer_path, pattern, end_id, max_length, id_col, text_col), "pieces")
     sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each power of two at most
     first, at = {}, 0
     for r in sorted(sizes, key=lambda r: -r["length"]):
