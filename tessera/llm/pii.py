@@ -122,21 +122,34 @@ def _pick(words: list[str], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), n % len(words) + 1)
 
 
-def surrogate(core: Column, kind: Column, sex: Column, attempt: Column, key: str) -> Column:
-    """The attempt-th keyed surrogate of a core. Names drawn again and again grow by a part of a surname."""
+def draw(core: Column, kind: Column, sex: Column, attempt: Column, key: str) -> Column:
+    """128 hexadecimal digits that depend on the key, the core and the attempt."""
     seed = F.concat_ws("|", F.lit(key), kind, sex, core, attempt.cast("string"))
-    h = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("|more")), 256))
+    return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("|more")), 256))
+
+
+def shape(core: Column, kind: Column, h: Column) -> Column:
+    """The core with its digits and letters drawn anew, but for the first ones of some kinds. h: a column that holds draw()."""
+    start = lambda p: F.length(F.regexp_extract(core, p, 0))
+    keep = (
+        F.when(kind == "card", 1).when(kind == "phone", start(r"^\+\d{1,3}(?=[ .(-])|^\+\d"))
+        .when(kind.isin("key", "iban"), start(r"^(?:AKIA|gh[pousr]_|sk-|[A-Z]{2}(?=\d\d))")).otherwise(0)
+    )
+    return _shaped(core, h, keep)
+
+
+def surrogate(core: Column, kind: Column, sex: Column, attempt: Column, h: Column, shaped: Column) -> Column:
+    """The attempt-th surrogate of a core. Names drawn again and again grow by a part of a surname.
+
+    h, shaped: columns that hold draw() and shape(); they are read for every character.
+    """
     n = lambda i: _byte(h, F.lit(i))
-    local = F.split_part(core, F.lit("@"), F.lit(1))
-    email = F.concat(_shaped(local, h, F.lit(0)), F.lit("@mail"), (n(17) % 1000).cast("string"), F.lit(".example."), _pick(["com", "net", "org"], n(18)))
+    local = F.split_part(shaped, F.lit("@"), F.lit(1))
+    email = F.concat(local, F.lit("@mail"), (n(17) % 1000).cast("string"), F.lit(".example."), _pick(["com", "net", "org"], n(18)))
     ip = F.concat_ws(".", *[(n(i) % 254 + 1).cast("string") for i in (3, 5, 7, 9)])
-    digits = F.regexp_replace(core, "[^0-9]", "")
-    card = _shaped(core, h, F.lit(1))
-    body = card.substr(F.lit(1), F.length(card) - 1)
+    body = shaped.substr(F.lit(1), F.length(shaped) - 1)
     check = (10 - _luhn(F.regexp_replace(body, "[^0-9]", ""), True) % 10) % 10
-    card = F.when(_luhn(digits, False) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(card)
-    phone = _shaped(core, h, F.length(F.regexp_extract(core, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)))
-    prefixed = _shaped(core, h, F.length(F.regexp_extract(core, r"^(?:AKIA|gh[pousr]_|sk-|[A-Z]{2}(?=\d\d))", 0)))
+    card = F.when(_luhn(F.regexp_replace(core, "[^0-9]", ""), False) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(shaped)
 
     def name(script: str) -> Column:
         given = F.when((sex == "f") | ((sex == "n") & (n(11) % 2 == 0)), _pick(NAMES[script, "f"], n(2))).otherwise(_pick(NAMES[script, "m"], n(2)))
@@ -145,11 +158,11 @@ def surrogate(core: Column, kind: Column, sex: Column, attempt: Column, key: str
             sur = F.when(attempt >= step, F.concat(sur, F.lit("-"), _pick(NAMES[script, "s"], n(place)))).otherwise(sur)
         return F.when(F.size(F.split(core, "[ -]")) > 1, F.concat(given, F.lit(" "), sur)).otherwise(sur)
 
-    secret = F.when(core.rlike("^[0-9a-f]{12,128}$"), h.substr(F.lit(1), F.length(core))).otherwise(_shaped(core, h, F.lit(0)))
+    secret = F.when(core.rlike("^[0-9a-f]{12,128}$"), h.substr(F.lit(1), F.length(core))).otherwise(shaped)
     named = F.when(core.rlike(r"\p{IsCyrillic}"), name("Cyrillic")).otherwise(name("Latin"))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind.isin("key", "iban"), prefixed).when(kind == "name", named)
-        .otherwise(secret)
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", named).when(kind == "secret", secret)
+        .otherwise(shaped)
     )
 
 
@@ -158,7 +171,9 @@ def assign_surrogates(cores: DataFrame, key: str) -> DataFrame:
     state = materialize(cores.withColumn("attempt", F.lit(0)), "pii-cores")
     real = state.select(F.col("core").alias("real"))
     for _ in range(MOST_ROUNDS):
-        drawn = state.withColumn("replacement", surrogate(F.col("core"), F.col("kind"), F.col("sex"), F.col("attempt"), key))
+        drawn = state.withColumn("h", draw(F.col("core"), F.col("kind"), F.col("sex"), F.col("attempt"), key))
+        drawn = drawn.withColumn("shape", shape(F.col("core"), F.col("kind"), F.col("h")))
+        drawn = drawn.withColumn("replacement", surrogate(F.col("core"), F.col("kind"), F.col("sex"), F.col("attempt"), F.col("h"), F.col("shape"))).drop("h", "shape")
         owners = drawn.groupBy(F.col("replacement").alias("of")).agg(F.min("core").alias("owner"))
         checked = drawn.join(owners, F.col("replacement") == F.col("of")).join(real, F.col("replacement") == F.col("real"), "left")
         clash = (F.col("core") != F.col("owner")) | F.col("real").isNotNull()
