@@ -1,0 +1 @@
+"""A knowledge store and retrieval engine as DataFrame operators."""
