@@ -362,6 +362,14 @@ def test_word_encoder_equals_the_tokenizer():
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     enc = packing.WordEncoder(JSON, PATTERN)
     assert enc.encode(texts) == want and enc.encode(texts) == want
+    assert packing.rank_encoding(JSON, PATTERN) is not None and packing._encoder(JSON, PATTERN)(texts) == want
+
+
+def test_rank_encoding_refuses_another_order_of_merges(tmp_path):
+    data = json.load(open(JSON))
+    data["model"]["merges"][:2] = data["model"]["merges"][1::-1]
+    (tmp_path / "t.json").write_text(json.dumps(data))
+    assert packing.rank_encoding(str(tmp_path / "t.json"), PATTERN) is None
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 10_000, 12_345])
