@@ -26,7 +26,8 @@ def read(spark: SparkSession, root: str, name: str, version: int | None = None)
     found = versions(spark, f"{root}/{name}")
     if not found:
         return empty(spark, name)
-    return migrate(spark.read.parquet(f"{root}/{name}/v={found[-1] if version is None else version}"), name)
+    # With the schema given, columns that an older version lacks are null, and a version without rows can be read.
+    return migrate(spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/v={found[-1] if version is None else version}"), name)
 
 
 def write(df: DataFrame, root: str, name: str) -> int:
