@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,28 @@ def query_terms(query: str | None) -> list[str]:
     return [t for t in raw if t.lower() not in QUERY_STOP_WORDS] or raw
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], stemmed: bool = False) -> DataFrame:
-    """(id, field, term, tf): terms by field with their frequencies. stemmed: Porter stems without diacritics, else plain lower-case words."""
+def _tokens(c: Column, stemmed: bool) -> Column:
+    return fts_tokens_udf(F.coalesce(c, F.lit(""))) if stemmed else X.words(F.lower(F.coalesce(c, F.lit(""))))
+
+
+def token_counts(docs: DataFrame, id_col: str, fields: dict[str, Column], stemmed: bool = False) -> DataFrame:
+    """(id, len) of every row: its tokens in all fields, without a shuffle."""
+    total = F.lit(0)
+    for c in fields.values():
+        total = total + F.size(_tokens(c, stemmed))
+    return docs.select(F.col(id_col).alias("id"), total.alias("len"))
+
+
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], stemmed: bool = False, starts: list[str] | None = None) -> DataFrame:
+    """(id, field, term, tf): terms by field with their frequencies. stemmed: Porter stems without diacritics, else plain lower-case words.
+
+    starts: only terms that begin with one of these, dropped before anything is exploded or shuffled.
+    """
     parts = []
     for name, c in fields.items():
-        tokens = fts_tokens_udf(F.coalesce(c, F.lit(""))) if stemmed else X.words(F.lower(F.coalesce(c, F.lit(""))))
+        tokens = _tokens(c, stemmed)
+        if starts is not None:
+            tokens = F.filter(tokens, lambda t: reduce(lambda a, b: a | b, [t.startswith(s) for s in starts], F.lit(False)))
         parts.append(F.struct(F.lit(name).alias("field"), tokens.alias("tokens")))
     each = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*parts)).alias("f"))
     return each.select("id", F.col("f.field").alias("field"), F.explode("f.tokens").alias("term")).groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))

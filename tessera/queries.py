@@ -59,14 +59,13 @@ def _stamp(c: str):
 # Full text ------------------------------------------------------------------------------------------------------
 
 
-def _index(s, d):
-    docs = lens.read(s, d, "documents")
-    posts = lexical.postings(docs, "doc_id", {"content": F.col("text")})
-    return posts, lexical.lengths(posts, docs, "doc_id")
+def _index(s, d, starts=None):
+    docs, fields = lens.read(s, d, "documents"), {"content": F.col("text")}
+    return lexical.postings(docs, "doc_id", fields, starts=starts), lexical.token_counts(docs, "doc_id", fields)
 
 
 def _hits(s, d, terms=None, prefix=False):
-    posts, n = _index(s, d)
+    posts, n = _index(s, d, terms or TERMS)
     return lexical.bm25(posts, n, terms or TERMS, prefix=prefix)
 
 
