@@ -14,6 +14,7 @@ from tessera.functions.redact import redact
 from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd, vector
 from tessera.operators import tags as tagging
 from tessera.plans import librarian
+from tessera.session import spread
 from tessera.sources import importers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +61,7 @@ def _stamp(c: str):
 
 
 def _index(s, d, starts=None):
-    docs, fields = lens.read(s, d, "documents"), {"content": F.col("text")}
+    docs, fields = _texts(s, d), {"content": F.col("text")}
     return lexical.postings(docs, "doc_id", fields, starts=starts), lexical.token_counts(docs, "doc_id", fields)
 
 
@@ -206,14 +207,19 @@ def _docs(s, d):
     return lens.read(s, d, "documents")
 
 
+def _texts(s, d):
+    """doc_id and text, for measures that work on every character."""
+    return spread(_docs(s, d).select("doc_id", "text"), "doc_id")
+
+
 @query("select doc_id, round(-sum(n / t * log2(n / t)), 6) entropy from (select doc_id, ch, count(*)::double n, sum(count(*)) over (partition by doc_id)::double t from (select doc_id, unnest(string_split(text, '')) ch from documents) group by 1, 2) group by 1")
 def entropy(s, d):
-    return _docs(s, d).select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
+    return _texts(s, d).select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query(f"select doc_id, round(case when len(w) > 0 then len(list_distinct(w)) / len(w) else 0 end, 6) ttr from (select doc_id, regexp_extract_all(lower(text), '{W}') w from documents)")
 def ttr(s, d):
-    return _docs(s, d).select("doc_id", F.round(X.ttr(F.col("text")), 6).alias("ttr"))
+    return _texts(s, d).select("doc_id", F.round(X.ttr(F.col("text")), 6).alias("ttr"))
 
 
 def _ngram_sql(n: int) -> str:
@@ -223,12 +229,12 @@ def _ngram_sql(n: int) -> str:
 
 @query(_ngram_sql(3))
 def ngram3_dup(s, d):
-    return _docs(s, d).select("doc_id", F.round(X.duplicate_ratio(F.col("text"), 3), 6).alias("ratio"))
+    return _texts(s, d).select("doc_id", F.round(X.duplicate_ratio(F.col("text"), 3), 6).alias("ratio"))
 
 
 @query(_ngram_sql(5))
 def ngram5_dup(s, d):
-    return _docs(s, d).select("doc_id", F.round(X.duplicate_ratio(F.col("text"), 5), 6).alias("ratio"))
+    return _texts(s, d).select("doc_id", F.round(X.duplicate_ratio(F.col("text"), 5), 6).alias("ratio"))
 
 
 SYM = r"case when length(regexp_replace({c}, '[^\p{{L}}\p{{N}}]', '', 'g')) > 0 then length(regexp_replace({c}, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(regexp_replace({c}, '[^\p{{L}}\p{{N}}]', '', 'g')) when length({c}) > 0 then 1 else 0 end"
@@ -236,7 +242,7 @@ SYM = r"case when length(regexp_replace({c}, '[^\p{{L}}\p{{N}}]', '', 'g')) > 0
 
 @query(f"select doc_id, round({SYM.format(c='text')}, 6) ratio from documents")
 def symbol_ratio(s, d):
-    return _docs(s, d).select("doc_id", F.round(X.symbol_ratio(F.col("text")), 6).alias("ratio"))
+    return _texts(s, d).select("doc_id", F.round(X.symbol_ratio(F.col("text")), 6).alias("ratio"))
 
 
 PROSE = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '`[^`\n]+`', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -245,7 +251,7 @@ CLI = """round(case when len(w) > 0 then 0.0588::double * (length(array_to_strin
 
 @query(f"select doc_id, {CLI} cli from (select doc_id, p, regexp_extract_all(p, '[a-zA-Z0-9_-]+') w from (select doc_id, {PROSE} p from documents))")
 def readability(s, d):
-    return _docs(s, d).select("doc_id", X.prose(F.col("text")).alias("p")).select("doc_id", X.coleman_liau(F.col("p")).alias("cli"))
+    return _texts(s, d).select("doc_id", X.prose(F.col("text")).alias("p")).select("doc_id", X.coleman_liau(F.col("p")).alias("cli"))
 
 
 FW = "['the','a','an','in','on','at','for','to','of','with','by','and','or','is','are']"
@@ -254,7 +260,7 @@ BIG = f"round(case when len(w) > 1 then len(list_filter(range(1, len(w)), lambda
 
 @query(f"select doc_id, {BIG} validity from (select doc_id, regexp_extract_all(lower({PROSE}), '[a-z0-9_-]+') w from documents)")
 def bigram_validity(s, d):
-    return _docs(s, d).select("doc_id", X.prose(F.col("text")).alias("p")).select("doc_id", X.bigram_validity(F.col("p")).alias("validity"))
+    return _texts(s, d).select("doc_id", X.prose(F.col("text")).alias("p")).select("doc_id", X.bigram_validity(F.col("p")).alias("validity"))
 
 
 @query(r"select doc_id, case when length(text) > 0 then sha256(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) else '' end hash from documents")
@@ -268,7 +274,7 @@ LINES = r"list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r]'),
 @query(f"""select doc_id, case when len(l) = 0 then 'Untitled' when length(l[1]) > 60 then left(l[1], 57) || '...' else l[1] end title, case when length(s) > 150 then left(s, 147) || '...' else s end snippet
  from (select doc_id, l, array_to_string(list_filter(l, lambda x: not starts_with(x, '#'))[1:3], ' ') s from (select doc_id, {LINES} l from documents))""")
 def title_snippet(s, d):
-    return _docs(s, d).select("doc_id", X.title(F.col("text")).alias("title"), X.snippet(F.col("text")).alias("snippet"))
+    return _texts(s, d).select("doc_id", X.title(F.col("text")).alias("title"), X.snippet(F.col("text")).alias("snippet"))
 
 
 TOKEN_RULE = 'token = "[0-9a-f]{40}"'
@@ -276,7 +282,7 @@ TOKEN_RULE = 'token = "[0-9a-f]{40}"'
 
 @query(f"select doc_id, sha256(regexp_replace(text, '{TOKEN_RULE}|AKIA[A-Za-z0-9]{{16}}', '[REDACTED_SECRET]', 'gi')) hash from documents")
 def redact_custom(s, d):
-    return _docs(s, d).select("doc_id", F.sha2(redact(F.col("text"), [TOKEN_RULE]), 256).alias("hash"))
+    return _texts(s, d).select("doc_id", F.sha2(redact(F.col("text"), [TOKEN_RULE]), 256).alias("hash"))
 
 
 GATE = rf"""with b as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') text from documents),
@@ -293,7 +299,7 @@ GATE = rf"""with b as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g')
 
 @query(GATE)
 def quality_gate(s, d):
-    out = quality.gate(_docs(s, d).select("doc_id", "text"), "text")
+    out = quality.gate(_texts(s, d), "text")
     last = F.element_at("quality_flags", -1)
     return out.select("doc_id", F.when(F.col("quality_status") == "REJECT", last).otherwise(F.col("quality_status")).alias("verdict"))
 

@@ -20,3 +20,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or LOCAL_CHECKPOINTS)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all cores, for measures that cost much more than moving the rows; by: columns that tell rows apart.
+
+    Only a table with fewer partitions than there are cores is shuffled, so what moves is bounded by the cores times
+    spark.sql.files.maxPartitionBytes or a Parquet row group; a larger table is read where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *by) if df.rdd.getNumPartitions() < cores else df
