@@ -95,15 +95,6 @@ def orphans(entities: DataFrame, relations: DataFrame, owner: str | None = None)
     return (raw if owner is None else raw.where(F.col("owner_id") == owner)).join(ends, "id", "left_anti")
 
 
-def suggest_links(orphaned: DataFrame, entity_tags: DataFrame, most: int = 3) -> DataFrame:
-    """(id, other, shared): for each orphan the entities that share most tags. Pairs come from shared tags, counted before they are ranked."""
-    from pyspark.sql import Window
-
-    mine = entity_tags.join(orphaned.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select(F.col("entity_id").alias("id"), "tag_id")
-    pairs = mine.join(entity_tags.select(F.col("entity_id").alias("other"), "tag_id"), "tag_id").where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))).where(F.col("nth") <= most).drop("nth")
-
-
 def detail(entities: DataFrame, relations: DataFrame, entity_tags: DataFrame, tags: DataFrame, wanted: str) -> DataFrame:
     """One entity with its tags and its outgoing and incoming edges."""
     one = entities.where(F.col("id") == wanted)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import lens
 from tessera.functions import quality
 from tessera.functions import text as X
+from tessera.functions.mdformat import format_markdown_udf
 from tessera.functions.redact import redact
 from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd, vector
 from tessera.operators import tags as tagging
@@ -595,3 +596,84 @@ def star_usage(s, d):
 @query("select o_orderkey, o_totalprice from orders order by o_orderdate desc, o_orderkey limit 50 offset 100")
 def star_page(s, d):
     return report.page(lens.read(s, d, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], 3).select("o_orderkey", "o_totalprice")
+
+
+# Further operators ----------------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, sha256({PROSE}) hash from documents")
+def prose(s, d):
+    return _texts(s, d).select("doc_id", F.sha2(X.prose(F.col("text")), 256).alias("hash"))
+
+
+@query(r"""with m as (select doc_id, text t, list_transform(regexp_extract_all(text, '(?m)^(#{1,6})\s+(.+)$', 1), lambda x: length(x)) v, regexp_extract_all(text, '(?m)^```([\p{L}\p{N}_]*)', 1) f,
+ list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: starts_with(x, '|') and ends_with(x, '|')) r,
+ array_to_string(regexp_extract_all(text, '(?m)^(#{1,6})\s+(.+)$', 2), chr(10)) hw, array_to_string(regexp_extract_all(text, '(?m)^\s*[-*\d.]+\s+(.+)$', 1), chr(10)) lw, array_to_string(regexp_extract_all(text, '```[\s\S]*?```'), chr(10)) cw from documents)
+ select doc_id, len(f) % 2 = 0 and len(list_filter(r, lambda x: length(x) - length(replace(x, '|', '')) < 3)) = 0 as valid, len(v)::int headers, len(list_filter(range(2, len(v) + 1), lambda i: v[i] > v[i - 1] + 1)) > 0 header_skip,
+ len(list_filter(range(1, len(f) + 1), lambda i: i % 2 = 1 and f[i] = ''))::int untyped,
+ case when len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) > 0 then round((len(regexp_extract_all(hw, '[\p{L}\p{N}_]+')) + len(regexp_extract_all(lw, '[\p{L}\p{N}_]+')) + len(regexp_extract_all(cw, '[\p{L}\p{N}_]+'))) / len(regexp_extract_all(t, '[\p{L}\p{N}_]+')), 3) else 0 end msdi from m""")
+def markdown_structure(s, d):
+    return _texts(s, d).select("doc_id", quality.structure(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
+@query()
+def specificity(s, d):
+    """No SQL: DuckDB's patterns have no look-around."""
+    return _texts(s, d).select("doc_id", F.round(X.specificity(F.col("text")), 6).alias("ratio"))
+
+
+@query()
+def content_tokens(s, d):
+    """No SQL: DuckDB's patterns have no look-around."""
+    return _texts(s, d).select("doc_id", F.array_join(X.content_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query()
+def markdown_format(s, d):
+    """No SQL: the formatter follows fences from line to line."""
+    return _texts(s, d).select("doc_id", format_markdown_udf("text").alias("t")).select("doc_id", F.sha2("t", 256).alias("hash"))
+
+
+@query(f"""with {REL}, deg as (select id from (select source_id id from rel union all select target_id from rel) group by 1 having count(*) >= 3) select id, source_id, target_id from rel where source_id in (select id from deg) and target_id in (select id from deg)""")
+def degree_filter(s, d):
+    return graph.with_least_degree(lens.relations(s, d), 3).select("id", "source_id", "target_id")
+
+
+@query(f"""with {ENT}, {TAG} select entity_id id, string_agg(distinct tag_id, ',' order by tag_id) tags from et group by 1""")
+def tag_names(s, d):
+    return tagging.names_by_entity(lens.entity_tags(s, d), lens.tags(s, d)).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"with {REL} select distinct predicate from rel")
+def predicates(s, d):
+    return lens.relations(s, d).select("predicate").distinct()
+
+
+@query(f"with {REL} select id from rel where valid_to is null or valid_to > timestamp '2024-01-01 12:00:00'")
+def relations_as_of(s, d):
+    return lens.relations(s, d).where(hybrid.valid_at(F.lit("2024-01-01 12:00:00").cast("timestamp"))).select("id")
+
+
+@query(f"with {ENT} select id, title, status from ent where id = 'OC 12' or starts_with(id, 'OC 12') or title = 'OC 12' or contains(lower(title), 'oc 12') order by status, id limit 1")
+def fuzzy_match(s, d):
+    return graph.fuzzy(lens.entities(s, d), "OC 12").select("id", "title", "status")
+
+
+SCORES = "nullif(l_linenumber % 6, 0)", "nullif(l_suppkey % 6, 0)", "nullif(l_partkey % 6, 0)", "nullif(l_orderkey % 6, 0)"
+
+
+@query(f"select w weight, count(*) n from (select case when coalesce({', '.join(SCORES)}) is null then 1 else greatest(1, least(5, ({' + '.join(f'coalesce({x}, 3)' for x in SCORES)}) // 4)) end::int w from lineitem) group by 1")
+def weight_scores(s, d):
+    w = scd.weight_from_scores(*[F.expr(x) for x in SCORES], F.lit(1))
+    return lens.read(s, d, "lineitem").select(w.cast("int").alias("weight")).groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""select doc_id, case when doc_id % 17 = 0 then 'owner_id is missing' when coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') = '' then 'content is blank' when doc_id % 13 = 0 then 'scope is unknown' when doc_id % 11 = 0 then 'title is blank'
+ when doc_id % 7 = 0 then 'title begins with a file name' when doc_id % 5 = 0 then 'source_path is absolute' end error from documents""")
+def input_errors(s, d):
+    i, when = F.col("doc_id"), lambda n, a, b: F.when(F.col("doc_id") % n == 0, a).otherwise(b)
+    asked = _docs(s, d).select(
+        i, when(17, F.lit(" "), F.col("source")).alias("owner_id"), when(13, F.lit("public"), F.lit("shared")).alias("scope"), when(11, F.lit(""), when(7, F.lit("notes.md - plan"), F.lit("plan"))).alias("title"),
+        F.col("text").alias("full_content"), when(5, F.lit('{"source_path": "/etc/a.conf"}'), F.lit('{"source_path": "etc/a.conf"}')).alias("metadata"),
+    )
+    return asked.select("doc_id", scd.input_error(asked).alias("error"))
