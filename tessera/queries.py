@@ -141,20 +141,20 @@ def _query_vector(s, d):
     return list(row[0])
 
 
-@query(f"select e.vec_id id, round({COS}, 6) distance from embeddings e, {Q0} q order by {COS}, e.vec_id limit 10")
+@query(f"select e.vec_id id, round({COS}, 6) + 0 distance from embeddings e, {Q0} q order by {COS}, e.vec_id limit 10")
 def knn_topk(s, d):
-    return vector.knn(lens.vectors(s, d), _query_vector(s, d), 10).select("id", F.round("distance", 6).alias("distance"))
+    return vector.knn(lens.vectors(s, d), _query_vector(s, d), 10).select("id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(f"select e.vec_id id, round({COS}, 6) distance from embeddings e, {Q0} q where e.label = 3 order by {COS}, e.vec_id limit 10")
+@query(f"select e.vec_id id, round({COS}, 6) + 0 distance from embeddings e, {Q0} q where e.label = 3 order by {COS}, e.vec_id limit 10")
 def knn_filtered(s, d):
-    return vector.knn(lens.vectors(s, d).where("label = 3"), _query_vector(s, d), 10).select("id", F.round("distance", 6).alias("distance"))
+    return vector.knn(lens.vectors(s, d).where("label = 3"), _query_vector(s, d), 10).select("id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(f"select e.vec_id a, q.vec_id b, round({COS}, 6) distance from embeddings e join embeddings q on e.vec_id < q.vec_id where {COS} <= 0.6")
+@query(f"select e.vec_id a, q.vec_id b, round({COS}, 6) + 0 distance from embeddings e join embeddings q on e.vec_id < q.vec_id where {COS} <= 0.6")
 def knn_pairs(s, d):
     v = lens.vectors(s, d)
-    return vector.pairs_within(v, v, 0.6).where("a < b").select("a", "b", F.round("distance", 6).alias("distance"))
+    return vector.pairs_within(v, v, 0.6).where("a < b").select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query()
