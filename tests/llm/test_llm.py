@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -166,6 +167,19 @@ def test_classifier_separates_held_out_text(spark, none):
     assert ngram_lm.classify(df.limit(0), df.limit(0).select("doc_id")).count() == 0
 
 
+def test_threshold_equals_brute_force(spark):
+    df = spark.createDataFrame([(i, prose(i, 2 + i * i % 90), "en") for i in range(300)] + [(900, "#$ qx " * 40, "en")], "doc_id long, text string, lang string")
+    trusted = df.where("doc_id < 300").select("doc_id")
+    held = {r["doc_id"] for r in ngram_lm.perplexities(df, trusted).collect() if r["held"]}
+    out = ngram_lm.classify(df, trusted).collect()
+    bins = sorted(math.ceil((r["mean_cost"] - 4 / math.sqrt(r["n_chars"])) * 100) for r in out if r["doc_id"] in held)
+    limit = bins[math.ceil(0.97 * len(bins)) - 1] / 100 + 0.4
+    assert len(bins) >= 20
+    for r in out:
+        assert r["threshold"] == pytest.approx(limit, abs=1e-4)
+        assert r["kept"] == (r["mean_cost"] <= r["threshold"] + 4 / math.sqrt(r["n_chars"])) == (r["doc_id"] != 900)
+
+
 def test_more_languages_than_a_pass(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "MODELS_A_PASS", 2)
     df = spark.createDataFrame([(i, prose(i, 40), f"l{i % 5}") for i in range(40)], "doc_id long, text string, lang string")
