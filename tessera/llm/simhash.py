@@ -177,12 +177,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """df with one row of each component: the one of the least id; of rows that share this id, one. Rows without an id stay."""
-    found = near_duplicates(df, id_col, text_col, words)
-    kept, nth = fresh(df, "kept_id", "nth")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
+def rows_of_ids(df: DataFrame, keep: DataFrame, id_col: str, kept: str) -> DataFrame:
+    """The rows of df whose id is in keep's column kept (distinct), one of those that share an id, and the rows without an id."""
+    (nth,) = fresh(df, "nth")
     joined = df.join(keep, F.col(id_col) == F.col(kept))
     # The join has the rows of an id together and sorted already.
     first = joined.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where(F.col(nth) == 1).drop(kept, nth)
     return first.unionByName(df.where(F.col(id_col).isNull()))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """df with one row of each component: the one of the least id; of rows that share this id, one. Rows without an id stay."""
+    found = near_duplicates(df, id_col, text_col, words)
+    (kept,) = fresh(df, "kept_id")
+    return rows_of_ids(df, found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct(), id_col, kept)

@@ -112,6 +112,30 @@ def test_near_duplicates(docs, none):
     assert Counter(kept)[14] == 1 and 7 not in kept and simhash.keep_first(none).columns == docs.columns
 
 
+def test_pipeline_stage_equals_brute_force_jaccard(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng, texts = random.Random(5), [None, "", " ", "one", "One", "one two"]
+    for i in range(40):
+        words = prose(100 + i, rng.randint(30, 200)).split()
+        for _ in range(6):
+            texts.append(" ".join(words))
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS) + "s"
+
+    def shingled(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(min(len(w), max(1, len(w) - 4)))}
+
+    sets = [shingled(t) for t in texts]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    near = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if alike(sets[i], sets[j])]
+    of = brute_components(near, range(len(sets)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
+    assert left == {min(i for i in of if of[i] == r) for r in of.values()} and not any(i in left and j in left for i, j in near)
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
