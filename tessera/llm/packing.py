@@ -13,7 +13,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -135,9 +135,35 @@ def rank_encoding(tokenizer_path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks={bytes(byte[c] for c in t): vocab[t] for t in tokens}, special_tokens={})
 
 
-@lru_cache(1)
-def _encoder(tokenizer_path: str, pattern: str):
-    """texts -> packed ids, by the quicker of two equal ways."""
+def with_added_tokens(encode: Callable[[list[str]], list[bytes]], tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
+    """encode, but with the tokenizer file's added tokens found in the texts first, as the tokenizer does by default."""
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path, encoding="utf-8") as f:
+        data = json.load(f)
+    tokens = data.get("added_tokens") or []
+    if not tokens:
+        return encode
+    if data.get("normalizer") or any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+        # Where such a token matches depends on its neighbours; the tokenizer itself knows.
+        whole = Tokenizer.from_file(tokenizer_path)
+        return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    ids = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
+    split = re.compile(f"({'|'.join(re.escape(t) for t in sorted(ids, key=len, reverse=True))})").split
+
+    def run(texts: list[str]) -> list[bytes]:
+        parts = [split(t) for t in texts]  # text, token, text, ...
+        made = iter(encode([x for p in parts for x in p[::2]]))
+        return [b"".join([ids[x] if i % 2 else next(made) for i, x in enumerate(p)]) for p in parts]
+
+    return run
+
+
+@lru_cache(2)
+def _encoder(tokenizer_path: str, pattern: str, added: bool = False):
+    """texts -> packed ids, by the quicker of two equal ways; added: the file's added tokens keep their ids."""
+    if added:
+        return with_added_tokens(_encoder(tokenizer_path, pattern), tokenizer_path)
     encoding = rank_encoding(tokenizer_path, pattern)
     if encoding is None:
         return WordEncoder(tokenizer_path, pattern).encode
@@ -145,13 +171,13 @@ def _encoder(tokenizer_path: str, pattern: str):
     return lambda texts: [one(t) for t in texts]
 
 
-def tokenized_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int, max_length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of every piece."""
+def tokenized_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int, max_length: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32 and doc_tokens of every piece. added: strings of the file's added tokens get these tokens' ids, else they are ordinary text."""
     schema = StructType([StructField("doc_id", df.schema[id_col].dataType), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]])
     arrow, end = to_arrow_schema(schema), end_id.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path, pattern)
+        encode = _encoder(tokenizer_path, pattern, added)
 
         def rows(docs: list, texts: list[str]) -> Iterator[tuple]:
             for doc, ids in zip(docs, encode(texts), strict=True):
@@ -181,11 +207,11 @@ def tokenized_pieces(df: DataFrame, tokenizer_path: str, pattern: str, end_id: i
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, max_length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, max_length: int = 2048, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset. Sequences are numbered from 0 without gaps, bucket by bucket, the longest first."""
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
-    pieces = materialize(tokenized_pieces(df, tokenizer_path, pattern, end_id, max_length, id_col, text_col), "pieces")
+    pieces = materialize(tokenized_pieces(df, tokenizer_path, pattern, end_id, max_length, id_col, text_col, added), "pieces")
     sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each power of two at most
     first, at = {}, 0
     for r in sorted(sizes, key=lambda r: -r["length"]):

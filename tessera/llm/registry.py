@@ -52,7 +52,7 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), public_tokenizers.PATTERN, end_id=1, max_length=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), public_tokenizers.PATTERN, end_id=1, max_length=2048, added=True)
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,6 +403,22 @@ def test_word_encoder_equals_the_tokenizer():
     assert packing.rank_encoding(JSON, PATTERN) is not None and packing._encoder(JSON, PATTERN)(texts) == want
 
 
+def test_added_tokens_equal_the_tokenizer_by_default(spark):
+    from tokenizers import Tokenizer
+
+    tok, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    rng = random.Random(2)
+    texts = ["a <|endoftext|> b", end, end * 3, f"x  {end}  y", "<|endoftext|", "", *[t or "" for t in TEXTS]]
+    texts += ["".join(rng.choices([end, "<|", "|>", " ", "\n", "a", "word", "é", " 12"], k=rng.randint(1, 30))) for _ in range(2000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert packing._encoder(JSON, PATTERN, True)(texts) == want
+    assert packing.with_added_tokens(packing.WordEncoder(JSON, PATTERN).encode, JSON)(texts) == want
+    df = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    ids = np.array([64, 220, 50256, 275, 1], "<u4").tobytes()
+    got = packing.pack(df, JSON, PATTERN, added=True).collect()
+    assert {(r["start"], r["ids_crc32"]) for r in got} == {(0, zlib.crc32(ids[:16])), (4, zlib.crc32(ids[16:]))}
+
+
 def test_rank_encoding_refuses_another_order_of_merges(tmp_path):
     data = json.load(open(JSON))
     data["model"]["merges"][:2] = data["model"]["merges"][1::-1]
