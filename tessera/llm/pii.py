@@ -2,7 +2,7 @@
 
 One pattern finds the entities of a text. An entity's core (what follows a keyword or a title) gets a keyed surrogate
 of its type: digits stay digits and letters letters of their case at the same places (hexadecimal ones hexadecimal), telephone numbers keep their
-country code, card numbers their first digit and a valid check digit if they had one, addresses stay addresses, and
+country code or trunk 0, card numbers their first digit and a valid check digit if they had one, addresses stay addresses, and
 names keep their gender (by title), script and number of words. Equal cores get equal surrogates everywhere, so
 coreference holds. Surrogates are checked against each other and against all cores found; of those that clash all
 but one are drawn again until none clashes, so distinct entities stay distinct and no surrogate is somebody else's.
@@ -25,12 +25,18 @@ KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[
 TITLES_F = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Signora|г-жа|Госпожа"
 TITLES_M = "Mr|Herr|Monsieur|Señor|Signor|г-н|Господин"
 TITLES_N = "Dr|Prof"
+#: National telephone numbers: area code in parentheses, 3-3-4 digits with like separators, and a trunk 0 with 9 to 15 digits in all.
+NATIONAL = (
+    r"(?=[\d(])(?<![\w.,(/-])(?:(?:1[ .-])?\(\d{2,5}\)[ .-]?\d{2,4}[ .-]?\d{2,5}(?:[ .-]\d{2,4})?"
+    r"|(?:1[ .-])?[2-9]\d{2}(?:-[2-9]\d{2}-|\.[2-9]\d{2}\.| [2-9]\d{2} )\d{4}"
+    r"|(?=0(?:[ .-]?\d){8,14}(?![ .-]?\d))0\d{1,4}(?:(?: \d{2,4}){2,4}|(?:-\d{2,4}){2,4}|(?:\.\d{2,4}){2,4})|(?=0\d{2,5}[ /-]\d{5,8}(?!\d))(?=0(?:[ /-]?\d){8,14}(?!\d))0\d{2,5}[ /-]\d{5,8})(?![\d-])"
+)
 DETECTORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": KEYWORD + r"[A-Za-z0-9_+/-]{8,200}",
-    "key": r"(?=[Ags])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})(?![A-Za-z0-9])",
+    "secret": KEYWORD + r"[A-Za-z0-9_+/-]{8,}+",
+    "key": r"(?=[Ags])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{82,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d{2,4}(?:[ .-]\d{2,4}){1,3}|\d{6,12})(?!\d)",
+    "phone": rf"\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?(?:\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,3}}|\d{{6,12}})(?!\d)|{NATIONAL}",
     "ssn": r"(?=\d)(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?=\d)(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
@@ -42,7 +48,7 @@ LEAD = rf"^(?:{KEYWORD}|(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? (?=\p{{Lu}}))"
 
 #: An entity has one of these in it; they are found much faster than the pattern.
 SIGNS = (
-    "@", *"0123456789", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-",
+    "@", *"0123456789", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-",
     "Mr.", "Mr ", "Mrs", "Ms.", "Ms ", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señor", "Sra", "Signor", "г-жа", "Госпо", "Herr", "Monsieur", "г-н", "Dr.", "Dr ", "Prof",
 )
 SIGNS_ANY_CASE = ("passw", "pwd", "secret", "token", "apikey", "api_key", "api-key")
@@ -99,12 +105,13 @@ def _byte(h: Column, i: Column) -> Column:
 def _shaped(core: Column, h: Column, keep: Column) -> Column:
     """core with each digit and ASCII letter after the first keep characters replaced by another of its class."""
 
-    def one(i: Column) -> Column:
-        c, b = core.substr(i, F.lit(1)), _byte(h, i)
+    def one(c: Column, at: Column) -> Column:
+        i = at + 1
+        b = _byte(h, i)
         made = F.when(c.between("0", "9"), F.chr(F.lit(48) + b % 10)).when(c.between("a", "z"), F.chr(F.lit(97) + b % 26)).when(c.between("A", "Z"), F.chr(F.lit(65) + b % 26)).otherwise(c)
         return F.when(i <= keep, c).otherwise(made)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(core), F.lit(1))), one), "")
+    return F.array_join(F.transform(F.split(core, ""), one), "")
 
 
 def _luhn(digits: Column, double_first: bool) -> Column:
@@ -132,8 +139,8 @@ def shape(core: Column, kind: Column, h: Column) -> Column:
     """The core with its digits and letters drawn anew, but for the first ones of some kinds. h: a column that holds draw()."""
     start = lambda p: F.length(F.regexp_extract(core, p, 0))
     keep = (
-        F.when(kind == "card", 1).when(kind == "phone", start(r"^\+\d{1,3}(?=[ .(-])|^\+\d"))
-        .when(kind.isin("key", "iban"), start(r"^(?:AKIA|gh[pousr]_|sk-|[A-Z]{2}(?=\d\d))")).otherwise(0)
+        F.when(kind == "card", 1).when(kind == "phone", start(r"^\+\d{1,3}(?=[ .(-])|^\+\d|^\(?0"))
+        .when(kind.isin("key", "iban"), start(r"^(?:AKIA|gh[pousr]_|github_pat_|sk-|[A-Z]{2}(?=\d\d))")).otherwise(0)
     )
     return _shaped(core, h, keep)
 
@@ -158,7 +165,7 @@ def surrogate(core: Column, kind: Column, sex: Column, attempt: Column, h: Colum
             sur = F.when(attempt >= step, F.concat(sur, F.lit("-"), _pick(NAMES[script, "s"], n(place)))).otherwise(sur)
         return F.when(F.size(F.split(core, "[ -]")) > 1, F.concat(given, F.lit(" "), sur)).otherwise(sur)
 
-    secret = F.when(core.rlike("^[0-9a-f]{12,128}$"), h.substr(F.lit(1), F.length(core))).otherwise(shaped)
+    secret = F.when(core.rlike("^[0-9a-f]{12,}$"), F.repeat(h, F.ceil(F.length(core) / 128).cast("int")).substr(F.lit(1), F.length(core))).otherwise(shaped)
     named = F.when(core.rlike(r"\p{IsCyrillic}"), name("Cyrillic")).otherwise(name("Latin"))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", named).when(kind == "secret", secret)

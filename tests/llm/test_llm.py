@@ -308,6 +308,22 @@ def test_pii(spark):
     assert pii.replace_pii(df.limit(0), "k").columns == df.columns
 
 
+def test_pii_of_any_length_and_national_phones(spark):
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefghijkABCDEFGHIJK123456789", k=n))
+    keys = [f"sk-{letters(150)}", f"ghp_{letters(40)}", f"ghp_{letters(36)}", f"github_pat_{letters(82)}", f"sk-{letters(5000)}"]
+    secrets = [letters(250), "0123456789abcdef" * 20, letters(20_000)]
+    phones = ["(212) 555-0199", "212-555-0199", "212.555.0199", "1-212-555-0199", "(030) 1234 5678", "030 123 4567 89", "06 12 34 56 78", "030/12345678", "020 7946 0958"]
+    left = ["on 01.02.2020 and 2020-01-02", "from 10 to 20", "at 10:30, 1000 of 12000", "pages 100-200", "01-02-2020", "f(12) 345", "0 10 20 30", "0.12 0.34 0.56 0.78", "see (1999) 12", "v1.2.3"]
+    parts = [*keys, *[f'token = "{x}"' for x in secrets], *phones, *left]
+    df = spark.createDataFrame([(i, f"Here {x}, said.") for i, x in enumerate(parts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(df, "k").collect()}
+    for i, x in enumerate([*keys, *secrets, *phones]):
+        assert x[5:] not in out[i] and x[-12:] not in out[i] and len(out[i]) == len(f"Here {parts[i]}, said."), x[:20]
+    assert re.search(r"Here github_pat_\w{82}, said", out[3]) and re.search(r'"[0-9a-f]{320}"', out[len(keys) + 1])
+    assert all(out[i] == f"Here {x}, said." for i, x in enumerate(parts) if x in left)
+
+
 def test_pii_names_stay_distinct(spark):
     names = [f"Mr. {chr(65 + i // 26)}a{'b' * (i % 7 + 1)} {chr(65 + i % 26)}odd" for i in range(400)]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
