@@ -1,265 +1,402 @@
-"""Quality classifier: an interpolated modified Kneser-Ney character model, trained on trusted text.
-
-Texts are read as 5-bit symbols (letters, blank, digit, punctuation, other), so a language has 32**4 four-grams at
-most and its model a fixed size. The trusted documents are joined by id; each task counts their four-grams by
-language and by shard of the four-gram, and the shards' counts are joined and summed, FAN_IN at a time, until one
-is left of each. The model of a language is made of its SHARDS count shards. Scoring reads the models of
-MODELS_A_PASS languages at a time, 4 MB each, so what a worker holds is bounded whatever the number of languages;
-a document's counts never leave its task. Costs are whole numbers of 1e-4 nats, so sums don't depend on the order.
-A mean less the slack for its text's length is comparable between short and long texts: a document is kept if that
-is at most the quantile of the same measure over its language's trusted documents that were held out of training, plus
-a margin. (A quantile of bare means is set by the shortest trusted texts and lets long junk through.)
+"""Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
+
+A gram is up to ORDER bytes of UTF-8, so every script is read as it is, and the tables of grams grow with the trusted
+text; nothing is folded, hashed together or cut off. A gram's id holds its class, its order and its bytes. Training
+counts the grams of the trusted documents in each task, adds the counts up by id, and computes every order's
+probabilities by joins of id-sharded tables; a context has 256 grams at most, so no join has a hot key. The result is
+a table (id, cost, bow): the cost of a seen gram, and the cost of backing off from it as a context.
+
+Scoring looks grams up in two tiers. The most used entries, CACHE_ROWS at most, go to every worker, with a bit filter
+of fixed size over all other entries. A gram found in the first, or proven absent by the second, is settled where the
+document lies; the rest are counted for each document and joined with the table by id. So frequent grams are never
+shuffled, what is shuffled is what the first tier can't settle, and the sums are the same whatever the tier.
+
+A class is a language with LEAST_TRUSTED trusted documents or more (of MOST_CLASSES languages, those with most); all
+other languages together are class 0, trained on their own trusted documents if there are as many of them, else on
+all trusted documents. A document is kept if its mean cost a byte is at most its class's threshold plus SLACK /
+sqrt(bytes), as short texts vary more. The threshold is Tukey's upper fence, upper quartile and 1.5 times the
+distance between quartiles, of mean cost less that slack, over the class's trusted documents that were held out of
+training (over those it was trained on where none is held out). So every class is judged alike at every size.
 
 Defined cases: a null language is the language ''; a null or empty text has no perplexity and isn't kept; rows with a
-null id are scored but never trusted; repeated rows are scored each by itself; a language with too few held-out
-documents has no threshold and keeps all texts that aren't empty; an empty table gives no rows.
+null id are scored but never trusted; repeated rows are scored each by itself; without any trusted document there is
+no threshold and every text that isn't empty is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tessera.llm.common import SLICE_ROWS, fresh, materialize
+from tessera.llm.common import fresh, materialize
 
-ORDER, BITS = 4, 5
-SYMBOLS = 1 << BITS
-KEYS = 1 << (ORDER * BITS)
-SHARD_BITS = 4
-SHARDS = 1 << SHARD_BITS
+ORDER = 5
+KEY_BITS = 8 * ORDER
+CLASS_SHIFT = KEY_BITS + 3
+MOST_CLASSES = 4095
+#: Costs are whole numbers of 1 / SCALE nats, so sums don't depend on the order.
 SCALE = 10_000
-#: Count shards that one task sums.
-FAN_IN = 64
-#: Keys that the rows of a language are dealt over.
-SALTS = 64
-#: Languages whose models are sent to the workers at a time.
-MODELS_A_PASS = 16
-#: Characters counted at a time.
-CHUNK_CHARS = 1 << 22
-
-BLANK, DIGIT, STOP, MARK = 27, 28, 29, 30
-
-
-def _symbol_table(size: int = 0x3000) -> np.ndarray:
-    """The symbol of each code point: 0 is kept for the start, 1 to 26 are letters, of any script."""
-    table = np.full(size, MARK, np.uint8)
-    for cp in range(size):
-        c = chr(cp)
-        low = c.lower()
-        if len(low) == 1 and "a" <= low <= "z":
-            table[cp] = 1 + ord(low) - ord("a")
-        elif c.isspace():
-            table[cp] = BLANK
-        elif c.isdigit():
-            table[cp] = DIGIT
-        elif c.isalpha():
-            table[cp] = 1 + (ord(low[0]) * 7 + 3) % 26
-        elif c in ".,;:!?'\"()-":
-            table[cp] = STOP
-    return table
-
-
-_TABLE = _symbol_table()
-
-
-def symbols(text: str) -> np.ndarray:
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out = _TABLE[np.minimum(cps, len(_TABLE) - 1)]
-    far = cps >= len(_TABLE)
-    if far.any():
-        out[far] = 1 + (cps[far] * 7 + 3) % 26
-    return out
-
+UNIFORM = round(math.log(256) * SCALE)
+#: What a probability is at least.
+FLOOR = 1e-9
+#: Entries on every worker, and bits of the filter over the rest (16 MB each).
+CACHE_ROWS, FILTER_BITS = 1 << 20, 27
+#: Bytes read at a time, and distinct grams that a counting task holds.
+WINDOW, HELD = 1 << 20, 1 << 21
+LEAST_TRUSTED, HELD_OUT = 100, 5
+SLACK, FENCE = 4.0, 1.5
+#: Salts of the short grams in the join, which many long ones share.
+SALTS = 16
 
-def keys_of(text: str) -> np.ndarray:
-    """The four-gram that ends at each character, with start symbols before the first."""
-    s = np.r_[np.zeros(ORDER - 1, np.int64), symbols(text)]
-    n = len(s) - ORDER + 1
-    key = np.zeros(n, np.int64)
-    for i in range(ORDER):
-        key = key << BITS | s[i : i + n]
-    return key
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Negative log-probabilities, in units of 1 / SCALE nats, of the last symbol after the others, for every four-gram.
+def windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) of every byte, WINDOW bytes at a time. A key is the ORDER bytes that end there, zeros before the row's first.
 
-    counts: of all four-grams. Orders below the highest use continuation counts; each order has three discounts
-    from its counts of counts; the lowest is interpolated with the uniform distribution.
+    data: the rows' bytes, one after the other, row i from offsets[i] to offsets[i + 1].
     """
-    table = counts.reshape((SYMBOLS,) * ORDER).astype(np.float64)
-    tables = [table]
-    while tables[-1].ndim > 1:
-        tables.append((tables[-1] > 0).sum(axis=0).astype(np.float64))
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for c in reversed(tables):
-        n = [float((c == k).sum()) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        discount = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else min(k, 0.5 * k) for k in (1, 2, 3)]
-        if not any(discount):
-            discount = [0.5, 0.5, 0.5]
-        off = np.select([c == 0, c == 1, c == 2], [0.0, discount[0], discount[1]], discount[2])
-        total, left = c.sum(axis=-1, keepdims=True), off.sum(axis=-1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            here = np.where(total > 0, (c - off) / total + left / total * p, p)
-        # A context whose discounts are all zero would leave nothing to what it hasn't seen.
-        p = np.maximum(here, 1e-9)
-    return np.rint(-np.log(p).ravel() * SCALE).astype(np.int32)
-
-
-def _pack(counts: np.ndarray) -> bytes:
-    at = np.flatnonzero(counts)
-    raw = np.diff(at, prepend=0).astype("<u4").tobytes() + counts[at].astype("<i8").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _add(total: np.ndarray, payload: bytes) -> None:
-    raw = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
-    n = len(raw) // 12
-    total[np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64))] += np.frombuffer(raw, "<i8", n, 4 * n)
-
-
-def count_shards(docs: DataFrame) -> DataFrame:
-    """docs: lang, text. Rows (lang, shard, part, counts) of each task's four-gram counts."""
-    schema = StructType([StructField("lang", StringType()), StructField("shard", IntegerType()), StructField("part", IntegerType()), StructField("counts", BinaryType())])
-    arrow = to_arrow_schema(schema)
+    for a in range(int(offsets[0]), int(offsets[-1]), WINDOW):
+        b = min(a + WINDOW, int(offsets[-1]))
+        back = min(ORDER - 1, a)
+        s = np.r_[np.zeros(ORDER - 1 - back, np.int64), data[a - back : b].astype(np.int64)]
+        n, key = b - a, np.zeros(b - a, np.int64)
+        for i in range(ORDER):
+            key = key << 8 | s[i : i + n]
+        row = np.searchsorted(offsets, np.arange(a, b), "right") - 1
+        into = np.arange(a, b) - offsets[row]
+        for j in range(ORDER - 1):
+            first = into == j
+            key[first] &= (1 << 8 * (j + 1)) - 1
+        yield row, key
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """docs: class (int), bytes. Rows (id, n) of the counts of ORDER-grams, added up within each task as far as HELD allows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        held: dict[str, list[np.ndarray]] = {}
-        size, task = 0, TaskContext.get().partitionId()
-
-        def count() -> None:
-            nonlocal size
-            for lang, keys in held.items():
-                if lang not in total:
-                    total[lang] = np.zeros(KEYS, np.int64)
-                total[lang] += np.bincount(np.concatenate(keys), minlength=KEYS)
-            held.clear()
-            size = 0
-
-        def made(langs: list[str]) -> Iterator[pa.RecordBatch]:
-            for lang in langs:
-                counts = total.pop(lang)
-                rows = [(lang, s, task, _pack(counts[s::SHARDS])) for s in range(SHARDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=["id", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    keys = keys_of(text or "")
-                    held.setdefault(lang or "", []).append(keys)
-                    size += len(keys)
-                    if size > CHUNK_CHARS or len(held) > MODELS_A_PASS:
-                        count()
-                        if len(total) > MODELS_A_PASS:
-                            yield from made(list(total))
-        count()
-        yield from made(list(total))
+            classes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, key in windows(*_bytes_of(batch.column(1))):
+                new, n = np.unique(classes[row] << CLASS_SHIFT | ORDER << KEY_BITS | key, return_counts=True)
+                ids, where = np.unique(np.concatenate([ids, new]), return_inverse=True)
+                total = np.zeros(len(ids), np.int64)
+                np.add.at(total, where, np.concatenate([counts, n]))
+                counts = total
+                if len(ids) > HELD:
+                    yield made()
+                    ids, counts = ids[:0], counts[:0]
+        yield made()
 
-    return docs.select("lang", "text").mapInArrow(run, schema)
+    return docs.select("class", "bytes").mapInArrow(run, "id long, n long")
 
 
-def _sum_shards(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(KEYS // SHARDS, np.int64)
-    for payload in group["counts"]:
-        _add(total, payload)
-    return pd.DataFrame({"lang": group["lang"].iloc[:1], "shard": group["shard"].iloc[:1], "part": group["part"].iloc[:1], "counts": [_pack(total)]})
+def _order(gram: Column) -> Column:
+    return F.shiftright(gram, KEY_BITS).bitwiseAND(F.lit(7))
 
 
-def _model(group: pd.DataFrame) -> pd.DataFrame:
-    """One language's model, from its SHARDS counts."""
-    counts = np.zeros((KEYS // SHARDS, SHARDS), np.int64)
-    for shard, payload in zip(group["shard"], group["counts"], strict=True):
-        _add(counts[:, shard], payload)
-    return pd.DataFrame({"lang": group["lang"].iloc[:1], "costs": [pa.compress(kneser_ney(counts.ravel()).astype("<i4").tobytes(), codec="zstd", asbytes=True)]})
+def _shorter(gram: Column, k: Column | int, key: Column) -> Column:
+    """The id of an order-k gram of the same class."""
+    order = (F.lit(k) if isinstance(k, int) else k).cast("long") * F.lit(1 << KEY_BITS)
+    return F.shiftright(gram, CLASS_SHIFT) * F.lit(1 << CLASS_SHIFT) + order + key
 
 
-def train(docs: DataFrame) -> DataFrame:
-    """lang and costs (packed, of all four-grams) of each language of the documents (lang, text)."""
-    schema = "lang string, shard int, part int, counts binary"
-    state = materialize(count_shards(docs), "ngram-counts")
-    while True:
-        most = state.groupBy("lang", "shard").count().agg(F.max("count")).first()[0] or 0
-        fan = max(1, -(-most // FAN_IN))
-        state = materialize(state.withColumn("part", F.pmod(F.hash("part"), F.lit(fan))).groupBy("lang", "shard", "part").applyInPandas(_sum_shards, schema), "ngram-counts")
-        if fan == 1:
-            return materialize(state.groupBy("lang").applyInPandas(_model, "lang string, costs binary"), "ngram-models")
-
-
-def score(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """doc_id, lang, n_chars and cost (null without a model or without text) of every row of docs (doc_id, lang, text)."""
-    spark = docs.sparkSession
-    langs = sorted(r["lang"] for r in models.select("lang").collect())
-    schema = StructType([docs.schema["doc_id"], StructField("lang", StringType()), StructField("n_chars", LongType()), StructField("cost", LongType())])
-    arrow = to_arrow_schema(schema)
-
-    def scored(part: DataFrame, costs: dict[str, bytes]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(costs)  # MODELS_A_PASS times 4 MB at most
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = {k: np.frombuffer(pa.decompress(v, decompressed_size=4 * KEYS, codec="zstd", asbytes=True), "<i4") for k, v in sent.value.items()}
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE_ROWS):
-                    rows, some = [], batch.slice(at, SLICE_ROWS)
-                    for doc, lang, text in zip(*[some.column(i).to_pylist() for i in range(3)], strict=True):
-                        n, costs = len(text or ""), model.get(lang)
-                        rows.append((doc, lang, n, int(costs[keys_of(text)].sum(dtype=np.int64)) if n and costs is not None else None))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-        return part.select("doc_id", "lang", "text").mapInArrow(run, schema)
-
-    if len(langs) <= MODELS_A_PASS:
-        return scored(docs, {r["lang"]: bytes(r["costs"]) for r in models.collect()})
-    out = scored(docs.where(~F.col("lang").isin(langs)), {})
-    for at in range(0, len(langs), MODELS_A_PASS):
-        some = langs[at : at + MODELS_A_PASS]
-        out = out.unionByName(scored(docs.where(F.col("lang").isin(some)), {r["lang"]: bytes(r["costs"]) for r in models.where(F.col("lang").isin(some)).collect()}))
+def _suffix(gram: Column, k: int) -> Column:
+    """The id of the last k bytes."""
+    return _shorter(gram, k, gram.bitwiseAND(F.lit((1 << 8 * k) - 1)))
+
+
+def _context(gram: Column, k: int) -> Column:
+    """The id of all but the last byte of the last k bytes."""
+    return _shorter(gram, k - 1, F.shiftright(gram.bitwiseAND(F.lit((1 << 8 * k) - 1)), 8))
+
+
+def _per_order(gram: Column, of) -> Column:
+    """of(gram, k) for the gram's own order k."""
+    out = of(gram, 1)
+    for k in range(2, ORDER + 1):
+        out = F.when(_order(gram) == k, of(gram, k)).otherwise(out)
     return out
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, held_out: int = 5) -> DataFrame:
-    """doc_id, lang, n_chars, cost (of the whole text, in 1 / SCALE nats) and held (a trusted document outside training).
+def gram_counts(top: DataFrame) -> DataFrame:
+    """id and c of the grams of all orders: counts for the highest, for the others the number of distinct bytes before them."""
+    longest = materialize(top.groupBy("id").agg(F.sum("n").alias("c")), "grams")
+    longer = longest.select(F.explode(F.array(*[_suffix(F.col("id"), k) for k in range(2, ORDER + 1)])).alias("id")).distinct()
+    last = _per_order(F.col("id"), lambda g, k: _suffix(g, max(1, k - 1)))
+    lower = longer.groupBy(last.alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    return materialize(longest.unionByName(lower), "gram-counts")
 
-    docs: doc_id, lang, text; trusted: doc_id. One trusted document in held_out isn't trained on.
-    """
-    good = trusted.select(F.col("doc_id").alias("good_id")).distinct()
-    out_of = F.pmod(F.xxhash64("good_id"), F.lit(held_out)) == 0
-    # A merge join, the same plan at every size: the ids grow with the documents.
-    models = train(docs.join(good.where(~out_of).hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi"))
-    scored = score(docs, models)
-    held = good.where(out_of)
-    return scored.join(held, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "lang", "n_chars", "cost", F.col("good_id").isNotNull().alias("held"))
 
+def discounts(n: list[float]) -> list[float]:
+    """The three discounts of an order from its counts of counts 1 to 4."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    found = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
+    return found if any(found) else [0.5, 0.5, 0.5]
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.97, least_held: int = 20, slack: float = 4.0, margin: float = 0.4, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, n_chars, mean_cost (nats a character), perplexity, threshold and kept of every row.
 
-    A text of n characters may exceed its threshold by slack / sqrt(n) nats. threshold: the quantile, over a language's
-    held-out trusted documents, of mean_cost less that slack, plus margin, as a quantile alone would reject its tail.
+def train(docs: DataFrame) -> DataFrame:
+    """The model of the documents (class, bytes): id, cost and bow (integers, either may be null), used (a count)."""
+    spark = docs.sparkSession
+    grams = gram_counts(count_grams(docs))
+    kind = F.shiftright("id", KEY_BITS)
+    # (MOST_CLASSES + 1) * ORDER rows at most.
+    found = grams.groupBy(kind.alias("kind")).agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
+    table = [(r["kind"], *map(float, discounts([r[f"n{i}"] for i in (1, 2, 3, 4)]))) for r in found]
+    off = F.broadcast(spark.createDataFrame(table, "kind long, d1 double, d2 double, d3 double"))
+    grams = grams.withColumn("of_kind", kind).join(off, F.col("of_kind") == F.col("kind"))
+    grams = grams.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("at", _per_order(F.col("id"), _context))
+    n = lambda cond: F.count_if(cond)
+    left = (F.max("d1") * n(F.col("c") == 1) + F.max("d2") * n(F.col("c") == 2) + F.max("d3") * n(F.col("c") > 2)) / F.sum("c")
+    contexts = materialize(grams.groupBy("at").agg(F.sum("c").alias("total"), F.greatest(left, F.lit(FLOOR)).alias("left")), "contexts")
+    states, lower = [], None
+    for k in range(1, ORDER + 1):
+        mine = grams.where(_order(F.col("id")) == k).select("id", "c", "d", F.col("at").alias("a"), _suffix(F.col("id"), max(1, k - 1)).alias("s"))
+        mine = mine.join(contexts.hint("merge"), F.col("a") == F.col("at"))
+        base: Column = F.lit(1 / 256)
+        if lower is not None:
+            mine, base = mine.join(lower.select(F.col("id").alias("low"), F.col("p").alias("p_low")).hint("merge"), F.col("s") == F.col("low")), F.col("p_low")
+        lower = materialize(mine.select("id", "c", F.greatest((F.col("c") - F.col("d")) / F.col("total") + F.col("left") * base, F.lit(FLOOR)).alias("p")), "probabilities")
+        states.append(lower)
+    units = lambda p: F.round(-F.log(p) * SCALE).cast("int")
+    rows = contexts.select(F.col("at").alias("id"), F.lit(None).cast("int").alias("cost"), units(F.col("left")).alias("bow"), F.col("total").alias("used"))
+    for s in states:
+        rows = rows.unionByName(s.select("id", units(F.col("p")).alias("cost"), F.lit(None).cast("int").alias("bow"), F.col("c").alias("used")))
+    return materialize(rows.groupBy("id").agg(F.max("cost").alias("cost"), F.max("bow").alias("bow"), F.max("used").alias("used")), "model")
+
+
+def _filter_bits(ids: np.ndarray) -> np.ndarray:
+    return (ids.view(np.uint64) * _MIX[2]) >> np.uint64(64 - FILTER_BITS)
+
+
+class Cache:
+    """The first tier: entries in two hash tables, and the filter of all others (None if there are none).
+
+    An entry whose slots are both taken goes to the filter.
     """
-    scored = materialize(perplexities(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")), trusted), "ngram-scores")
-    mean, room = F.col("cost") / F.col("n_chars") / F.lit(float(SCALE)), F.lit(slack) / F.sqrt("n_chars")
-    # A histogram of 0.01 nats: so many rows a language at most as costs can differ, whatever the number of documents.
-    held = scored.where(F.col("held") & F.col("cost").isNotNull()).groupBy(F.col("lang").alias("of"), F.ceil((mean - room) * 100).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("of")
-    held = held.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    limits = held.where((F.col("upto") >= F.col("total") * quantile) & (F.col("total") >= least_held)).groupBy("of").agg(F.round(F.min("bin") / 100 + F.lit(margin), 4).alias("threshold"))
-    # A language may hold most rows: each is dealt over SALTS keys, for which its one limit is repeated.
-    salted = limits.select("of", "threshold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("nth"))
-    own = F.pmod(F.xxhash64("doc_id", "n_chars", "cost"), F.lit(SALTS))
-    out = scored.withColumn("own", own).join(salted, (F.col("lang") == F.col("of")) & (F.col("own") == F.col("nth")), "left").select("doc_id", "lang", "n_chars", mean.alias("mean_cost"), F.exp(mean).alias("perplexity"), "threshold")
-    good = F.col("threshold").isNull() | F.col("mean_cost").isNull() | (F.col("mean_cost") <= F.col("threshold") + room)
-    return out.withColumn("kept", (F.col("n_chars") > 0) & good)
+
+    def __init__(self, ids: np.ndarray, cost: np.ndarray, bow: np.ndarray, rest: np.ndarray | None):
+        self.bits = [max(4, int(len(ids)).bit_length() + 1), max(4, int(len(ids)).bit_length())]
+        self.ids, self.cost, self.bow = (np.full((1 << self.bits[0]) + (1 << self.bits[1]), -1, t) for t in (np.int64, np.int32, np.int32))
+        left = np.arange(len(ids))
+        for which in (0, 1):
+            slot = self._slot(ids[left], which)
+            taken, first = np.unique(slot, return_index=True)
+            put = left[first]
+            self.ids[taken], self.cost[taken], self.bow[taken] = ids[put], cost[put], bow[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+        self.rest = rest
+        if len(left):
+            self.rest = np.zeros(1 << FILTER_BITS - 3, np.uint8) if rest is None else rest.copy()
+            at = _filter_bits(ids[left])
+            np.bitwise_or.at(self.rest, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _slot(self, ids: np.ndarray, which: int) -> np.ndarray:
+        base = which * (1 << self.bits[0])
+        return ((ids.view(np.uint64) * _MIX[which]) >> np.uint64(64 - self.bits[which])).astype(np.int64) + base
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, known): slot -1 if the entry isn't here; known is False if it may be elsewhere."""
+        slot = self._slot(ids, 0)
+        miss = np.flatnonzero(self.ids[slot] != ids)
+        if not len(miss):
+            return slot, np.ones(len(ids), bool)
+        second = self._slot(ids[miss], 1)
+        second[self.ids[second] != ids[miss]] = -1
+        slot[miss] = second
+        known = np.ones(len(ids), bool)
+        if self.rest is not None:
+            gone = miss[second < 0]
+            at = _filter_bits(ids[gone])
+            known[gone] = (self.rest[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 0
+        return slot, known
+
+    def costs(self, ids: np.ndarray) -> np.ndarray:
+        """The cost of each ORDER-gram, or -1 where this tier can't tell."""
+        out = np.zeros(len(ids), np.int64)
+        left, top = np.arange(len(ids)), ids >> CLASS_SHIFT << CLASS_SHIFT
+        for k in range(ORDER, 0, -1):
+            key = ids[left] & ((1 << 8 * k) - 1)
+            slot, known = self.find(top[left] | k << KEY_BITS | key)
+            cost = np.where(slot >= 0, self.cost[slot], -1)
+            out[left[~known]] = -1
+            hit = known & (cost >= 0)
+            out[left[hit]] += cost[hit]
+            on = np.flatnonzero(known & ~hit)
+            left = left[on]
+            if not len(left):
+                return out
+            slot, known = self.find(top[left] | k - 1 << KEY_BITS | key[on] >> 8)
+            out[left[~known]] = -1
+            out[left] += np.where(known & (slot >= 0), np.maximum(self.bow[slot], 0), 0)
+            left = left[known]
+        out[left] += UNIFORM
+        return out
+
+
+def cache_of(model: DataFrame, cache_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The arrays of a Cache: the most used entries, cache_rows at most, and the filter over the others."""
+    level = F.floor(F.log2(F.col("used").cast("double"))).cast("int")
+    sizes = sorted(((r["level"], r["n"]) for r in model.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 64 rows at most
+    least, taken = 64, 0
+    for at, n in sizes:
+        if taken + n > cache_rows:
+            break
+        least, taken = at, taken + n
+    most = model.where(level >= least).select("id", F.coalesce("cost", F.lit(-1)).alias("cost"), F.coalesce("bow", F.lit(-1)).alias("bow")).orderBy("id").toArrow()
+    arrays = tuple(most.column(i).to_numpy() for i in range(3))
+    if taken == sum(n for _, n in sizes):
+        return *arrays, None
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+        for batch in batches:
+            at = _filter_bits(batch.column(0).to_numpy().astype(np.int64))
+            np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        found = seen.view(np.int64)
+        where = np.flatnonzero(found)
+        for i in range(0, len(where), 1 << 16):
+            part = where[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found[part])], names=["word", "bits"])
+
+    set_words = model.where(level < least).select("id").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rest = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    rest[set_words.column(0).to_numpy()] = set_words.column(1).to_numpy()
+    return *arrays, rest.view(np.uint8)
+
+
+#: The table that this worker built last, by its model.
+_BUILT: dict[str, Cache] = {}
+
+
+def score(docs: DataFrame, model: DataFrame, cache_rows: int = CACHE_ROWS) -> DataFrame:
+    """docs (class int, bytes, and columns that pass through, bytes without nulls) with cost (long, of the whole text) for bytes."""
+    spark = docs.sparkSession
+    first = cache_of(model, cache_rows)
+    sent, name = spark.sparkContext.broadcast(first), uuid.uuid4().hex  # 16 bytes an entry and the filter
+    keep = [c for c in docs.columns if c not in ("class", "bytes")]
+    schema = StructType([*[docs.schema[c] for c in keep], docs.schema["class"], StructField("uid", LongType()), StructField("cost", LongType()), StructField("ids", ArrayType(LongType())), StructField("times", ArrayType(IntegerType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = Cache(*sent.value)
+        cache, uid = _BUILT[name], TaskContext.get().partitionId() << 40
+        for batch in batches:
+            n, n_keep = batch.num_rows, len(keep)
+            classes = batch.column(n_keep).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, open_rows, open_ids = np.zeros(n, np.int64), [], []
+            for row, key in windows(*_bytes_of(batch.column(n_keep + 1))):
+                ids = classes[row] << CLASS_SHIFT | ORDER << KEY_BITS | key
+                cost = cache.costs(ids)
+                lo = int(row[0])
+                total[lo : int(row[-1]) + 1] += np.bincount(row - lo, np.maximum(cost, 0)).astype(np.int64)
+                unknown = cost < 0
+                if unknown.any():
+                    open_rows.append(row[unknown])
+                    open_ids.append(ids[unknown])
+            if open_rows:
+                rows, ids = np.concatenate(open_rows), np.concatenate(open_ids)
+                order = np.lexsort((ids, rows))
+                rows, ids = rows[order], ids[order]
+                new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])])
+                times = np.diff(np.r_[new, len(rows)]).astype(np.int32)
+                offsets = pa.array(np.searchsorted(rows[new], np.arange(n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(ids[new])), pa.ListArray.from_arrays(offsets, pa.array(times))]
+            else:
+                offsets = pa.array(np.zeros(n + 1, np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array([], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array([], pa.int32()))]
+            cols = [*[batch.column(i) for i in range(n_keep + 1)], pa.array(uid + np.arange(n)), pa.array(total), *lists]
+            uid += n
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    done = docs.select(*keep, "class", "bytes").mapInArrow(run, schema)
+    if first[3] is None and Cache(*first).rest is None:
+        return done.drop("uid", "ids", "times")
+    done = materialize(done, "first-tier")
+    tail = materialize(done.where(F.size("ids") > 0).select("uid", F.inline(F.arrays_zip("ids", "times"))), "second-tier")
+    costs = resolve(tail.select(F.col("ids").alias("id")).distinct(), model)
+    added = tail.join(costs.hint("merge"), F.col("ids") == F.col("id")).groupBy(F.col("uid").alias("for_uid")).agg(F.sum(F.col("times") * F.col("gram_cost")).alias("more"))
+    whole = done.join(added, F.col("uid") == F.col("for_uid"), "left")
+    return whole.withColumn("cost", F.col("cost") + F.coalesce("more", F.lit(0))).drop("uid", "ids", "times", "for_uid", "more")
+
+
+def resolve(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """id and gram_cost of distinct ORDER-grams, by one join of all that they may back off to with the model."""
+    g = F.col("id")
+    parts = [F.struct(F.lit(2 * k).alias("role"), _suffix(g, k).alias("of")) for k in range(1, ORDER + 1)] + [F.struct(F.lit(2 * k + 1).alias("role"), _context(g, k).alias("of")) for k in range(1, ORDER + 1)]
+    # Short grams are shared by many long ones: they are dealt over salts.
+    salt = F.when(_order(F.col("of")) <= 2, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    wanted = grams.select("id", F.inline(F.array(*parts))).withColumn("salt", salt)
+    salts = F.sequence(F.lit(0), F.when(_order(F.col("entry")) <= 2, F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    entries = model.select(F.col("id").alias("entry"), "cost", "bow").withColumn("entry_salt", F.explode(salts))
+    met = wanted.join(entries.hint("merge"), (F.col("of") == F.col("entry")) & (F.col("salt") == F.col("entry_salt")), "left")
+    one = met.groupBy("id").agg(*[F.max(F.when(F.col("role") == 2 * k, F.col("cost"))).alias(f"c{k}") for k in range(1, ORDER + 1)], *[F.max(F.when(F.col("role") == 2 * k + 1, F.col("bow"))).alias(f"b{k}") for k in range(1, ORDER + 1)])
+    cost: Column = F.lit(UNIFORM)
+    for k in range(1, ORDER + 1):
+        cost = F.coalesce(F.col(f"c{k}"), F.coalesce(F.col(f"b{k}"), F.lit(0)) + cost)
+    return one.select("id", cost.cast("long").alias("gram_cost"))
+
+
+def _classes(docs: DataFrame, good: DataFrame, least: int) -> tuple[list[str], bool]:
+    """The languages that are classes of their own, and whether class 0 is trained on all trusted documents."""
+    counts = docs.select("doc_id", "lang").join(good.hint("merge"), F.col("doc_id") == F.col("good_id")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    own = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()
+    return sorted(r["lang"] for r in own), total - sum(r["n"] for r in own) < least
+
+
+def classify(
+    docs: DataFrame, trusted: DataFrame, least_trusted: int = LEAST_TRUSTED, held_out: int = HELD_OUT, slack: float = SLACK, fence: float = FENCE,
+    id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", cache_rows: int = CACHE_ROWS,
+) -> DataFrame:
+    """doc_id, lang, n_chars, mean_cost (nats a byte), perplexity (of a byte), threshold and kept of every row. trusted: doc_id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.length(text).cast("long").alias("n_chars"), text.cast("binary").alias("bytes"))
+    good = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
+    out_of = F.pmod(F.xxhash64("good_id"), F.lit(held_out)) == 0
+    own, pooled = _classes(docs, good, least_trusted)
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(own) for x in (lang, i + 1)])[F.col("lang")] if own else F.lit(None)
+    docs = docs.withColumn("class", F.coalesce(number.cast("int"), F.lit(0)))
+    # A merge join, the same plan at every size: the ids grow with the documents.
+    read = docs.join(good.where(~out_of).hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi").select("class", "bytes")
+    if pooled and own:
+        read = read.select(F.explode(F.array_distinct(F.array(F.col("class"), F.lit(0)))).alias("class"), "bytes")
+    scored = score(docs.withColumn("n_bytes", F.octet_length("bytes").cast("long")), train(read), cache_rows)
+    scored = materialize(scored.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("held", F.when(F.col("good_id").isNotNull(), out_of)).drop("good_id"), "scores")
+    mean, room = F.col("cost") / F.col("n_bytes") / F.lit(float(SCALE)), F.lit(slack) / F.sqrt("n_bytes")
+    # Histograms of 0.001 nats; the classes, and so the limits, are MOST_CLASSES + 1 at most.
+    bins = scored.where(F.col("held").isNotNull() & (F.col("n_bytes") > 0)).groupBy("class", "held", F.ceil((mean - room) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("class", "held")
+    bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin")))
+    quarts = bins.groupBy("class", "held").agg(at(0.25).alias("low"), at(0.75).alias("high")).select("class", "held", ((F.col("high") + (F.col("high") - F.col("low")) * fence) / 1000).alias("limit"))
+    limits = quarts.groupBy(F.col("class").alias("of")).agg(F.round(F.max_by("limit", "held"), 4).alias("threshold"))
+    out = scored.join(F.broadcast(limits), F.col("class") == F.col("of"), "left")
+    mean = F.when(F.col("n_bytes") > 0, mean)
+    good_enough = F.col("threshold").isNull() | (mean <= F.col("threshold") + room)
+    return out.select("doc_id", "lang", "n_chars", mean.alias("mean_cost"), F.exp(mean).alias("perplexity"), "threshold", F.when(F.col("n_bytes") > 0, good_enough).otherwise(False).alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -271,4 +408,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_c
     (bad,) = fresh(docs, "bad_id")
     found = classify(docs, trusted_ids(labels), id_col=id_col, lang_col=lang_col, text_col=text_col)
     drop = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(bad)).agg(F.max("kept").alias("k")).where(~F.col("k")).select(bad)
-    return docs.join(drop, F.col(id_col) == F.col(bad), "left_anti")
+    named = docs.where(F.col(id_col).isNotNull()).join(drop, F.col(id_col) == F.col(bad), "left_anti")
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

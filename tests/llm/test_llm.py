@@ -139,41 +139,61 @@ def test_pipeline_stage_equals_brute_force_jaccard(spark):
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_is_a_distribution_and_matches_brute_force():
-    rng = np.random.default_rng(0)
-    counts = np.zeros(ngram_lm.KEYS, np.int64)
-    keys = np.concatenate([ngram_lm.keys_of(prose(s, 200)) for s in range(20)])
-    np.add.at(counts, keys, 1)
-    p = np.exp(-ngram_lm.kneser_ney(counts) / ngram_lm.SCALE).reshape(-1, 32)
-    assert np.allclose(p.sum(axis=1), 1, atol=2e-3)
-
-    grams = {k: int(c) for k, c in enumerate(counts) if c}
-    levels = [grams]
-    for bits in (15, 10, 5):
-        below = Counter()
-        for k in levels[-1]:
-            below[k & ((1 << bits) - 1)] += 1
-        levels.append(dict(below))
-
-    def prob(level, key):  # the interpolated recursion, written out
-        if level == len(levels):
-            return 1 / 32
-        table = levels[level]
-        n = [sum(1 for v in table.values() if v == k) for k in (1, 2, 3, 4)]
+def brute_kneser_ney(texts, order):
+    """Costs by the interpolated recursion, written out over dictionaries of byte strings."""
+    tables = [None] * (order + 1)
+    tables[order] = Counter(padded[i : i + order] for t in texts for padded in [bytes(order - 1) + t.encode()] for i in range(len(t.encode())))
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    after, off = [defaultdict(list) for _ in range(order + 1)], [None] * (order + 1)
+    for k in range(1, order + 1):
+        n = [sum(c == i for c in tables[k].values()) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        d = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
-        d = d if any(d) else [0.5] * 3
-        after = {k: v for k, v in table.items() if k >> 5 == key >> 5}
-        lower = prob(level + 1, key & ((1 << (5 * (3 - level))) - 1)) if level < 3 else 1 / 32
-        if not after:
+        d = [min(i, max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+        off[k] = d if any(d) else [0.5] * 3
+        for g, c in tables[k].items():
+            after[k][g[:-1]].append(c)
+
+    def prob(g):
+        if not g:
+            return 1 / 256
+        k, c, found, lower = len(g), tables[len(g)][g], after[len(g)][g[:-1]], prob(g[1:])
+        if not found:
             return lower
-        total = sum(after.values())
-        off = lambda v: d[min(v, 3) - 1]
-        own = max(0, table[key] - off(table[key])) if key in table else 0
-        return own / total + sum(map(off, after.values())) / total * lower
-
-    for key in [*rng.choice(keys, 20), *rng.integers(0, ngram_lm.KEYS, 10)]:
-        assert -np.log(max(prob(0, int(key)), 1e-9)) * ngram_lm.SCALE == pytest.approx(ngram_lm.kneser_ney(counts)[int(key)], abs=1)
+        left = max(1e-9, sum(off[k][min(x, 3) - 1] for x in found) / sum(found))
+        return max((c - off[k][min(c, 3) - 1]) / sum(found) + left * lower, 1e-9) if c else left * lower
+
+    def cost(t):
+        padded = bytes(order - 1) + t.encode()
+        return sum(-math.log(prob(padded[i : i + order])) for i in range(len(t.encode())))
+
+    return cost
+
+
+def test_costs_equal_brute_force_in_either_tier(spark, monkeypatch):
+    texts = [prose(s, 60) for s in range(12)] + ["Привет мир, это река. " * 3, "日本語の文章です。", "", "a"]
+    asked = [prose(90, 30), "qqq zzz %%% river", "Привет, 日本", LONG[:3000], "x", "", "the river"]
+    to_rows = lambda ts, c: spark.createDataFrame([(c, t.encode()) for t in ts], "class int, bytes binary")
+    model = ngram_lm.train(to_rows(texts, 1).unionByName(to_rows(asked[:2], 3)).repartition(3))
+    want = {(c, t): cost(t) for c, ts in ((1, texts), (3, asked[:2])) for cost in [brute_kneser_ney(ts, ngram_lm.ORDER)] for t in asked}
+    docs = spark.createDataFrame([(i, c, t.encode()) for c in (1, 3) for i, t in enumerate(asked)], "i int, class int, bytes binary")
+    monkeypatch.setattr(ngram_lm, "WINDOW", 100)
+    found = [{(r["class"], asked[r["i"]]): r["cost"] for r in ngram_lm.score(docs, model, rows).collect()} for rows in (1 << 20, 300, 0)]
+    for key, cost in want.items():
+        assert found[0][key] / ngram_lm.SCALE == pytest.approx(cost, abs=2e-4 * max(6, len(key[1].encode()) * 3))
+    assert found[0] == found[1] == found[2]
+
+
+def test_gram_counts_equal_counting_by_hand(spark):
+    texts = [prose(s, 40) for s in range(6)] + ["é日本"]
+    rows = spark.createDataFrame([(2, t.encode()) for t in texts], "class int, bytes binary").repartition(3)
+    got = {r["id"]: r["c"] for r in ngram_lm.gram_counts(ngram_lm.count_grams(rows)).collect()}
+    grams = Counter(p[i : i + 5] for t in texts for p in [bytes(4) + t.encode()] for i in range(len(t.encode())))
+    want = {}
+    for k in range(5, 0, -1):
+        want |= {2 << 43 | k << 40 | int.from_bytes(g, "big"): c for g, c in grams.items()}
+        grams = Counter(g[1:] for g in grams)
+    assert got == want
 
 
 def test_classifier_separates_held_out_text(spark, none):
@@ -189,27 +209,30 @@ def test_classifier_separates_held_out_text(spark, none):
     assert sum(kept[i][0] for i in range(200, 400)) >= 195 and not any(kept[1000 + i][0] for i in range(40))
     assert kept[2000] == [False] and kept[2001] == [False] and kept[2002] == [True, True]
     assert ngram_lm.classify(df.limit(0), df.limit(0).select("doc_id")).count() == 0
+    assert {r["kept"] for r in ngram_lm.classify(df.where("doc_id < 9"), df.limit(0).select("doc_id")).collect()} == {True}
+
+
+def test_few_trusted_documents_of_a_language_still_judge(spark):
+    rows = [(i, prose(i, 60), "en") for i in range(300)] + [(1000 + i, prose(500 + i, 60).replace("e", "é"), "fr") for i in range(5)]
+    rows += [(2000 + i, "".join(random.Random(i).choices("#$%&*|<>QXZ ", k=400)), "fr") for i in range(6)] + [(3000, prose(900, 60).replace("e", "é"), "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in ngram_lm.classify(df, df.where("doc_id < 2000").select("doc_id")).collect()}
+    assert all(r["threshold"] is not None for r in out.values())
+    assert not any(out[2000 + i]["kept"] for i in range(6)) and out[3000]["kept"]
 
 
 def test_threshold_equals_brute_force(spark):
     df = spark.createDataFrame([(i, prose(i, 2 + i * i % 90), "en") for i in range(300)] + [(900, "#$ qx " * 40, "en")], "doc_id long, text string, lang string")
     trusted = df.where("doc_id < 300").select("doc_id")
-    held = {r["doc_id"] for r in ngram_lm.perplexities(df, trusted).collect() if r["held"]}
+    held = {r["doc_id"] for r in trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()}
     out = ngram_lm.classify(df, trusted).collect()
-    bins = sorted(math.ceil((r["mean_cost"] - 4 / math.sqrt(r["n_chars"])) * 100) for r in out if r["doc_id"] in held)
-    limit = bins[math.ceil(0.97 * len(bins)) - 1] / 100 + 0.4
+    bins = sorted(math.ceil((r["mean_cost"] - 4 / math.sqrt(r["n_chars"])) * 1000) for r in out if r["doc_id"] in held)
+    low, high = bins[math.ceil(0.25 * len(bins)) - 1], bins[math.ceil(0.75 * len(bins)) - 1]
     assert len(bins) >= 20
     for r in out:
-        assert r["threshold"] == pytest.approx(limit, abs=1e-4)
-        assert r["kept"] == (r["mean_cost"] <= r["threshold"] + 4 / math.sqrt(r["n_chars"])) == (r["doc_id"] != 900)
-
-
-def test_more_languages_than_a_pass(spark, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "MODELS_A_PASS", 2)
-    df = spark.createDataFrame([(i, prose(i, 40), f"l{i % 5}") for i in range(40)], "doc_id long, text string, lang string")
-    few = {r["doc_id"]: r["cost"] for r in ngram_lm.perplexities(df, df.select("doc_id")).collect()}
-    monkeypatch.setattr(ngram_lm, "MODELS_A_PASS", 16)
-    assert few == {r["doc_id"]: r["cost"] for r in ngram_lm.perplexities(df, df.select("doc_id")).collect()} and len(few) == 40
+        assert r["threshold"] == pytest.approx((high + 1.5 * (high - low)) / 1000, abs=1e-4)
+        assert r["kept"] == (r["mean_cost"] <= r["threshold"] + 4 / math.sqrt(r["n_chars"]))
+    assert not next(r["kept"] for r in out if r["doc_id"] == 900)
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
