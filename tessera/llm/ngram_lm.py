@@ -191,10 +191,7 @@ def _filter_bits(ids: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """The first tier: entries in two hash tables, and the filter of all others (None if there are none).
-
-    An entry whose slots are both taken goes to the filter.
-    """
+    """The first tier: entries in two hash tables, those that find both slots taken in order after them, and the filter of all others (None if there are none)."""
 
     def __init__(self, ids: np.ndarray, cost: np.ndarray, bow: np.ndarray, rest: np.ndarray | None):
         self.bits = [max(4, int(len(ids)).bit_length() + 1), max(4, int(len(ids)).bit_length())]
@@ -206,11 +203,10 @@ class Cache:
             put = left[first]
             self.ids[taken], self.cost[taken], self.bow[taken] = ids[put], cost[put], bow[put]
             left = np.setdiff1d(left, put, assume_unique=True)
+        left = left[np.argsort(ids[left])]
+        self.base, self.more = len(self.ids), ids[left]
+        self.ids, self.cost, self.bow = np.r_[self.ids, ids[left], -1], np.r_[self.cost, cost[left], -1], np.r_[self.bow, bow[left], -1]
         self.rest = rest
-        if len(left):
-            self.rest = np.zeros(1 << FILTER_BITS - 3, np.uint8) if rest is None else rest.copy()
-            at = _filter_bits(ids[left])
-            np.bitwise_or.at(self.rest, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def _slot(self, ids: np.ndarray, which: int) -> np.ndarray:
         base = which * (1 << self.bits[0])
@@ -223,7 +219,9 @@ class Cache:
         if not len(miss):
             return slot, np.ones(len(ids), bool)
         second = self._slot(ids[miss], 1)
-        second[self.ids[second] != ids[miss]] = -1
+        third = np.flatnonzero(self.ids[second] != ids[miss])
+        second[third] = self.base + np.searchsorted(self.more, ids[miss[third]])
+        second[third[self.ids[second[third]] != ids[miss[third]]]] = -1
         slot[miss] = second
         known = np.ones(len(ids), bool)
         if self.rest is not None:
@@ -332,7 +330,7 @@ def score(docs: DataFrame, model: DataFrame, cache_rows: int = CACHE_ROWS) -> Da
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     done = docs.select(*keep, "class", "bytes").mapInArrow(run, schema)
-    if first[3] is None and Cache(*first).rest is None:
+    if first[3] is None:
         return done.drop("uid", "ids", "times")
     done = materialize(done, "first-tier")
     tail = materialize(done.where(F.size("ids") > 0).select("uid", F.inline(F.arrays_zip("ids", "times"))), "second-tier")
