@@ -1,16 +1,21 @@
 """PII surrogates, in DataFrame functions only.
 
-One pattern finds the entities of a text. An entity's core (what follows a keyword or a title) gets a keyed surrogate
-of its type: digits stay digits and letters letters of their case at the same places (hexadecimal ones hexadecimal), telephone numbers keep their
-country code or trunk 0, card numbers their first digit and a valid check digit if they had one, addresses stay addresses, and
-names keep their gender (by title), script and number of words. Equal cores get equal surrogates everywhere, so
-coreference holds. Surrogates are checked against each other and against all cores found; of those that clash all
-but one are drawn again until none clashes, so distinct entities stay distinct and no surrogate is somebody else's.
-
-Only rows with an entity are shuffled, and the table of cores is distributed.
+One pattern finds the mentions of entities in a text. What names an entity is a mention's core (what follows a keyword
+or a title), normalised: e-mail addresses without regard to case, telephone, card, account and social security numbers
+without separators, and names word by word, surnames apart from given names. So `Mrs. Jane Doe` and `Mrs. Doe` share a
+surname, and `+1 212 555 0123` and `+1 (212) 555-0123` are one number. Each entity gets a keyed surrogate of its type:
+digits stay digits and letters letters of their case at the same places (hexadecimal ones hexadecimal), telephone
+numbers keep their country code or trunk 0, card numbers their first digit and a valid check digit if they had one,
+addresses stay addresses, given names keep their gender (by title) and names their script. Each mention then gets the
+surrogate in its own form: its separators, capitals, hyphens and number of words. Equal entities get equal surrogates
+everywhere, so coreference holds. Surrogates are checked against each other and against all entities found; of those
+that clash the one drawn earliest (then the least) keeps it and the others are drawn again, longer ones for names, so
+there is always room: distinct entities stay distinct and no surrogate is somebody else's.
+
+Only rows with an entity are shuffled, and the table of entities is distributed, so many to a task at every size.
 
 Defined cases: a null text stays null; a text without entities stays as it is; repeated rows are replaced alike;
-other columns pass through in place; an empty table gives no rows.
+other columns pass through in place, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +58,7 @@ SIGNS = (
 )
 SIGNS_ANY_CASE = ("passw", "pwd", "secret", "token", "apikey", "api_key", "api-key")
 
-#: Given names and surnames by script and gender.
+#: Given names by gender, and surnames, by script.
 NAMES = {
     ("Latin", "f"): "Alice Clara Elena Greta Ingrid Julia Laura Marta Nora Olivia Paula Rosa Silvia Teresa Ursula Vera".split(),
     ("Latin", "m"): "Albert Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Oscar Peter Ralf".split(),
@@ -62,7 +67,16 @@ NAMES = {
     ("Cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Сергей Юрий".split(),
     ("Cyrillic", "s"): "Авдеенко Бойко Вдовенко Гриценко Дорош Ермак Жук Зайченко Кравец Лысенко Мороз Назарук Остапенко Панченко Савчук Ткач".split(),
 }
-
+#: What names grow by when they are drawn again, and how they end then.
+SYLLABLES = {"Latin": [c + v for c in "bdfgklmnprstvzj" for v in "aeiou"], "Cyrillic": [c + v for c in "бвгджзклмнпрстх" for v in "аеиоу"]}
+ENDINGS = {("Latin", "f"): "na", ("Latin", "m"): "no", ("Latin", "s"): "r", ("Cyrillic", "f"): "на", ("Cyrillic", "m"): "н", ("Cyrillic", "s"): "р"}
+#: Country codes of one and of two digits; the others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+
+#: Entities that a task draws.
+TASK_ENTITIES = 1000
+MOST_TASKS = 4096
+#: Only a form with fewer members than entities, such as nine digits, comes to this many draws.
 MOST_ROUNDS = 64
 
 
@@ -129,86 +143,134 @@ def _pick(words: list[str], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), n % len(words) + 1)
 
 
-def draw(core: Column, kind: Column, sex: Column, attempt: Column, key: str) -> Column:
-    """128 hexadecimal digits that depend on the key, the core and the attempt."""
-    seed = F.concat_ws("|", F.lit(key), kind, sex, core, attempt.cast("string"))
+def draw(entity: Column, kind: Column, sex: Column, attempt: Column, key: str) -> Column:
+    """128 hexadecimal digits that depend on the key, the entity and the attempt."""
+    seed = F.concat_ws("|", F.lit(key), kind, sex, entity, attempt.cast("string"))
     return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("|more")), 256))
 
 
-def shape(core: Column, kind: Column, h: Column) -> Column:
-    """The core with its digits and letters drawn anew, but for the first ones of some kinds. h: a column that holds draw()."""
-    start = lambda p: F.length(F.regexp_extract(core, p, 0))
+def entity_of(core: Column, kind: Column) -> Column:
+    """What is equal for all mentions of an entity."""
+    plain = F.regexp_replace(core, "[^0-9A-Za-z]", "")
+    number = F.when((kind == "phone") & core.startswith("+"), F.concat(F.lit("+"), plain)).otherwise(plain)
+    return F.when(kind == "email", F.lower(core)).when(kind.isin("phone", "ssn", "iban", "card"), number).otherwise(core)
+
+
+def in_form(surrogate_: Column, core: Column, kind: Column) -> Column:
+    """An entity's surrogate with the separators, or the capitals, of a mention."""
+    letters = F.regexp_replace(surrogate_, "[^0-9A-Za-z]", "")
+
+    def nth(c: Column, at: Column) -> Column:
+        before = F.length(F.regexp_replace(core.substr(F.lit(1), at + 1), "[^0-9A-Za-z]", ""))
+        return F.when(c.rlike("^[0-9A-Za-z]$"), letters.substr(before, F.lit(1))).otherwise(c)
+
+    def cased(c: Column, at: Column) -> Column:
+        return F.when(core.substr(at + 1, F.lit(1)).rlike("^[A-Z]$"), F.upper(c)).otherwise(c)
+
+    local = F.split_part(surrogate_, F.lit("@"), F.lit(1))
+    mail = F.concat(F.array_join(F.transform(F.split(local, ""), cased), ""), F.lit("@"), F.split_part(surrogate_, F.lit("@"), F.lit(2)))
+    number = F.array_join(F.transform(F.split(core, ""), nth), "")
+    return F.when(kind == "email", mail).when(kind.isin("phone", "ssn", "iban", "card"), number).otherwise(surrogate_)
+
+
+def shape(entity: Column, kind: Column, h: Column) -> Column:
+    """The entity with its digits and letters drawn anew, but for the first ones of some kinds. h: a column that holds draw()."""
+    start = lambda p: F.length(F.regexp_extract(entity, p, 0))
     keep = (
-        F.when(kind == "card", 1).when(kind == "phone", start(r"^\+\d{1,3}(?=[ .(-])|^\+\d|^\(?0"))
+        F.when(kind == "card", 1).when(kind == "phone", start(COUNTRY + "|^0"))
         .when(kind.isin("key", "iban"), start(r"^(?:AKIA|gh[pousr]_|github_pat_|sk-|[A-Z]{2}(?=\d\d))")).otherwise(0)
     )
-    return _shaped(core, h, keep)
+    return _shaped(entity, h, keep)
 
 
-def surrogate(core: Column, kind: Column, sex: Column, attempt: Column, h: Column, shaped: Column) -> Column:
-    """The attempt-th surrogate of a core. Names drawn again and again grow by a part of a surname.
+def surrogate(entity: Column, kind: Column, sex: Column, attempt: Column, h: Column, shaped: Column) -> Column:
+    """The attempt-th surrogate of an entity. Names drawn again grow by two syllables an attempt, other short ones by digits at their ends.
 
     h, shaped: columns that hold draw() and shape(); they are read for every character.
     """
     n = lambda i: _byte(h, F.lit(i))
     local = F.split_part(shaped, F.lit("@"), F.lit(1))
-    email = F.concat(local, F.lit("@mail"), (n(17) % 1000).cast("string"), F.lit(".example."), _pick(["com", "net", "org"], n(18)))
+    email = F.concat(local, F.lit("@mail"), (n(17) % 1000).cast("string"), F.when(attempt > 3, n(21).cast("string")).otherwise(F.lit("")), F.lit(".example."), _pick(["com", "net", "org"], n(18)))
     ip = F.concat_ws(".", *[(n(i) % 254 + 1).cast("string") for i in (3, 5, 7, 9)])
     body = shaped.substr(F.lit(1), F.length(shaped) - 1)
     check = (10 - _luhn(F.regexp_replace(body, "[^0-9]", ""), True) % 10) % 10
-    card = F.when(_luhn(F.regexp_replace(core, "[^0-9]", ""), False) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(shaped)
+    card = F.when(_luhn(F.regexp_replace(entity, "[^0-9]", ""), False) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(shaped)
 
-    def name(script: str) -> Column:
-        given = F.when((sex == "f") | ((sex == "n") & (n(11) % 2 == 0)), _pick(NAMES[script, "f"], n(2))).otherwise(_pick(NAMES[script, "m"], n(2)))
-        sur = _pick(NAMES[script, "s"], n(4))
-        for step, place in ((2, 6), (5, 8), (9, 10), (14, 12)):
-            sur = F.when(attempt >= step, F.concat(sur, F.lit("-"), _pick(NAMES[script, "s"], n(place)))).otherwise(sur)
-        return F.when(F.size(F.split(core, "[ -]")) > 1, F.concat(given, F.lit(" "), sur)).otherwise(sur)
+    def word(script: str) -> Column:
+        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), attempt * 2)), lambda i: _pick(SYLLABLES[script], _byte(h, i))), "")
+        of = lambda g: F.concat(_pick(NAMES[script, g], n(2)), F.when(attempt > 0, F.concat(more, F.lit(ENDINGS[script, g]))).otherwise(F.lit("")))
+        female = (sex == "f") | ((sex == "n") & (n(11) % 2 == 0))
+        return F.when(kind == "surname", of("s")).when(female, of("f")).otherwise(of("m"))
 
-    secret = F.when(core.rlike("^[0-9a-f]{12,}$"), F.repeat(h, F.ceil(F.length(core) / 128).cast("int")).substr(F.lit(1), F.length(core))).otherwise(shaped)
-    named = F.when(core.rlike(r"\p{IsCyrillic}"), name("Cyrillic")).otherwise(name("Latin"))
+    secret = F.when(entity.rlike("^[0-9a-f]{12,}$"), F.repeat(h, F.ceil(F.length(entity) / 128).cast("int")).substr(F.lit(1), F.length(entity))).otherwise(shaped)
+    named = F.when(entity.rlike(r"\p{IsCyrillic}"), word("Cyrillic")).otherwise(word("Latin"))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", named).when(kind == "secret", secret)
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("given", "surname"), named).when(kind == "secret", secret)
         .otherwise(shaped)
     )
 
 
-def assign_surrogates(cores: DataFrame, key: str) -> DataFrame:
-    """core, kind, sex (each core once) -> core, replacement, with no clash among replacements or with cores."""
-    state = materialize(cores.withColumn("attempt", F.lit(0)), "pii-cores")
-    real = state.select(F.col("core").alias("real"))
+def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """entity, kind, sex (each entity once) -> entity, replacement, with no clash among replacements or with entities."""
+    state = materialize(entities.withColumn("attempt", F.lit(0)), "pii-entities")
+    tasks = max(1, min(MOST_TASKS, state.count() // TASK_ENTITIES))
+    real = state.select(F.regexp_replace("entity", "^given ", "").alias("real")).distinct()
     for _ in range(MOST_ROUNDS):
-        drawn = state.withColumn("h", draw(F.col("core"), F.col("kind"), F.col("sex"), F.col("attempt"), key))
-        drawn = drawn.withColumn("shape", shape(F.col("core"), F.col("kind"), F.col("h")))
-        drawn = drawn.withColumn("replacement", surrogate(F.col("core"), F.col("kind"), F.col("sex"), F.col("attempt"), F.col("h"), F.col("shape"))).drop("h", "shape")
-        owners = drawn.groupBy(F.col("replacement").alias("of")).agg(F.min("core").alias("owner"))
+        # A fixed number of tasks, as a merged one would draw them all.
+        drawn = state.repartition(tasks, "entity").withColumn("h", draw(F.col("entity"), F.col("kind"), F.col("sex"), F.col("attempt"), key))
+        drawn = drawn.withColumn("shape", shape(F.col("entity"), F.col("kind"), F.col("h")))
+        drawn = drawn.withColumn("replacement", surrogate(F.col("entity"), F.col("kind"), F.col("sex"), F.col("attempt"), F.col("h"), F.col("shape"))).drop("h", "shape")
+        drawn = materialize(drawn, "pii-drawn")
+        owners = drawn.groupBy(F.col("replacement").alias("of")).agg(F.min(F.struct("attempt", "entity")).alias("owner"))
         checked = drawn.join(owners, F.col("replacement") == F.col("of")).join(real, F.col("replacement") == F.col("real"), "left")
-        clash = (F.col("core") != F.col("owner")) | F.col("real").isNotNull()
-        checked = materialize(checked.select("core", "kind", "sex", (F.col("attempt") + clash.cast("int")).alias("attempt"), "replacement", clash.alias("clash")), "pii-cores")
+        clash = (F.col("entity") != F.col("owner.entity")) | F.col("real").isNotNull()
+        checked = materialize(checked.select("entity", "kind", "sex", (F.col("attempt") + clash.cast("int")).alias("attempt"), "replacement", clash.alias("clash")), "pii-checked")
         if not checked.where("clash").limit(1).count():
-            return checked.select("core", "replacement")
-        state = checked.select("core", "kind", "sex", "attempt")
+            return checked.select("entity", "replacement")
+        state = checked.select("entity", "kind", "sex", "attempt")
     raise RuntimeError(f"some entities have clashing surrogates after {MOST_ROUNDS} draws")
 
 
+def _parts(entity: Column) -> Column:
+    """(lead, core, kind, sex) of what a mention consists of: the words of a name, else one."""
+    lead, core, kind = _lead(entity), _core(entity), F.coalesce(kind_of(entity), F.lit("other"))
+    words, gaps = F.regexp_extract_all(core, F.lit(r"\p{L}+"), F.lit(0)), F.regexp_extract_all(core, F.lit("[ -]"), F.lit(0))
+    given = F.size(F.regexp_extract_all(F.regexp_extract(core, "^(.*) ", 1), F.lit(r"\p{L}+"), F.lit(0)))  # the words before the last blank
+
+    def named(w: Column, i: Column) -> Column:
+        return F.struct(
+            F.when(i == 0, lead).otherwise(F.get(gaps, i - 1)).alias("lead"), w.alias("core"), F.when(i < given, F.lit("given")).otherwise(F.lit("surname")).alias("kind"), F.when(i < given, _sex(lead)).otherwise(F.lit("n")).alias("sex")
+        )
+
+    whole = F.array(F.struct(lead.alias("lead"), core.alias("core"), kind.alias("kind"), F.lit("n").alias("sex")))
+    return F.when(kind == "name", F.transform(words, named)).otherwise(whole)
+
+
 def replace_pii(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
-    """df with the entities of the text replaced; count_col: a column of their number, if named; length_col: one of the text's characters to renew, if named."""
-    hashed, entities, swaps = fresh(df, "text_hash", "entities", "replacements")
+    """df with the entities of the text replaced; count_col: a column of the number of mentions, if named; length_col: one of the text's characters to renew, if named."""
+    hashed, its, swaps, total = fresh(df, "text_hash", "its_hash", "replacements", "mentions")
     text, order = F.col(f"`{text_col}`"), [c for c in df.columns if c != count_col]
     has = F.coalesce(may_have(text) & text.rlike(PATTERN), F.lit(False))
     some = df.where(has).withColumn(hashed, F.sha2(text, 256))
-    # Each distinct text's entities once: (hash, place, lead, core).
+    # Each distinct text's mentions once: (hash, place, part, lead, core).
     found = some.groupBy(F.col(hashed).alias("h")).agg(F.first(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("e"))
-    found = found.select("h", F.posexplode("e").alias("place", "entity"))
-    found = materialize(found.select("h", "place", _lead(F.col("entity")).alias("lead"), _core(F.col("entity")).alias("core"), kind_of(F.col("entity")).alias("kind"), _sex(_lead(F.col("entity"))).alias("sex")), "pii-entities")
-    # A core that is found as several kinds, or under titles of both sexes, is one entity.
-    sex = F.when(F.min("sex") == F.max("sex"), F.min("sex")).when(F.min(F.when(F.col("sex") != "n", F.col("sex"))) == F.max(F.when(F.col("sex") != "n", F.col("sex"))), F.min(F.when(F.col("sex") != "n", F.col("sex")))).otherwise("n")
-    named = assign_surrogates(found.groupBy("core").agg(F.coalesce(F.min("kind"), F.lit("other")).alias("kind"), sex.alias("sex")), key)
-    swapped = found.join(named.withColumnRenamed("core", "c"), F.col("core") == F.col("c")).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("place", F.concat("lead", "replacement").alias("r")))).alias("r"))
-    done = some.join(swapped.select(F.col("h"), F.col("r.r").alias(swaps)), F.col(hashed) == F.col("h"))
+    found = found.select("h", F.posexplode("e").alias("place", "mention")).withColumn("parts", _parts(F.col("mention")))
+    found = found.select("h", "place", F.size("parts").alias("size"), F.posexplode("parts").alias("part", "p"))
+    # A given name and a surname of one spelling are two entities.
+    entity = F.concat(F.when(F.col("p.kind") == "given", F.lit("given ")).otherwise(F.lit("")), entity_of(F.col("p.core"), F.col("p.kind")))
+    found = materialize(found.select("h", "place", "part", (F.col("part") + 1 == F.col("size")).alias("last"), "p.*", entity.alias("entity")), "pii-mentions")
+    # An entity that is found as several kinds, or under titles of both sexes, is one.
+    sexed = F.when(F.col("sex") != "n", F.col("sex"))
+    sex = F.when(F.min(sexed) == F.max(sexed), F.min(sexed)).otherwise("n")
+    given = assign_surrogates(found.groupBy("entity").agg(F.min("kind").alias("kind"), sex.alias("sex")), key)
+    swapped = found.join(given.withColumnRenamed("entity", "e"), F.col("entity") == F.col("e"))
+    swapped = swapped.select("h", F.struct("place", "part", F.concat("lead", in_form(F.col("replacement"), F.col("core"), F.col("kind"))).alias("r"), "last").alias("s"))
+    swapped = swapped.groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("s"), F.count_if(F.col("s.last")).cast("int").alias("n"))
+    done = some.join(swapped.select(F.col("h").alias(its), F.col("s").alias(swaps), F.col("n").alias(total)), F.col(hashed) == F.col(its))
     between = F.split(text, PATTERN, -1)
-    whole = F.concat(F.element_at(between, 1), F.array_join(F.zip_with(F.col(swaps), F.slice(between, F.lit(2), F.size(between)), lambda s, b: F.concat(s, b)), ""))
-    count = [] if count_col is None else [F.size(swaps).alias(count_col)]
+    after = lambda s: F.when(s["last"], F.get(between, s["place"] + 1)).otherwise(F.lit(""))
+    whole = F.concat(F.element_at(between, 1), F.array_join(F.transform(F.col(swaps), lambda s: F.concat(s["r"], after(s))), ""))
+    count = [] if count_col is None else [F.col(total).alias(count_col)]
     none = [] if count_col is None else [F.lit(0).alias(count_col)]
     cols = lambda t: [t.alias(text_col) if c == text_col else F.length(t).cast(df.schema[c].dataType).alias(c) if c == length_col else F.col(f"`{c}`") for c in order]
     return df.where(~has).select(*cols(text), *none).unionByName(done.select(*cols(whole), *count))

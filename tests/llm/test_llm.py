@@ -410,6 +410,43 @@ def test_pii_names_stay_distinct(spark):
     assert len(set(out)) == len(set(names))
 
 
+def test_pii_coreference_and_distinctness_equal_brute_force(spark):
+    same = [
+        ["+1 212 555 0123", "+1 (212) 555-0123", "+12125550123"], ["Ann.Smith@corp.org", "ann.smith@corp.org", "ANN.SMITH@CORP.ORG"], ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], ["ann.smyth@corp.org"], ["+1 212 555 0124"], ["10.1.2.3"], ["10.1.2.4"], ["123-45-6789"], ["212-555-0123", "(212) 555-0123"],
+    ]
+    people = ["Mrs. Jane Doe", "Mrs. Doe", "Mr. Juan Carlos Perez", "Monsieur Jean-Luc Picard", "Mr. Doe-Perez", "Mrs. Jane Perez", "Dr. Doe", "Frau Ng Doe"]
+    mentions = [x for xs in same for x in xs] + people
+    rows = [(i, f"see {m} now", "a", "b", 1, 2, "c") for i, m in enumerate(mentions)] + [(i + 100, " and then ".join(mentions) + " twice", "a", "b", 1, 2, "c") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, e string, place int, entity int, text_hash string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(df, "key").collect()}
+    made = [out[i][4:-4] for i in range(len(mentions))]
+    assert out[100] == out[101] == " and then ".join(made) + " twice"
+    form = lambda m: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", m)))
+    plain, at = lambda m: re.sub(r"[^0-9a-z@+]", "", m.lower()), 0
+    seen = set()
+    for xs in same:
+        got = made[at : at + len(xs)]
+        at += len(xs)
+        assert len({plain(g) for g in got}) == 1 and not {plain(g) for g in got} & {plain(m) for m in mentions}
+        assert all(x.startswith("10.") or (form(g)[:9] == form(x)[:9] and (len(g) == len(x) or "@" in x)) for g, x in zip(got, xs, strict=True))
+        assert plain(got[0]) not in seen
+        seen.add(plain(got[0]))
+    title = {m: g for m, g in zip(people, made[at:], strict=True)}
+    for m, g in title.items():
+        assert re.sub(r"[^ .-]+", "w", m) == re.sub(r"[^ .-]+", "w", g) and m.split()[0] == g.split()[0]
+    doe, perez = title["Mrs. Doe"].split()[1], title["Mr. Juan Carlos Perez"].split()[3]
+    assert title["Mrs. Jane Doe"].split()[2] == doe == title["Dr. Doe"].split()[1] and title["Mr. Doe-Perez"] == f"Mr. {doe}-{perez}" and title["Mrs. Jane Perez"].split()[2] == perez
+    assert title["Mrs. Jane Doe"].split()[1] == title["Mrs. Jane Perez"].split()[1] and doe != perez and not {"Doe", "Perez", "Jane"} & {doe, perez}
+
+
+def test_pii_surnames_never_run_out(spark):
+    names = ["".join(x).title() for x in itertools.product("bdfgk", "aeiou", "lmnrs", "aeio", ("x", "ck"))]
+    df = spark.createDataFrame([(i, f"Mr. {n}") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [r["text"] for r in pii.replace_pii(df, "k").collect()]
+    assert len(set(out)) == len(set(names)) == 1000
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
