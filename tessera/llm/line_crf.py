@@ -31,8 +31,10 @@ NOTICE = re.compile(rb"(?i)licen[sc]ed? |copyright|all rights reserved|cookie|su
 N_FEATURES = 12
 N_GRAM = 5
 
-#: The fit takes this many labelled documents of each class at most, none above so many characters.
-FIT_DOCS, FIT_CHARS = 300, 20_000
+#: The fit takes this many labelled documents of each class at most, none above so many characters or lines.
+FIT_DOCS, FIT_CHARS, FIT_LINES = 300, 20_000, 1000
+#: Lines, with those that pad shorter documents, that are fitted at a time.
+FIT_CELLS = 1 << 14
 FIT_STEPS = 80
 
 
@@ -120,34 +122,57 @@ class Chain:
         return np.array([state, *reversed(out)], np.int8)
 
 
+def _gradient(w: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of a batch of padded sequences and its derivatives by the emission and the move scores."""
+    n, longest = on.shape
+    pair = on[:, 1:] & on[:, :-1]
+    e = np.stack([np.zeros((n, longest)), x @ w], axis=2)
+    f, b = np.zeros_like(e), np.zeros_like(e)
+    f[:, 0] = e[:, 0]
+    for t in range(1, longest):
+        step = np.logaddexp(f[:, t - 1, 0, None] + m[0], f[:, t - 1, 1, None] + m[1]) + e[:, t]
+        f[:, t] = np.where(on[:, t, None], step, f[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        nxt = e[:, t + 1] + b[:, t + 1]
+        step = np.logaddexp(m[:, 0] + nxt[:, 0, None], m[:, 1] + nxt[:, 1, None])
+        b[:, t] = np.where(on[:, t + 1, None], step, 0.0)
+    z = np.logaddexp(f[:, -1, 0], f[:, -1, 1])[:, None]
+    p = np.exp(f + b - z[:, :, None]) * on[:, :, None]
+    two = np.exp(f[:, :-1, :, None] + m + (e + b)[:, 1:, None, :] - z[:, :, None, None]) * pair[:, :, None, None]
+    seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & pair).sum() for j in (0, 1)] for i in (0, 1)], float)
+    own = (e[:, :, 1] * y * on).sum() + (seen * m).sum() - z.sum()
+    return own, np.einsum("ntf,nt->f", x, y * on - p[:, :, 1]), seen - two.sum(axis=(0, 1))
+
+
+def _batches(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences of like length together, FIT_CELLS padded lines at a time (or a single sequence)."""
+    order = sorted(range(len(xs)), key=lambda i: len(xs[i]))
+    out, some = [], []
+    for i in order:
+        if some and (len(some) + 1) * len(xs[i]) > FIT_CELLS:
+            out.append(some)
+            some = []
+        some.append(i)
+    made = []
+    for some in [*out, some]:
+        longest = len(xs[some[-1]])
+        x, y, on = np.zeros((len(some), longest, N_FEATURES), np.float32), np.zeros((len(some), longest), np.int8), np.zeros((len(some), longest), bool)
+        for row, i in enumerate(some):
+            n = len(xs[i])
+            x[row, :n], y[row, :n], on[row, :n] = xs[i], ys[i], True
+        made.append((x, y, on))
+    return made
+
+
 def fit_chain(xs: list[np.ndarray], ys: list[np.ndarray], steps: int = FIT_STEPS, rate: float = 0.3, decay: float = 0.02) -> Chain:
-    """Maximum likelihood with a Gaussian prior, by AdaGrad over all sequences at once."""
-    n, longest = len(xs), max(map(len, xs))
-    x, y, on = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
-        x[i, : len(a)], y[i, : len(b)], on[i, : len(a)] = a, b, True
+    """Maximum likelihood with a Gaussian prior, by AdaGrad over all sequences, a batch of bounded size at a time."""
+    batches, total = _batches(xs, ys), sum(map(len, xs))
     w, m = np.zeros(N_FEATURES), np.zeros((2, 2))
     gw, gm = np.full(N_FEATURES, 1e-8), np.full((2, 2), 1e-8)
-    pair = on[:, 1:] & on[:, :-1]
-    seen_w = np.einsum("ntf,nt->f", x, y * on)
-    seen_m = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & pair).sum() for j in (0, 1)] for i in (0, 1)], float)
-    total = on.sum()
     for _ in range(steps):
-        e = np.stack([np.zeros((n, longest)), x @ w], axis=2)
-        f, b = np.zeros_like(e), np.zeros_like(e)
-        f[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            step = np.logaddexp(f[:, t - 1, 0, None] + m[0], f[:, t - 1, 1, None] + m[1]) + e[:, t]
-            f[:, t] = np.where(on[:, t, None], step, f[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = e[:, t + 1] + b[:, t + 1]
-            step = np.logaddexp(m[:, 0] + nxt[:, 0, None], m[:, 1] + nxt[:, 1, None])
-            b[:, t] = np.where(on[:, t + 1, None], step, 0.0)
-        z = np.logaddexp(f[:, -1, 0], f[:, -1, 1])[:, None]
-        p = np.exp(f + b - z[:, :, None]) * on[:, :, None]
-        two = np.exp(f[:, :-1, :, None] + m + (e + b)[:, 1:, None, :] - z[:, :, None, None]) * pair[:, :, None, None]
-        dw = (seen_w - np.einsum("ntf,nt->f", x, p[:, :, 1])) / total - decay * w / 10
-        dm = (seen_m - two.sum(axis=(0, 1))) / total - decay * m / 10
+        found = [_gradient(w, m, *batch) for batch in batches]
+        dw = sum(f[1] for f in found) / total - decay * w / 10
+        dm = sum(f[2] for f in found) / total - decay * m / 10
         gw += dw * dw
         gm += dm * dm
         w, m = w + rate * dw / np.sqrt(gw), m + rate * dm / np.sqrt(gm)
@@ -162,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         wanted = part if wanted is None else wanted.unionByName(part)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(wanted), F.col("id") == F.col("of")).where(F.length("t") <= FIT_CHARS).select("q", "t", "id").collect()
     rows.sort(key=lambda r: (r["id"], r["t"]))
-    found = [(r["q"], features(base_counts(r["t"])[-1])) for r in rows]
-    found = [(q, x) for q, x in found if len(x)]
+    found = [(r["q"], base_counts(r["t"])[-1]) for r in rows]
+    found = [(q, features(lines)) for q, lines in found if 0 < len(lines) <= FIT_LINES]
     none = Chain(np.r_[-1.0, np.zeros(N_FEATURES - 1)], np.zeros((2, 2)))
     if len({q for q, _ in found}) < 2:
         return none
