@@ -10,7 +10,9 @@ and at most three from the rest. The least of them is the variant's hub, and a l
 
 What is shuffled isn't each variant but a row for each half that a fingerprint's variants share: those at bits of
 one half agree in the other half, whose 32 bits are the shuffle key. Fingerprints that are alone under their key
-meet nobody and are dropped before their variants are made.
+meet nobody and are dropped before their variants are made. Where more than EXPANDED rows share a key (texts of one
+template may), they pass on as they are, and their variants themselves are shuffled: as a variant is met by no more
+fingerprints than a ball holds, no task then has a large group whatever the number of fingerprints.
 
 Defined cases: a text without words, and a null one, has fingerprint zero, linked like any other; texts of fewer
 words than a shingle are one shingle; rows with a null id take part, and a component's id is its least id that
@@ -35,7 +37,7 @@ from tessera.llm.components import components
 SEED, RADIUS = 42, 3
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
-#: Fingerprints whose variants are made at a time.
+#: Rows of a key whose variants meet in one task; those of a larger one meet by a shuffle.
 EXPANDED = 1 << 13
 
 LOW, HIGH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
@@ -103,29 +105,15 @@ def variants(space: int, fps: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray
 
 
 def hub_links(space: int, fps: np.ndarray, flips: np.ndarray) -> np.ndarray:
-    """Verified (fingerprint, hub) pairs among fingerprints under the same keys, distinct.
-
-    The variants are made in slices of the variants' hash classes, so that memory is bounded for any number of rows.
-    """
-    classes = max(1, -(-len(fps) // EXPANDED))
-    found = []
-    for c in range(classes):
-        parts = []
-        for at in range(0, len(fps), EXPANDED):
-            v, f, d = variants(space, fps[at : at + EXPANDED], flips[at : at + EXPANDED])
-            if classes > 1:
-                mine = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(classes) == c
-                v, f, d = v[mine], f[mine], d[mine]
-            parts.append((v, f, d))
-        v, f, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((f, d > 1, v))
-        v, f, d = v[order], f[order], d[order]
-        first = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
-        at = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))  # where the run of the variant begins: its hub
-        pairs = np.stack([f, f[at]], axis=1)[(d[at] <= 1) & (f != f[at])]
-        pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS]
-        found.append(np.unique(pairs, axis=0))
-    return np.unique(np.concatenate(found), axis=0)
+    """Verified (fingerprint, hub) pairs among EXPANDED fingerprints at most under the same key, or many under small ones, distinct."""
+    v, f, d = variants(space, fps, flips)
+    order = np.lexsort((f, d > 1, v))
+    v, f, d = v[order], f[order], d[order]
+    first = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
+    at = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))  # where the run of the variant begins: its hub
+    pairs = np.stack([f, f[at]], axis=1)[(d[at] <= 1) & (f != f[at])]
+    pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS]
+    return np.unique(pairs, axis=0)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -133,8 +121,13 @@ def links(fps: DataFrame) -> DataFrame:
     rows = _emissions(fps)
     rows = rows.repartition("space", "key").sortWithinPartitions("space", "key")
 
+    def made(a: np.ndarray, b: np.ndarray, space: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(np.full(len(a), space, np.int32))], names=["a", "b", "space"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (space -1) within the keys of few rows; the rows (fp, flip, space) of the others."""
         held: list[np.ndarray] = []  # rows of the last key, whose run may go on
+        large = (-1, 0)  # the last key of too many rows
 
         def met(space: np.ndarray, key: np.ndarray, fp: np.ndarray, flip: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Links within whole runs of keys."""
@@ -142,28 +135,73 @@ def links(fps: DataFrame) -> DataFrame:
                 return
             new = np.r_[True, (key[1:] != key[:-1]) | (space[1:] != space[:-1])]
             run_id = np.cumsum(new) - 1
-            shared = np.bincount(run_id)[run_id] > 1
+            size = np.bincount(run_id)[run_id]
             for s in (0, 1):
-                mine = shared & (space == s)
-                if mine.any():
-                    pairs = hub_links(s, fp[mine].view(np.uint64), flip[mine])
-                    for at in range(0, len(pairs), 1 << 16):
-                        part = pairs[at : at + (1 << 16)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+                many = (size > EXPANDED) & (space == s)
+                if many.any():
+                    yield made(fp[many], flip[many], s)
+                few = np.flatnonzero((size > 1) & (size <= EXPANDED) & (space == s))
+                at = 0
+                while at < len(few):  # whole runs, EXPANDED rows or one run at a time
+                    end = min(len(few), at + EXPANDED)
+                    while end < len(few) and end > at and run_id[few[end]] == run_id[few[end - 1]]:
+                        end -= 1
+                    if end == at:
+                        end = at + int(np.searchsorted(run_id[few[at:]], run_id[few[at]], "right"))
+                    pairs = hub_links(s, fp[few[at:end]].view(np.uint64), flip[few[at:end]]).view(np.int64)
+                    if len(pairs):
+                        yield made(pairs[:, 0], pairs[:, 1], -1)
+                    at = end
 
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            more = (cols[0] == large[0]) & (cols[1] == large[1])
+            if more.any():
+                yield made(cols[2][more], cols[3][more], large[0])
+                cols = [c[~more] for c in cols]
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             space, key = cols[0], cols[1]
+            if not len(key):
+                held = []
+                continue
             last = (space == space[-1]) & (key == key[-1])
             cut = int(np.argmax(last))
             yield from met(*[c[:cut] for c in cols])
             held = [c[cut:] for c in cols]
+            if len(held[0]) > EXPANDED:
+                large = (int(held[0][0]), int(held[1][0]))
+                yield made(held[2], held[3], large[0])
+                held = []
         if held:
             yield from met(*held)
 
-    return rows.select("space", "key", "fp", "flip").mapInArrow(run, "a long, b long").distinct()
+    found = materialize(rows.select("space", "key", "fp", "flip").mapInArrow(run, "a long, b long, space int"), "met")
+    near = found.where("space < 0").select("a", "b")
+    many = found.where("space >= 0")
+    if many.limit(1).count():
+        near = near.unionByName(shuffled_links(many.select("space", F.col("a").alias("fp"), F.col("b").alias("flip"))))
+    return near.distinct()
+
+
+def shuffled_links(rows: DataFrame) -> DataFrame:
+    """The links of hub_links for rows (space, fp, flip) of any number, by a shuffle on the variants. Some may be found twice."""
+
+    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            space, fp, flip = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for s in (0, 1):
+                mine = np.flatnonzero(space == s)
+                for at in range(0, len(mine), 256):
+                    some = mine[at : at + 256]
+                    v, f, d = variants(s, fp[some].view(np.uint64), flip[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(f.view(np.int64)), pa.array(d > 1)], names=["v", "f", "far"])
+
+    spread = rows.repartition(F.col("fp"), F.col("flip"))  # a key's rows lie in one task, and each makes hundreds
+    met = spread.mapInArrow(expand, "v long, f long, far boolean").repartition("v")
+    met = met.withColumn("hub", F.min(F.struct("far", "f")).over(Window.partitionBy("v")))
+    near = met.where(~F.col("hub.far") & (F.col("f") != F.col("hub.f"))).select(F.col("f").alias("a"), F.col("hub.f").alias("b")).distinct()
+    return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
