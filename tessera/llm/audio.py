@@ -1,5 +1,8 @@
 """Media columns: lossless 8-bit audio, polyphase resampling, log-mel windows and hysteresis segments.
 
+The windows of a row are stored as an Arrow IPC stream in a binary column: a table of time spans whose log_mel column
+has the Arrow type fixed_shape_tensor of shape (WINDOW, N_MELS); read_windows() gives it back without copying.
+
 Defined cases: null bytes are empty bytes; a payload shorter than a frame is padded with silence for the
 features, never in the stored form; a constant payload has no segment. Rows are independent, other columns pass
 through, and a column bearing an output's name is replaced.
@@ -16,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from tessera.llm.common import fresh, map_rows
+from tessera.llm.common import map_rows
 
 STORED_RATE, RATE = 24_000, 16_000
 FRAME, HOP, N_FFT, N_MELS = 400, 160, 512, 32
@@ -32,7 +35,8 @@ ON, OFF = 0.6, 0.4
 FLAT = 1e-3
 FLOOR = 1e-10
 
-TENSOR = StructType([StructField("start_s", DoubleType()), StructField("end_s", DoubleType()), StructField("frames", IntegerType()), StructField("log_mel", ArrayType(FloatType(), False))])
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (WINDOW, N_MELS))
+WINDOWS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("log_mel", TENSOR)])
 SPAN = StructType([StructField("start_s", DoubleType()), StructField("end_s", DoubleType())])
 
 
@@ -147,40 +151,47 @@ def read_wav(stored: bytes) -> tuple[bytes, int]:
         return f.readframes(f.getnframes()), f.getframerate()
 
 
-def features_of(samples: bytes, rate: int) -> tuple[list[tuple], list[tuple]]:
+def features_of(samples: bytes, rate: int) -> tuple[pa.RecordBatch, list[tuple]]:
     """Windows (start_s, end_s, frames, log_mel of fixed shape) and speech-like segments (start_s, end_s)."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     mels, energy = log_mel(resample(x, RATE, rate))
-    step, windows = HOP / RATE, []
-    for at in range(0, len(mels), WINDOW):
-        part = mels[at : at + WINDOW]
-        tensor = np.full((WINDOW, N_MELS), np.float32(math.log(FLOOR)))
-        tensor[: len(part)] = part
-        windows.append((round(at * step, 6), round((at + len(part) - 1) * step + FRAME / RATE, 6), len(part), tensor.ravel()))
+    step, n = HOP / RATE, -(-len(mels) // WINDOW)
+    tensors = np.full((n * WINDOW, N_MELS), math.log(FLOOR), np.float32)
+    tensors[: len(mels)] = mels
+    first = np.arange(n) * WINDOW
+    frames = np.minimum(WINDOW, len(mels) - first)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), WINDOW * N_MELS)
+    columns = [np.round(first * step, 6), np.round((first + frames - 1) * step + FRAME / RATE, 6), frames.astype(np.int32)]
+    windows = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ExtensionArray.from_storage(TENSOR, storage)], schema=WINDOWS)
     return windows, [(round(a * step, 6), round((b - 1) * step + FRAME / RATE, 6)) for a, b in hysteresis(energy)]
 
 
+def write_windows(windows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WINDOWS) as out:
+        out.write_batch(windows)
+    return sink.getvalue().to_pybytes()
+
+
+def read_windows(stored: bytes) -> pa.Table:
+    """The windows of a row, with log_mel as fixed-shape tensors."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
 def audio_features(df: DataFrame, wav_col: str = "wav") -> DataFrame:
-    """Reads the stored files back; appends samples (bytes), windows and segments."""
+    """Reads the stored files back; appends samples (bytes), n_windows, windows (an Arrow IPC stream) and segments."""
 
     def make():
         def one(stored: bytes | None) -> tuple:
             samples, rate = read_wav(stored) if stored else (b"", STORED_RATE)
             windows, segments = features_of(samples, rate)
-            return samples, [dict(zip(TENSOR.names, w, strict=True)) for w in windows], [dict(zip(SPAN.names, s, strict=True)) for s in segments]
+            return samples, windows.num_rows, write_windows(windows), [dict(zip(SPAN.names, s, strict=True)) for s in segments]
 
         return lambda rows: [one(w) for (w,) in rows]
 
-    return map_rows(df, [wav_col], [("samples", BinaryType()), ("windows", ArrayType(TENSOR)), ("segments", ArrayType(SPAN))], make)
-
-
-def as_fixed_shape_tensors(log_mel_column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    """An Arrow fixed-shape tensor array (WINDOW, N_MELS) over a column of flat log_mel lists, without copying the values."""
-    array = log_mel_column.combine_chunks() if isinstance(log_mel_column, pa.ChunkedArray) else log_mel_column
-    flat = pa.FixedSizeListArray.from_arrays(array.flatten().cast(pa.float32()), WINDOW * N_MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (WINDOW, N_MELS)), flat)
+    return map_rows(df, [wav_col], [("samples", BinaryType()), ("n_windows", IntegerType()), ("windows", BinaryType()), ("segments", ArrayType(SPAN))], make)
 
 
 def feature_digest() -> Column:
     """Counts of windows and segments and a hash of all their values."""
-    return F.concat_ws(":", F.size("windows"), F.size("segments"), F.lpad(F.lower(F.hex(F.xxhash64("windows", "segments"))), 16, "0"))
+    return F.concat_ws(":", "n_windows", F.size("segments"), F.lpad(F.lower(F.hex(F.xxhash64("windows", "segments"))), 16, "0"))

@@ -92,12 +92,21 @@ def test_links_keep_every_component(spark):
     assert near and {x: got.get(x, x) for x in fps} == want
 
 
-def test_links_of_one_large_group():
-    rng = random.Random(1)
-    fps = np.array(sorted({7 | 1 << 40 ^ sum(1 << b for b in rng.sample(range(32), 4)) for _ in range(20_000)}), np.uint64)
-    few = simhash.EXPANDED
-    pairs = simhash.hub_links(0, fps[: few + 500], np.full(few + 500, -1))
-    assert len(pairs) and (np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 3).all()
+def test_links_of_large_keys_by_shuffle(spark, monkeypatch):
+    rng, fps = random.Random(1), set()
+    for half in (7, 7 | 1 << 5):  # keys that one bit tells apart, with chains under each
+        for _ in range(60):
+            x = rng.getrandbits(32)
+            for _ in range(4):
+                fps |= {half << 32 | x, x << 32 | half}
+                x ^= 1 << rng.randrange(32) | 1 << rng.randrange(32)
+    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
+    want = brute_components(near, fps)
+    for most in (1 << 13, 100, 5):
+        monkeypatch.setattr(simhash, "EXPANDED", most)
+        found = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()]
+        assert brute_components(found, fps) == want and all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a, b in found) and len(set(found)) == len(found)
 
 
 def test_near_duplicates(docs, none):
@@ -267,6 +276,41 @@ def test_viterbi_equals_enumeration():
         assert tuple(chain.viterbi(x)) == max(itertools.product((0, 1), repeat=len(x)), key=score)
 
 
+def test_fit_follows_the_gradient_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    xs = [rng.normal(size=(n, line_crf.N_FEATURES)) for n in (1, 3, 2, 5)]
+    ys = [rng.integers(0, 2, len(x)) for x in xs]
+    w, m = rng.normal(size=line_crf.N_FEATURES), rng.normal(size=(2, 2))
+
+    def likelihood(w, m):  # over all labellings, one by one
+        out = 0.0
+        for x, y in zip(xs, ys, strict=True):
+            score = lambda s, x=x: sum(x[t] @ w * s[t] for t in range(len(s))) + sum(m[a][b] for a, b in itertools.pairwise(s))
+            out += score(y) - np.log(sum(np.exp(score(s)) for s in itertools.product((0, 1), repeat=len(x))))
+        return out
+
+    (batch,) = line_crf._batches(xs, ys)
+    value, dw, dm = line_crf._gradient(w, m, *batch)
+    assert value == pytest.approx(likelihood(w, m), abs=1e-4)
+    for i in range(line_crf.N_FEATURES):
+        step = np.eye(line_crf.N_FEATURES)[i] * 1e-4
+        assert dw[i] == pytest.approx((likelihood(w + step, m) - likelihood(w - step, m)) / 2e-4, abs=1e-3)
+    for i, j in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[i, j] = 1e-4
+        assert dm[i, j] == pytest.approx((likelihood(w, m + step) - likelihood(w, m - step)) / 2e-4, abs=1e-3)
+
+
+def test_fit_in_batches_is_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    xs = [rng.normal(size=(int(n), line_crf.N_FEATURES)) for n in rng.integers(1, 30, 40)]
+    ys = [rng.integers(0, 2, len(x)) for x in xs]
+    whole = line_crf.fit_chain(xs, ys, steps=5)
+    monkeypatch.setattr(line_crf, "FIT_CELLS", 50)
+    parts = line_crf.fit_chain(xs, ys, steps=5)
+    assert np.allclose(whole.emission, parts.emission, atol=1e-6) and np.allclose(whole.move, parts.move, atol=1e-6) and len(line_crf._batches(xs, ys)) > 5
+
+
 def test_rules_and_fit(spark, docs, none):
     good = [(i, "\n".join(prose(i * 10 + k, 12).capitalize() + "." for k in range(4))) for i in range(60)]
     bad = [(100 + i, "\n".join(f"{prose(i * 7 + k, 5).upper()} | $$$ ### buy |" for k in range(4))) for i in range(60)]
@@ -462,10 +506,36 @@ def test_warc(spark, tmp_path):
     assert warc.deduplicated(df.limit(0)).count() == 0
     path = f"{tmp_path}/w"
     warc.archive_pages(df, path)
-    raw = b"".join(gzip.open(p).read() for p in tmp_path.glob("w/*.gz"))
-    assert raw.startswith(b"WARC/1.1\r\n") and sum(1 for _ in warc.parse_archive(raw)) == len(html)
+    raw = b"".join(gzip.open(p).read() for p in tmp_path.glob("w/*/*.gz"))
+    assert raw.startswith(b"WARC/1.1\r\n") and sum(1 for _ in warc.parse_archive([raw])) == len(html)
+    assert list(warc.parse_archive(raw[i : i + 7] for i in range(0, len(raw), 7))) == list(warc.parse_archive([raw]))
     with pytest.raises(ValueError):
-        list(warc.parse_archive(raw[:-9] + b"x" * 9))
+        list(warc.parse_archive([raw[:-9] + b"x" * 9]))
+    two = gzip.compress(raw[:50]) + gzip.compress(raw[50:])
+    assert b"".join(warc.inflated(two)) == raw
+
+
+def test_warc_files_are_bounded_and_revisits_name_their_response(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000, 1 << 62))
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    html = [chr(97 + i % 5) * n for i, n in enumerate([10, 90, 400, 500, 600, 3000, 5000] * 6)]
+    df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.deduplicated(df).collect()}
+    last = {h: i for i, h in enumerate(html)}
+    assert got == {i: ("response", None) if last[h] == i else ("revisit", last[h]) for i, h in enumerate(html)}
+    first, final = f"{tmp_path}/a", f"{tmp_path}/b"
+    warc.resolve_revisits(spark, first, final, 0, warc.archive_pages(df.coalesce(1), first))
+    records = {}
+    for p in tmp_path.glob("*/*/*.gz"):
+        found = [(h, b) for _, h, b in warc.parse_archive(warc.inflated(p.read_bytes()))]
+        assert len(found) == 1 or sum(len(b) for h, b in found if h["warc-type"] == "response") <= 2000 + 100 * len(found)
+        if p.parent.parent.name == "b":
+            records |= {h["warc-record-id"]: h for h, _ in found}
+    assert len(records) == len(html)
+    for h in records.values():
+        if h["warc-type"] == "revisit":
+            of = records[h["warc-refers-to"]]
+            assert of["warc-type"] == "response" and of["warc-target-uri"] == h["warc-refers-to-target-uri"] and of["x-page-id"] == h["x-refers-to-page-id"] and of["warc-date"] == h["warc-refers-to-date"]
 
 
 def test_small_payloads_stay_responses(spark):
@@ -488,17 +558,32 @@ def test_smallest_capacity_equals_dynamic_programming():
         assert sharding.smallest_capacity(sizes, k) == best[k, len(sizes)]
 
 
-@pytest.mark.parametrize("hot", [0, 300])
-def test_cut_points_are_optimal(spark, hot):
+@pytest.mark.parametrize("hot", [0, 20_000, 300_000])
+def test_cut_points_are_optimal_and_near_even(spark, monkeypatch, hot):
     rng = random.Random(4 + hot)
-    groups = sorted({rng.getrandbits(64) - (1 << 63): rng.randint(8, 400) for _ in range(3000)}.items())
+    groups = sorted({rng.getrandbits(64) - (1 << 63): rng.randint(8, 400) for _ in range(30_000)}.items())
     if hot:
-        groups[1000] = (groups[1000][0], 200_000)
+        groups[10_000] = (groups[10_000][0], 10 * hot)
+        groups[10_001] = (groups[10_001][0], hot)
+    opened, find = [], sharding.open_atoms
+    monkeypatch.setattr(sharding, "open_atoms", lambda *a: opened.append(find(*a)) or opened[-1])
     cuts = sharding.cut_points(spark.createDataFrame(groups, "g long, size long"), 24)
     load = Counter()
     for g, size in groups:
         load[sharding.shard_of(cuts, g)] += size
-    assert max(load.values()) == sharding.smallest_capacity(np.array([s for _, s in groups]), 24) and len(cuts) <= 23
+    assert max(load.values()) == sharding.smallest_capacity(np.array([s for _, s in groups]), 24) and len(cuts) == 23
+    rest = sorted(load.values())[2:-3]  # next to a large group a shard may be short
+    assert rest[-1] - rest[0] < 0.05 * rest[-1] and max(map(len, opened)) < 1000  # of 30,000 groups
+
+
+def test_even_cuts_keep_the_capacity():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sizes = rng.integers(1, 40, rng.integers(1, 30)) * np.where(rng.random(1) < 0.5, 1, rng.integers(1, 9))
+        k = int(rng.integers(1, 9))
+        capacity = sharding.smallest_capacity(sizes, k)
+        ends = [0, *sharding.even_cuts(sizes, capacity, k), len(sizes)]
+        assert len(ends) <= k + 1 and ends == sorted(set(ends)) and max(sizes[a:b].sum() for a, b in itertools.pairwise(ends)) <= capacity
 
 
 def test_shards(docs, none):
@@ -592,13 +677,28 @@ def test_resampling_equals_the_sum():
         assert np.allclose(audio.resample(x, up, down), want, atol=1e-4)
 
 
-def test_hysteresis_and_tensors():
+def test_hysteresis():
     assert audio.hysteresis(np.array([0, 0.5, 0.7, 0.5, 0.45, 0.3, 1.0])) == [(2, 5), (6, 7)] and audio.hysteresis(np.ones(5)) == []
-    windows, _ = audio.features_of(b"a" * 192 * 40, audio.STORED_RATE)
-    import pyarrow as pa
 
-    t = audio.as_fixed_shape_tensors(pa.array([w[3].tolist() for w in windows]))
-    assert t.type.shape == [audio.WINDOW, audio.N_MELS] and sum(w[2] for w in windows) == 1 + (5120 - audio.FRAME) // audio.HOP
+
+def test_log_mel_and_stored_tensors_equal_brute_force():
+    raw = prose(4, 700).encode()[: 192 * 20]
+    y = audio.resample((np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128, audio.RATE, audio.STORED_RATE)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(20) + (mel(8000) - mel(20)) * i / 33) / 2595) - 1) for i in range(34)]
+    rows = []
+    for at in range(0, len(y) - 400 + 1, 160):
+        frame = [y[at + n] * (0.5 - 0.5 * math.cos(2 * math.pi * n / 399)) for n in range(400)]
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * k * n / 512), -math.sin(2 * math.pi * k * n / 512)) for n, v in enumerate(frame))) ** 2 for k in range(257)]
+        tri = lambda k, i: max(0, min((k * 31.25 - edges[i]) / (edges[i + 1] - edges[i]), (edges[i + 2] - k * 31.25) / (edges[i + 2] - edges[i + 1])))
+        rows.append([math.log(max(1e-10, sum(p * tri(k, i) for k, p in enumerate(power)))) for i in range(32)])
+    windows, _ = audio.features_of(raw, audio.STORED_RATE)
+    table = audio.read_windows(audio.write_windows(windows))
+    assert table.schema.field("log_mel").type.shape == [16, 32] and table["frames"].to_pylist() == [min(16, len(rows) - i) for i in range(0, len(rows), 16)]
+    tensors = np.concatenate([t.to_numpy_ndarray() for t in table["log_mel"].chunks]).reshape(-1, 32)
+    assert np.allclose(tensors[: len(rows)], rows, atol=5e-3) and (tensors[len(rows) :] == np.float32(math.log(1e-10))).all()
+    spans = list(zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True))
+    assert spans == [(pytest.approx(i * 0.01), pytest.approx((min(i + 16, len(rows)) - 1) * 0.01 + 0.025)) for i in range(0, len(rows), 16)]
 
 
 def test_media(docs, none):
