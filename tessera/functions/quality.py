@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.lexicon import BIGRAMS
 
 FENCE = r"(?m)^```"
 HEADER = r"(?m)^(#{1,6})\s+(.+)$"
@@ -35,7 +36,7 @@ def structure(c: Column) -> Column:
 IDENTIFIERS = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_/-]+\.(?:py|rs|js|ts|json|md|sql|yml|yaml|c|cpp|h|sh)(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])[a-z0-9_]+_[a-z0-9_]+(?![\p{L}\p{N}_])"
 
 
-def gate(df: DataFrame, text_col: str, lexicon: list[str] | None = None) -> DataFrame:
+def gate(df: DataFrame, text_col: str, lexicon: list[str] | None = BIGRAMS) -> DataFrame:
     """Appends quality_status (ACCEPT, WARN or REJECT), quality_score and quality_flags.
 
     Each measure is a column of its own, so it is computed once though several tests read it.
@@ -43,7 +44,7 @@ def gate(df: DataFrame, text_col: str, lexicon: list[str] | None = None) -> Data
     t = F.col("_t")
     m = df.withColumn("_t", X.strip(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_w", X.words(F.lower(t))).withColumn("_md", structure(t)).withColumn("_prose", X.prose(t))
     m = m.withColumns({
-        "_n": F.length(t), "_nw": F.size("_w"), "_sym": X.symbol_ratio(t), "_h": X.entropy(t), "_d3": X.duplicate_ratio(t, 3), "_d5": X.duplicate_ratio(t, 5), "_ttr": X.ttr(t),
+        "_n": F.length(t), "_nw": F.size("_w"), "_sym": X.symbol_ratio(t), "_h": X.entropy(t), "_d3": X.duplicate_ratio_of(F.col("_w"), 3), "_d5": X.duplicate_ratio_of(F.col("_w"), 5), "_ttr": X.ttr_of(F.col("_w")),
         "_np": F.size(_all(F.col("_prose"), f"({X.ASCII_WORD})", 1)), "_big": X.bigram_validity(F.col("_prose"), lexicon), "_cli": X.coleman_liau(F.col("_prose")), "_spec": X.specificity(t),
     })
     c = F.col

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.lexicon import BIGRAMS
+
 WORD = r"[\p{L}\p{N}_]+"
 
 #: Words that carry no content.
@@ -72,7 +74,10 @@ def entropy(c: Column) -> Column:
 
 
 def ttr(c: Column) -> Column:
-    w = words(F.lower(c))
+    return ttr_of(words(F.lower(c)))
+
+
+def ttr_of(w: Column) -> Column:
     return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
 
 
@@ -97,12 +102,12 @@ def ngrams(w: Column, n: int) -> Column:
 
 def duplicate_ratio(c: Column, n: int) -> Column:
     """The share of word n-grams that repeat an earlier one."""
+    return let(words(F.lower(c)), lambda w: duplicate_ratio_of(w, n))
 
-    def ratio(w: Column) -> Column:
-        total = F.size(w) - (n - 1)
-        return F.when(total > 0, 1 - F.size(F.array_distinct(ngrams(w, n))) / total).otherwise(F.lit(0.0))
 
-    return let(words(F.lower(c)), ratio)
+def duplicate_ratio_of(w: Column, n: int) -> Column:
+    total = F.size(w) - (n - 1)
+    return F.when(total > 0, 1 - F.size(F.array_distinct(ngrams(w, n))) / total).otherwise(F.lit(0.0))
 
 
 def prose(c: Column) -> Column:
@@ -122,17 +127,15 @@ def coleman_liau(p: Column) -> Column:
     return F.when(n > 0, F.round(0.0588 * (letters / n * 100) - 0.296 * (sentences / n * 100) - 15.8, 2)).otherwise(F.lit(0.0))
 
 
-def bigram_validity(p: Column, lexicon: list[str] | None = None) -> Column:
+def bigram_validity(p: Column, lexicon: list[str] | None = BIGRAMS) -> Column:
     """The share of plausible word pairs: in the lexicon ("a b"), or of longer words one of which is a function word."""
-    known = F.array(*[F.lit(x) for x in lexicon or []]).cast("array<string>")
-
     def ratio(w: Column) -> Column:
         n = F.size(w) - 1
 
         def good(i: Column) -> Column:
             a, b = F.get(w, i - 1), F.get(w, i)
             rule = (F.length(a) > 2) & (F.length(b) > 2) & (a.isin(FUNCTION_WORDS) | b.isin(FUNCTION_WORDS))
-            return rule | F.array_contains(known, F.concat_ws(" ", a, b)) if lexicon else rule
+            return rule | F.concat_ws(" ", a, b).isin(lexicon) if lexicon else rule
 
         pairs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), good)
         return F.when(n > 0, F.round(F.size(pairs) / n, 3)).otherwise(F.lit(1.0))

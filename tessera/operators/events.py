@@ -35,6 +35,12 @@ def recent(events: DataFrame, agent_id: str | None = None, kind: str | None = No
     return out.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit).withColumn("content", shortened(F.col("content"), F.col("type")))
 
 
+def with_request_status(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """rows with the column status: that of requests, null for other events. For pages of events."""
+    status = request_status(rows.where(F.col("type") == REQUEST), entities).select(F.col("id").alias("of"), "status")
+    return rows.join(status, F.col("id") == F.col("of"), "left").drop("of")
+
+
 def session(events: DataFrame, session_id: str) -> DataFrame:
     return events.where(F.col("session_id") == session_id).orderBy("timestamp", "id")
 

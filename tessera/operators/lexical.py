@@ -99,10 +99,11 @@ def explain(index: DataFrame, query: str, known_tags: DataFrame | None = None, t
     """(term, found) of the query's terms, and of unknown tags as (tag, false)."""
     spark = index.sparkSession
     terms = query_terms(query)
-    asked = spark.createDataFrame([(t, t.lower()) for t in terms], "term string, t string")
-    words = index.select("term").distinct().withColumnRenamed("term", "w")
-    seen = asked.join(words, F.col("w").startswith(F.col("t")), "left_semi").select("term", F.lit(True).alias("found"))
-    out = asked.select("term").join(seen, "term", "left").select("term", F.coalesce("found", F.lit(False)).alias("found"))
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    # One pass over the postings, a flag for each of the few terms: the vocabulary is neither shuffled nor broadcast.
+    flags = index.agg(*[F.coalesce(F.max(F.col("term").startswith(t.lower())), F.lit(False)).alias(f"f{i}") for i, t in enumerate(terms)])
+    pairs = [F.struct(F.lit(t).alias("term"), F.col(f"f{i}").alias("found")) for i, t in enumerate(terms)]
+    out = flags.select(F.inline(F.array(*pairs))) if terms else asked.withColumn("found", F.lit(False))
     if known_tags is not None and tags:
         want = spark.createDataFrame([(t,) for t in tags], "term string")
         have = known_tags.select(X.tag_key(F.col("name")).alias("k"))

@@ -91,16 +91,17 @@ def repoint(relations: DataFrame, moved: DataFrame, keep: tuple[str, ...] = ("co
 
 
 def consolidate(entities: DataFrame, relations: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) after consolidations; requests: id, parent_ids, title, full_content, owner_id (null: system), scope, weight.
+    """(entities, relations) after consolidations; requests: id, parent_ids, title, full_content, owner_id (null: system), scope, weight,
+    and what else of context_id and the quality columns there is.
 
     The new rows are consolidated, their parents archived, edges of the parents moved to them and lineage edges added.
     A parent in several requests moves to the least id.
     """
     moved = requests.select("id", F.explode("parent_ids").alias("parent")).join(entities.select(F.col("id").alias("parent")), "parent", "left_semi")
-    cols = TABLES["entities"].fields
+    cols, more = TABLES["entities"].fields, {c: F.col(c) for c in ("context_id", "quality_score", "quality_status", "quality_flags") if c in requests.columns}
     made = requests.select(*[{
         "id": F.col("id"), "parent_ids": F.col("parent_ids"), "title": F.col("title"), "full_content": F.col("full_content"), "owner_id": F.coalesce("owner_id", F.lit("system")), "scope": F.col("scope"), "weight": F.col("weight"),
-        "status": F.lit("consolidated"), "embedding_status": F.lit("pending"), "is_core": F.lit(False), "content_hash": X.content_hash(F.col("full_content")),
+        "status": F.lit("consolidated"), "embedding_status": F.lit("pending"), "is_core": F.lit(False), "content_hash": X.content_hash(F.col("full_content")), **more,
     }.get(f.name, now if f.name in ("created_at", "updated_at", "last_accessed_at", "valid_from") else F.lit(None)).cast(f.dataType).alias(f.name) for f in cols])
     after, _ = archive(entities, moved.select(F.col("parent").alias("id"), F.lit(None).cast("string").alias("owner_id")).distinct(), now)
     edges = repoint(relations, moved.groupBy("parent").agg(F.min("id").alias("id")))

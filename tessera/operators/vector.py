@@ -20,7 +20,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """1 where either vector is zero: it has no direction, so it is like none and unlike none."""
+    return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """The vectors at length 1, zero ones as they are."""
+    v = np.stack(vectors.to_list()).astype(np.float64)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -44,8 +52,7 @@ def pairs_within(left: DataFrame, right: DataFrame, distance: float, left_id: st
     def near(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        u, v = (np.stack(z["v"].to_list()).astype(np.float64) for z in (p, q))
-        d = 1 - (u / np.linalg.norm(u, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+        d = 1 - _unit(p["v"]) @ _unit(q["v"]).T
         i, j = np.nonzero(d <= distance)
         return pd.DataFrame({"a": p["id"].to_numpy()[i], "b": q["id"].to_numpy()[j], "distance": d[i, j]})
 

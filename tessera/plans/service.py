@@ -9,7 +9,7 @@ from tessera.functions import text as X
 from tessera.functions.embed import backfill, hashing_embedder
 from tessera.operators import dedup, events, graph, hybrid, lexical, scd, vector
 from tessera.operators import tags as tagging
-from tessera.plans import librarian
+from tessera.plans import consolidation, librarian
 from tessera.plans import store as storing
 from tessera.plans.locks import Ephemeral, JobLock
 from tessera.session import checkpointed
@@ -20,16 +20,23 @@ SYNONYMS = {
     "query": "query_keywords", "q": "query_keywords", "keywords": "query_keywords", "text": "content", "message": "content", "description": "content", "tag": "tags", "owner": "owner_id", "agent": "agent_id",
     "id": "entity_id", "memory_id": "entity_id", "event_type": "type", "source": "source_id", "target": "target_id", "root": "root_entity_id",
 }
+#: Where the proper name isn't one of the tool's, the next one that is.
+SECOND = {"tag": "tags_filter", "tags": "tags_filter"}
+
+
+def as_list(tags: str | list[str] | None) -> list[str] | None:
+    """Tags given as one text are parted at commas."""
+    return [t for t in (x.strip() for x in tags.split(",")) if t] if isinstance(tags, str) else tags
 
 
 def parameters(given: dict, allowed: set[str]) -> dict:
     """Parameters under their own names; a synonym counts only where the proper name isn't given."""
+    proper = lambda k: next((n for n in (k, SYNONYMS.get(k), SECOND.get(k)) if n in allowed), None)
     out = {k: v for k, v in given.items() if k in allowed}
     for k, v in given.items():
-        name = SYNONYMS.get(k)
-        if k not in allowed and name in allowed:
-            out.setdefault(name, v)
-    if unknown := [k for k in given if k not in allowed and SYNONYMS.get(k) not in allowed]:
+        if k not in allowed and proper(k):
+            out.setdefault(proper(k), v)
+    if unknown := [k for k in given if not proper(k)]:
         raise TypeError(f"unknown parameters: {', '.join(unknown)}")
     return out
 
@@ -62,8 +69,11 @@ class Store:
         row = self._one({"a": agent_id, "t": type, "c": content, "e": error_code, "s": session_id, "x": context_id}, "agent_id string, type string, content string, error_code string, session_id string, context_id string")
         self._save(events=self.table("events").unionByName(events.event(row, self.now(), self.rules)))
 
-    def get_recent_events(self, agent_id=None, type=None, limit=20) -> DataFrame:
-        return events.recent(self.table("events"), agent_id, type, limit)
+    def get_recent_events(self, agent_id=None, type=None, limit=20, context_id=None) -> DataFrame:
+        """The latest events, requests with their status."""
+        rows = self.table("events") if context_id is None else self.table("events").where(F.col("context_id") == context_id)
+        found = events.with_request_status(events.recent(rows, agent_id, type, limit), self.table("entities"))
+        return found.orderBy(F.desc("timestamp"), F.desc("id"))
 
     def get_session_summary(self, session_id) -> DataFrame:
         return events.session(self.table("events"), session_id)
@@ -84,7 +94,7 @@ class Store:
         values = {"seq": 1, "id": entity_id, "owner_id": owner_id, "scope": scope, "title": title, "full_content": content, "weight": weight, "is_core": is_core, "metadata": metadata, "project_id": project_id, "context_id": context_id}
         values |= {"relevance": relevance, "impact": impact, "novelty": novelty, "actionability": actionability, "skip_duplicate_check": skip_duplicate_check}
         row = self._one(values, ", ".join(f"{c} {t or 'long'}" for c, t in storing.REQUEST.items()))
-        names = self.spark.createDataFrame([(1, t) for t in tags], "seq long, name string") if tags else None
+        names = self.spark.createDataFrame([(1, t) for t in as_list(tags)], "seq long, name string") if as_list(tags) else None
         r = self.store_memories(row, names).first()
         return {"result": r["result"], "id": r["id"]}
 
@@ -107,11 +117,14 @@ class Store:
             rows = rows.where(hybrid.active() if status_filter == "active" else F.col("status") == status_filter)
         return hybrid.page(rows, [F.desc("updated_at"), F.col("id")], limit, hybrid.decode_cursor(cursor) if cursor else offset)
 
-    def search_memory(self, query_keywords=None, owner_id=None, tags_filter=None, metadata_filter=None, limit=5, context_id=None, is_core=None, tag_operator="AND", cursor=None, semantic=True, explain_mode=False) -> DataFrame:
-        """The page of hits with title, snippet and score. Rank fusion covers all hits, paging comes after it."""
+    def search_memory(self, query_keywords=None, owner_id=None, tags_filter=None, metadata_filter=None, limit=5, context_id=None, is_core=None, tag_operator="AND", cursor=None, semantic=True, explain_mode=False, project_id=None, include_related=False) -> DataFrame:
+        """The page of hits with title, snippet and score, and with up to five related entities each if asked for. Rank fusion covers all hits, paging comes after it."""
+        tags_filter = as_list(tags_filter)
         ent = self.table("entities").where(hybrid.active() & hybrid.visible(owner_id))
         if context_id is not None:
             ent = ent.where(hybrid.in_context(context_id))
+        if project_id is not None:
+            ent = ent.where(hybrid.in_context(project_id))
         if is_core is not None:
             ent = ent.where(F.col("is_core") == is_core)
         if metadata_filter:
@@ -142,15 +155,23 @@ class Store:
             out = ent.join(F.broadcast(hybrid.fuse(lex, sem, at + limit).select("id", F.col("rrf").alias("score"), "l", "s")), "id")  # at + limit rows
             order = [F.desc("score"), F.asc_nulls_last("l"), F.asc_nulls_last("s"), F.col("id")]
         page = hybrid.page(out, order, limit, at)
-        return page.select("id", "title", X.snippet(F.col("full_content")).alias("snippet"), F.round(F.abs("score"), 6).alias("score"), "weight", "is_core", "cursor")
+        cols = ["id", "title", X.snippet(F.col("full_content")).alias("snippet"), F.round(F.abs("score"), 6).alias("score"), "weight", "is_core", "cursor"]
+        if not include_related:
+            return page.select(*cols)
+        hits = checkpointed(page)  # limit rows
+        related = hybrid.neighbours(hits, self.table("relations").where(hybrid.valid_at(self.now())), self.table("entities")).withColumnRenamed("id", "of")
+        return hits.join(related, F.col("id") == F.col("of"), "left").orderBy(*order).select(*cols, "related")
 
     def archive_memory(self, entity_id, owner_id=None):
         return self.bulk_archive_memory([(entity_id, owner_id)])[entity_id]
 
     def bulk_archive_memory(self, archive_requests) -> dict:
         pairs = [(r, None) if isinstance(r, str) else tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in archive_requests]
-        ent, result = scd.archive(self.table("entities"), self.spark.createDataFrame(pairs, "id string, owner_id string"), self.now())
-        out = {r["id"]: r["result"] for r in result.collect()}
+        asked = self.spark.createDataFrame(pairs, "input string, owner_id string")
+        ids = graph.resolve_ids(asked.select("input").distinct(), self.table("entities"))
+        asked = checkpointed(asked.join(ids, "input"))
+        ent, result = scd.archive(self.table("entities"), asked.select("id", "owner_id"), self.now())
+        out = {r["input"]: r["result"] for r in asked.select("input", "id").join(result, "id").collect()}
         self._save(entities=ent)
         return out
 
@@ -192,17 +213,22 @@ class Store:
     def analyze_lineage(self, entity_id) -> DataFrame:
         return graph.lineage_by_parents(self.table("entities"), entity_id)
 
-    def commit_consolidation(self, parent_ids, title, content, scope="shared", weight=1, owner_id=None):
-        return self.bulk_commit_consolidation([{"parent_ids": parent_ids, "title": title, "content": content, "scope": scope, "weight": weight, "owner_id": owner_id}])[0]
-
-    def bulk_commit_consolidation(self, consolidations) -> list[str]:
-        rows = [(list(c["parent_ids"]), c["title"], c["content"], c.get("owner_id"), c.get("scope", "shared"), c.get("weight", 1)) for c in consolidations]
-        df = self.spark.createDataFrame(rows, "parent_ids array<string>, title string, full_content string, owner_id string, scope string, weight int")
-        df = df.select(F.sha2(F.concat_ws("|", "title", "full_content", F.array_join("parent_ids", ",")), 256).alias("id"), "*")
-        ids = [r["id"] for r in df.collect()]
-        ent, rel = scd.consolidate(self.table("entities"), self.table("relations"), df, self.now())
-        self._save(entities=ent, relations=rel)
-        return ids
+    def commit_consolidation(self, parent_ids, title, content, tags=None, scope="shared", weight=1, owner_id=None, context_id=None) -> dict:
+        return self.bulk_commit_consolidation([{"parent_ids": parent_ids, "title": title, "content": content, "tags": tags, "scope": scope, "weight": weight, "owner_id": owner_id, "context_id": context_id}])[0]
+
+    def bulk_commit_consolidation(self, consolidations) -> list[dict]:
+        """result (stored, or why not), id and similar_to of each."""
+        rows = [(i, list(c["parent_ids"] or []), c["title"], c["content"], c.get("owner_id"), c.get("scope"), c.get("weight"), c.get("context_id")) for i, c in enumerate(consolidations)]
+        asked = self.spark.createDataFrame(rows, "seq long, parent_ids array<string>, title string, full_content string, owner_id string, scope string, weight int, context_id string")
+        ent, rel, result = consolidation.consolidate(self.table("entities"), self.table("relations"), asked, self.now(), self.rules)
+        result = checkpointed(result)
+        out = {"entities": ent, "relations": rel}
+        if names := [(i, t) for i, c in enumerate(consolidations) for t in as_list(c.get("tags")) or []]:
+            tags = self.spark.createDataFrame(names, "seq long, name string")
+            ok = result.where("result = 'stored'").join(tags, "seq").select(F.col("id").alias("entity_id"), "name")
+            out["tags"], out["entity_tags"] = tagging.link(self.table("tags"), self.table("entity_tags"), ok)
+        self._save(**out)
+        return [r.asDict() for r in result.orderBy("seq").drop("seq").collect()]
 
     # The rest
     def store_ephemeral_memory(self, key, value):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import quality
 from tessera.functions import text as X
+from tessera.functions.lexicon import BIGRAMS
 from tessera.functions.mdformat import format_markdown_udf
 from tessera.functions.redact import redact
 from tessera.operators import dedup, scd
@@ -35,7 +36,7 @@ def _prepared(requests: DataFrame, rules: list[str] | None, lexicon: list[str] |
     return df.withColumn("error", F.coalesce("error", F.when(F.col("quality_status") == "REJECT", F.concat(F.lit("quality: "), F.element_at("quality_flags", -1)))))
 
 
-def store(entities: DataFrame, relations: DataFrame, requests: DataFrame, now: Column, rules: list[str] | None = None, lexicon: list[str] | None = None, warn: float = dedup.NEAR, supersede: float = dedup.SUPERSEDE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def store(entities: DataFrame, relations: DataFrame, requests: DataFrame, now: Column, rules: list[str] | None = None, lexicon: list[str] | None = BIGRAMS, warn: float = dedup.NEAR, supersede: float = dedup.SUPERSEDE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, relations, (seq, result, id)) after a batch.
 
     Of equal texts of one owner, and of requests for one entity, the first in order of seq counts. Results: stored,

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tessera import lens
 from tessera.functions import quality
 from tessera.functions import text as X
+from tessera.functions.lexicon import BIGRAMS
 from tessera.functions.mdformat import format_markdown_udf
 from tessera.functions.redact import redact
 from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd, vector
 from tessera.operators import tags as tagging
-from tessera.plans import librarian
+from tessera.plans import consolidation, librarian
+from tessera.schema import migrate
 from tessera.session import spread
 from tessera.sources import importers
 
@@ -256,7 +258,8 @@ def readability(s, d):
 
 
 FW = "['the','a','an','in','on','at','for','to','of','with','by','and','or','is','are']"
-BIG = f"round(case when len(w) > 1 then len(list_filter(range(1, len(w)), lambda i: length(w[i]) > 2 and length(w[i + 1]) > 2 and (list_contains({FW}, w[i]) or list_contains({FW}, w[i + 1])))) / (len(w) - 1) else 1 end, 3)"
+LEX = "[" + ",".join(f"'{x}'" for x in BIGRAMS) + "]"
+BIG = f"round(case when len(w) > 1 then len(list_filter(range(1, len(w)), lambda i: length(w[i]) > 2 and length(w[i + 1]) > 2 and (list_contains({FW}, w[i]) or list_contains({FW}, w[i + 1])) or list_contains({LEX}, w[i] || ' ' || w[i + 1]))) / (len(w) - 1) else 1 end, 3)"
 
 
 @query(f"select doc_id, {BIG} validity from (select doc_id, regexp_extract_all(lower({PROSE}), '[a-z0-9_-]+') w from documents)")
@@ -677,3 +680,28 @@ def input_errors(s, d):
         F.col("text").alias("full_content"), when(5, F.lit('{"source_path": "/etc/a.conf"}'), F.lit('{"source_path": "etc/a.conf"}')).alias("metadata"),
     )
     return asked.select("doc_id", scd.input_error(asked).alias("error"))
+
+
+@query(f"""with {ENT} select doc_id id, case when doc_id % 7 = 0 then 'title or content is missing' when doc_id % 5 = 0 then 'no parent found' when doc_id % 3 = 0 then 'quality: CONVERSATIONAL_FLUFF' else 'stored' end result,
+ case when doc_id % 7 > 0 and doc_id % 5 > 0 and doc_id % 3 > 0 then 'consolidated' end status, case when doc_id % 7 > 0 and doc_id % 5 > 0 and doc_id % 3 > 0 then (doc_id - 1)::varchar || ',' || (doc_id - 2)::varchar end parents from ent where status = 'consolidated'""")
+def consolidate_checked(s, d):
+    """Requests over every consolidated row's two predecessors, of which some are refused; parents come by id and by title."""
+    ent = lens.entities(s, d)
+    i = F.col("doc_id")
+    text = F.concat(F.lit("Notes on the release of unit "), F.col("id"), F.lit(" and how its results are kept for the next review of all the parts."))
+    parents = F.when(i % 5 == 0, F.array(F.lit("none"))).otherwise(F.array((i - 1).cast("string"), F.concat(F.lit("doc "), (i - 2).cast("string"))))
+    asked = ent.where("status = 'consolidated'").select(
+        i.alias("seq"), parents.alias("parent_ids"), F.when(i % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Joint "), "id")).alias("title"), F.when(i % 3 == 0, F.lit("consolidated these files.")).otherwise(text).alias("full_content"),
+        "owner_id", "scope", "weight", "context_id",
+    )
+    after, _, result = consolidation.consolidate(migrate(ent, "entities"), migrate(lens.relations(s, d), "relations"), asked, _now(), warn=0.9)
+    made = after.select("id", "status", F.array_join(F.reverse(F.array_sort(F.transform("parent_ids", lambda p: p.cast("long")))), ",").alias("parents"))
+    return result.join(made, "id", "left").select(F.col("seq").alias("id"), "result", "status", "parents")
+
+
+@query(f"select e.vec_id id, round(case when e.vec_id % 10 = 0 then 1 else {COS} end, 6) + 0 distance from embeddings e, {Q0} q")
+def cosine_with_zero_vectors(s, d):
+    """Every tenth vector is set to zero."""
+    v = lens.vectors(s, d).withColumn("embedding", F.when(F.col("id") % 10 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")))
+    q = F.array(*[F.lit(float(x)) for x in _query_vector(s, d)])
+    return v.select("id", (F.round(vector.cosine_distance(F.col("embedding"), q), 6) + 0.0).alias("distance"))

@@ -22,11 +22,24 @@ def test_tools(spark, tmp_path):
     assert [r["id"] for r in s.search_memory(tags_filter=["runbook"]).collect()] == [a["id"]]
     assert [r["id"] for r in s.analyze_dependencies("Beta").collect()] == [a["id"]]
     assert s.fetch_memory_chunk("Beta").startswith("Database")
-    c = s.commit_consolidation([a["id"], b["id"]], "Both", "All of it together in one place.")
+    assert [r["id"] for r in s.call("search_memory", tag="runbook").collect()] == [a["id"]] == [r["id"] for r in s.call("search_memory", tags="run-book, ops").collect()]
+    assert s.search_memory("___").count() <= 2
+    hit = s.search_memory("backup", semantic=False, include_related=True).first()
+    assert hit["id"] == b["id"] and [(x["id"], x["predicate"]) for x in hit["related"]] == [(a["id"], "depends_on")]
+    secret = "ghp_" + "b" * 36
+    assert s.commit_consolidation([a["id"]], "None", "ok")["result"] == "quality: SHORT_LENGTH" and s.commit_consolidation(["nope"], "None", NOTE.format("gamma"))["result"] == "no parent found"
+    assert s.commit_consolidation([b["id"]], "Same", NOTE.format("alpha") + " Then tell the owners of the alpha queue about it.", owner_id="o")["result"] == f"exact duplicate of {a['id']}"
+    made = s.commit_consolidation([a["id"], "Beta"], "Both", f"All of the release and backup notes together in one place, with the key {secret} that nobody should read.", tags="joint,#ops", context_id="ctx")
+    c = made["id"]
+    row = s.table("entities").where(f"id = '{c}'").first()
+    assert made["result"] == "stored" and secret not in row["full_content"] and row["context_id"] == "ctx" and row["quality_status"] == "ACCEPT" and row["content_hash"] and sorted(row["parent_ids"]) == sorted([a["id"], b["id"]])
+    assert [r["id"] for r in s.search_memory(tags_filter=["joint", "ops"]).collect()] == [c]
     assert {r["status"] for r in s.table("entities").where(f"id = '{a['id']}'").collect()} == {"archived"} and [r["id"] for r in s.analyze_lineage(c).where("depth = 1").orderBy("id").collect()] == sorted([a["id"], b["id"]])
     s.log_event(message := "seen ghp_" + "a" * 36, agent_id="me")
     assert message not in s.get_recent_events("me").first()["content"]
-    assert s.archive_memory("nope") == "not found" and s.run_librarian() is False
+    s.log_event('{"target": "general", "entity_ids": ["' + c + '"]}', agent_id="lib", type="consolidation_request")
+    assert [(r["type"], r["status"]) for r in s.get_recent_events().collect()] == [("consolidation_request", "resolved"), ("event", None)]
+    assert s.archive_memory("Both") == "archived" and s.archive_memory("nope") == "not found" and s.run_librarian() is False
 
 
 def test_supersession(spark, tmp_path):
