@@ -188,7 +188,8 @@ def resolve_revisits(spark: SparkSession, path: str, out: str, least_bytes: int
     big = F.col("payload_bytes") >= least_bytes
     kept = F.max(F.struct("page_id", "archive", "position", "url")).alias("kept")
     best = heads.where(big).groupBy("payload_digest").agg(kept).select(F.col("payload_digest").alias("digest"), "kept")
-    decided = heads.join(best, big & (F.col("payload_digest") == F.col("digest")), "left")
+    # Merge joins, the same plan at every size: both sides grow with the records.
+    decided = heads.join(best.hint("merge"), big & (F.col("payload_digest") == F.col("digest")), "left")
     own = F.col("kept").isNull() | ((F.col("archive") == F.col("kept.archive")) & (F.col("position") == F.col("kept.position")))
     decided = materialize(decided.select("archive", "position", "page_id", "url", "payload_digest", "payload_bytes", own.alias("own"), "kept"), "warc-decisions")
     place = lambda of="": F.concat_ws(":", f"{of}archive", f"{of}position")
@@ -196,7 +197,7 @@ def resolve_revisits(spark: SparkSession, path: str, out: str, least_bytes: int
     revisit = decided.where(~F.col("own")).select(record_bytes("revisit", F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), None, F.col("kept.page_id"), place(), of, F.col("kept.url")).alias("record"))
     for n, c in enumerate(classes):
         keep = decided.where("own").where(size_classes(F.col("payload_bytes")) == c).select("archive", "position")
-        response = read_archives(spark, f"{path}/class={c}").join(keep, ["archive", "position"], "left_semi").select(
+        response = read_archives(spark, f"{path}/class={c}").join(keep.hint("merge"), ["archive", "position"], "left_semi").select(
             record_bytes("response", F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.col("payload").cast("string"), origin=place()).alias("record"))
         write_archives(response if n else response.unionByName(revisit), out, c)
 
