@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tessera import lens
 from tessera.functions import quality
 from tessera.functions import text as X
+from tessera.functions.embed import backfill
 from tessera.functions.lexicon import BIGRAMS
 from tessera.functions.mdformat import format_markdown_udf
 from tessera.functions.redact import redact
 from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd, vector
 from tessera.operators import tags as tagging
 from tessera.plans import consolidation, librarian
+from tessera.plans import store as storing
 from tessera.schema import migrate
 from tessera.session import spread
 from tessera.sources import importers
@@ -565,10 +567,26 @@ def importer_lines(s, d):
     return _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike("^Licensed "))
 
 
-@query("select doc_id, 0 as pos, 'Part ' || doc_id as title, text as content from (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from documents) where text <> ''".replace("\\\\", "\\"))
+@query(r"""select doc_id, 0 as pos, 'Part ' || doc_id as title, text as content from (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from documents) where text <> ''
+ union all select doc_id, 1, 'Inner ' || source, 'of ' || lang from documents union all select doc_id, 3, 'Last', 'end' from documents""")
 def importer_sections(s, d):
-    files = _docs(s, d).select("doc_id", F.concat(F.lit("intro\n## Part "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("text"))
-    return importers.sections(files, "doc_id")
+    """Sections of both levels, a blank one, a heading of a third level and line ends of both kinds."""
+    parts = [F.lit("intro\n# Top\n## Part "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n### Inner "), F.col("source"), F.lit("\r\nof "), F.col("lang"), F.lit("\n## Blank\n \n## Last\r\n\r\nend\n")]
+    return importers.sections(_docs(s, d).select("doc_id", F.concat(*parts).alias("text")), "doc_id")
+
+
+@query("""select doc_id, unnest([0, 1, 3, 5]) as line, unnest(['decision', 'fix', 'attempt', 'issue']) as type, unnest(['keep ' || source, 'in ' || lang, 'number ' || doc_id, 'none']) as content from documents""")
+def importer_events(s, d):
+    """Labelled lines with and without bullets, colons and capitals; a line of an unknown label, one of a phrase to leave out and a plain one."""
+    i = F.col("doc_id").cast("string")
+    rows = [F.concat(F.lit("- [DECISION] keep "), "source"), F.concat(F.lit("* [Resolution]: in "), "lang", F.lit("  ")), F.lit("[OTHER] no"), F.concat(F.lit("  [fact] number "), i), F.lit("- [IDEA] Not To Be Kept"), F.lit("[ISSUE]none"), F.lit("see [OPEN] x")]
+    return importers.log_events(_docs(s, d).select("doc_id", F.concat_ws("\n", *rows).alias("text")), "doc_id", ["to be kept"])
+
+
+@query("select doc_id, unnest([source || '.md', lang || '.md']) file, unnest(['2024-01-02', '2025-11-30']) as date from documents")
+def importer_catalog(s, d):
+    rows = [F.lit("| File | Date |\n|---|---|"), F.concat(F.lit("| `"), "source", F.lit(".md` | 2024-01-02 | x |")), F.concat(F.lit("|"), "lang", F.lit(".md|2025-11-30|")), F.lit("| a.txt | 2024-01-02 |\n| b.md | soon |")]
+    return importers.catalog_rows(_docs(s, d).select("doc_id", F.concat_ws("\n", *rows).alias("text")), "doc_id")
 
 
 # The same operators at larger volume ----------------------------------------------------------------------------
@@ -625,9 +643,14 @@ def specificity(s, d):
     return _texts(s, d).select("doc_id", F.round(X.specificity(F.col("text")), 6).alias("ratio"))
 
 
-@query()
+STEM = "case " + " ".join(f"when ends_with(x, '{e}') and length(x) > {len(e) + 3} then left(x, length(x) - {len(e)})" for e in X.SUFFIXES) + " else x end"
+STOP = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS) + "]"
+
+
+# Without look-around: words with a letter outside ASCII go first, with a hyphen on either side.
+@query(rf"""select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(w, lambda x: not list_contains({STOP}, x)), lambda x: {STEM}))), ' ') tokens from (select doc_id,
+ regexp_extract_all(regexp_replace(regexp_replace(lower(text), '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), '-?[a-z0-9_]*[^\x00-\x7F](?:[a-z0-9_]|[^\x00-\x7F])*-?', ' ', 'g'), '[a-z0-9_-]{{3,}}') w from documents)""")
 def content_tokens(s, d):
-    """No SQL: DuckDB's patterns have no look-around."""
     return _texts(s, d).select("doc_id", F.array_join(X.content_tokens(F.col("text")), " ").alias("tokens"))
 
 
@@ -705,3 +728,129 @@ def cosine_with_zero_vectors(s, d):
     v = lens.vectors(s, d).withColumn("embedding", F.when(F.col("id") % 10 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")))
     q = F.array(*[F.lit(float(x)) for x in _query_vector(s, d)])
     return v.select("id", (F.round(vector.cosine_distance(F.col("embedding"), q), 6) + 0.0).alias("distance"))
+
+
+# The write path --------------------------------------------------------------------------------------------------
+
+
+def _state(s, d):
+    return migrate(lens.entities(s, d), "entities")
+
+
+@query(f"""with {ENT}, asked as (select * from ent where doc_id % 3 = 0)
+ select id, title, owner_id, context_id, status, weight, embedding_status, strftime(created_at, '%Y-%m-%d %H:%M:%S') created_at, null valid_from, null valid_to from ent where doc_id % 3 <> 0
+ union all select id, 'new ' || id, case when doc_id % 2 = 0 then 'me' else owner_id end, context_id, 'raw', 5, embedding_status, strftime(created_at, '%Y-%m-%d %H:%M:%S'), '{AS_OF}', null from asked
+ union all select id || '_h_' || left(sha256(id || '|' || strftime(updated_at, '%Y-%m-%d %H:%M:%S')), 8), title, owner_id, context_id, 'archived', weight, 'archived', strftime(created_at, '%Y-%m-%d %H:%M:%S'), strftime(created_at, '%Y-%m-%d %H:%M:%S'), '{AS_OF}' from asked
+ union all select 'n' || id, 'made', 'me', null, 'raw', 5, 'pending', '{AS_OF}', '{AS_OF}', null from asked""")
+def scd2_upsert(s, d):
+    """Every third entity is stored again, and a new one beside each: current rows, closed versions and untouched rows."""
+    state, even = _state(s, d), F.col("id").cast("long") % 2 == 0
+    again = lens.entities(s, d).where("doc_id % 3 = 0").select("id", F.concat(F.lit("new "), "id").alias("title"), F.when(even, "me").alias("owner_id"), F.lit(5).alias("weight"), F.lit("x").alias("full_content"))
+    fresh = again.select(F.concat(F.lit("n"), "id").alias("id"), F.lit("made").alias("title"), F.lit("me").alias("owner_id"), "weight", "full_content")
+    out = scd.upsert(state, migrate(again.unionByName(fresh), "entities"), _now())
+    return out.select("id", "title", "owner_id", "context_id", "status", "weight", "embedding_status", _stamp("created_at"), _stamp("valid_from"), _stamp("valid_to"))
+
+
+@query(f"""with {ENT}, gone as (select *, doc_id % 4 <> 3 and status <> 'archived' and (doc_id % 4 <> 1 or owner_id = 'src1') hit from ent)
+ select id, case when hit then 'archived' else status end status, case when hit then 'archived' else embedding_status end embedding_status, case when hit then '{AS_OF}' end valid_to, case when hit then '{AS_OF}' else strftime(updated_at, '%Y-%m-%d %H:%M:%S') end updated_at from gone""")
+def archive_table(s, d):
+    """The table after archive_results' requests, each made twice."""
+    asked = lens.entities(s, d).select(F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("id"), F.when(F.col("doc_id") % 4 == 1, "src1").alias("owner_id"))
+    after, _ = scd.archive(_state(s, d), asked.unionByName(asked), _now())
+    return after.select("id", "status", "embedding_status", _stamp("valid_to"), _stamp("updated_at"))
+
+
+@query(f"""with {REL}, n as (select count(*) n from documents), asked as (select doc_id seq, case when doc_id % 7 = 0 then 'x' || doc_id else doc_id::varchar end source_id, case when doc_id % 5 = 0 then 'y' || doc_id else (doc_id * 3 % n)::varchar end target_id, case when doc_id % 11 = 0 then '' else 'cites' end predicate from documents, n),
+ done as (select *, case when source_id = target_id then 'self-loop' when seq % 7 = 0 then 'no source' when seq % 5 = 0 then 'no target' when predicate = '' then 'no predicate' else 'stored' end result from asked)
+ select seq, result, case when result = 'stored' then source_id || '>' || target_id end edge, (select count(*) from rel) + (select count(*) from done where result = 'stored') total from done""")
+def add_relations(s, d):
+    n = _docs(s, d).count()
+    i = F.col("doc_id")
+    asked = _docs(s, d).select(
+        i.alias("seq"), F.when(i % 7 == 0, F.concat(F.lit("x"), i)).otherwise(i.cast("string")).alias("source_id"), F.when(i % 5 == 0, F.concat(F.lit("y"), i)).otherwise((i * 3 % n).cast("string")).alias("target_id"),
+        F.when(i % 11 == 0, "").otherwise("cites").alias("predicate"),
+    )
+    after, result = scd.add_relations(lens.relations(s, d), lens.entities(s, d), asked, _now())
+    edges = after.where("predicate = 'cites'").select(F.col("source_id").try_cast("long").alias("seq"), F.concat_ws(">", "source_id", "target_id").alias("edge"))
+    return result.join(edges, "seq", "left").join(F.broadcast(after.agg(F.count(F.lit(1)).alias("total"))))  # a single row
+
+
+@query(f"""with {TAG}, loose as (select lower(replace(replace(replace(name, '-', ''), '_', ''), '#', '')) k, arg_min(id, made::varchar || id) id from tag group by 1),
+ asked as (select doc_id::varchar entity_id, case doc_id % 4 when 0 then '#toxic' when 1 then 'SRC ' || doc_id % 3 when 2 then 'New Topic ' || doc_id % 7 else '#new_topic-' || doc_id % 7 end as name from documents),
+ made as (select entity_id, case when name = '#toxic' then name when starts_with(name, 'SRC') then coalesce((select id from loose where k = 'src' || right(name, 1)), '?') else sha256('tag|newtopic' || right(name, 1)) end tag_id from asked)
+ select entity_id, tag_id from et union select entity_id, tag_id from made""")
+def tag_link(s, d):
+    """Tags by their exact name, by another spelling, and new ones in two spellings."""
+    i = F.col("doc_id")
+    seven = (i % 7).cast("string")
+    name = F.when(i % 4 == 0, F.lit("#toxic")).when(i % 4 == 1, F.concat(F.lit("SRC "), (i % 3).cast("string"))).when(i % 4 == 2, F.concat(F.lit("New Topic "), seven)).otherwise(F.concat(F.lit("#new_topic-"), seven))
+    _, links = tagging.link(lens.tags(s, d), lens.entity_tags(s, d), _docs(s, d).select(i.cast("string").alias("entity_id"), name.alias("name")))
+    return links
+
+
+@query("""with e as (select *, user_id || '-' || strftime(ts, '%Y-%m-%d') session_id from events) select event_id id, event_type as type, props as content, strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp
+ from e where session_id = (select min(session_id) from e) order by ts, event_id""")
+def session_events(s, d):
+    e = lens.ledger(s, d)
+    return events.session(e, e.agg(F.min("session_id")).first()[0]).select("id", "type", "content", _stamp("timestamp"))
+
+
+SECRET = "AKIA" + "Q7" * 8
+
+
+@query(f"""select sha256(doc_id || '|{AS_OF}|' || source || '|event|' || lang || ' {SECRET} end|||') id, '{AS_OF}' as timestamp, source agent_id, 'event' as type, lang || ' [REDACTED_SECRET] end' as content, null::varchar session_id from documents""")
+def log_events(s, d):
+    """Rows to append for a batch that gives neither types nor sessions; secrets go."""
+    asked = _docs(s, d).select(F.col("doc_id").alias("seq"), F.col("source").alias("agent_id"), F.concat("lang", F.lit(f" {SECRET} end")).alias("content"))
+    return events.event(asked, _now()).select("id", _stamp("timestamp"), "agent_id", "type", "content", "session_id")
+
+
+@query(f"""with {ENT}, r as (select *, status <> 'archived' live, case doc_id % 6 when 0 then 'exact duplicate' when 1 then 'updated' when 2 then 'content is blank' when 3 then 'stored' when 4 then 'supersedes' else 'quality: CONVERSATIONAL_FLUFF' end want from ent),
+ q as (select *, case when not live and doc_id % 6 in (0, 1, 4) then 'stored' else want end result from r)
+ select doc_id seq, result, case when result = 'updated' then 'doc ' || id when result in ('stored', 'supersedes') then case when doc_id % 6 in (1, 4) then 'doc ' || id else 'Fresh ' || id end end title, case when result in ('stored', 'supersedes', 'updated') then 4 end weight,
+ case when result = 'supersedes' then 1 when result = 'updated' then 4 else weight end old_weight, case when result = 'supersedes' then 1 else 0 end::bigint edges, case when result = 'updated' then 1 else 0 end::bigint versions from q""")
+def store_batch(s, d):
+    """A request about every entity: its own text, its title with a new text, a blank text, a new one, a text little changed, an acknowledgement."""
+    i = F.col("doc_id")
+    six, h = i % 6, F.sha2(F.col("id"), 512)
+
+    def text(at: int):
+        part = [F.substring(h, at + 8 * k, 8) for k in range(6)]
+        return F.concat_ws(" ", F.lit("Report of the unit"), part[0], F.lit("and the plan for"), part[1], F.lit("with the list of"), part[2], F.lit("in the area of"), part[3], F.lit("to the end by"), part[4], F.lit("or"), part[5])
+
+    ent = lens.entities(s, d).withColumn("full_content", text(1))
+    known = ent.withColumn("content_hash", X.content_hash(F.col("full_content")))
+    asked = ent.select(
+        i.alias("seq"), "owner_id", F.when(six == 4, F.when(F.col("scope") == "shared", "private").otherwise("shared")).otherwise(F.col("scope")).alias("scope"), F.when(six.isin(1, 4), F.col("title")).otherwise(F.concat(F.lit("Fresh "), "id")).alias("title"),
+        F.when(six == 0, F.col("full_content")).when(six.isin(1, 3), text(65)).when(six == 2, " ").when(six == 4, F.concat("full_content", F.lit(" again amended"))).otherwise("Consolidated these files.").alias("full_content"), F.lit(4).alias("weight"),
+    )
+    after, rel, result = storing.store(migrate(known, "entities"), migrate(lens.relations(s, d), "relations"), asked, _now(), warn=0.8, supersede=0.85)
+    made = after.where("status <> 'archived'").select(F.col("id").alias("m"), "title", "weight")
+    old = after.select(F.col("id").alias("o"), F.col("weight").alias("old_weight"))
+    edges = rel.where("predicate = 'supersedes'").groupBy(F.col("target_id").alias("o")).agg(F.count(F.lit(1)).alias("edges"))
+    past = after.where(F.col("id").contains("_h_")).groupBy(F.regexp_extract("id", "^(.*)_h_", 1).alias("o")).agg(F.count(F.lit(1)).alias("versions"))
+    out = result.withColumn("o", F.col("seq").cast("string")).withColumn("m", F.when(F.col("result").isin("stored", "updated", "supersedes"), F.col("id"))).drop("id")
+    out = out.join(made, "m", "left").join(old, "o").join(edges, "o", "left").join(past, "o", "left")
+    return out.select("seq", "result", "title", "weight", "old_weight", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("versions", F.lit(0)).alias("versions"))
+
+
+@query(f"""with recursive {ENT}, {REL}, edge as (select source_id, target_id from rel where {VALID}), walk as (select target_id id, 1 depth, [source_id, target_id] path from edge where source_id = '60' and target_id <> '60'
+ union all select e.target_id, depth + 1, list_append(path, e.target_id) from walk w join edge e on e.source_id = w.id where depth < 5 and not list_contains(path, e.target_id))
+ select id, title, min(depth) depth from walk join ent using (id) group by 1, 2""")
+def dependency_depths(s, d):
+    return graph.first_depths(graph.closure(lens.relations(s, d), "60", _now()), lens.entities(s, d))
+
+
+@query(f"""with recursive {REL}, walk as (select '150' id, 0 depth union select target_id, depth + 1 from walk join rel on source_id = walk.id and predicate = 'derived_from' where depth < 10) select id, depth from walk""")
+def lineage_edges(s, d):
+    return graph.lineage_by_edges(lens.relations(s, d), "150", "derived_from")
+
+
+@query(f"with {ENT} select id, case when status = 'archived' then embedding_status else 'ready' end embedding_status, status <> 'archived' and embedding_status = 'pending' or doc_id in (select vec_id from embeddings) has_vector from ent")
+def embedding_backfill(s, d):
+    """Pending rows get vectors and become ready; those of others stay."""
+    ent = lens.entities(s, d)
+    emb = lens.vectors(s, d).select(F.col("id").cast("string").alias("entity_id"), "embedding")
+    after, vectors = backfill(ent, emb)
+    have = vectors.select(F.col("entity_id").alias("v")).distinct()
+    return after.join(have, F.col("id") == F.col("v"), "left").select("id", "embedding_status", F.col("v").isNotNull().alias("has_vector"))
