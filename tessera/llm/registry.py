@@ -77,4 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_components, op2_kneser_ney_quality, op3_line_crf_rules, op4_wrapper_text, op5_pii_surrogates, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need XXH64, trained models, tokenizers, audio, wrappers, surrogates or a search for the least capacity; tests
+#: hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_revisits": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) h, max(page_id) over (partition by coalesce(html, '')) kept from pages)
+ select page_id, n::bigint payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i // 4 * 5 + 1, 5))::bigint >> (15 - i % 4 * 5)) & 31) + 1, 1)), '') payload_digest,
+ case when page_id = kept then 'response' else 'revisit' end record_type, case when page_id <> kept then kept end refers_to from p"""
+}

@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -754,3 +755,13 @@ def test_pipeline(spark):
     rules = {i: brute_rules(t) for i, t in texts.items()}
     clean = {i for i in labels[(labels.quality == 1) & (labels.toxic == 0)].doc_id if rules[i][0] >= 10 and 100 * rules[i][4] <= 20 * rules[i][0]}
     assert len(clean & left[1]) >= 0.97 * len(clean) and left[2] < left[1] and left[2] == left[3] == left[4]
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    oracle = db.sql(registry.ORACLE_SQL[name])
+    mine = registry.QUERIES[name](spark, SF).select(*oracle.columns)
+    assert sorted(map(repr, map(tuple, mine.collect()))) == sorted(map(repr, oracle.fetchall()))
