@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.session import checkpointed
 
-#: Vectors of a block, whose products with another block are one matrix product.
-BLOCK = 2048
+#: Vectors of a block at most, on average: a task holds two blocks, and each vector is sent once for every block.
+BLOCK = 16384
+#: Rows of a block whose products with another block are taken at a time.
+STRIP = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,26 +39,54 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vect
     return vectors.select(F.col(id_col).alias("id"), cosine_distance(F.col(vector_col), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def _blocks(df: DataFrame) -> int:
+    """Blocks that df is dealt into: of BLOCK rows, or smaller ones while there are fewer pairs of blocks than cores."""
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-rows // BLOCK), min(-(-rows // STRIP), math.isqrt(2 * cores) + 1))
+
+
+def _near(p: pd.DataFrame, q: pd.DataFrame, distance: float) -> pd.DataFrame:
+    """(a, b, distance) of the rows of p and q within the distance, a strip of p at a time."""
+    out = [pd.DataFrame({"a": p["id"].iloc[:0], "b": q["id"].iloc[:0], "distance": np.zeros(0)})]
+    if len(p) and len(q):
+        x, y = _unit(p["v"]), _unit(q["v"]).T
+        for at in range(0, len(p), STRIP):
+            d = 1 - x[at : at + STRIP] @ y
+            i, j = np.nonzero(d <= distance)
+            out.append(pd.DataFrame({"a": p["id"].to_numpy()[at + i], "b": q["id"].to_numpy()[j], "distance": d[i, j]}))
+    return pd.concat(out, ignore_index=True)
+
+
 def pairs_within(left: DataFrame, right: DataFrame, distance: float, left_id: str = "id", right_id: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(a, b, distance) of all pairs within the distance.
 
-    A block join: each side is dealt into blocks of about BLOCK rows, each pair of blocks is one task's matrix
-    product in numpy. Nothing is broadcast and no task holds more than two blocks.
+    A block join: each side is dealt into blocks, each pair of blocks is one task's matrix products in numpy. Nothing
+    is broadcast and no task holds more than two blocks and a strip of their products.
     """
-    size = lambda df: max(1, -(-df.count() // BLOCK))
-    n, m = size(left), size(right)
+    n, m = _blocks(left), _blocks(right)
     a = left.select(F.col(left_id).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(left_id), F.lit(n)).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     b = right.select(F.col(right_id).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(right_id), F.lit(m)).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     kind = left.schema[left_id].dataType.simpleString(), right.schema[right_id].dataType.simpleString()
+    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(lambda p, q: _near(p, q, distance), f"a {kind[0]}, b {kind[1]}, distance double")
+
+
+def pairs_among(rows: DataFrame, distance: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, distance) of the pairs of rows within the distance, each once, a < b. Half the copies and products of pairs_within."""
+    n = _blocks(rows)
+    own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("own"))
+    met = own.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    kind = rows.schema[id_col].dataType.simpleString()
 
-    def near(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        d = 1 - _unit(p["v"]) @ _unit(q["v"]).T
-        i, j = np.nonzero(d <= distance)
-        return pd.DataFrame({"a": p["id"].to_numpy()[i], "b": q["id"].to_numpy()[j], "distance": d[i, j]})
+    def near(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        x, y = key
+        out = _near(both[both["own"] == x], both[both["own"] == y], distance)
+        if x == y:
+            return out[out["a"] < out["b"]]
+        turn = out["a"] > out["b"]
+        return pd.DataFrame({"a": out["a"].where(~turn, out["b"]), "b": out["b"].where(~turn, out["a"]), "distance": out["distance"]})
 
-    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(near, f"a {kind[0]}, b {kind[1]}, distance double")
+    cells = met.select("id", "v", "own", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"))
+    return cells.groupBy("x", "y").applyInPandas(near, f"a {kind}, b {kind}, distance double").where("a < b")
 
 
 def greedy_clusters(pairs: DataFrame, least: int = 3) -> DataFrame:
@@ -68,8 +98,10 @@ def greedy_clusters(pairs: DataFrame, least: int = 3) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
     near = pairs.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("near"))
     root = near.select("a", F.array_min("near").alias("root"))
-    while True:  # the least id within reach, until it settles
-        step = checkpointed(pairs.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("root")))
+    while True:  # the least id within reach, and that one's own, until it settles
+        step = pairs.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("root"))
+        ahead = root.select(F.col("a").alias("of"), F.col("root").alias("further"))
+        step = checkpointed(step.join(ahead, F.col("root") == F.col("of")).select("a", F.least("root", "further").alias("root")))
         if not step.join(root.withColumnRenamed("root", "old"), "a").where("root <> old").limit(1).count():
             break
         root = step

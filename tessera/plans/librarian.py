@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import tags as T
 from tessera.operators.events import REQUEST
-from tessera.operators.vector import greedy_clusters, newer_neighbours, pairs_within
+from tessera.operators.vector import greedy_clusters, newer_neighbours, pairs_among
+from tessera.session import checkpointed
 
 DENSE, DENSE_SOONER, NEAR = 5, 3, 0.25
 COOLDOWN_S, STALE_LOCK_S = 300, 600
@@ -38,7 +39,9 @@ def ready_vectors(entities: DataFrame, embeddings: DataFrame, status: str) -> Da
 
 def vector_clusters(entities: DataFrame, embeddings: DataFrame, distance: float = NEAR) -> DataFrame:
     v = ready_vectors(entities, embeddings, "raw").select("id", "embedding")
-    return greedy_clusters(pairs_within(v, v, distance).select("a", "b").unionByName(v.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct())
+    pairs = checkpointed(pairs_among(v, distance).select("a", "b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return greedy_clusters(both.unionByName(v.select(F.col("id").alias("a"), F.col("id").alias("b"))))
 
 
 def superseding(entities: DataFrame, embeddings: DataFrame, distance: float = NEAR) -> DataFrame:

@@ -158,7 +158,7 @@ def knn_filtered(s, d):
 @query(f"select e.vec_id a, q.vec_id b, round({COS}, 6) + 0 distance from embeddings e join embeddings q on e.vec_id < q.vec_id where {COS} <= 0.6")
 def knn_pairs(s, d):
     v = lens.vectors(s, d)
-    return vector.pairs_within(v, v, 0.6).where("a < b").select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
+    return vector.pairs_among(v, 0.6).select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query()

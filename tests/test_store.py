@@ -148,3 +148,30 @@ def test_input_errors(spark):
     rows = [("o", "shared", "t", "c", None), (None, "shared", "t", "c", None), ("o", "shared", "a.md - t", "c", None), ("o", "shared", "t", "c", '{"source_path": "/home/x"}'), ("o", "x", "t", "c", None), ("o", "shared", " ", "c", None)]
     df = spark.createDataFrame(rows, "owner_id string, scope string, title string, full_content string, metadata string")
     assert [r[0] for r in df.select(scd.input_error(df)).collect()] == [None, "owner_id is missing", "title begins with a file name", "source_path is absolute", "scope is unknown", "title is blank"]
+
+
+def test_pairs_over_blocks_and_strips(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector, "STRIP", 7)
+    v = np.random.default_rng(1).normal(size=(60, 3))
+    v[5] = 0
+    rows = spark.createDataFrame([(f"k{i}", [float(x) for x in r]) for i, r in enumerate(v)], "id string, embedding array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    want = {(f"k{i}", f"k{j}") for i in range(60) for j in range(60) if 1 - unit[i] @ unit[j] <= 0.1}
+    assert vector._blocks(rows) > 1
+    assert {(r["a"], r["b"]) for r in vector.pairs_within(rows, rows, 0.1).collect()} == want
+    once = [(r["a"], r["b"]) for r in vector.pairs_among(rows, 0.1).collect()]
+    assert len(once) == len(set(once)) and set(once) == {(a, b) for a, b in want if a < b}
+
+
+def test_greedy_clusters_along_a_chain(spark):
+    n = 40
+    near = {i: [j for j in range(n) if abs(i - j) <= 1] for i in range(n)}
+    pairs = spark.createDataFrame([(f"{i:02}", f"{j:02}") for i in near for j in near[i]], "a string, b string")
+    taken, want = set(), {}
+    for i in range(n):
+        if i not in taken and len(near[i]) >= 3:
+            taken.update(near[i])
+            want[f"{i:02}"] = [f"{j:02}" for j in near[i]]
+    assert {r["seed"]: r["members"] for r in vector.greedy_clusters(pairs).collect()} == want
