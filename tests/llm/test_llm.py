@@ -19,7 +19,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, common, line_crf, ngram_lm, packing, pii, registry, sharding, simhash, warc, wrapper
+from tessera.llm import audio, bpe, common, line_crf, minhash, ngram_lm, packing, pii, registry, sharding, simhash, warc, wrapper
 from tessera.llm.components import components
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -122,6 +122,32 @@ def test_near_duplicates(docs, none):
     assert Counter(kept)[14] == 1 and 7 not in kept and simhash.keep_first(none).columns == docs.columns
 
 
+def test_texts_of_one_original_edited_apart(spark):
+    """Copies of one text with a few edits each, at places of their own: many are near the limit, with the original or not, with each other or not."""
+    rng = random.Random(29)
+    plain = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(70):
+        words = list(plain) if i else plain + ["end"]
+        for at in rng.sample(range(0, 200, 9), rng.choice([1, 2, 3, 4]) if i else 0):
+            words[at] = f"x{i}_{at}"
+        texts[i] = " ".join(words)
+    sets = {i: set(minhash.shingles(t).tolist()) for i, t in texts.items()}
+    near = [(a, b) for a, b in itertools.combinations(texts, 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]  # Jaccard >= 4/5
+    assert 0 < len(near) < 70 * 69 // 2
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["first"]: r["component_id"] for r in minhash.component_ids(df).collect()}
+    assert got == brute_components(near, texts)
+    # The bound by cells is never below what two of the texts share.
+    rows = df.select(F.xxhash64("text").alias("t"), "text")
+    cells = {r["of"]: (r["can"], r["cells"]) for r in minhash.shareable(rows.select("t"), rows, minhash.WORDS).collect()}
+    by_text = {r["text"]: cells[r["t"]] for r in rows.collect()}
+    for a, b in itertools.combinations(texts, 2):
+        (_, x), (_, y) = by_text[texts[a]], by_text[texts[b]]
+        assert sum(map(min, x, y)) >= len(sets[a] & sets[b])
+    assert all(can == sum(c) for can, c in cells.values())
+
+
 def test_pipeline_stage_equals_brute_force_jaccard(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng, texts = random.Random(5), [None, "", " ", "one", "One", "one two"]
