@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-All state is a distributed edge table, written to the shared folder each round; the driver sees a count and a
-checksum. After about log(n) rounds every node points at the least node of its component.
+All state is a distributed edge table, written to the shared folder each round; the driver only learns whether
+some edge doesn't lead to a root yet. After about log(n) rounds every node points at the least node of its component.
 """
 
 from __future__ import annotations
@@ -28,20 +28,16 @@ def _round(edges: DataFrame) -> DataFrame:
     return moved.where("u > v").distinct()
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has more than one smaller partner, or both a smaller and a larger one: else all edges lead to roots."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("at"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("at"), F.lit(0).alias("down"), F.lit(1).alias("up")))))
+    each = ends.groupBy("at").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not each.where("down > 1 or down > 0 and up > 0").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node and root (the least node of its component) of every node that has a link to another; null ends are no nodes."""
     edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b))).distinct(), "edges")
-
-    def state(df: DataFrame) -> tuple:
-        # The sum of 32-bit parts of hashes can't overflow.
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
-        return r[0], r[1]
-
-    before = state(edges)
-    while before[0]:
+    while _unsettled(edges):
         edges = materialize(_round(edges), "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
