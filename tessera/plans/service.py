@@ -67,7 +67,7 @@ class Store:
     # Events
     def log_event(self, content="", agent_id="system", type="event", error_code=None, session_id=None, context_id=None):
         row = self._one({"a": agent_id, "t": type, "c": content, "e": error_code, "s": session_id, "x": context_id}, "agent_id string, type string, content string, error_code string, session_id string, context_id string")
-        self._save(events=self.table("events").unionByName(events.event(row, self.now(), self.rules)))
+        self._save(events=events.event(row, self.now(), self.rules))
 
     def get_recent_events(self, agent_id=None, type=None, limit=20, context_id=None) -> DataFrame:
         """The latest events, requests with their status."""
@@ -251,7 +251,7 @@ class Store:
             return False
         try:
             tags, links, requests = librarian.run(ent, self.table("tags"), self.table("entity_tags"), self.table("embeddings"), self.now(), distance)
-            self._save(tags=tags, entity_tags=links, events=self.table("events").unionByName(requests))
+            self._save(tags=tags, entity_tags=links, events=requests)
         finally:
             self.lock.release()
         return True

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.schema import TABLES, empty, migrate
 
+#: Tables that only grow: a version holds the rows added with it, and the table is all versions up to one.
+APPENDED = {"events"}
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -26,12 +29,14 @@ def read(spark: SparkSession, root: str, name: str, version: int | None = None)
     found = versions(spark, f"{root}/{name}")
     if not found:
         return empty(spark, name)
+    at = found[-1] if version is None else version
+    parts = [v for v in found if v <= at] if name in APPENDED else [at]
     # With the schema given, columns that an older version lacks are null, and a version without rows can be read.
-    return migrate(spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/v={found[-1] if version is None else version}"), name)
+    return migrate(spark.read.schema(TABLES[name]).parquet(*[f"{root}/{name}/v={v}" for v in parts]), name)
 
 
 def write(df: DataFrame, root: str, name: str) -> int:
-    """Writes the next version; entities are partitioned by status, so active rows are read alone."""
+    """Writes the next version, of APPENDED tables the new rows alone; entities are partitioned by status, so active rows are read alone."""
     found = versions(df.sparkSession, f"{root}/{name}")
     at = found[-1] + 1 if found else 1
     w = migrate(df, name).write.mode("errorifexists")

@@ -139,6 +139,11 @@ def test_snapshots_and_stream(spark, tmp_path):
     assert snapshot.read(spark, root, "entities").count() == 2 and snapshot.read(spark, root, "entities", 1).count() == 1
     assert snapshot.read(spark, snapshot.backup(spark, root, f"{root}/backup"), "entities").count() == 2
     rows = [(str(i % 3), T0 + dt.timedelta(hours=i), "a", "note", "", None, None, None) for i in range(6)]
+    for at in (rows[:1], rows, []):
+        snapshot.write(spark.createDataFrame(at, schema.TABLES["events"]), root, "events")
+    assert [snapshot.read(spark, root, "events", v).count() for v in (1, 2, 3)] == [1, 1 + len(rows), 1 + len(rows)]
+    again = snapshot.backup(spark, root, f"{root}/backup-2")
+    assert snapshot.versions(spark, f"{again}/events") == [1] and snapshot.read(spark, again, "events").count() == 1 + len(rows)
     snapshot.append_events(spark.createDataFrame(rows, schema.TABLES["events"]), root)
     ledger.write(ledger.read_ledger(spark, f"{root}/ledger"), f"{root}/out", f"{root}/ckpt").awaitTermination()
     assert spark.read.parquet(f"{root}/out").count() == 3
