@@ -92,3 +92,9 @@ def gapless_index(df: DataFrame, groups: Sequence[str], salt: Column, order: Seq
     for x in same[1:]:
         cond = cond & x
     return placed.join(right, cond).withColumn(out, F.col(place) + F.col(before)).drop(s, before, place, *[f"{c}__r" for c in cell])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table whose successor is written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

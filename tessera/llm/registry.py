@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, line_crf, ngram_lm, packing, pii, sharding, simhash, warc, wrapper
+from tessera.llm import audio, bpe, fill_middle, hamerly, line_crf, ngram_lm, packing, pii, scaled_sketch, sharding, simhash, warc, wrapper
 from tessera.llm.common import table
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: A caller with real data passes a secret of its own.
 PII_KEY = "public example key"
+CLUSTERS, ROUNDS = 8, 10
 
 
 def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +74,60 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hamerly.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), clusters=CLUSTERS, rounds=ROUNDS)
+    return out.drop("embedding")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scaled_sketch.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return out.select(
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), scaled_sketch.hex_digits(own).alias("fingerprint"), scaled_sketch.hex_digits(edited).alias("edited_fingerprint"),
+        scaled_sketch.likeness(own, edited).alias("near_edited"), scaled_sketch.likeness(own, following).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op2_kneser_ney_quality, op3_line_crf_rules, op4_wrapper_text, op5_pii_surrogates, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip)
+    f.__name__: f for f in (op1_simhash_components, op2_kneser_ney_quality, op3_line_crf_rules, op4_wrapper_text, op5_pii_surrogates, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip, op11_hamerly_clusters, op12_fill_middle, op13_scaled_sketches)
 }
 
+
+def _cluster_sql() -> str:
+    """Plain rounds, each a table: every vector against every centroid."""
+    near = "select v.vec_id, v.x, arg_min(struct_pack(k := c.k, d := list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), (list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.k)) s from v, c{i} c group by v.vec_id, v.x"
+    steps = [
+        "v as materialized (select vec_id, list_transform(embedding, lambda e: floor(1024 * e::double)::hugeint) x from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0)",
+        f"c0 as materialized (select row_number() over (order by sha256('3:' || vec_id)) - 1 k, x from (select * from v order by sha256('3:' || vec_id) limit {CLUSTERS}))",
+    ]
+    for i in range(ROUNDS):
+        steps.append(f"a{i} as materialized ({near.format(i=i)})")
+        mean = f"select k, list(floor_div order by i) x from (select s.k k, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*))::hugeint floor_div from a{i}, range(1, 65) r(i) group by all) group by k"
+        steps.append(f"c{i + 1} as materialized (select c.k, coalesce(m.x, c.x) x from c{i} c left join ({mean}) m on m.k = c.k)")
+    steps.append(f"a as materialized ({near.format(i=ROUNDS)})")
+    return "with " + ",\n ".join(steps) + f"""
+ select vec_id, s.k::int as "cluster", s.d::bigint as distance, (sum(s.d) over (partition by s.k))::bigint cluster_inertia, (sum(s.d) over ())::bigint inertia, sha256(array_to_string(list_transform(c.x, lambda e: e::varchar), ',')) centroid_sha256
+ from a join c{ROUNDS} c on c.k = a.s.k"""
+
+
 #: The others need XXH64, trained models, tokenizers, audio, wrappers, surrogates or a search for the least capacity; tests
 #: hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_revisits": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) h, max(page_id) over (partition by coalesce(html, '')) kept from pages)
  select page_id, n::bigint payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i // 4 * 5 + 1, 5))::bigint >> (15 - i % 4 * 5)) & 31) + 1, 1)), '') payload_digest,
- case when page_id = kept then 'response' else 'revisit' end record_type, case when page_id <> kept then kept end refers_to from p"""
+ case when page_id = kept then 'response' else 'revisit' end record_type, case when page_id <> kept then kept end refers_to from p""",
+    "op11_hamerly_clusters": _cluster_sql(),
+    "op12_fill_middle": """with t as (select doc_id, coalesce(text, '') t, string_split(coalesce(text, ''), chr(10)) l, sha256('7:' || doc_id) h from documents),
+ u as (select *, len(l) - case when t = '' or t like '%' || chr(10) then 1 else 0 end n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 1 + 8 * i, 8))::bigint) r from t),
+ w as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) i, greatest(r[1] % (n + 1), r[2] % (n + 1)) j, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end form from u),
+ c as (select *, case when i = 0 then 0 else least(length(t), list_sum(list_transform(l[1:i], lambda x: length(x) + 1))) end::bigint a, case when j = 0 then 0 else least(length(t), list_sum(list_transform(l[1:j], lambda x: length(x) + 1))) end::bigint b from w),
+ p as (select *, substr(t, 1, a) p, substr(t, a + 1, b - a) m, substr(t, b + 1) s from c)
+ select doc_id, n::bigint n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from p""",
 }
