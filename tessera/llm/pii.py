@@ -76,8 +76,8 @@ COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{
 #: Entities that a task draws.
 TASK_ENTITIES = 1000
 MOST_TASKS = 4096
-#: Only a form with fewer members than entities, such as nine digits, comes to this many draws.
-MOST_ROUNDS = 64
+#: Surrogates that are drawn again are of their entity's length this often before they grow.
+SAME_LENGTH = 3
 
 
 def may_have(text: Column) -> Column:
@@ -169,7 +169,8 @@ def in_form(surrogate_: Column, core: Column, kind: Column) -> Column:
 
     local = F.split_part(surrogate_, F.lit("@"), F.lit(1))
     mail = F.concat(F.array_join(F.transform(F.split(local, ""), cased), ""), F.lit("@"), F.split_part(surrogate_, F.lit("@"), F.lit(2)))
-    number = F.array_join(F.transform(F.split(core, ""), nth), "")
+    # A surrogate that has grown ends in what is beyond the mention's own places.
+    number = F.concat(F.array_join(F.transform(F.split(core, ""), nth), ""), letters.substr(F.length(F.regexp_replace(core, "[^0-9A-Za-z]", "")) + 1, F.length(letters)))
     return F.when(kind == "email", mail).when(kind.isin("phone", "ssn", "iban", "card"), number).otherwise(surrogate_)
 
 
@@ -184,21 +185,27 @@ def shape(entity: Column, kind: Column, h: Column) -> Column:
 
 
 def surrogate(entity: Column, kind: Column, sex: Column, attempt: Column, h: Column, shaped: Column) -> Column:
-    """The attempt-th surrogate of an entity. Names drawn again grow by two syllables an attempt, other short ones by digits at their ends.
+    """The attempt-th surrogate of an entity. Names drawn again grow by two syllables an attempt, others by four digits once SAME_LENGTH draws have failed.
 
     h, shaped: columns that hold draw() and shape(); they are read for every character.
     """
     n = lambda i: _byte(h, F.lit(i))
+    # Four digits more for each draw beyond SAME_LENGTH, as text; none before.
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - SAME_LENGTH, F.lit(1))), lambda i: F.lpad((_byte(h, i + 40) % 10000).cast("string"), 4, "0")), "")
+    more = F.when(attempt > SAME_LENGTH, more).otherwise(F.lit(""))
     local = F.split_part(shaped, F.lit("@"), F.lit(1))
-    email = F.concat(local, F.lit("@mail"), (n(17) % 1000).cast("string"), F.when(attempt > 3, n(21).cast("string")).otherwise(F.lit("")), F.lit(".example."), _pick(["com", "net", "org"], n(18)))
+    email = F.concat(local, F.lit("@mail"), (n(17) % 1000).cast("string"), more, F.lit(".example."), _pick(["com", "net", "org"], n(18)))
     ip = F.concat_ws(".", *[(n(i) % 254 + 1).cast("string") for i in (3, 5, 7, 9)])
-    body = shaped.substr(F.lit(1), F.length(shaped) - 1)
+    # The addresses that are set apart for documentation, once those of four numbers are crowded.
+    ip = F.when(attempt > SAME_LENGTH, F.concat(F.lit("2001:db8:"), F.concat_ws(":", *[F.substring(h, i, 4) for i in range(1, 25, 4)]))).otherwise(ip)
+    body = F.concat(shaped.substr(F.lit(1), F.length(shaped) - 1), more)
     check = (10 - _luhn(F.regexp_replace(body, "[^0-9]", ""), True) % 10) % 10
+    shaped = F.concat(shaped, more)
     card = F.when(_luhn(F.regexp_replace(entity, "[^0-9]", ""), False) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(shaped)
 
     def word(script: str) -> Column:
-        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), attempt * 2)), lambda i: _pick(SYLLABLES[script], _byte(h, i))), "")
-        of = lambda g: F.concat(_pick(NAMES[script, g], n(2)), F.when(attempt > 0, F.concat(more, F.lit(ENDINGS[script, g]))).otherwise(F.lit("")))
+        grown = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), attempt * 2)), lambda i: _pick(SYLLABLES[script], _byte(h, i))), "")
+        of = lambda g: F.concat(_pick(NAMES[script, g], n(2)), F.when(attempt > 0, F.concat(grown, F.lit(ENDINGS[script, g]))).otherwise(F.lit("")))
         female = (sex == "f") | ((sex == "n") & (n(11) % 2 == 0))
         return F.when(kind == "surname", of("s")).when(female, of("f")).otherwise(of("m"))
 
@@ -211,24 +218,30 @@ def surrogate(entity: Column, kind: Column, sex: Column, attempt: Column, h: Col
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """entity, kind, sex (each entity once) -> entity, replacement, with no clash among replacements or with entities."""
-    state = materialize(entities.withColumn("attempt", F.lit(0)), "pii-entities")
-    tasks = max(1, min(MOST_TASKS, state.count() // TASK_ENTITIES))
-    real = state.select(F.regexp_replace("entity", "^given ", "").alias("real")).distinct()
-    for _ in range(MOST_ROUNDS):
+    """entity, kind, sex (each entity once) -> entity, replacement, with no clash among replacements or with entities.
+
+    What is settled stays; only entities whose surrogate clashes are drawn again, and these grow, so a form with fewer members than
+    entities, such as seven digits, ends like any other.
+    """
+    real = materialize(entities.select(F.regexp_replace("entity", "^given ", "").alias("real")).distinct(), "pii-real")
+    open_, settled = materialize(entities.withColumn("attempt", F.lit(0)), "pii-entities"), None
+    while n := open_.count():
         # A fixed number of tasks, as a merged one would draw them all.
-        drawn = state.repartition(tasks, "entity").withColumn("h", draw(F.col("entity"), F.col("kind"), F.col("sex"), F.col("attempt"), key))
+        drawn = open_.repartition(max(1, min(MOST_TASKS, n // TASK_ENTITIES)), "entity").withColumn("h", draw(F.col("entity"), F.col("kind"), F.col("sex"), F.col("attempt"), key))
         drawn = drawn.withColumn("shape", shape(F.col("entity"), F.col("kind"), F.col("h")))
         drawn = drawn.withColumn("replacement", surrogate(F.col("entity"), F.col("kind"), F.col("sex"), F.col("attempt"), F.col("h"), F.col("shape"))).drop("h", "shape")
         drawn = materialize(drawn, "pii-drawn")
-        owners = drawn.groupBy(F.col("replacement").alias("of")).agg(F.min(F.struct("attempt", "entity")).alias("owner"))
+        owners = drawn.groupBy(F.col("replacement").alias("of")).agg(F.min("entity").alias("owner"))
         checked = drawn.join(owners, F.col("replacement") == F.col("of")).join(real, F.col("replacement") == F.col("real"), "left")
-        clash = (F.col("entity") != F.col("owner.entity")) | F.col("real").isNotNull()
-        checked = materialize(checked.select("entity", "kind", "sex", (F.col("attempt") + clash.cast("int")).alias("attempt"), "replacement", clash.alias("clash")), "pii-checked")
-        if not checked.where("clash").limit(1).count():
-            return checked.select("entity", "replacement")
-        state = checked.select("entity", "kind", "sex", "attempt")
-    raise RuntimeError(f"some entities have clashing surrogates after {MOST_ROUNDS} draws")
+        clash = (F.col("entity") != F.col("owner")) | F.col("real").isNotNull()
+        if settled is not None:
+            checked = checked.join(settled.select(F.col("replacement").alias("held")), F.col("replacement") == F.col("held"), "left")
+            clash = clash | F.col("held").isNotNull()
+        checked = materialize(checked.select("entity", "kind", "sex", (F.col("attempt") + 1).alias("attempt"), "replacement", clash.alias("clash")), "pii-checked")
+        done = checked.where(~F.col("clash")).select("entity", "replacement")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = checked.where("clash").drop("clash", "replacement")
+    return entities.select("entity", F.lit("").alias("replacement")) if settled is None else settled
 
 
 def _parts(entity: Column) -> Column:
