@@ -180,13 +180,15 @@ def fit_chain(xs: list[np.ndarray], ys: list[np.ndarray], steps: int = FIT_STEPS
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", per_class: int = FIT_DOCS) -> Chain:
-    """Fits to per_class labelled documents of each class at most, those of the least hash of the id."""
+    """Fits to per_class labelled documents of each class at most, those of the least hash of the id; of rows that share an id one text."""
     wanted = None
     for q in (0, 1):
         part = labels.where(F.col(quality_col) == q).select(F.col(id_col).alias("of"), F.lit(q).alias("q")).dropDuplicates(["of"]).orderBy(F.xxhash64("of"), "of").limit(per_class)
         wanted = part if wanted is None else wanted.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(wanted), F.col("id") == F.col("of")).where(F.length("t") <= FIT_CHARS).select("q", "t", "id").collect()
-    rows.sort(key=lambda r: (r["id"], r["t"]))
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(wanted), F.col("id") == F.col("of")).where(F.length("t") <= FIT_CHARS)
+    # One text of each id and class, that of the least hash, however many rows bear the id.
+    rows = some.groupBy("id", "q").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).select("q", "t", "id").collect()
+    rows.sort(key=lambda r: (r["id"], r["q"]))
     found = [(r["q"], base_counts(r["t"])[-1]) for r in rows]
     found = [(q, features(lines)) for q, lines in found if 0 < len(lines) <= FIT_LINES]
     none = Chain(np.r_[-1.0, np.zeros(N_FEATURES - 1)], np.zeros((2, 2)))
