@@ -11,12 +11,11 @@ of fixed size over all other entries. A gram found in the first, or proven absen
 document lies; the rest are counted for each document and joined with the table by id. So frequent grams are never
 shuffled, what is shuffled is what the first tier can't settle, and the sums are the same whatever the tier.
 
-A class is a language with LEAST_TRUSTED trusted documents or more (of MOST_CLASSES languages, those with most); all
-other languages together are class 0, trained on their own trusted documents if there are as many of them, else on
-all trusted documents. A document is kept if its mean cost a byte is at most its class's threshold plus SLACK /
-sqrt(bytes), as short texts vary more. The threshold is Tukey's upper fence, upper quartile and 1.5 times the
-distance between quartiles, of mean cost less that slack, over the class's trusted documents that were held out of
-training (over those it was trained on where none is held out). So every class is judged alike at every size.
+One model is trained on all trusted text: five bytes tell languages apart, and no language is without one. Thresholds are the languages' own.
+A document is kept if its mean cost a byte is at most its language's threshold plus SLACK / sqrt(bytes), as short texts vary more. A language's threshold is the
+KEPT_SHARE quantile of mean cost less that slack over its trusted documents that were held out of training (over those it was trained on where none is held out),
+drawn towards the same quantile of all languages: with n such documents it counts n times, the common one SHRINK times. So a language of no, few or
+many trusted documents is judged by one rule, and its threshold moves by little with each document.
 
 Defined cases: a null language is the language ''; a null or empty text has no perplexity and isn't kept; rows with a
 null id are scored but never trusted; repeated rows are scored each by itself; without any trusted document there is
@@ -41,7 +40,6 @@ from tessera.llm.common import fresh, materialize
 ORDER = 5
 KEY_BITS = 8 * ORDER
 CLASS_SHIFT = KEY_BITS + 3
-MOST_CLASSES = 4095
 #: Costs are whole numbers of 1 / SCALE nats, so sums don't depend on the order.
 SCALE = 10_000
 UNIFORM = round(math.log(256) * SCALE)
@@ -51,8 +49,8 @@ FLOOR = 1e-9
 CACHE_ROWS, FILTER_BITS = 1 << 20, 27
 #: Bytes read at a time, and distinct grams that a counting task holds.
 WINDOW, HELD = 1 << 20, 1 << 21
-LEAST_TRUSTED, HELD_OUT = 100, 5
-SLACK, FENCE = 4.0, 1.5
+HELD_OUT = 5
+SLACK, KEPT_SHARE, SHRINK = 4.0, 0.998, 20.0
 #: Salts of the short grams in the join, which many long ones share.
 SALTS = 16
 
@@ -357,41 +355,44 @@ def resolve(grams: DataFrame, model: DataFrame) -> DataFrame:
     return one.select("id", cost.cast("long").alias("gram_cost"))
 
 
-def _classes(docs: DataFrame, good: DataFrame, least: int) -> tuple[list[str], bool]:
-    """The languages that are classes of their own, and whether class 0 is trained on all trusted documents."""
-    counts = docs.select("doc_id", "lang").join(good.hint("merge"), F.col("doc_id") == F.col("good_id")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    own = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()
-    return sorted(r["lang"] for r in own), total - sum(r["n"] for r in own) < least
+def thresholds(scored: DataFrame, mean: Column, room: Column, share: float = KEPT_SHARE, shrink: float = SHRINK) -> DataFrame:
+    """of (a language, null for all others) and threshold, from scored documents (lang, held: whether a trusted one was held out, else null)."""
+    # Histograms of 0.001 nats, so a language's rows are added up before they meet.
+    bins = scored.where(F.col("held").isNotNull() & (F.col("n_bytes") > 0)).groupBy("lang", "held", F.ceil((mean - room) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = materialize(bins, "threshold-bins")
+
+    def quantiles(bins: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by, "held")
+        placed = bins.groupBy(*by, "held", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+        each = placed.groupBy(*by, "held").agg(F.min(F.when(F.col("upto") >= F.col("total") * share, F.col("bin"))).alias("q"), F.first("total").alias("total"))
+        return each.groupBy(*by).agg(F.max_by(F.struct("q", "total"), "held").alias("x"))
+
+    common = quantiles(bins.withColumn("one", F.lit(1)), "one").select(F.col("x.q").alias("all_q"))
+    own = quantiles(bins, "lang").select(F.col("lang").alias("of"), F.col("x.q").alias("q"), F.col("x.total").alias("n"))
+    every = own.unionByName(common.select(F.lit(None).cast("string").alias("of"), F.col("all_q").alias("q"), F.lit(0).cast("long").alias("n")))
+    both = every.join(F.broadcast(common))  # a single row
+    return both.select("of", F.round((F.col("n") * F.col("q") + shrink * F.col("all_q")) / (F.col("n") + shrink) / 1000, 4).alias("threshold"))
 
 
 def classify(
-    docs: DataFrame, trusted: DataFrame, least_trusted: int = LEAST_TRUSTED, held_out: int = HELD_OUT, slack: float = SLACK, fence: float = FENCE,
+    docs: DataFrame, trusted: DataFrame, held_out: int = HELD_OUT, slack: float = SLACK, share: float = KEPT_SHARE, shrink: float = SHRINK,
     id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", cache_rows: int = CACHE_ROWS,
 ) -> DataFrame:
     """doc_id, lang, n_chars, mean_cost (nats a byte), perplexity (of a byte), threshold and kept of every row. trusted: doc_id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.length(text).cast("long").alias("n_chars"), text.cast("binary").alias("bytes"))
+    docs = docs.withColumn("class", F.lit(0))
     good = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
     out_of = F.pmod(F.xxhash64("good_id"), F.lit(held_out)) == 0
-    own, pooled = _classes(docs, good, least_trusted)
-    number = F.create_map(*[F.lit(x) for i, lang in enumerate(own) for x in (lang, i + 1)])[F.col("lang")] if own else F.lit(None)
-    docs = docs.withColumn("class", F.coalesce(number.cast("int"), F.lit(0)))
     # A merge join, the same plan at every size: the ids grow with the documents.
     read = docs.join(good.where(~out_of).hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi").select("class", "bytes")
-    if pooled and own:
-        read = read.select(F.explode(F.array_distinct(F.array(F.col("class"), F.lit(0)))).alias("class"), "bytes")
     scored = score(docs.withColumn("n_bytes", F.octet_length("bytes").cast("long")), train(read), cache_rows)
-    scored = materialize(scored.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("held", F.when(F.col("good_id").isNotNull(), out_of)).drop("good_id"), "scores")
+    scored = materialize(scored.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("held", F.when(F.col("good_id").isNotNull(), out_of)).drop("good_id", "class"), "scores")
     mean, room = F.col("cost") / F.col("n_bytes") / F.lit(float(SCALE)), F.lit(slack) / F.sqrt("n_bytes")
-    # Histograms of 0.001 nats; the classes, and so the limits, are MOST_CLASSES + 1 at most.
-    bins = scored.where(F.col("held").isNotNull() & (F.col("n_bytes") > 0)).groupBy("class", "held", F.ceil((mean - room) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("class", "held")
-    bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin")))
-    quarts = bins.groupBy("class", "held").agg(at(0.25).alias("low"), at(0.75).alias("high")).select("class", "held", ((F.col("high") + (F.col("high") - F.col("low")) * fence) / 1000).alias("limit"))
-    limits = quarts.groupBy(F.col("class").alias("of")).agg(F.round(F.max_by("limit", "held"), 4).alias("threshold"))
-    out = scored.join(F.broadcast(limits), F.col("class") == F.col("of"), "left")
+    limits = materialize(thresholds(scored, mean, room, share, shrink), "thresholds")
+    others = limits.where("of is null").select(F.col("threshold").alias("common"))
+    out = scored.join(limits, F.col("lang") == F.col("of"), "left").join(F.broadcast(others), how="left")  # a single row, or none
+    out = out.withColumn("threshold", F.coalesce("threshold", "common"))
     mean = F.when(F.col("n_bytes") > 0, mean)
     good_enough = F.col("threshold").isNull() | (mean <= F.col("threshold") + room)
     return out.select("doc_id", "lang", "n_chars", mean.alias("mean_cost"), F.exp(mean).alias("perplexity"), "threshold", F.when(F.col("n_bytes") > 0, good_enough).otherwise(False).alias("kept"))
