@@ -7,13 +7,14 @@ lacks becomes optional, what repeats a repeated group, and text that differs a s
 a union-free regular expression over labels (element name and class words) in which every text is known to be
 template (the same on all pages that have it) or a slot.
 
-To extract, a page's tree is matched with its host's wrapper. The main region is the wrapper's article, or main
-element, of most text; on a host without one, the deepest element that holds over half of the text that differs
+To extract, a page's tree is matched with its host's wrapper. The main region is all the wrapper's articles that stand in no other,
+or its main elements if these hold over twice as much text; on a host without either, the deepest element that holds over half of the text that differs
 between pages, so that what a host repeats on every page isn't taken for content. Within the region template text goes
 too: text that is the same on at least LEAST_PAGES distinct pages and on half of them, unless such text is more than
 MOST_TEMPLATE of the region, as on hosts of near copies. Elements that are furniture by name, role or class words
 (FURNITURE, ROLES, CUES) go with all they hold; a class word counts only if all its hyphenated parts are such words, so
-`ad-banner` counts and `share-price` doesn't. A host's only page is its own wrapper.
+`ad-banner` counts and `share-price` doesn't. A main element within furniture, and an article within a form, a header
+or an unclosed menu, shows again: such furniture holds the page. A host's only page is its own wrapper.
 
 Bounds on shapes, none of which loses text: elements nested deeper than MOST_DEPTH stand for their ancestor at that
 depth; an element with more than MOST_CHILDREN children after folding is matched by their names in any order.
@@ -65,8 +66,12 @@ CUES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu"
     " modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
-BESIDE = frozenset("area bar bars block box bottom button buttons container content dropdown form global icons inner item items left links list main mobile page panel primary right secondary section signup site slot sticky text thread to top unit user wrap wrapper".split())
+BESIDE = frozenset("area articles bar bars block body box bottom button buttons container content dropdown form global icons inner item items left links list main mobile page panel posts primary reply right secondary section signup site slot sticky stories text thread to top unit user wrap wrapper".split())
 MAIN = ("article", "main")
+#: Class words by which an article is a reader's comment or an advert.
+NOT_MAIN = frozenset("ad ads advert advertisement comment comments disqus promo sponsored".split())
+#: Furniture that a main element within it ends, as it was never closed or holds the whole page; for an article only the named ones.
+HOLDS_ARTICLE = frozenset("nav header form menu button head dialog".split())
 
 FAN_IN = 64
 MOST_CHILDREN = 200
@@ -105,16 +110,16 @@ class Node:
             yield from k.walk()
 
 
-def _is_cue(words: str) -> bool:
+def _is_cue(words: str, cues: frozenset[str] = CUES) -> bool:
     for word in words.lower().split():
         parts = [p for p in re.split(r"[-_]+", word) if p]
-        if any(p in CUES for p in parts) and all(p in CUES or p in BESIDE for p in parts):
+        if any(p in cues for p in parts) and all(p in CUES or p in BESIDE for p in parts):
             return True
     return False
 
 
 def label_of(name: str, attrs: str) -> str:
-    """The element's name and class words, digits as 0; with ! if it is furniture. An article or main element never is."""
+    """The element's name and class words, digits as 0; with ! if it is furniture. Of main elements none is, of articles those that are comments or adverts."""
     if name in FURNITURE:
         return f"{name}!"
     if not attrs or attrs.isspace():
@@ -122,6 +127,8 @@ def label_of(name: str, attrs: str) -> str:
     named = ""
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "article" and key == "class" and _is_cue(value, NOT_MAIN):
+            return f"{name}!"
         if name not in MAIN and (
             (key in ("class", "id") and _is_cue(value)) or (key == "role" and value.strip().lower() in ROLES) or key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true")
         ):
@@ -143,6 +150,7 @@ def parse(page: str, decode: bool = True) -> tuple[Node, list[str]]:
     """The page's folded tree and its texts. Without decode the texts are as they stand in the page."""
     root = Node("")
     stack: list[tuple[str, Node, bool]] = [("", root, False)]  # name, node, whether it is furniture or inside it
+    hiding: list[str] = []  # the names of the open elements that are furniture
     opened: Counter[str] = Counter()
     texts: list[str] = []
     piece: list[str] = []
@@ -161,8 +169,10 @@ def parse(page: str, decode: bool = True) -> tuple[Node, list[str]]:
         texts.append(found)
 
     def pop() -> str:
-        name = stack.pop()[0]
+        name, _, hidden = stack.pop()
         opened[name] -= 1
+        if hidden and not stack[-1][2]:
+            hiding.pop()
         return name
 
     at = seek = 0
@@ -220,6 +230,10 @@ def parse(page: str, decode: bool = True) -> tuple[Node, list[str]]:
             continue
         _, parent, hidden = stack[-1]
         node = parent
+        if hidden and (label == "main" or label.startswith("main.") or (name == "article" and not label.endswith("!") and hiding[-1] in HOLDS_ARTICLE)):
+            hidden = False  # this element shows again; what stands around it doesn't
+        if label.endswith("!") and not hidden:
+            hiding.append(name)
         if not hidden and len(stack) <= MOST_DEPTH:
             node = Node(label)
             parent.kids.append(node)
@@ -333,6 +347,11 @@ def slots(node: Node) -> list[Node]:
     return [k for k in node.walk() if k.label == "#"]
 
 
+def outermost(node: Node, name: str) -> list[Node]:
+    """The elements of a name that aren't within another."""
+    return [node] if _name(node.label) == name else [m for k in node.kids for m in outermost(k, name)]
+
+
 def pattern(node: Node) -> str:
     """The wrapper as a union-free regular expression, for people: # is a slot, . a template text."""
     inner = "".join(map(pattern, node.kids))
@@ -348,19 +367,19 @@ class Wrapper:
         every = slots(root)
         differs = any(s.low != s.high for s in every)
         weight = lambda node: sum(s.chars for s in slots(node) if not differs or s.low != s.high)
-        self.main = root
-        heavy: list[Node] = []
-        for name in MAIN:
-            named = [n for n in root.walk() if _name(n.label) == name]
-            if named:
-                heavy.append(max(named, key=weight))
-        if heavy:
-            self.main = heavy[0] if len(heavy) == 1 or 2 * weight(heavy[0]) >= weight(heavy[1]) else heavy[1]
+        self.main = [root]
+        articles, mains = outermost(root, "article"), outermost(root, "main")
+        of_all = lambda nodes: sum(map(weight, nodes))
+        if articles and 2 * of_all(articles) >= of_all(mains):
+            self.main = articles
+        elif mains:
+            self.main = mains
         else:
-            all_of = weight(root)
-            while step := [k for k in self.main.kids if k.label != "#" and _name(k.label) != "p" and 2 * weight(k) > all_of]:
-                self.main = step[0]
-        own = slots(self.main)
+            all_of, at = weight(root), root
+            while step := [k for k in at.kids if k.label != "#" and _name(k.label) != "p" and 2 * weight(k) > all_of]:
+                at = step[0]
+            self.main = [at]
+        own = [s for node in self.main for s in slots(node)]
         same = [s for s in own if s.low == s.high and s.pages >= max(LEAST_PAGES, root.pages / 2)]
         total = sum(s.chars for s in own)
         self.template = {id(s) for s in same} if sum(s.chars for s in same) <= MOST_TEMPLATE * total else set()
@@ -370,7 +389,7 @@ class Wrapper:
         taken: list[int] = []
 
         def match(w: Node | None, p: Node, inside: bool) -> None:
-            inside |= w is self.main
+            inside |= any(w is m for m in self.main)
             if p.label == "#":
                 if inside and not (w is not None and id(w) in self.template):
                     taken.extend(p.blocks)
@@ -492,8 +511,9 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     salt, salts, its, its_salt = fresh(named, "salt", "salts", "its_host", "its_salt")
     sizes = named.groupBy(F.col(host).alias(its)).agg(F.ceil((F.sum(F.coalesce(F.length(html_col), F.lit(0)) + 1)) / MOST_GROUP).cast("int").alias(salts))
     sized = materialize(sizes.join(wrappers.withColumnRenamed("host", "of_host"), F.col(its) == F.col("of_host"), "left").select(its, salts, "wrapper"), "host-salts")
-    most = sized.agg(F.max(salts)).first()[0] or 1
-    dealt = named.withColumn(salt, F.pmod(F.xxhash64(html_col, url_col), F.lit(most)).cast("int"))
+    # Most hosts have one salt and need no look-up; pages of the others meet few, small rows.
+    large = sized.where(F.col(salts) > 1).select(its, salts)
+    dealt = named.join(large, F.col(host) == F.col(its), "left").withColumn(salt, F.pmod(F.xxhash64(html_col, url_col), F.coalesce(salts, F.lit(1))).cast("int")).drop(its, salts)
     keep = [c for c in pages.columns if c.lower() not in (out.lower(), "n_chars")]
     schema = StructType([*[pages.schema[c] for c in keep], *[StructField(n, t) for n, t in outputs]])
     arrow = to_arrow_schema(schema)
@@ -503,5 +523,5 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
         texts = [extract(h or "", wrapper) for h in left[html_col].to_pylist()]
         return pa.Table.from_arrays([*[left[c] for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names).cast(arrow)
 
-    repeated = sized.select(its, F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias(its_salt), "wrapper")
+    repeated = sized.select(its, F.explode(F.sequence(F.lit(0), F.col(salts) - 1)).alias(its_salt), "wrapper")
     return dealt.groupBy(host, salt).cogroup(repeated.groupBy(its, its_salt)).applyInArrow(join, schema)

@@ -258,19 +258,38 @@ def test_few_trusted_documents_of_a_language_still_judge(spark):
 
 
 def test_threshold_equals_brute_force(spark):
-    df = spark.createDataFrame([(i, prose(i, 2 + i * i % 90), "en") for i in range(300)] + [(900, "#$ qx " * 40, "en")], "doc_id long, text string, lang string")
+    rows = [(i, prose(i, 2 + i * i % 90), "fr" if i % 9 == 4 else "en") for i in range(300)] + [(900, "#$ qx " * 40, "en"), (901, prose(5, 40), "xx")]
+    df, texts = spark.createDataFrame(rows, "doc_id long, text string, lang string"), {i: t for i, t, _ in rows}
     trusted = df.where("doc_id < 300").select("doc_id")
     held = {r["doc_id"] for r in trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()}
-    out = ngram_lm.classify(df, trusted).collect()
-    bins = sorted(math.ceil((r["mean_cost"] - 4 / math.sqrt(r["n_chars"])) * 1000) for r in out if r["doc_id"] in held)
-    low, high = bins[math.ceil(0.25 * len(bins)) - 1], bins[math.ceil(0.75 * len(bins)) - 1]
-    assert len(bins) >= 20
+    out = ngram_lm.classify(df, trusted, share=0.9).collect()
+    least = lambda r: math.ceil((r["mean_cost"] - 4 / math.sqrt(r["n_bytes"])) * 1000)
+    out = [r.asDict() | {"n_bytes": len(texts[r["doc_id"]].encode())} for r in out]
+    of = {lang: sorted(least(r) for r in out if r["doc_id"] in held and lang in (None, r["lang"])) for lang in (None, "en", "fr", "xx")}
+    q = {lang: bins[math.ceil(0.9 * len(bins)) - 1] if bins else 0 for lang, bins in of.items()}
+    assert len(of["en"]) >= 20 and of["fr"] and not of["xx"]
     for r in out:
-        assert r["threshold"] == pytest.approx((high + 1.5 * (high - low)) / 1000, abs=1e-4)
-        assert r["kept"] == (r["mean_cost"] <= r["threshold"] + 4 / math.sqrt(r["n_chars"]))
+        n = len(of[r["lang"]])
+        assert r["threshold"] == pytest.approx((n * q[r["lang"]] + 20 * q[None]) / (n + 20) / 1000, abs=1e-4)
+        assert r["kept"] == (r["mean_cost"] <= r["threshold"] + 4 / math.sqrt(r["n_bytes"]))
     assert not next(r["kept"] for r in out if r["doc_id"] == 900)
 
 
+def test_thresholds_move_smoothly_with_trusted_documents(spark):
+    """One more trusted document of a language never moves its threshold by a step: 1, 20, 99, 100, 101 of them."""
+    rng, limits = random.Random(4), {}
+    costs = [int(rng.gauss(20_000, 500)) for _ in range(101)]
+    common = [("en", int(rng.gauss(13_000, 500))) for _ in range(2000)]
+    for n in (0, 1, 20, 99, 100, 101):
+        rows = [(lang, c * 100, 100, True) for lang, c in common + [("fr", c) for c in costs[:n]]]
+        scored = spark.createDataFrame(rows, "lang string, cost long, n_bytes long, held boolean")
+        mean = F.col("cost") / F.col("n_bytes") / F.lit(float(ngram_lm.SCALE))
+        found = {r["of"]: r["threshold"] for r in ngram_lm.thresholds(scored, mean, F.lit(0.0), share=0.5).collect()}
+        limits[n] = found.get("fr", found[None])
+    assert limits[0] < limits[1] < limits[20] < limits[99] and abs(limits[0] - 1.3) < 0.02
+    assert abs(limits[100] - limits[99]) < 0.01 and abs(limits[101] - limits[100]) < 0.01 and abs(limits[1] - limits[0]) < 0.05
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -352,6 +371,15 @@ def test_rules_and_fit(spark, docs, none):
     assert line_crf.apply_rules(none, line_crf.fit(none, labels.limit(0))).count() == 0
 
 
+def test_one_text_of_a_labelled_id_is_collected(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(line_crf, "features", lambda lines: fitted.append(lines) or np.zeros((len(lines), line_crf.N_FEATURES)))
+    rows = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id")).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(2, "a | b"), (2, "c | d"), (3, None)], "doc_id long, text string"))
+    line_crf.fit(rows, spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (None, 0)], "doc_id long, quality int"))
+    assert len(fitted) == 2
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -434,6 +462,76 @@ def test_markup_of_any_depth_and_shape():
     assert text("".join(f"<{n}>{t}</{n}>" for n, t in many)) == " ".join(t for _, t in many)
 
 
+def test_articles_and_enclosing_furniture_lose_nothing():
+    text = lambda page: wrapper.extract(page, None)
+    assert text("<nav>m</nav><article class='lead'><p>one two three</p></article><article class='more'><p>four</p></article><footer>f</footer>") == "one two three four"
+    assert text("<body><form id=aspnet><div class='menu'>m</div><main><p>kept</p><form>no</form><nav>n</nav>more</main><div>around</div></form></body>") == "kept more"
+    assert text("<nav><ul><li>m<article><h1>head</h1><p>text</p></article><p>still menu") == "head text"
+    assert text("<div><main>own</main><aside><article class='teaser'>teaser</article></aside></div>") == "own"
+    assert text("<article>story<article class='comment'>c</article></article><article class='comment-body'>d</article><article class='share-price'>e</article>") == "story e"
+    assert text("<article>a<article>b</article>c</article>") == "a b c"
+
+
+def tokens_of(node):
+    """A page's tree as a string of tokens, one character a label."""
+    return "".join("T" if k.label == "#" else f"<{k.label}>{tokens_of(k)}</>" for k in node.kids)
+
+
+def as_regex(node):
+    out = ""
+    for k in node.kids:
+        inner = "T" if k.label == "#" else as_regex(k) if k.label[0] == "(" else f"<{re.escape(k.label)}>{as_regex(k)}</>"
+        out += f"(?:{inner})" + "+" * k.repeated
+        out = out[: len(out) - len(f"(?:{inner})" + "+" * k.repeated)] + (f"(?:(?:{inner}){'+' * k.repeated})?" if k.optional else f"(?:{inner}){'+' * k.repeated}")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_wrapper_matches_all_its_pages(monkeypatch, seed):
+    """The inferred expression, as a regular expression over tokens, matches every page that it was made of, whatever their order."""
+    rng, names = random.Random(seed), ["p", "h2", "div", "ul", "section"]
+
+    def some(depth):
+        return "".join(rng.choice(["word ", f"<{(n := rng.choice(names))}>{some(depth - 1)}</{n}>"]) if depth else "word " for _ in range(rng.choice([1, 1, 2, 3])))
+
+    pages = [f"<h1>head</h1>{some(2) if rng.random() < 0.5 else ''}<div class=x>{some(3)}</div>" for _ in range(12)]
+    trees = [wrapper.parse(p)[0] for p in pages]
+    whole = trees[0]
+    for t in trees[1:]:
+        whole = wrapper.united(whole, t, one_page=False)
+    made = re.compile(as_regex(whole))
+    monkeypatch.setattr(wrapper, "folded", lambda node, deep=True: node)
+    for p in pages:
+        assert made.fullmatch(tokens_of(wrapper.parse(p)[0])), p
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_is_longest(seed):
+    """pairs() against trying every common subsequence's length by plain dynamic programming."""
+    rng = random.Random(seed)
+    x, y = ([wrapper.Node(rng.choice("abc")) for _ in range(rng.randrange(9))] for _ in range(2))
+    best = {(-1, j): 0 for j in range(-1, 9)} | {(i, -1): 0 for i in range(-1, 9)}
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + (a.label == b.label))
+    got = wrapper.pairs(x, y)
+    assert len(got) == best[len(x) - 1, len(y) - 1] and all(x[i].label == y[j].label for i, j in got)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_salts_are_each_hosts_own(spark, monkeypatch):
+    """A large host's number of salts isn't the others'."""
+    sent = []
+    plain_loads = wrapper._loads
+    monkeypatch.setattr(wrapper, "MOST_SENT", -1)
+    monkeypatch.setattr(wrapper, "MOST_GROUP", 2000)
+    rows = [(i, "http://large.org/x", p) for i, (p, _) in enumerate(site(40, plain))] + [(100 + i, f"http://small{i // 2}.org/x", p) for i, (p, _) in enumerate(site(8, plain, 50))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = wrapper.extract_main_text(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(0, (salts" in plan and out.count() == 48 and plain_loads and not sent
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -518,6 +616,30 @@ def test_pii_surnames_never_run_out(spark):
     assert len(set(out)) == len(set(names)) == 1000
 
 
+def test_pii_of_a_crowded_form(spark):
+    """9,000 of the 10,000 numbers of a form are in the text: all get surrogates, distinct and nobody's own."""
+    numbers = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(10_000) if i % 10]
+    df = spark.createDataFrame([(i, f"call {n}, or {n.replace(' ', '-')}.") for i, n in enumerate(numbers)], "doc_id long, text string")
+    found = [re.fullmatch(r"call (\+1[ \d]+), or (\+1[-\d]+)\.", r["text"]).groups() for r in pii.replace_pii(df, "k").collect()]
+    digits = [re.sub(r"\D", "", a) for a, _ in found]
+    assert len(set(digits)) == len(numbers) and not set(digits) & {re.sub(r"\D", "", n) for n in numbers}
+    assert all(re.sub(r"\D", "", b) == d for (_, b), d in zip(found, digits, strict=True))
+
+
+def test_surrogates_of_every_kind_grow(spark):
+    """However often an entity of a kind is drawn again, there is another surrogate."""
+    kinds = [("a@b.org", "email"), ("10.0.0.1", "ip"), ("+11234", "phone"), ("123456789", "ssn"), ("4111111111111111", "card"), ("abc", "secret"), ("DE00", "iban"), ("x1", "other")]
+    df = spark.createDataFrame([(e, k, "n", i) for e, k in kinds for i in range(12)], "entity string, kind string, sex string, attempt int")
+    df = df.withColumn("h", pii.draw(F.col("entity"), F.col("kind"), F.col("sex"), F.col("attempt"), "k"))
+    df = df.withColumn("shape", pii.shape(F.col("entity"), F.col("kind"), F.col("h")))
+    out = df.withColumn("r", pii.surrogate(*[F.col(c) for c in ("entity", "kind", "sex", "attempt", "h", "shape")])).collect()
+    sizes = defaultdict(dict)
+    for r in out:
+        sizes[r["kind"]][r["attempt"]] = len(r["r"])
+    for kind, by in sizes.items():
+        assert kind == "ip" and by[11] > 20 or by[11] >= by[3] + 30 or kind == "email" and by[11] >= by[3] + 28, kind
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
