@@ -37,8 +37,8 @@ WORDS, SEED = 5, 42
 FRACTION = 0.25
 #: Shingles whose hashes are mixed at a time.
 BLOCK = 1 << 16
-#: Rows of a range, about; the most ranges; sampled ids for each range.
-RANGE_ROWS, MOST_RANGES, PER_RANGE = 1 << 13, 1 << 16, 16
+#: Rows of a range, about; the most ranges; sampled ids for each range; rows of a task, which reads several ranges, so that tasks are even.
+RANGE_ROWS, MOST_RANGES, PER_RANGE, TASK_ROWS = 1 << 10, 1 << 16, 16, 1 << 13
 
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LEAST = -(1 << 63)
@@ -165,7 +165,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fra
     around = F.when(F.col(row_id) == all_rows["least"], to(F.lit(last), 1))
     dealt = dealt.withColumn(target, F.explode(F.array_compact(F.array(to(F.col(range_), 0), ahead, around))))
     dealt = dealt.withColumns({range_: F.col(f"{target}.r"), tail: F.col(f"{target}.t")}).drop(target)
-    sent = dealt.repartition(last + 1, range_).sortWithinPartitions(range_, tail, row_id, F.col(f"`{dealt.columns[text_at]}`"))
+    tasks = max(1, min(last + 1, all_rows["n"] // TASK_ROWS))
+    sent = dealt.repartition(tasks, range_).sortWithinPartitions(range_, tail, row_id, F.col(f"`{dealt.columns[text_at]}`"))
     range_at, tail_at = sent.columns.index(range_), sent.columns.index(tail)
     schema = StructType([*columns, *[StructField(n, t) for n, t in outputs]])
     arrow, kept = to_arrow_schema(schema), len(columns)

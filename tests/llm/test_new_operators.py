@@ -195,6 +195,7 @@ def test_blocks_of_shingles(monkeypatch):
 def test_next_rows(spark, monkeypatch, range_rows):
     monkeypatch.setattr(scaled_sketch, "RANGE_ROWS", range_rows)
     monkeypatch.setattr(scaled_sketch, "PER_RANGE", 1 if range_rows == 3 else 16)
+    monkeypatch.setattr(scaled_sketch, "TASK_ROWS", 20)
     rows = [(i * 7 - 50, prose(i, 10 + i)) for i in range(60)] + [(None, "no id"), (None, None), (13, "tie b"), (13, "tie a"), (13, "tie a"), (-50, "first id again"), (1000, ""), (1001, "one"), (1002, prose(8, 20_000)), (1003, None), (-8, "x"), (-8, "w")]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, is_tail string")
