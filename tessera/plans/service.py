@@ -1,19 +1,25 @@
-"""The tools of the store by name, over versioned snapshots in a folder. Lists are small pages; batches go through the operators."""
+"""The tools of the store by name, over its tables and indexes in a folder. Lists are small pages; batches go through the operators.
+
+Each change is one commit of changed rows together with what the indexes make of them. Searches read the stored index, not the texts.
+"""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.embed import backfill, hashing_embedder
-from tessera.operators import dedup, events, graph, hybrid, lexical, scd, vector
+from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd, vector
 from tessera.operators import tags as tagging
 from tessera.plans import consolidation, librarian
 from tessera.plans import store as storing
-from tessera.plans.locks import Ephemeral, JobLock
+from tessera.plans.locks import Ephemeral, JobLock, listing
 from tessera.session import checkpointed
 from tessera.sources import snapshot
+from tessera.sources.index import CONTENT, STEMMED, TextIndex
 
 #: Other names under which parameters may come.
 SYNONYMS = {
@@ -41,11 +47,26 @@ def parameters(given: dict, allowed: set[str]) -> dict:
     return out
 
 
+#: Names the folder of a store that is given none.
+ROOT_VARIABLE = "TESSERA_ROOT"
+
+
+def indexed_fields() -> dict:
+    return {"title": F.col("title"), "content": F.col("full_content"), "aliases": F.get_json_object("metadata", "$.search_aliases")}
+
+
+def content_field() -> dict:
+    return {"content": F.concat_ws(" ", "title", "full_content")}
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str, redaction_rules: list[str] | None = None, embedder=hashing_embedder):
+    def __init__(self, spark: SparkSession, root: str | None = None, redaction_rules: list[str] | None = None, embedder=hashing_embedder):
+        root = root or os.environ.get(ROOT_VARIABLE) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera"
         self.spark, self.root, self.rules, self.embedder = spark, root, redaction_rules, embedder
-        self.ephemeral, self.lock = Ephemeral(), JobLock(f"{root}/locks")
+        self.ephemeral, self.lock = Ephemeral(), JobLock(spark, f"{root}/locks")
         self.now = F.current_timestamp
+        held = lambda name: lambda: snapshot.state(spark, root)[1].get("indexes", {}).get(name, {})
+        self.texts, self.contents = TextIndex(spark, f"{root}/text", STEMMED, held("text")), TextIndex(spark, f"{root}/content", CONTENT, held("content"))
 
     def call(self, tool: str, **given):
         """A tool by name, with synonyms of its parameters."""
@@ -56,10 +77,28 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return snapshot.read(self.spark, self.root, name)
 
-    def _save(self, **tables: DataFrame) -> None:
-        done = {name: checkpointed(df) for name, df in tables.items()}  # before any of them is written
-        for name, df in done.items():
-            snapshot.write(df, self.root, name)
+    def _save(self, since: int | None = None, **tables: DataFrame) -> None:
+        """Commits what differs in the tables, with the indexes of what differs in the entities. since: the commit that they were made from."""
+        added = {n: df for n, df in tables.items() if n in snapshot.APPENDED}
+        changed, gone, extra = {}, {}, None
+        for name in tables.keys() - added.keys():
+            rows, keys = (checkpointed(df) for df in snapshot.changes(self.table(name), tables[name], name))
+            if not rows.isEmpty():
+                changed[name] = rows
+            if not keys.isEmpty():
+                gone[name] = keys
+        if "entities" in changed:
+            live, dead = changed["entities"].where(hybrid.active()), changed["entities"].where(~hybrid.active()).select("id")
+            extra = {"indexes": {"text": self.texts.prepared(live, indexed_fields(), dead), "content": self.contents.prepared(live, content_field(), dead)}}
+        if changed or gone or added:
+            snapshot.commit(self.spark, self.root, changed=changed, gone=gone, added=added, since=since, extra=extra)
+
+    def reindex(self) -> None:
+        """Makes the indexes anew of all live rows, as for a store whose tables were written without them."""
+        since, state = snapshot.state(self.spark, self.root)
+        if not state.get("indexes", {}).get("text", {}).get("segments"):
+            live = self.table("entities").where(hybrid.active())
+            snapshot.commit(self.spark, self.root, since=since, extra={"indexes": {"text": self.texts.prepared(live, indexed_fields()), "content": self.contents.prepared(live, content_field())}})
 
     def _one(self, values: dict, schema: str) -> DataFrame:
         return self.spark.createDataFrame([tuple(values.values())], schema)
@@ -67,7 +106,7 @@ class Store:
     # Events
     def log_event(self, content="", agent_id="system", type="event", error_code=None, session_id=None, context_id=None):
         row = self._one({"a": agent_id, "t": type, "c": content, "e": error_code, "s": session_id, "x": context_id}, "agent_id string, type string, content string, error_code string, session_id string, context_id string")
-        self._save(events=events.event(row, self.now(), self.rules))
+        self._save(events=checkpointed(events.event(row, self.now(), self.rules)))
 
     def get_recent_events(self, agent_id=None, type=None, limit=20, context_id=None) -> DataFrame:
         """The latest events, requests with their status."""
@@ -81,13 +120,14 @@ class Store:
     # Entities
     def store_memories(self, requests: DataFrame, tags: DataFrame | None = None) -> DataFrame:
         """A batch; tags: (seq, name)."""
-        ent, rel, result = storing.store(self.table("entities"), self.table("relations"), requests, self.now(), self.rules)
+        since = snapshot.state(self.spark, self.root)[0]
+        ent, rel, result = storing.store(self.table("entities"), self.table("relations"), requests, self.now(), self.rules, similar=self.contents.overlaps)
         result = checkpointed(result)
         out = {"entities": ent, "relations": rel}
         if tags is not None:
             ok = result.where(F.col("result").isin("stored", "updated", "supersedes")).join(tags, "seq").select(F.col("id").alias("entity_id"), "name")
             out["tags"], out["entity_tags"] = tagging.link(self.table("tags"), self.table("entity_tags"), ok)
-        self._save(**out)
+        self._save(since, **out)
         return result
 
     def store_memory(self, content=None, title=None, tags=None, owner_id=None, scope="shared", weight=1, is_core=False, entity_id=None, metadata=None, project_id=None, context_id=None, relevance=None, impact=None, novelty=None, actionability=None, skip_duplicate_check=False):
@@ -102,8 +142,7 @@ class Store:
         row = self._resolved(entity_id).select("id", "full_content").first()
         if row is None:
             return None
-        ent = self.table("entities")
-        self._save(entities=ent.withColumn("last_accessed_at", F.when(F.col("id") == row["id"], self.now()).otherwise(F.col("last_accessed_at"))))
+        self._save(touches=self._one({"id": row["id"]}, "id string").withColumn("last_accessed_at", self.now()))
         return row["full_content"]
 
     def _resolved(self, entity_id) -> DataFrame:
@@ -117,8 +156,8 @@ class Store:
             rows = rows.where(hybrid.active() if status_filter == "active" else F.col("status") == status_filter)
         return hybrid.page(rows, [F.desc("updated_at"), F.col("id")], limit, hybrid.decode_cursor(cursor) if cursor else offset)
 
-    def search_memory(self, query_keywords=None, owner_id=None, tags_filter=None, metadata_filter=None, limit=5, context_id=None, is_core=None, tag_operator="AND", cursor=None, semantic=True, explain_mode=False, project_id=None, include_related=False) -> DataFrame:
-        """The page of hits with title, snippet and score, and with up to five related entities each if asked for. Rank fusion covers all hits, paging comes after it."""
+    def search_memory(self, query_keywords=None, owner_id=None, tags_filter=None, metadata_filter=None, limit=5, context_id=None, is_core=None, tag_operator="AND", cursor=None, semantic=True, explain_mode=False, project_id=None, include_related=True) -> DataFrame:
+        """The page of hits with title, snippet and score, and with up to five related entities each unless they aren't asked for. Rank fusion covers all hits, paging comes after it."""
         tags_filter = as_list(tags_filter)
         ent = self.table("entities").where(hybrid.active() & hybrid.visible(owner_id))
         if context_id is not None:
@@ -131,21 +170,15 @@ class Store:
             ent = ent.where(hybrid.metadata_is(metadata_filter))
         if tags_filter:
             ent = ent.join(hybrid.with_tags(self.table("entity_tags"), self.table("tags"), tags_filter, tag_operator), "id", "left_semi")
-        at, terms = hybrid.decode_cursor(cursor), lexical.query_terms(query_keywords)
-        live = self.table("entities").where(hybrid.active())
-        fields = {"title": F.col("title"), "content": F.col("full_content"), "aliases": F.get_json_object("metadata", "$.search_aliases")}
-        posts = lexical.postings(live, "id", fields, stemmed=True)
+        at, terms = hybrid.decode_cursor(cursor), self.texts.terms_of(query_keywords)
         if explain_mode:
-            return lexical.explain(posts, query_keywords, self.table("tags"), tags_filter)
-        if not terms:
+            return self._explained(query_keywords, tags_filter)
+        if not lexical.query_terms(query_keywords):
             out = ent.withColumn("score", F.lit(0.0))
             order = [F.desc("is_core"), F.desc("updated_at"), F.col("id")]
         else:
-            from tessera.functions.porter import fts_tokens
-
-            stems = [t for term in terms for t in fts_tokens(term)]
-            hits = lexical.bm25(posts, lexical.lengths(posts, live, "id"), stems, lexical.DOCUMENTED_WEIGHTS)
-            hits = lexical.match_and_or(hits.join(ent.select("id"), "id", "left_semi"), len(stems))
+            hits, n_terms = self.texts.search(query_keywords)
+            hits = lexical.match_and_or(hits.join(ent.select("id"), "id", "left_semi"), n_terms)
             ranks = hybrid.lexical_order(hits, ent, hybrid.in_degree(self.table("relations"), self.now()))
             lex = hybrid.ranked(ranks, [F.col("ordering"), F.desc("updated_at"), F.col("id")], at + limit)
             sem = lex.limit(0)
@@ -162,17 +195,34 @@ class Store:
         related = hybrid.neighbours(hits, self.table("relations").where(hybrid.valid_at(self.now())), self.table("entities")).withColumnRenamed("id", "of")
         return hits.join(related, F.col("id") == F.col("of"), "left").orderBy(*order).select(*cols, "related")
 
+    def _explained(self, query: str | None, tags: list[str] | None) -> DataFrame:
+        """(term, found) of the query's words as the search reads them, and of unknown tags."""
+        out = self.texts.explain(query)
+        return out.unionByName(lexical.unknown_tags(self.table("tags"), tags)) if tags else out
+
+    def explain(self, query_keywords=None, owner_id=None, tags_filter=None, metadata_filter=None, context_id=None, is_core=None, tag_operator="AND", project_id=None) -> dict:
+        """What a search makes of its parameters: the cleaned query, which of its words are found, tags that aren't known, and the conditions that hits must meet."""
+        tags = as_list(tags_filter)
+        rows = self._explained(query_keywords, tags).collect()  # a row for each word and tag of one query
+        unknown = {t for t in tags or []}
+        clauses = [("status", "not archived"), ("visible to", owner_id), ("context", context_id), ("project", project_id), ("is_core", is_core), ("metadata", metadata_filter), (f"tags ({tag_operator})", tags)]
+        return {
+            "sanitized_query": lexical.sanitize_query(query_keywords), "searched_terms_found": {r["term"]: r["found"] for r in rows if r["term"] not in unknown or r["found"]},
+            "invalid_tags": [r["term"] for r in rows if r["term"] in unknown and not r["found"]], "conditions": {k: v for k, v in clauses if v is not None and v != []},
+        }
+
     def archive_memory(self, entity_id, owner_id=None):
         return self.bulk_archive_memory([(entity_id, owner_id)])[entity_id]
 
     def bulk_archive_memory(self, archive_requests) -> dict:
         pairs = [(r, None) if isinstance(r, str) else tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in archive_requests]
+        since = snapshot.state(self.spark, self.root)[0]
         asked = self.spark.createDataFrame(pairs, "input string, owner_id string")
         ids = graph.resolve_ids(asked.select("input").distinct(), self.table("entities"))
         asked = checkpointed(asked.join(ids, "input"))
         ent, result = scd.archive(self.table("entities"), asked.select("id", "owner_id"), self.now())
         out = {r["input"]: r["result"] for r in asked.select("input", "id").join(result, "id").collect()}
-        self._save(entities=ent)
+        self._save(since, entities=ent)
         return out
 
     def check_duplicate_memories(self, title=None, content=None, owner_id=None, exclude_ids=None) -> DataFrame:
@@ -180,8 +230,8 @@ class Store:
         live = live.where(F.col("owner_id").isNull() | (F.col("owner_id") == owner_id)) if owner_id is not None else live
         live = live.where(~F.col("id").isin(exclude_ids)) if exclude_ids else live
         new = self.spark.createDataFrame([("new", title, content)], "id string, title string, full_content string")
-        tokens = lambda d: d.select("id", X.content_tokens(F.concat_ws(" ", "title", "full_content")).alias("tokens"))
-        return dedup.token_pairs(tokens(new), tokens(live)).select(F.col("b").alias("id"), "similarity").orderBy(F.desc("similarity"), "id")
+        found = self.contents.overlaps(new.select("id", X.content_tokens(content_field()["content"]).alias("tokens")), dedup.NEAR)
+        return found.join(live.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("b").alias("id"), "similarity").orderBy(F.desc("similarity"), "id")
 
     def detect_orphaned_memories(self, owner_id=None) -> DataFrame:
         return graph.orphans(self.table("entities"), self.table("relations"), owner_id)
@@ -196,13 +246,13 @@ class Store:
     def bulk_store_relations(self, relations) -> list[str]:
         rows = [(i, *(r.values() if isinstance(r, dict) else r)) for i, r in enumerate(relations)]
         asked = self.spark.createDataFrame(rows, "seq long, source_id string, target_id string, predicate string")
-        ent = self.table("entities")
+        since, ent = snapshot.state(self.spark, self.root)[0], self.table("entities")
         for side in ("source_id", "target_id"):
             found = graph.resolve_ids(asked.select(F.col(side).alias("input")).distinct(), ent).select("input", F.col("id").alias("found"))
             asked = asked.join(found, F.col(side) == F.col("input")).withColumn(side, F.col("found")).drop("input", "found")
         rel, result = scd.add_relations(self.table("relations"), ent, asked, self.now())
         out = {r["seq"]: r["result"] for r in result.collect()}
-        self._save(relations=rel)
+        self._save(since, relations=rel)
         return [out[i] for i in range(len(rows))]
 
     def analyze_dependencies(self, root_entity_id, max_depth=5) -> DataFrame:
@@ -220,6 +270,7 @@ class Store:
         """result (stored, or why not), id and similar_to of each."""
         rows = [(i, list(c["parent_ids"] or []), c["title"], c["content"], c.get("owner_id"), c.get("scope"), c.get("weight"), c.get("context_id")) for i, c in enumerate(consolidations)]
         asked = self.spark.createDataFrame(rows, "seq long, parent_ids array<string>, title string, full_content string, owner_id string, scope string, weight int, context_id string")
+        since = snapshot.state(self.spark, self.root)[0]
         ent, rel, result = consolidation.consolidate(self.table("entities"), self.table("relations"), asked, self.now(), self.rules)
         result = checkpointed(result)
         out = {"entities": ent, "relations": rel}
@@ -227,7 +278,7 @@ class Store:
             tags = self.spark.createDataFrame(names, "seq long, name string")
             ok = result.where("result = 'stored'").join(tags, "seq").select(F.col("id").alias("entity_id"), "name")
             out["tags"], out["entity_tags"] = tagging.link(self.table("tags"), self.table("entity_tags"), ok)
-        self._save(**out)
+        self._save(since, **out)
         return [r.asDict() for r in result.orderBy("seq").drop("seq").collect()]
 
     # The rest
@@ -237,12 +288,26 @@ class Store:
     def get_ephemeral_memory(self, key):
         return self.ephemeral.get(key)
 
+    def locks(self) -> DataFrame:
+        """Tasks with their locks and last runs."""
+        return listing(self.spark, f"{self.root}/locks")
+
+    def stats(self) -> DataFrame:
+        """Counts, with the store's size in bytes by its live files."""
+        sizes = snapshot.size(self.spark, self.root)
+        return report.stats(self.table("entities"), self.table("events"), self.table("relations"), self.table("tags")).withColumn("store_bytes", F.lit(sum(sizes.values())).cast("long"))
+
+    def compact(self) -> int:
+        """Every table as one base without deltas."""
+        return snapshot.compact(self.spark, self.root)
+
     def create_snapshot(self):
         return snapshot.backup(self.spark, self.root, f"{self.root}/backups")
 
     def backfill_embeddings(self) -> None:
+        since = snapshot.state(self.spark, self.root)[0]
         ent, emb = backfill(self.table("entities"), self.table("embeddings"), self.embedder)
-        self._save(entities=ent, embeddings=emb)
+        self._save(since, entities=ent, embeddings=emb)
 
     def run_librarian(self, distance: float = librarian.NEAR) -> bool:
         """False if it isn't due or another process is at it."""
@@ -250,8 +315,9 @@ class Store:
         if not librarian.due(ent.where("status = 'raw'").limit(2).count(), self.lock.seconds_since_last()) or not self.lock.acquire():
             return False
         try:
+            since = snapshot.state(self.spark, self.root)[0]
             tags, links, requests = librarian.run(ent, self.table("tags"), self.table("entity_tags"), self.table("embeddings"), self.now(), distance)
-            self._save(tags=tags, entity_tags=links, events=requests)
+            self._save(since, tags=tags, entity_tags=links, events=requests)
         finally:
             self.lock.release()
         return True

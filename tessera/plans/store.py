@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,12 @@ def _prepared(requests: DataFrame, rules: list[str] | None, lexicon: list[str] |
     return df.withColumn("error", F.coalesce("error", F.when(F.col("quality_status") == "REJECT", F.concat(F.lit("quality: "), F.element_at("quality_flags", -1)))))
 
 
-def store(entities: DataFrame, relations: DataFrame, requests: DataFrame, now: Column, rules: list[str] | None = None, lexicon: list[str] | None = BIGRAMS, warn: float = dedup.NEAR, supersede: float = dedup.SUPERSEDE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def store(entities: DataFrame, relations: DataFrame, requests: DataFrame, now: Column, rules: list[str] | None = None, lexicon: list[str] | None = BIGRAMS, warn: float = dedup.NEAR, supersede: float = dedup.SUPERSEDE, similar: Callable[[DataFrame, float], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, relations, (seq, result, id)) after a batch.
 
     Of equal texts of one owner, and of requests for one entity, the first in order of seq counts. Results: stored,
-    updated, supersedes, or why nothing was stored.
+    updated, supersedes, or why nothing was stored. similar: gives (a, b, similarity) of new rows (id, tokens) and live ones, as a stored
+    index does; else the texts of the live rows are read.
     """
     live = entities.where("status <> 'archived'")
     df = _prepared(requests, rules, lexicon)
@@ -54,7 +57,7 @@ def store(entities: DataFrame, relations: DataFrame, requests: DataFrame, now: C
 
     tokens = lambda d, i: d.select(F.col(i).alias("id"), X.content_tokens(F.concat_ws(" ", "title", "full_content")).alias("tokens"))
     fresh = df.where("error is null and known is null and not coalesce(skip_duplicate_check, false)")
-    near = dedup.token_pairs(tokens(fresh, "new_id"), tokens(live, "id"), warn)
+    near = similar(tokens(fresh, "new_id"), warn) if similar else dedup.token_pairs(tokens(fresh, "new_id"), tokens(live, "id"), warn)
     space = fresh.select(F.col("new_id").alias("a"), F.col("owner_id").alias("fo"), F.col("project_id").alias("fp")).join(near, "a").join(live.select(F.col("id").alias("b"), "owner_id", "project_id", "scope"), "b")
     mine = (F.col("owner_id").isNull() | (F.col("owner_id") == F.col("fo"))) & (F.col("fp").isNull() | F.col("project_id").isNull() | (F.col("fp") == F.col("project_id")))
     best = dedup.route(space.where(mine).select("a", "b", "similarity"), warn, supersede).select(F.col("a").alias("new_id"), F.col("b").alias("old_id"), "action")

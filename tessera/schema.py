@@ -23,6 +23,7 @@ TABLES: dict[str, StructType] = {
     "entity_tags": _struct(entity_id=S, tag_id=S),
     "relations": _struct(id=S, source_id=S, target_id=S, predicate=S, created_at=T, valid_from=T, valid_to=T),
     "embeddings": _struct(entity_id=S, embedding=ArrayType(FloatType())),
+    "touches": _struct(id=S, last_accessed_at=T),
     "locks": _struct(task_name=S, locked_at=T, locked_by=S, last_run_at=T),
 }
 

@@ -9,9 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.schema import TABLES
 
 
-def read_ledger(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """Events as they arrive, each id once within the watermark."""
-    return spark.readStream.schema(TABLES["events"]).parquet(path).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["id"])
+def read_ledger(spark: SparkSession, root: str, late: str = "1 hour") -> DataFrame:
+    """The events of the store at root as they are logged, each id once within the watermark. A stream that rests longer than the store keeps files
+    (KEPT commits) misses none of the table, but those of merged files: it then begins from the table anew."""
+    return spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "*.parquet").parquet(f"{root}/data/events/*").withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["id"])
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -51,8 +51,8 @@ def test_supersession(spark, tmp_path):
     assert {r["id"]: r["weight"] for r in s.table("entities").collect()}[old["id"]] == 1 and s.table("relations").first()["predicate"] == "supersedes"
 
 
-def test_small_parts(tmp_path):
-    lock, other = JobLock(str(tmp_path)), JobLock(str(tmp_path))
+def test_small_parts(spark, tmp_path):
+    lock, other = JobLock(spark, str(tmp_path)), JobLock(spark, str(tmp_path))
     assert lock.acquire(1000.0) and not other.acquire(1100.0) and other.acquire(1700.0)
     other.release(1800.0)
     assert lock.acquire(1801.0) and lock.seconds_since_last(1900.0) == 100.0

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.operators import dedup, events, graph, hybrid, report, scd, vector
 from tessera.operators import tags as tagging
-from tessera.plans import librarian
-from tessera.sources import importers, snapshot
+from tessera.plans import librarian, locks
+from tessera.sources import commits, importers, snapshot
 from tessera.streaming import ledger
 
 def now():
@@ -141,14 +141,80 @@ def test_snapshots_and_stream(spark, tmp_path):
     rows = [(str(i % 3), T0 + dt.timedelta(hours=i), "a", "note", "", None, None, None) for i in range(6)]
     for at in (rows[:1], rows, []):
         snapshot.write(spark.createDataFrame(at, schema.TABLES["events"]), root, "events")
-    assert [snapshot.read(spark, root, "events", v).count() for v in (1, 2, 3)] == [1, 1 + len(rows), 1 + len(rows)]
+    assert [snapshot.read(spark, root, "events", v).count() for v in (2, 3, 4, 5)] == [0, 1, 1 + len(rows), 1 + len(rows)]
     again = snapshot.backup(spark, root, f"{root}/backup-2")
-    assert snapshot.versions(spark, f"{again}/events") == [1] and snapshot.read(spark, again, "events").count() == 1 + len(rows)
-    snapshot.append_events(spark.createDataFrame(rows, schema.TABLES["events"]), root)
-    ledger.write(ledger.read_ledger(spark, f"{root}/ledger"), f"{root}/out", f"{root}/ckpt").awaitTermination()
+    assert snapshot.versions(spark, again) == [1] and snapshot.read(spark, again, "events").count() == 1 + len(rows)
+    ledger.write(ledger.read_ledger(spark, root), f"{root}/out", f"{root}/ckpt").awaitTermination()
     assert spark.read.parquet(f"{root}/out").count() == 3
 
 
+def test_changed_rows_take_the_place_of_the_bases(spark, tmp_path):
+    root, rows = str(tmp_path), {f"k{i}": i % 5 for i in range(20)}
+    table = lambda d: entities(spark, *[{"id": k, "weight": w} for k, w in d.items()])
+    read = lambda: {r["id"]: r["weight"] for r in snapshot.read(spark, root, "entities").collect()}
+    snapshot.write(table(rows), root, "entities")
+    rng = __import__("random").Random(1)
+    for step in range(20):  # more than FAN, so deltas are merged on the way
+        change = {f"k{rng.randrange(30)}": rng.randrange(9) for _ in range(2)}
+        gone = [f"k{rng.randrange(30)}"] if step % 3 == 0 else []
+        snapshot.commit(spark, root, changed={"entities": table(change)}, gone={"entities": spark.createDataFrame([(k,) for k in gone], "id string")} if gone else None)
+        rows = {k: v for k, v in (rows | change).items() if k not in gone}
+    assert read() == rows and len(snapshot.state(spark, root)[1]["tables"]["entities"]["deltas"]) < snapshot.FAN
+    snapshot.compact(spark, root)
+    assert read() == rows and not snapshot.state(spark, root)[1]["tables"]["entities"]["deltas"]
+    before, after = table({"a": 1, "b": 2, "c": 3}), table({"a": 1, "b": 5, "d": 4})
+    changed, gone = snapshot.changes(before, after, "entities")
+    assert {r["id"] for r in changed.collect()} == {"b", "d"} and [r["id"] for r in gone.collect()] == ["c"]
+
+
+def test_a_stopped_writer_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    snapshot.commit(spark, root, replaced={"entities": entities(spark, {"id": "a"}), "relations": edges(spark, ("a", "a", "p"))})
+    with monkeypatch.context() as m:
+        m.setattr(commits.Commits, "commit", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            snapshot.commit(spark, root, changed={"entities": entities(spark, {"id": "b"}), "relations": edges(spark, ("b", "a", "p"))}, added={"touches": spark.createDataFrame([("a", T0)], schema.TABLES["touches"])})
+    assert snapshot.read(spark, root, "entities").count() == 1 == snapshot.read(spark, root, "relations").count() and snapshot.versions(spark, root) == [1]
+    snapshot.commit(spark, root, changed={"entities": entities(spark, {"id": "c"})}, since=1)
+    with pytest.raises(snapshot.Conflict):
+        snapshot.commit(spark, root, changed={"entities": entities(spark, {"id": "d"})}, since=1)
+    snapshot.commit(spark, root, added={"touches": spark.createDataFrame([("a", T0 + dt.timedelta(days=900))], schema.TABLES["touches"])}, since=1)
+    assert {r["id"]: r["last_accessed_at"] for r in snapshot.read(spark, root, "entities").collect()}["a"] == T0 + dt.timedelta(days=900)
+
+
+def test_many_small_appends_leave_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "FAN", 4)
+    monkeypatch.setattr(snapshot, "KEPT", 2)
+    root = str(tmp_path)
+    for i in range(50):
+        snapshot.write(spark.createDataFrame([(str(i), T0, "a", "note", "", None, None, None)], schema.TABLES["events"]).coalesce(1), root, "events")
+    deltas = snapshot.state(spark, root)[1]["tables"]["events"]["deltas"]
+    assert snapshot.read(spark, root, "events").count() == 50 and len(deltas) <= 8
+    snapshot.vacuum(spark, root, 1)
+    files = list(tmp_path.glob("data/**/*.parquet"))
+    assert len(files) <= 12 and snapshot.read(spark, root, "events").count() == 50
+    assert snapshot.size(spark, root)["events"] == sum(f.stat().st_size for p, _ in deltas for f in (tmp_path / p).rglob("*") if f.is_file() and not f.name.endswith(".crc"))
+
+
+def test_one_of_several_writers_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = commits.Commits(spark, f"{tmp_path}/log")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: log.commit(1, {"by": i}), range(8)))
+    assert sum(won) == 1 and log.last() == (1, {"by": won.index(True)}) and log.numbers() == [1]
+    locks_ = [locks.JobLock(spark, f"{tmp_path}/locks") for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda x: x.acquire(1000.0), locks_)) == 1
+        assert sum(pool.map(lambda x: x.acquire(1700.0), locks_)) == 1
+    (row,) = locks.listing(spark, f"{tmp_path}/locks").collect()
+    owner = next(x for x in locks_ if x.owner == row["locked_by"])
+    assert row["task_name"] == "librarian_consolidation" and row["last_run_at"] is None and row["locked_at"] is not None
+    assert [x.release(1800.0) for x in locks_].count(True) == 1 and owner.seconds_since_last(1900.0) == 100.0
+    (row,) = locks.listing(spark, f"{tmp_path}/locks").collect()
+    assert row["locked_by"] is None and row["last_run_at"] is not None
+
+
 def test_input_errors(spark):
     rows = [("o", "shared", "t", "c", None), (None, "shared", "t", "c", None), ("o", "shared", "a.md - t", "c", None), ("o", "shared", "t", "c", '{"source_path": "/home/x"}'), ("o", "x", "t", "c", None), ("o", "shared", " ", "c", None)]
     df = spark.createDataFrame(rows, "owner_id string, scope string, title string, full_content string, metadata string")
