@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.hybrid import active, valid_at
+from tessera.session import written
 
 
 def closure(relations: DataFrame, root: str, at: Column, max_depth: int = 5) -> DataFrame:
@@ -24,9 +25,38 @@ def closure(relations: DataFrame, root: str, at: Column, max_depth: int = 5) ->
     return out
 
 
-def first_depths(paths: DataFrame, entities: DataFrame) -> DataFrame:
-    """(id, title, depth): nodes at the least depth at which a path reaches them."""
-    return paths.groupBy(F.col("target_id").alias("id")).agg(F.min("depth").alias("depth")).join(entities.select("id", F.coalesce("title", "id").alias("title")), "id")
+def depths(relations: DataFrame, root: str, at: Column, max_depth: int = 5) -> DataFrame:
+    """(id, depth, parent, predicate) of the nodes that can be reached from the root along edges valid at a time: the least depth, and the edge by which it is
+    reached there (of several, from the least parent, then by the least predicate).
+
+    Semi-naive: each level joins the edges with the nodes that the level before was the first to reach, and leaves out those reached already, so a
+    level's work is the edges of its own nodes, whatever the number of paths. The levels are written as they are found.
+    """
+    edges = relations.where(valid_at(at)).select("source_id", "target_id", "predicate")
+    start = relations.sparkSession.createDataFrame([(root, 0, None, None)], "id string, depth int, parent string, predicate string")
+    seen, front = start, start
+    for depth in range(1, max_depth + 1):
+        step = edges.join(front.select(F.col("id").alias("source_id")), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min(F.struct("source_id", "predicate")).alias("by"))
+        front = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("by.source_id").alias("parent"), F.col("by.predicate").alias("predicate"))
+        front = written(front, "depths")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.where("depth > 0")
+
+
+def paths_to(found: DataFrame, entities: DataFrame, root: str) -> DataFrame:
+    """(id, title, depth, path) of nodes by depths(): the titles on the way from the root, which follow the parents level by level."""
+    named = lambda df, key: df.join(entities.select(F.col("id").alias("_e"), F.coalesce("title", "id").alias("title")), F.col(key) == F.col("_e")).drop("_e")
+    titles = entities.where(F.col("id") == root).agg(F.coalesce(F.max("title"), F.lit(root)).alias("title"))
+    level = titles.select(F.lit(root).alias("id"), F.col("title").alias("path"))
+    found, out = written(named(found, "id"), "named"), None
+    for depth in range(1, (found.agg(F.max("depth")).first()[0] or 0) + 1):
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("before"))
+        rows = found.where(F.col("depth") == depth).join(above, "parent", "left").select("id", "title", "depth", F.concat_ws(" -> ", "before", "title").alias("path"))
+        level = rows.select("id", "path")
+        out = rows if out is None else out.unionByName(rows)
+    return found.select("id", "title", "depth", F.lit("").alias("path")).limit(0) if out is None else out
 
 
 def path_titles(paths: DataFrame, entities: DataFrame) -> DataFrame:

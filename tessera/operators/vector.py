@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import checkpointed
+from tessera.session import checkpointed, written
 
-#: Vectors of a block at most, on average: a task holds two blocks, and each vector is sent once for every block.
+#: Vectors of a block at most, on average: a task holds two blocks.
 BLOCK = 16384
 #: Rows of a block whose products with another block are taken at a time.
 STRIP = 1024
+#: The most centres of cells; every task holds them.
+MOST_CENTRES = 1024
+#: What angles are widened by, in radians: more than rounding can add up to.
+SLACK = 1e-6
+#: Ranges of rows that greedy clusters are found in, at most.
+RANGES = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,12 +46,6 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vect
     return vectors.select(F.col(id_col).alias("id"), cosine_distance(F.col(vector_col), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def _blocks(df: DataFrame) -> int:
-    """Blocks that df is dealt into: of BLOCK rows, or smaller ones while there are fewer pairs of blocks than cores."""
-    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-rows // BLOCK), min(-(-rows // STRIP), math.isqrt(2 * cores) + 1))
-
-
 def _near(p: pd.DataFrame, q: pd.DataFrame, distance: float) -> pd.DataFrame:
     """(a, b, distance) of the rows of p and q within the distance, a strip of p at a time."""
     out = [pd.DataFrame({"a": p["id"].iloc[:0], "b": q["id"].iloc[:0], "distance": np.zeros(0)})]
@@ -57,64 +58,176 @@ def _near(p: pd.DataFrame, q: pd.DataFrame, distance: float) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def pairs_within(left: DataFrame, right: DataFrame, distance: float, left_id: str = "id", right_id: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, distance) of all pairs within the distance.
+def _angles(vectors: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The angle of each vector with each centre, and which vectors have a direction at all."""
+    unit = _unit(vectors)
+    return np.arccos(np.clip(unit @ centres.T, -1, 1)), unit.any(axis=1)
+
+
+class Cells:
+    """Cells around some of the rows' directions, for finding pairs within a distance without comparing all.
 
-    A block join: each side is dealt into blocks, each pair of blocks is one task's matrix products in numpy. Nothing
-    is broadcast and no task holds more than two blocks and a strip of their products.
+    A row lies in the cell of the centre that it makes the least angle with; a cell's radius is the largest such angle. By the triangle
+    inequality a row can only have a partner in a cell whose centre it sees at the cell's radius and the limit together, so it
+    is sent to those cells alone. Cells of many rows are dealt into blocks. What the driver and every task hold are the
+    centres with their radii and counts. For distances that reach a right angle or more there is one cell.
     """
-    n, m = _blocks(left), _blocks(right)
-    a = left.select(F.col(left_id).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(left_id), F.lit(n)).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    b = right.select(F.col(right_id).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(right_id), F.lit(m)).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    kind = left.schema[left_id].dataType.simpleString(), right.schema[right_id].dataType.simpleString()
-    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(lambda p, q: _near(p, q, distance), f"a {kind[0]}, b {kind[1]}, distance double")
+
+    def __init__(self, rows: DataFrame, distance: float, id_col: str, vector_col: str):
+        self.limit, self.all = (math.acos(1 - distance) + SLACK if distance < 1 else 2 * math.pi), distance >= 1
+        self.rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+        self.kind = rows.schema[id_col].dataType.simpleString()
+        n = self.rows.count()
+        wanted = 1 if self.all else max(1, min(MOST_CENTRES, math.isqrt(n)))
+        some = self.rows.where(dot(F.col("v"), F.col("v")) > 0).orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
+        self.centres = _unit(pd.Series([r["v"] for r in some])) if some else np.zeros((0, 0))
+        self.radius, self.blocks = np.zeros(len(self.centres)), np.ones(len(self.centres), np.int64)
+        if some:
+            centres, all_ = self.centres, self.all
+
+            def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    if len(batch):
+                        a, some_direction = _angles(batch["v"], centres)
+                        keep = some_direction | all_
+                        yield pd.DataFrame({"cell": a.argmin(axis=1)[keep], "angle": a.min(axis=1)[keep]})
+
+            for r in self.rows.mapInPandas(own, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
+                self.radius[r["cell"]], self.blocks[r["cell"]] = r["radius"], -(-r["n"] // BLOCK)
+
+    def residents(self) -> DataFrame:
+        """(cell, block, id, v) of the rows in their own cells' blocks."""
+        centres, blocks, all_, kind = self.centres, self.blocks, self.all, self.kind
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    a, some_direction = _angles(batch["v"], centres)
+                    out = batch.assign(cell=a.argmin(axis=1))[some_direction | all_]
+                    yield out.assign(block=out["h"] % blocks[out["cell"]])[["cell", "block", "id", "v"]]
+
+        return self.rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInPandas(run, f"cell long, block long, id {kind}, v array<double>") if len(self.centres) else self._none("cell long, block long")
+
+    def guests(self, rows: DataFrame, id_col: str, vector_col: str, after_own: bool) -> DataFrame:
+        """(cell, part, id, v) of rows in each cell that can hold a partner. after_own: only in cells after the row's own, as pairs of cells meet once."""
+        centres, limit, all_ = self.centres, self.radius + self.limit, self.all
+        kind = rows.schema[id_col].dataType.simpleString()
+        sent = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h")).where("v is not null")
+        if not len(self.centres):
+            return self._none("cell long, h long", kind)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), STRIP):
+                    part = batch.iloc[at : at + STRIP]
+                    a, some_direction = _angles(part["v"], centres)
+                    goes = ((a <= limit) & some_direction[:, None]) | all_
+                    if after_own:
+                        goes &= np.arange(a.shape[1]) > a.argmin(axis=1)[:, None]
+                    i, cell = np.nonzero(goes)
+                    yield pd.DataFrame({"cell": cell, "h": part["h"].to_numpy()[i], "id": part["id"].to_numpy()[i], "v": part["v"].to_numpy()[i]})
+
+        return sent.mapInPandas(run, f"cell long, h long, id {kind}, v array<double>")
+
+    def _none(self, columns: str, kind: str | None = None) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([], f"{columns}, id {kind or self.kind}, v array<double>")
+
+
+def _met(residents: DataFrame, guests: DataFrame, cells: Cells, distance: float, kinds: tuple[str, str]) -> DataFrame:
+    """(a, b, distance) of guests a and residents b within the distance: each block of a cell's residents meets each part of its guests in one task."""
+    counts = guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each cell
+    parts = np.ones(max(1, len(cells.centres)), np.int64)
+    for r in counts:
+        parts[r["cell"]] = -(-r["n"] // BLOCK)
+    of = lambda values: F.get(F.array(*[F.lit(int(x)) for x in values]), F.col("cell").cast("int"))
+    blocks = cells.blocks if len(cells.blocks) else np.ones(1, np.int64)
+    left = guests.withColumn("part", F.pmod("h", of(parts)).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks) - 1))).select("cell", F.col("block").cast("long").alias("block"), "part", "id", "v")
+    right = residents.withColumn("part", F.explode(F.sequence(F.lit(0), of(parts) - 1))).select("cell", "block", F.col("part").cast("long").alias("part"), "id", "v")
+    keys = ["cell", "block", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda p, q: _near(p, q, distance), f"a {kinds[0]}, b {kinds[1]}, distance double")
+
+
+def pairs_within(left: DataFrame, right: DataFrame, distance: float, left_id: str = "id", right_id: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, distance) of all pairs of a left and a right row within the distance. The right rows lie in cells; a left one is sent where partners can be."""
+    cells = Cells(right, distance, right_id, vector_col)
+    kinds = left.schema[left_id].dataType.simpleString(), cells.kind
+    return _met(cells.residents(), cells.guests(left, left_id, vector_col, after_own=False), cells, distance, kinds)
 
 
 def pairs_among(rows: DataFrame, distance: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, distance) of the pairs of rows within the distance, each once, a < b. Half the copies and products of pairs_within."""
-    n = _blocks(rows)
-    own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("own"))
-    met = own.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    kind = rows.schema[id_col].dataType.simpleString()
+    """(a, b, distance) of the pairs of rows within the distance, each once, a < b.
+
+    Rows meet those of their own cell, block by block, and of the cells after it that can hold a partner.
+    """
+    cells = Cells(rows, distance, id_col, vector_col)
+    kind = cells.kind
+    own = checkpointed(cells.residents())
+    of = F.get(F.array(*[F.lit(int(x)) for x in (cells.blocks if len(cells.blocks) else [1])]), F.col("cell").cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (of - 1).cast("long"))))
+    met = met.select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "v")
 
     def near(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        x, y = key
-        out = _near(both[both["own"] == x], both[both["own"] == y], distance)
-        if x == y:
-            return out[out["a"] < out["b"]]
-        turn = out["a"] > out["b"]
-        return pd.DataFrame({"a": out["a"].where(~turn, out["b"]), "b": out["b"].where(~turn, out["a"]), "distance": out["distance"]})
+        out = _near(both[both["block"] == key[1]], both[both["block"] == key[2]], distance)
+        return out[out["a"] < out["b"]] if key[1] == key[2] else out
+
+    inside = met.groupBy("cell", "x", "y").applyInPandas(near, f"a {kind}, b {kind}, distance double")
+    across = _met(own, cells.guests(rows, id_col, vector_col, after_own=True), cells, distance, (kind, kind))
+    both = inside.unionByName(across)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").where("a <> b")
+
 
-    cells = met.select("id", "v", "own", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"))
-    return cells.groupBy("x", "y").applyInPandas(near, f"a {kind}, b {kind}, distance double").where("a < b")
+def seeds(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """(a) of the rows that a greedy pass takes as clusters' first: in order of id, each row that has least rows near it or more (itself included) and
+    isn't near an earlier first one. pairs: (a, b) both ways with a = b included.
+
+    That is the lexicographically first independent set of the rows with enough near ones. It is found in rounds, on edges to smaller rows alone: in each,
+    a task reads a range of rows in order and settles every row all of whose smaller partners are settled, by rounds before or by itself just now. So a long
+    chain takes as many rounds as there are ranges (RANGES at most), a random graph few, and no task holds a component.
+    """
+    many = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a"), "seeds-many")
+    kind = pairs.schema["a"].dataType.simpleString()
+    edges = pairs.where("a > b").join(many, "a", "left_semi").join(many.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    tasks = max(1, min(RANGES, edges.rdd.getNumPartitions()))
+    open_ = written(edges.repartitionByRange(tasks, "a").select(F.spark_partition_id().alias("r"), "a", "b", F.lit(None).cast("boolean").alias("first")), "seeds-edges")
+    known = written(many.join(open_.select("a"), "a", "left_anti").select("a", F.lit(True).alias("first")), "seeds-known")
+    done = known
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict = {}  # this range's settled rows
+        row, state = None, None  # state: False if near a first one, None if it can't be told yet, else True
+        for batch in batches:
+            new = []
+            for a, b, first in zip(batch["a"], batch["b"], batch["first"], strict=True):
+                if a != row:
+                    if row is not None and state is not None:
+                        found[row] = state
+                        new.append((row, state))
+                    row, state = a, True
+                near_first = found.get(b) if first is None else bool(first)
+                if near_first:
+                    state = False
+                elif near_first is None and state:
+                    state = None
+                # A row that is near a first one stays so whatever else it is near.
+            yield pd.DataFrame(new, columns=["a", "first"]).astype({"first": "boolean"})
+        if row is not None and state is not None:
+            yield pd.DataFrame([(row, state)], columns=["a", "first"]).astype({"first": "boolean"})
+
+    while not open_.isEmpty():
+        told = open_.join(known.select(F.col("a").alias("of"), F.col("first").alias("now")), F.col("b") == F.col("of"), "left")
+        told = written(told.select("r", "a", "b", F.coalesce("first", "now").alias("first")), "seeds-told")
+        known = written(told.repartition(tasks, "r").sortWithinPartitions("r", "a", "b").select("a", "b", "first").mapInPandas(settle, f"a {kind}, first boolean"), "seeds-known")
+        done = done.unionByName(known)
+        open_ = written(told.join(known.select("a"), "a", "left_anti").select("r", "a", "b", "first"), "seeds-open")
+    return done.where("first").select("a")
 
 
 def greedy_clusters(pairs: DataFrame, least: int = 3) -> DataFrame:
     """(seed, members) of clusters: in order of id, each row not yet in a cluster takes all rows near it, if they are least or more.
 
-    pairs: (a, b) both ways with a = b included. The pass is sequential by definition, within a connected
-    component of the pairs; components are independent and run apart.
+    pairs: (a, b) both ways with a = b included. A row of the result holds its own cluster.
     """
-    kind = pairs.schema["a"].dataType.simpleString()
-    near = pairs.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("near"))
-    root = near.select("a", F.array_min("near").alias("root"))
-    while True:  # the least id within reach, and that one's own, until it settles
-        step = pairs.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("root"))
-        ahead = root.select(F.col("a").alias("of"), F.col("root").alias("further"))
-        step = checkpointed(step.join(ahead, F.col("root") == F.col("of")).select("a", F.least("root", "further").alias("root")))
-        if not step.join(root.withColumnRenamed("root", "old"), "a").where("root <> old").limit(1).count():
-            break
-        root = step
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for a, near in sorted(zip(group["a"], group["near"], strict=True)):
-            if a not in taken and len(near) >= least:
-                taken.update(near)
-                out.append((a, list(near)))
-        return pd.DataFrame(out, columns=["seed", "members"])
-
-    return near.join(root, "a").groupBy("root").applyInPandas(one, f"seed {kind}, members array<{kind}>")
+    return pairs.join(seeds(pairs, least), "a").groupBy(F.col("a").alias("seed")).agg(F.array_sort(F.collect_set("b")).alias("members"))
 
 
 def newer_neighbours(old: DataFrame, new: DataFrame, distance: float, least: int = 3) -> DataFrame:

@@ -256,9 +256,9 @@ class Store:
         return [out[i] for i in range(len(rows))]
 
     def analyze_dependencies(self, root_entity_id, max_depth=5) -> DataFrame:
-        root = self._resolved(root_entity_id).select("id").first()
-        paths = graph.closure(self.table("relations"), root["id"] if root else root_entity_id, self.now(), max_depth)
-        return graph.first_depths(paths, self.table("entities")).orderBy("depth", "id")
+        found = self._resolved(root_entity_id).select("id").first()
+        root = found["id"] if found else root_entity_id
+        return graph.paths_to(graph.depths(self.table("relations"), root, self.now(), max_depth), self.table("entities"), root).orderBy("depth", "id")
 
     def analyze_lineage(self, entity_id) -> DataFrame:
         return graph.lineage_by_parents(self.table("entities"), entity_id)

@@ -19,8 +19,8 @@ from tessera.operators import tags as tagging
 from tessera.plans import consolidation, librarian
 from tessera.plans import store as storing
 from tessera.schema import migrate
-from tessera.session import spread
-from tessera.sources import importers
+from tessera.session import scratch, spread
+from tessera.sources import importers, index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,12 +128,58 @@ def fts_porter(s, d):
     return lexical.bm25(posts, lexical.lengths(posts, ent, "id"), [porter(t) for t in lexical.query_terms("the nations and rethings")], lexical.DOCUMENTED_WEIGHTS).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""with tok as (select distinct unnest(regexp_extract_all(lower(text), '{W}')) term from documents), q as (select unnest(['attion', 'hable', 'zzzz']) term)
+@query(f"""with tok as (select distinct unnest(regexp_extract_all(lower(text), '{W}')) term from documents), q as (select unnest(['the', 'attion', 'hable', 'zzzz']) term)
  select term, exists (select 1 from tok where starts_with(tok.term, q.term)) found from q""")
 def search_explain(s, d):
     return lexical.explain(_index(s, d)[0], "the attion + (hable) zzzz*")
 
 
+def _kept_index(s, d) -> index.TextIndex:
+    """An index of the documents as upkeep leaves it: all texts as they were first stored, then most of them as they are now, some archived, some changed again, in several segments."""
+    docs = s.read.parquet(f"{d}/documents.parquet").withColumn("id", F.col("doc_id").cast("string"))
+    out = index.TextIndex(s, scratch(s, "text-index"), index.PLAIN)
+    fields = {"title": F.col("lang"), "content": F.col("text")}
+    out.update(docs, {"title": F.col("lang"), "content": F.concat_ws(" ", F.lit("draft of"), "source", "text")})
+    out.update(docs.where("lang <> 'en'"), fields, gone=docs.where("lang = 'en' and source = 'src1'").select("id"))
+    out.compact()
+    out.update(docs.where("lang = 'en' and source <> 'src1'"), fields, gone=docs.where("lang = 'fr'").select("id"))
+    return out
+
+
+KEPT_SQL = f"""live as (select * from documents where lang <> 'fr' and not (lang = 'en' and source = 'src1')),
+ arr as (select doc_id id, 'title' field, regexp_extract_all(lower(lang), '{W}') w from live union all select doc_id, 'content', regexp_extract_all(lower(text), '{W}') from live),
+ tok as (select id, field, unnest(w) term, generate_subscripts(w, 1) p from arr)"""
+
+
+@query(f"with {KEPT_SQL} select term, field, count(distinct id) n_rows, count(*) n, sum(p - 1)::bigint places from tok group by 1, 2")
+def index_upkeep(s, d):
+    """All that the index holds after upkeep, by term and field, against the texts read anew."""
+    posts = _kept_index(s, d).postings()
+    return posts.groupBy("term", "field").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tf").alias("n"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)).alias("places"))
+
+
+PHRASE = ["the", "an"]
+
+
+def _stored_bm25_sql(terms: str) -> str:
+    """BM25 over all fields with the documented weights; terms: (id, field, q, tf)."""
+    return f"""{KEPT_SQL}, dl as (select id, sum(len(w)) len from arr group by 1), st as (select count(*) nd, avg(len) av from dl), m as ({terms}), per as (select id, q, sum(tf * case field when 'title' then 10.0 else 1.0 end) f from m group by 1, 2),
+ dfs as (select q, count(*) df from per group by 1), idf as (select q, case when (nd - df + 0.5) / (df + 0.5) > 1 then ln((nd - df + 0.5) / (df + 0.5)) else 1e-6 end idf, av from dfs, st)
+ select id::varchar id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av))), 6) score, count(*) n_terms from per join idf using (q) join dl using (id) group by 1"""
+
+
+@query("with " + _stored_bm25_sql("select id, field, case when starts_with(term, 'attion') then 0 else 1 end q, count(*) tf from tok where starts_with(term, 'attion') or starts_with(term, 'hable') group by all"))
+def index_search(s, d):
+    """A search of the stored index reads the buckets of its terms alone."""
+    return _kept_index(s, d).search("attion hable")[0].withColumn("score", F.round("score", 6))
+
+
+@query("with " + _stored_bm25_sql(f"select a.id, a.field, 0 q, count(distinct a.p) tf from tok a join tok b on a.id = b.id and a.field = b.field and b.p = a.p + 1 where a.term = '{PHRASE[0]}' and starts_with(b.term, '{PHRASE[1]}') group by all"))
+def phrase_prefix(s, d):
+    """A query term of several tokens is a phrase whose last token is a prefix."""
+    return _kept_index(s, d).search(".".join(PHRASE))[0].withColumn("score", F.round("score", 6))
+
+
 # Vectors and fusion ---------------------------------------------------------------------------------------------
 
 Q0 = "(select embedding from embeddings where vec_id = 0)"
@@ -161,7 +207,13 @@ def knn_pairs(s, d):
     return vector.pairs_among(v, 0.6).select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query()
+NEAR_SQL = f"""near as (select a.id, list_sort(list(b.id)) n from (select ent.id, embedding from ent join embeddings on vec_id = doc_id where status = 'raw') a, (select ent.id, embedding from ent join embeddings on vec_id = doc_id where status = 'raw') b
+ where a.id = b.id or {COS.replace("e.embedding", "a.embedding").replace("q.embedding", "b.embedding")} <= 0.6 group by 1)"""
+
+
+@query(f"""with recursive {ENT}, {NEAR_SQL}, o as materialized (select id, n, row_number() over (order by id) i from near),
+ r as (select 0::bigint i, []::varchar[] taken, null::varchar seed union all select o.i, case when len(o.n) >= 3 and not list_contains(taken, o.id) then list_concat(taken, o.n) else taken end,
+ case when len(o.n) >= 3 and not list_contains(taken, o.id) then o.id end from r join o on o.i = r.i + 1) select seed, n members from r join o on o.id = r.seed""")
 def vector_clusters(s, d):
     ent = lens.entities(s, d)
     emb = lens.vectors(s, d).select(F.col("id").cast("string").alias("entity_id"), "embedding")
@@ -838,7 +890,7 @@ def store_batch(s, d):
  union all select e.target_id, depth + 1, list_append(path, e.target_id) from walk w join edge e on e.source_id = w.id where depth < 5 and not list_contains(path, e.target_id))
  select id, title, min(depth) depth from walk join ent using (id) group by 1, 2""")
 def dependency_depths(s, d):
-    return graph.first_depths(graph.closure(lens.relations(s, d), "60", _now()), lens.entities(s, d))
+    return graph.depths(lens.relations(s, d), "60", _now()).join(lens.entities(s, d).select("id", "title"), "id").select("id", "title", "depth")
 
 
 @query(f"""with recursive {REL}, walk as (select '150' id, 0 depth union select target_id, depth + 1 from walk join rel on source_id = walk.id and predicate = 'derived_from' where depth < 10) select id, depth from walk""")

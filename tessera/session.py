@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where spark.checkpoint.dir is unset, as in local tests.
@@ -14,14 +16,29 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return SparkSession.builder.master(f"local[{cpus}]").config(map=base | conf).getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: in spark.checkpoint.dir, or, on one machine alone, in LOCAL_CHECKPOINTS."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(root or LOCAL_CHECKPOINTS).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder that the cluster names in spark.checkpoint.dir."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or LOCAL_CHECKPOINTS)
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again. For loops: unlike a checkpoint it keeps no constraints, which grow with each round."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """df over all cores, for measures that cost much more than moving the rows; by: columns that tell rows apart.
 

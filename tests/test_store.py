@@ -225,12 +225,14 @@ def test_pairs_over_blocks_and_strips(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(vector, "STRIP", 7)
+    monkeypatch.setattr(vector, "BLOCK", 9)
     v = np.random.default_rng(1).normal(size=(60, 3))
     v[5] = 0
     rows = spark.createDataFrame([(f"k{i}", [float(x) for x in r]) for i, r in enumerate(v)], "id string, embedding array<double>")
     unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     want = {(f"k{i}", f"k{j}") for i in range(60) for j in range(60) if 1 - unit[i] @ unit[j] <= 0.1}
-    assert vector._blocks(rows) > 1
+    cells = vector.Cells(rows, 0.1, "id", "embedding")
+    assert len(cells.centres) == 7 and cells.blocks.max() > 1
     assert {(r["a"], r["b"]) for r in vector.pairs_within(rows, rows, 0.1).collect()} == want
     once = [(r["a"], r["b"]) for r in vector.pairs_among(rows, 0.1).collect()]
     assert len(once) == len(set(once)) and set(once) == {(a, b) for a, b in want if a < b}
@@ -246,3 +248,94 @@ def test_greedy_clusters_along_a_chain(spark):
             taken.update(near[i])
             want[f"{i:02}"] = [f"{j:02}" for j in near[i]]
     assert {r["seed"]: r["members"] for r in vector.greedy_clusters(pairs).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_clusters_equal_the_pass(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    n = 150
+    near = {i: {i} for i in range(n)}
+    for _ in range([60, 250, 900][seed]):
+        i, j = rng.randrange(n), rng.randrange(n)
+        near[i].add(j)
+        near[j].add(i)
+    taken, want = set(), {}
+    for i in range(n):
+        if i not in taken and len(near[i]) >= 3:
+            taken |= near[i]
+            want[i] = sorted(near[i])
+    pairs = spark.createDataFrame([(i, j) for i in near for j in near[i]], "a long, b long")
+    assert {r["seed"]: r["members"] for r in vector.greedy_clusters(pairs).collect()} == want
+
+
+def test_a_long_chain_is_in_no_task(spark):
+    """100,000 rows in one component: each task settles a range of them."""
+    n = 100_000
+    ids = spark.range(n)
+    pairs = ids.select(F.col("id").alias("a"), F.explode(F.filter(F.array(F.col("id") - 1, F.col("id"), F.col("id") + 1), lambda b: (b >= 0) & (b < n))).alias("b"))
+    want, taken = [], -1
+    for i in range(1, n - 1):
+        if i > taken:
+            want.append(i)
+            taken = i + 1
+    assert sorted(r["a"] for r in vector.seeds(pairs).collect()) == want
+
+
+def test_cells_prune_and_lose_no_pair(spark):
+    """On rows in tight groups the pairs of brute force are found with few copies and products."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    v = np.concatenate([centres[i % 40] + rng.normal(size=24) * 0.08 for i in range(1600)]).reshape(1600, 24)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = 1 - unit @ unit.T <= 0.05
+    assert {(r["a"], r["b"]) for r in vector.pairs_among(rows, 0.05).collect()} == {(i, j) for i, j in np.argwhere(near) if i < j}
+    cells = vector.Cells(rows, 0.05, "id", "embedding")
+    sizes = {r["cell"]: r["count"] for r in cells.residents().groupBy("cell").count().collect()}
+    guests = {r["cell"]: r["count"] for r in cells.guests(rows, "id", "embedding", True).groupBy("cell").count().collect()}
+    products = sum(n * n // 2 + n * guests.get(c, 0) for c, n in sizes.items())
+    assert sum(guests.values()) < 3 * 1600 and products < 1600 * 1600 / 10
+
+
+@pytest.mark.parametrize("distance", [0.3, 1.0, 1.5])
+def test_pairs_at_wide_distances(spark, distance):
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=(50, 2))
+    v[7] = 0
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(90, None)], "id long, embedding array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    want = {(i, j) for i, j in np.argwhere(1 - unit @ unit.T <= distance)}
+    assert {(r["a"], r["b"]) for r in vector.pairs_within(rows, rows, distance).collect()} == want
+    assert {(r["a"], r["b"]) for r in vector.pairs_among(rows, distance).collect()} == {(i, j) for i, j in want if i < j}
+    assert vector.pairs_among(rows.where("id > 80"), distance).count() == 0
+
+
+def test_depths_build_no_paths(spark):
+    """A graph of 2**20 paths: each level is its own nodes. Least depths and parents equal a breadth-first search."""
+    import collections
+    import random
+
+    rng, pairs = random.Random(1), []
+    for level in range(20):
+        pairs += [(f"{level:02}{a}", f"{level + 1:02}{b}", "p") for a in "xy" for b in "xy"]
+    pairs += [(f"{rng.randrange(20):02}x", f"{rng.randrange(20):02}y", "q") for _ in range(8)] + [("00x", "00x", "p"), ("05x", "00x", "p")]
+    rel = edges(spark, *pairs)
+    want, front = {"00x": (0, None)}, ["00x"]
+    for depth in range(1, 13):
+        reached = collections.defaultdict(list)
+        for a, b, p in pairs:
+            if a in front and b not in want:
+                reached[b].append((a, p))
+        want |= {b: (depth, min(by)) for b, by in reached.items()}
+        front = list(reached)
+    found = graph.depths(rel, "00x", now(), 12)
+    got = {r["id"]: (r["depth"], (r["parent"], r["predicate"])) for r in found.collect()}
+    assert got == {k: v for k, v in want.items() if k != "00x"}
+    ent = entities(spark, *[{"id": k, "title": k.upper()} for k in want])
+    paths = {r["id"]: r["path"] for r in graph.paths_to(found, ent, "00x").collect()}
+    assert len(paths) == len(got) and paths["01y"] == "00X -> 01Y" and all(p.count("->") == want[k][0] and p.endswith(k.upper()) for k, p in paths.items())
