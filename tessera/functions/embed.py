@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions.porter import fts_tokens
+from tessera.session import written
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -42,13 +43,40 @@ def embed(texts: Column, make: Callable[[], Embedder] = hashing_embedder) -> Col
     return run(texts)
 
 
-def pending() -> Column:
-    """Rows that still need an embedding."""
-    return (F.col("status") != "archived") & F.coalesce(F.col("embedding_status"), F.lit("")).isin("", "pending")
+def _tried(embedder: Embedder, texts: list[str]) -> list[tuple]:
+    """(vector, error) of each text: a batch that fails is halved until the text that makes it fail is alone."""
+    try:
+        return [(v, None) for v in embedder(texts)]
+    except Exception as e:  # noqa: BLE001  whatever a model raises is that text's failure
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return _tried(embedder, texts[:half]) + _tried(embedder, texts[half:])
 
 
-def backfill(entities: DataFrame, embeddings: DataFrame, make: Callable[[], Embedder] = hashing_embedder) -> tuple[DataFrame, DataFrame]:
-    """(entities, embeddings) with vectors of title and content for the pending rows, which then are ready."""
-    due = entities.where(pending()).select(F.col("id").alias("entity_id"), embed(F.concat_ws("\n\n", "title", "full_content"), make).alias("embedding"))
+def embed_or_fail(texts: Column, make: Callable[[], Embedder] = hashing_embedder) -> Column:
+    """(embedding, error) of each text, one of them null."""
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        embedder = make()
+        for batch in batches:
+            yield pd.DataFrame(_tried(embedder, batch.fillna("").tolist()) if len(batch) else [], columns=["embedding", "error"])
+
+    return run(texts)
+
+
+def pending(retry: bool = False) -> Column:
+    """Rows that still need an embedding; retry: those that failed too."""
+    return (F.col("status") != "archived") & F.coalesce(F.col("embedding_status"), F.lit("")).isin("", "pending", *(["failed"] if retry else []))
+
+
+def backfill(entities: DataFrame, embeddings: DataFrame, make: Callable[[], Embedder] = hashing_embedder, retry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entities, embeddings) with vectors of title and content for the pending rows, which then are ready, or failed where the embedder did."""
+    tried = entities.where(pending(retry)).select(F.col("id").alias("entity_id"), embed_or_fail(F.concat_ws("\n\n", "title", "full_content"), make).alias("e"))
+    tried = written(tried.select("entity_id", "e.embedding", "e.error"), "embedded")  # the embedder runs once
+    due, failed = tried.where("error is null").select("entity_id", "embedding"), tried.where("error is not null").select("entity_id")
     kept = embeddings.join(due.select("entity_id"), "entity_id", "left_anti")
-    return entities.withColumn("embedding_status", F.when(pending(), "ready").otherwise(F.col("embedding_status"))), kept.unionByName(due)
+    status = F.when(F.col("failed_id").isNotNull(), "failed").when(pending(retry), "ready").otherwise(F.col("embedding_status"))
+    after = entities.join(failed.withColumnRenamed("entity_id", "failed_id"), F.col("id") == F.col("failed_id"), "left").withColumn("embedding_status", status).drop("failed_id")
+    return after, kept.unionByName(due)

@@ -39,8 +39,12 @@ IDENTIFIERS = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_/-]+\.(?:py|rs|js|ts|json|md|sql|y
 def gate(df: DataFrame, text_col: str, lexicon: list[str] | None = BIGRAMS) -> DataFrame:
     """Appends quality_status (ACCEPT, WARN or REJECT), quality_score and quality_flags.
 
-    Each measure is a column of its own, so it is computed once though several tests read it.
+    Each measure is a column of its own, so it is computed once though several tests read it. Their names begin with _; columns of df that do are renamed meanwhile.
     """
+    aside = {c: f"{i}{c}" for i, c in enumerate(df.columns) if c.startswith("_")}
+    if aside:
+        back = {v: k for k, v in aside.items()}
+        return gate(df.withColumnsRenamed(aside), aside.get(text_col, text_col), lexicon).withColumnsRenamed(back)
     t = F.col("_t")
     m = df.withColumn("_t", X.strip(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_w", X.words(F.lower(t))).withColumn("_md", structure(t)).withColumn("_prose", X.prose(t))
     m = m.withColumns({

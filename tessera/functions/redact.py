@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Shapes of provider keys.
@@ -24,22 +25,26 @@ PREFIXES = ("ghp_", "github_pat_", "sk-ant-", "sk-proj-", "sk-", "AKIA")
 MARK = "[REDACTED_SECRET]"
 
 
-def valid_rules(lines: list[str]) -> list[str]:
-    """Rules from lines of text: blank ones, # comments and ones that don't compile are left out."""
-    out = []
-    for line in map(str.strip, lines):
-        if line and not line.startswith("#"):
-            try:
-                re.compile(line)
-            except re.error:
-                continue
-            out.append(line)
-    return out
+def checked_rules(spark: SparkSession, lines: Iterable[str]) -> tuple[list[str], dict[str, str]]:
+    """(kept, refused with the reason) of rules given as lines; blank lines and # comments are neither. A rule is what the engine that runs it can compile."""
+    kept, refused = [], {}
+    for rule in dict.fromkeys(x.strip() for x in lines):
+        if not rule or rule[0] == "#":
+            continue
+        try:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(rule)
+        except IllegalArgumentException as e:  # as which a PatternSyntaxException arrives
+            refused[rule] = str(e).partition("\n")[0]
+        else:
+            kept.append(rule)
+    return kept, refused
 
 
 def redact(c: Column, rules: list[str] | None = None, only_with_prefix: bool = False) -> Column:
     """c with secrets replaced. only_with_prefix: texts without a provider's prefix stay as they are, unless there are rules."""
-    done = F.regexp_replace(c, "(?i)" + "|".join([*SECRET_PATTERNS, *(rules or [])]), F.lit(MARK.replace("$", r"\$")))
+    done = F.regexp_replace(c, "(?i)" + "|".join(SECRET_PATTERNS), F.lit(MARK))
+    for rule in rules or []:  # each by itself, so a rule's groups and flags are its own
+        done = F.regexp_replace(done, f"(?i){rule}", F.lit(MARK))
     if not only_with_prefix or rules:
         return done
     has = c.contains(PREFIXES[0])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.embed import backfill, hashing_embedder
+from tessera.functions.redact import checked_rules
 from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd, vector
 from tessera.operators import tags as tagging
 from tessera.plans import consolidation, librarian
@@ -62,7 +63,8 @@ def content_field() -> dict:
 class Store:
     def __init__(self, spark: SparkSession, root: str | None = None, redaction_rules: list[str] | None = None, embedder=hashing_embedder):
         root = root or os.environ.get(ROOT_VARIABLE) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera"
-        self.spark, self.root, self.rules, self.embedder = spark, root, redaction_rules, embedder
+        self.spark, self.root, self.embedder = spark, root, embedder
+        self.rules, self.refused_rules = checked_rules(spark, redaction_rules or [])
         self.ephemeral, self.lock = Ephemeral(), JobLock(spark, f"{root}/locks")
         self.now = F.current_timestamp
         held = lambda name: lambda: snapshot.state(spark, root)[1].get("indexes", {}).get(name, {})
@@ -77,20 +79,21 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return snapshot.read(self.spark, self.root, name)
 
-    def _save(self, since: int | None = None, **tables: DataFrame) -> None:
-        """Commits what differs in the tables, with the indexes of what differs in the entities. since: the commit that they were made from."""
+    def _save(self, since: int | None = None, extra: dict | None = None, **tables: DataFrame) -> None:
+        """Commits what differs in the tables, with the indexes of what differs in the entities. since: the commit that they were made from; extra: what else the commit keeps."""
         added = {n: df for n, df in tables.items() if n in snapshot.APPENDED}
-        changed, gone, extra = {}, {}, None
+        changed, gone = {}, {}
         for name in tables.keys() - added.keys():
-            rows, keys = (checkpointed(df) for df in snapshot.changes(self.table(name), tables[name], name))
-            if not rows.isEmpty():
+            rows, keys = snapshot.changes(self.table(name), tables[name], name)
+            if not (rows := checkpointed(rows)).isEmpty():
                 changed[name] = rows
-            if not keys.isEmpty():
+            # Of the others rows change but never go.
+            if name in ("relations", "entity_tags") and not (keys := checkpointed(keys)).isEmpty():
                 gone[name] = keys
         if "entities" in changed:
             live, dead = changed["entities"].where(hybrid.active()), changed["entities"].where(~hybrid.active()).select("id")
-            extra = {"indexes": {"text": self.texts.prepared(live, indexed_fields(), dead), "content": self.contents.prepared(live, content_field(), dead)}}
-        if changed or gone or added:
+            extra = (extra or {}) | {"indexes": {"text": self.texts.prepared(live, indexed_fields(), dead), "content": self.contents.prepared(live, content_field(), dead)}}
+        if changed or gone or added or extra:
             snapshot.commit(self.spark, self.root, changed=changed, gone=gone, added=added, since=since, extra=extra)
 
     def reindex(self) -> None:
@@ -304,20 +307,34 @@ class Store:
     def create_snapshot(self):
         return snapshot.backup(self.spark, self.root, f"{self.root}/backups")
 
-    def backfill_embeddings(self) -> None:
+    def backfill_embeddings(self, retry: bool = False) -> None:
         since = snapshot.state(self.spark, self.root)[0]
-        ent, emb = backfill(self.table("entities"), self.table("embeddings"), self.embedder)
+        ent, emb = backfill(self.table("entities"), self.table("embeddings"), self.embedder, retry)
         self._save(since, entities=ent, embeddings=emb)
 
-    def run_librarian(self, distance: float = librarian.NEAR) -> bool:
-        """False if it isn't due or another process is at it."""
+    def triggered(self, stream: str, batch: int, events: int) -> bool:
+        """Takes note of a stream's batch of so many events, and runs the librarian if it is due. A batch that is replayed counts once: what it led to
+        and its number are one commit."""
+        noted = snapshot.state(self.spark, self.root)[1].get("triggers", {})
+        mine = noted.get(stream, {"batch": -1, "events": 0})
+        if batch <= mine["batch"]:
+            return False
+        waiting = mine["events"] + events
+        after = lambda left: {"triggers": noted | {stream: {"batch": batch, "events": left}}}
+        if waiting and self.run_librarian(extra=after(0)):
+            return True
+        self._save(extra=after(waiting))
+        return False
+
+    def run_librarian(self, distance: float = librarian.NEAR, extra: dict | None = None) -> bool:
+        """False if it isn't due or another process is at it. extra: what its commit keeps besides."""
         ent = self.table("entities")
         if not librarian.due(ent.where("status = 'raw'").limit(2).count(), self.lock.seconds_since_last()) or not self.lock.acquire():
             return False
         try:
             since = snapshot.state(self.spark, self.root)[0]
             tags, links, requests = librarian.run(ent, self.table("tags"), self.table("entity_tags"), self.table("embeddings"), self.now(), distance)
-            self._save(since, tags=tags, entity_tags=links, events=requests)
+            self._save(since, extra, tags=tags, entity_tags=links, events=checkpointed(requests))
         finally:
             self.lock.release()
         return True

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import lens
 from tessera.functions import quality
 from tessera.functions import text as X
-from tessera.functions.embed import backfill
+from tessera.functions.embed import backfill, hashing_embedder
 from tessera.functions.lexicon import BIGRAMS
 from tessera.functions.mdformat import format_markdown_udf
 from tessera.functions.redact import redact
@@ -18,7 +18,7 @@ from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd
 from tessera.operators import tags as tagging
 from tessera.plans import consolidation, librarian
 from tessera.plans import store as storing
-from tessera.schema import migrate
+from tessera.schema import TABLES, migrate
 from tessera.session import scratch, spread
 from tessera.sources import importers, index
 
@@ -898,6 +898,29 @@ def lineage_edges(s, d):
     return graph.lineage_by_edges(lens.relations(s, d), "150", "derived_from")
 
 
+def _failing_embedder():
+    """Raises for a batch with a certain word, as a model may for a text that it can't read."""
+    plain = hashing_embedder(8)
+
+    def embed(texts):
+        if any("attion" in t for t in texts):
+            raise ValueError("unreadable")
+        return plain(texts)
+
+    return embed
+
+
+@query(f"""with {ENT} select case when status <> 'archived' and contains(full_content, 'attion') then 'failed' when status <> 'archived' then 'ready' else 'archived' end embedding_status, count(*) n,
+ count(*) filter (where status <> 'archived' and not contains(full_content, 'attion')) n_vectors from ent group by 1""")
+def embedding_failures(s, d):
+    """Texts that the embedder can't read fail alone, however they are batched."""
+    ent = lens.entities(s, d).withColumn("embedding_status", F.when(F.col("status") == "archived", "archived").otherwise("pending"))
+    none = s.createDataFrame([], TABLES["embeddings"])
+    after, vectors = backfill(ent, none, _failing_embedder)
+    held = after.join(vectors.select("entity_id"), F.col("id") == F.col("entity_id"), "left")
+    return held.groupBy("embedding_status").agg(F.count(F.lit(1)).alias("n"), F.count("entity_id").alias("n_vectors"))
+
+
 @query(f"with {ENT} select id, case when status = 'archived' then embedding_status else 'ready' end embedding_status, status <> 'archived' and embedding_status = 'pending' or doc_id in (select vec_id from embeddings) has_vector from ent")
 def embedding_backfill(s, d):
     """Pending rows get vectors and become ready; those of others stay."""

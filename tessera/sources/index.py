@@ -1,7 +1,7 @@
 """A stored full-text index with upkeep: postings with positions, lengths and totals, in segments.
 
-A segment holds the postings of the rows that were added or changed together, in folders by bucket of the terms' first two characters and in order of
-terms, and the list of these rows with their lengths; rows that went are listed without. A row counts as its last segment has it, so nothing
+A segment holds the postings of the rows that were added or changed together in order of terms, the first segment in folders by bucket of the terms' first two
+characters, later ones, which are small, in one; and the list of these rows with their lengths; rows that went are listed without. A row counts as its last segment has it, so nothing
 is rewritten when rows change: a posting is live if its row's last segment is the posting's own. A search reads the
 buckets of its terms alone, of all segments, and no text. Totals are kept with the commit that names the segments, so a
 segment and its totals count together or not at all. compact() writes all live rows as one segment.
@@ -22,7 +22,9 @@ from tessera.functions.porter import fts_tokens
 from tessera.operators import lexical
 from tessera.sources.commits import Commits
 
-BUCKETS = 256
+BUCKETS = 128
+#: The folder of a later segment's postings.
+ALL = -1
 #: Segments beside the first from which an update compacts.
 MOST_SEGMENTS = 16
 POSTINGS = StructType([StructField("id", StringType()), StructField("field", StringType()), StructField("term", StringType()), StructField("positions", ArrayType(IntegerType())), StructField("s", LongType()), StructField("b", IntegerType())])
@@ -55,7 +57,7 @@ class TextIndex:
         at = max([time.time_ns(), *[n + 1 for n in segments]])  # no other writer's
         each = docs.select(F.col("id").cast("string").alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), self.tokens(c).alias("tokens")) for n, c in fields.items()])).alias("f"))
         each = each.select("id", "f.field", F.posexplode("f.tokens").alias("p", "term"))
-        self._write_postings(each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("p")).alias("positions")), at)
+        self._write_postings(each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("p")).alias("positions")), at, not segments)
         lengths = self._postings([at]).groupBy("id").agg(F.sum(F.size("positions")).alias("len"))
         rows = docs.select(F.col("id").cast("string").alias("id")).distinct().join(lengths, "id", "left").select("id", F.lit(True).alias("alive"), F.coalesce("len", F.lit(0)).cast("long").alias("len"))
         if gone is not None:
@@ -71,7 +73,7 @@ class TextIndex:
         """The state with all live rows as one segment; a search reads the same before and after."""
         state = state or self.state()
         at, live = max([time.time_ns(), *[n + 1 for n in state["segments"]]]), self.rows(state)
-        self._write_postings(self._postings(state["segments"]).join(live.select("id", "s"), ["id", "s"], "left_semi").select("id", "field", "term", "positions"), at)
+        self._write_postings(self._postings(state["segments"]).join(live.select("id", "s"), ["id", "s"], "left_semi").select("id", "field", "term", "positions"), at, True)
         live.select("id", F.lit(True).alias("alive"), "len").write.parquet(f"{self.root}/docs/s={at}")
         return {**state, "segments": [at]}
 
@@ -88,9 +90,9 @@ class TextIndex:
     def compact(self) -> int:
         return self._commit(self.compacted)
 
-    def _write_postings(self, posts: DataFrame, at: int) -> None:
-        # A bucket of frequent terms goes to several tasks by its rows' ids.
-        dealt = posts.withColumn("b", bucket(F.col("term"))).repartition("b", F.pmod(F.xxhash64("id"), F.lit(8)))
+    def _write_postings(self, posts: DataFrame, at: int, first: bool) -> None:
+        # Adaptive execution deals large buckets over several tasks and gives small ones to one.
+        dealt = posts.withColumn("b", bucket(F.col("term"))).hint("rebalance", "b") if first else posts.withColumn("b", F.lit(ALL))
         dealt.sortWithinPartitions("b", "term", "id").write.partitionBy("b").parquet(f"{self.root}/postings/s={at}")
 
     # Reading
@@ -120,7 +122,7 @@ class TextIndex:
             found = found.where(reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in starts], F.lit(False)))
             if starts and min(map(len, starts)) >= 2:
                 wanted = self.spark.range(1).select(*[bucket(F.lit(t)).alias(f"b{i}") for i, t in enumerate(starts)]).first()
-                found = found.where(F.col("b").isin(sorted(set(wanted))))
+                found = found.where(F.col("b").isin(sorted({ALL, *wanted})))
         return found.join(self.rows(state), ["id", "s"]).select("id", "field", "term", "positions", F.size("positions").cast("long").alias("tf"), "len")
 
     def terms_of(self, query: str | None) -> list[list[str]]:
@@ -148,5 +150,6 @@ class TextIndex:
         segments = state.get("segments", [])
         held = self._postings(segments) if segments else self.spark.createDataFrame([], POSTINGS)
         asked = new.select(F.col("id").alias("a"), F.size("tokens").alias("n"), F.explode("tokens").alias("term")).withColumn("b", bucket(F.col("term")))
-        met = held.join(asked, ["b", "term"]).join(self.rows(state), ["id", "s"]).groupBy("a", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("len").alias("len"))
+        met = held.where(F.col("b") != ALL).join(asked, ["b", "term"]).unionByName(held.where(F.col("b") == ALL).drop("b").join(asked, "term"))
+        met = met.join(self.rows(state), ["id", "s"]).groupBy("a", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("len").alias("len"))
         return met.select("a", F.col("id").alias("b"), (F.col("c") / (F.col("n") + F.col("len") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= least)

@@ -8,7 +8,7 @@ from tessera.functions import quality
 from tessera.functions import text as X
 from tessera.functions.mdformat import format_markdown
 from tessera.functions.porter import porter
-from tessera.functions.redact import MARK, redact, valid_rules
+from tessera.functions.redact import MARK, checked_rules, redact
 from tessera.operators import lexical
 
 
@@ -40,7 +40,7 @@ def test_scalars(spark):
 def test_redaction(spark):
     assert MARK in one(spark, "key ghp_" + "a1" * 18, redact)
     assert one(spark, "nothing here", redact) == "nothing here"
-    assert one(spark, "Code: zz-77", lambda c: redact(c, valid_rules(["# no", "", "(", r"zz-\d+"]))) == f"Code: {MARK}"
+    assert one(spark, "Code: zz-77", lambda c: redact(c, checked_rules(spark, ["# no", "", "(", r"zz-\d+"])[0])) == f"Code: {MARK}"
 
 
 def test_markdown_format_is_idempotent():
