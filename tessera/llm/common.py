@@ -24,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or LOCAL_SCRATCH
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or LOCAL_SCRATCH
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

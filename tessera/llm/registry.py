@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,8 +95,27 @@ def op13_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 counts in every document before its labels are drawn on."""
+    none = line_crf.Chain(np.zeros(line_crf.N_FEATURES), np.zeros((2, 2)))
+    return line_crf.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), none).select("doc_id", *[n for n, _ in line_crf.RULES[:6]])
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 stores and reads back of every document: its payload."""
+    return op9_audio_features(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7's shards: rows, bytes, and whether slots are gapless and equal texts together; and whether no shard is above an even share by more than its largest group."""
+    out = op7_minimax_shards(spark, sf_dir)
+    whole = out.groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("shards")).agg(F.max("shards").alias("most"))
+    each = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"))
+    return each.agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"), F.sum((F.col("slots") == F.col("n")).cast("long")).alias("distinct_slots"), F.sum((F.col("last") + 1 == F.col("n")).cast("long")).alias("gapless")).join(F.broadcast(whole.select(F.col("most").cast("long").alias("shards_of_a_text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_components, op2_kneser_ney_quality, op3_line_crf_rules, op4_wrapper_text, op5_pii_surrogates, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip, op11_hamerly_clusters, op12_fill_middle, op13_scaled_sketches)
+    f.__name__: f for f in (op1_simhash_components, op2_kneser_ney_quality, op3_line_crf_rules, op4_wrapper_text, op5_pii_surrogates, op6_warc_revisits, op7_minimax_shards, op8_pow2_packing, op9_audio_features, op10_bpe_roundtrip, op11_hamerly_clusters, op12_fill_middle, op13_scaled_sketches, line_counts, media_payloads, shard_sizes)
 }
 
 
@@ -122,6 +142,14 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc_revisits": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) h, max(page_id) over (partition by coalesce(html, '')) kept from pages)
  select page_id, n::bigint payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i // 4 * 5 + 1, 5))::bigint >> (15 - i % 4 * 5)) & 31) + 1, 1)), '') payload_digest,
  case when page_id = kept then 'response' else 'revisit' end record_type, case when page_id <> kept then kept end refers_to from p""",
+    "line_counts": r"""with t as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, string_split(coalesce(text, ''), chr(10)) l from documents),
+ g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') s from t, unnest(range(1, greatest(len(w) - 3, 1))) u(i)), d as (select doc_id, i, count(*) over (partition by doc_id, s) c from g),
+ r as (select doc_id, count(distinct i + k) n from d, range(5) x(k) where c > 1 group by 1),
+ n as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) k from t)
+ select doc_id, n_words, word_chars, n_symbols, (len(k) - len(list_distinct(k)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, n_words < 10 or 100 * coalesce(r.n, 0) > 20 * n_words base_failed from n left join r using (doc_id)""",
+    "media_payloads": """with t as (select doc_id, coalesce(text, '') t, octet_length(encode(coalesce(text, ''))) n from documents), p as (select *, greatest(1, (n + 191) // 192) * 192 m from t)
+ select doc_id, n::bigint n_bytes, m::bigint payload_bytes, sha256(t || repeat(' ', m - n)) payload_sha256 from p""",
+    "shard_sizes": "select 24::bigint shards, count(*)::bigint as \"rows\", 24::bigint distinct_slots, 24::bigint gapless, 1::bigint shards_of_a_text from documents",
     "op11_hamerly_clusters": _cluster_sql(),
     "op12_fill_middle": """with t as (select doc_id, coalesce(text, '') t, string_split(coalesce(text, ''), chr(10)) l, sha256('7:' || doc_id) h from documents),
  u as (select *, len(l) - case when t = '' or t like '%' || chr(10) then 1 else 0 end n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 1 + 8 * i, 8))::bigint) r from t),
