@@ -249,11 +249,11 @@ def hybrid_search(s, d):
 
 
 @query(f"""with {ENT}, {REL}, ends as (select source_id id, target_id other, predicate, id edge from rel union all select target_id, source_id, predicate, id from rel),
- hit as (select id from ent where doc_id % 10 = 0), near as (select ends.*, row_number() over (partition by ends.id order by edge, other) nth from ends join hit using (id) join ent o on o.id = other where o.status <> 'archived' and other not in (select id from hit))
+ hit as (select id from ent where owner_id = 'src0'), near as (select ends.*, row_number() over (partition by ends.id order by edge, other) nth from ends join hit using (id) join ent o on o.id = other where o.status <> 'archived' and other not in (select id from hit))
  select id, string_agg(other, ',' order by nth) related from near where nth <= 5 group by 1""")
 def neighbours_top5(s, d):
     ent = lens.entities(s, d)
-    out = hybrid.neighbours(ent.where("doc_id % 10 = 0").select("id"), lens.relations(s, d), ent)
+    out = hybrid.neighbours(ent.where("owner_id = 'src0'").select("id"), lens.relations(s, d), ent)
     return out.select("id", F.array_join(F.col("related.id"), ",").alias("related"))
 
 
@@ -561,11 +561,11 @@ def entity_detail(s, d):
     return out.select("id", F.array_join("tags", ",").alias("tags"), F.size("outgoing").cast("long").alias("outgoing"), F.size("incoming").cast("long").alias("incoming"))
 
 
-@query(f"with {ENT}, inp as (select id as input, id from ent where doc_id < 5 union all select title, id from ent where status <> 'archived' and doc_id < 9 union all values ('none', 'none')) select * from inp")
+@query(f"with {ENT} select id as input, id from ent union all select title, case when status <> 'archived' then id else title end from ent union all values ('none', 'none')")
 def resolve_ids(s, d):
+    """Every id and every title; titles of archived rows lead nowhere."""
     ent = lens.entities(s, d)
-    asked = ent.where("doc_id < 5").select(F.col("id").alias("input")).union(ent.where("status <> 'archived' and doc_id < 9").select("title")).union(s.createDataFrame([("none",)], "input string"))
-    return graph.resolve_ids(asked, ent)
+    return graph.resolve_ids(ent.select(F.col("id").alias("input")).union(ent.select("title")).union(s.createDataFrame([("none",)], "input string")), ent)
 
 
 # Versions -------------------------------------------------------------------------------------------------------
@@ -644,9 +644,10 @@ def importer_catalog(s, d):
 # The same operators at larger volume ----------------------------------------------------------------------------
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderstatus = 'P')")
 def star_orphans(s, d):
-    return lens.read(s, d, "customer").join(lens.read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a pending order."""
+    return lens.read(s, d, "customer").join(lens.read(s, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select c_custkey, n_name, r_name from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
