@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from tessera.functions import text as X
 from tessera.functions.porter import fts_tokens
 from tessera.operators import lexical
-from tessera.sources.commits import Commits
+from tessera.sources.commits import Commits, delete
 
 BUCKETS = 128
 #: The folder of a later segment's postings.
@@ -78,9 +78,13 @@ class TextIndex:
         return {**state, "segments": [at]}
 
     def _commit(self, make: Callable[[], dict]) -> int:
-        number, _ = self.commits.last()
-        if not self.commits.commit(number + 1, make()):
+        number, before = self.commits.last()
+        after = make()
+        if not self.commits.commit(number + 1, after):
             raise RuntimeError("another writer has changed the index meanwhile")
+        for n in set(before.get("segments", [])) - set(after["segments"]):  # of what was compacted nothing is read any more
+            for kind in ("postings", "docs"):
+                delete(self.spark, f"{self.root}/{kind}/s={n}")
         return number + 1
 
     def update(self, docs: DataFrame, fields: dict[str, Column], gone: DataFrame | None = None) -> int:
