@@ -22,7 +22,7 @@ from tessera.functions.porter import fts_tokens
 from tessera.operators import lexical
 from tessera.sources.commits import Commits, delete
 
-BUCKETS = 128
+BUCKETS, MOST_SALTS = 128, 8
 #: The folder of a later segment's postings.
 ALL = -1
 #: Segments beside the first from which an update compacts.
@@ -57,7 +57,13 @@ class TextIndex:
         at = max([time.time_ns(), *[n + 1 for n in segments]])  # no other writer's
         each = docs.select(F.col("id").cast("string").alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), self.tokens(c).alias("tokens")) for n, c in fields.items()])).alias("f"))
         each = each.select("id", "f.field", F.posexplode("f.tokens").alias("p", "term"))
-        self._write_postings(each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("p")).alias("positions")), at, not segments)
+        if not segments:
+            # Dealt by bucket (large ones to several tasks) before places are gathered, so tokens are shuffled once; the write needs no second time.
+            salts = min(MOST_SALTS, max(1, docs.rdd.getNumPartitions()))
+            each = each.withColumn("b", bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).repartition("b", "salt")
+            self._write_postings(each.groupBy("b", "salt", "id", "field", "term").agg(F.array_sort(F.collect_list("p")).alias("positions")).drop("salt"), at)
+        else:
+            self._write_postings(each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("p")).alias("positions")).withColumn("b", F.lit(ALL)), at)
         lengths = self._postings([at]).groupBy("id").agg(F.sum(F.size("positions")).alias("len"))
         rows = docs.select(F.col("id").cast("string").alias("id")).distinct().join(lengths, "id", "left").select("id", F.lit(True).alias("alive"), F.coalesce("len", F.lit(0)).cast("long").alias("len"))
         if gone is not None:
@@ -73,7 +79,8 @@ class TextIndex:
         """The state with all live rows as one segment; a search reads the same before and after."""
         state = state or self.state()
         at, live = max([time.time_ns(), *[n + 1 for n in state["segments"]]]), self.rows(state)
-        self._write_postings(self._postings(state["segments"]).join(live.select("id", "s"), ["id", "s"], "left_semi").select("id", "field", "term", "positions"), at, True)
+        kept = self._postings(state["segments"]).join(live.select("id", "s"), ["id", "s"], "left_semi").select("id", "field", "term", "positions")
+        self._write_postings(kept.withColumn("b", bucket(F.col("term"))).hint("rebalance", "b"), at)  # adaptive execution splits large buckets
         live.select("id", F.lit(True).alias("alive"), "len").write.parquet(f"{self.root}/docs/s={at}")
         return {**state, "segments": [at]}
 
@@ -94,10 +101,8 @@ class TextIndex:
     def compact(self) -> int:
         return self._commit(self.compacted)
 
-    def _write_postings(self, posts: DataFrame, at: int, first: bool) -> None:
-        # Adaptive execution deals large buckets over several tasks and gives small ones to one.
-        dealt = posts.withColumn("b", bucket(F.col("term"))).hint("rebalance", "b") if first else posts.withColumn("b", F.lit(ALL))
-        dealt.sortWithinPartitions("b", "term", "id").write.partitionBy("b").parquet(f"{self.root}/postings/s={at}")
+    def _write_postings(self, posts: DataFrame, at: int) -> None:
+        posts.sortWithinPartitions("b", "term", "id").write.partitionBy("b").parquet(f"{self.root}/postings/s={at}")
 
     # Reading
     def _postings(self, segments: list[int]) -> DataFrame:
