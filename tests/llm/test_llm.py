@@ -908,7 +908,7 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     oracle = db.sql(registry.ORACLE_SQL[name])
     mine = registry.QUERIES[name](spark, SF).select(*oracle.columns)
