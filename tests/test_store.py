@@ -60,7 +60,7 @@ def test_graph(spark):
     rel = edges(spark, ("e1", "e10", "p"), ("e10", "e2", "p"), ("e2", "e1", "p"))
     paths = graph.closure(rel, "e1", now())
     assert sorted(r["target_id"] for r in paths.collect()) == ["e10", "e2"]
-    assert {r["id"]: r["depth"] for r in graph.first_depths(paths, ent).collect()} == {"e10": 1, "e2": 2}
+    assert {r["id"]: r["depth"] for r in graph.depths(rel, "e1", now()).collect()} == {"e10": 1, "e2": 2}
     assert "E1 -> E10 -> E2" in {r["titles"] for r in graph.path_titles(paths, ent).collect()}
     assert [r["id"] for r in graph.orphans(ent, rel).collect()] == ["lone"]
     assert graph.with_least_degree(rel, 2).count() == 3
