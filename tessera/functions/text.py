@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lexicon import BIGRAMS
 
-WORD = r"[\p{L}\p{N}_]+"
+_W = r"[\p{L}\p{N}_]"
+WORD = _W + "+"
+#: Between a character of a word and one that is none, or an end of the text. Java's own \b doesn't know letters outside ASCII in every version.
+EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+#: What stands in a class for white space: all of Unicode's, with the four separators of ASCII.
+SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 #: Words that carry no content.
 STOP_WORDS = (
@@ -38,7 +43,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def words(c: Column) -> Column:
@@ -50,8 +55,8 @@ def stem(w: Column) -> Column:
     return F.coalesce(*[F.when(w.endswith(s) & (F.length(w) > len(s) + 3), w.substr(F.lit(1), F.length(w) - len(s))) for s in SUFFIXES], w)
 
 
-def content_tokens(c: Column, pattern: str = r"(?<![\p{L}\p{N}_])[a-zA-Z0-9_-]{3,}(?![\p{L}\p{N}_])") -> Column:
-    """The set of stems of the words that aren't stop words, sorted."""
+def content_tokens(c: Column, pattern: str = f"{EDGE}[a-zA-Z0-9_-]{{3,}}{EDGE}") -> Column:
+    """The set of stems of the words that aren't stop words, sorted. Hyphens count inside a word, not at its ends."""
     found = F.regexp_extract_all(F.lower(c), F.lit(f"({pattern})"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda w: ~w.isin(STOP_WORDS)), stem)))
 
@@ -84,14 +89,13 @@ def ttr_of(w: Column) -> Column:
 def symbol_ratio(c: Column) -> Column:
     """Characters that are neither letters, digits nor white space, to letters and digits."""
     alnum = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    other = F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s]", ""))
+    other = F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SPACE}]", ""))
     return F.when(alnum > 0, other / alnum).when(F.length(c) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def specificity(c: Column) -> Column:
     """Identifiers with inner capitals, digits or dots, words in capitals and file names, to words."""
-    edge, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-    ident = f"{edge}[a-z0-9_]+[A-Z0-9_.][a-zA-Z0-9_]*{end}|{edge}[A-Z0-9_]{{2,}}{end}|{edge}{WORD}\\.(?:py|js|ts|json|md|rs|go|c|cpp|h|yml|yaml|sql|sh|db){end}"
+    ident = f"{EDGE}[a-z0-9_]+[A-Z0-9_.][a-zA-Z0-9_]*{EDGE}|{EDGE}[A-Z0-9_]{{2,}}{EDGE}|{EDGE}{WORD}\\.(?:py|js|ts|json|md|rs|go|c|cpp|h|yml|yaml|sql|sh|db){EDGE}"
     n = F.size(words(c))
     return F.when(n > 0, F.regexp_count(c, F.lit(ident)) / n).otherwise(F.lit(0.0))
 
@@ -112,11 +116,11 @@ def duplicate_ratio_of(w: Column, n: int) -> Column:
 
 def prose(c: Column) -> Column:
     """The text without code, addresses and paths, in single blanks."""
-    steps = [r"```[\s\S]*?```", r"`[^`\n]+`", r"https?://\S+", rf"(?<![\p{{L}}\p{{N}}_])[\p{{L}}\p{{N}}_/-]+\.(?:{PATH_EXTENSIONS})(?![\p{{L}}\p{{N}}_])", r"\s+"]
+    steps = [r"```[\s\S]*?```", r"`[^`\n]+`", f"https?://[^{SPACE}]+", rf"{EDGE}[\p{{L}}\p{{N}}_/-]+\.(?:{PATH_EXTENSIONS}){EDGE}", f"[{SPACE}]+"]
     return strip(reduce(lambda x, p: F.regexp_replace(x, p, " "), steps, c))
 
 
-ASCII_WORD = "[a-zA-Z0-9_-]+"
+ASCII_WORD = f"{EDGE}[a-zA-Z0-9_-]+{EDGE}"
 
 
 def coleman_liau(p: Column) -> Column:
@@ -140,7 +144,7 @@ def bigram_validity(p: Column, lexicon: list[str] | None = BIGRAMS) -> Column:
         pairs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), good)
         return F.when(n > 0, F.round(F.size(pairs) / n, 3)).otherwise(F.lit(1.0))
 
-    return let(F.regexp_extract_all(F.lower(p), F.lit("([a-z0-9_-]+)"), F.lit(1)), ratio)
+    return let(F.regexp_extract_all(F.lower(p), F.lit(f"({EDGE}[a-z0-9_-]+{EDGE})"), F.lit(1)), ratio)
 
 
 def content_hash(c: Column) -> Column:
@@ -191,7 +195,7 @@ def tag_name(c: Column) -> Column:
 
 
 def normalize_query(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}_{SPACE}]", " "), f"[{SPACE}]+", " "))
 
 
 def clip(c: Column, n: int = 22) -> Column:

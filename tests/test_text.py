@@ -1,3 +1,4 @@
+import random
 import re
 import sqlite3
 
@@ -93,3 +94,43 @@ def test_porter_equals_sqlite():
     db.executemany("insert into f(rowid, t) values (?, ?)", list(enumerate(words, 1)))
     want = {words[d - 1]: t for t, d in db.execute("select term, doc from v")}
     assert {w: porter(w) for w in words} == want
+
+
+def test_measures_know_words_edges_and_spaces_as_python_does(spark):
+    """Texts of the characters that matter, measured by Python's own patterns."""
+    rng = random.Random(5)
+    bits = ["a", "b1", "Foo", "x_y", "AB", "é", "ß", "日", "٣", "-", "--", "/", ".", ".py", ".md", "`", "```", "!", " ", " ", "\n", "\u00a0", "\u3000", "\x1f", "http://", "the", "of", "word", "…"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(1500)] + ["ends here. Next", "- one -two three- --four", "see /etc/foo.py/bar.md", "--x/foo.py", "a.b", "foo.é", "café-bar"]
+    paths, idents = "py|rs|js|ts|json|md|sql|yml|yaml|c|cpp|h|sh|db", "py|js|ts|json|md|rs|go|c|cpp|h|yml|yaml|sql|sh|db"
+
+    def prose(t):
+        for p in (r"```[\s\S]*?```", r"`[^`\n]+`", r"https?://\S+", rf"\b[\w/-]+\.(?:{paths})\b", r"\s+"):
+            t = re.sub(p, " ", t)
+        return t.strip()
+
+    def cli(p):
+        w = re.findall(r"\b[a-zA-Z0-9_-]+\b", p)
+        n = max(1, sum(bool(x.strip()) for x in re.split(r"[.!?]+", p)))
+        return 0.0588 * (sum(map(len, w)) / len(w) * 100) - 0.296 * (n / len(w) * 100) - 15.8 if w else 0.0
+
+    def specificity(t):
+        n = len(re.findall(r"\w+", t))
+        return len(re.findall(rf"\b[a-z0-9_]+[A-Z0-9_.][a-zA-Z0-9_]*\b|\b[A-Z0-9_]{{2,}}\b|\b\w+\.(?:{idents})\b", t)) / n if n else 0.0
+
+    def symbols(t):
+        a = sum(c.isalnum() for c in t)
+        return sum(not c.isalnum() and not c.isspace() for c in t) / a if a else float(t != "")
+
+    def content(t):
+        w = {x for x in re.findall(r"\b[a-zA-Z0-9_-]{3,}\b", t.lower()) if x not in X.STOP_WORDS}
+        return sorted({next((x[: -len(e)] for e in X.SUFFIXES if x.endswith(e) and len(x) > len(e) + 3), x) for x in w})
+
+    def marks(t):
+        return bool(re.search(r"\b[\w/-]+\.(?:py|rs|js|ts|json|md|sql|yml|yaml|c|cpp|h|sh)\b|\b[a-z0-9_]+_[a-z0-9_]+\b", t))
+
+    t, df = F.col("t"), spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select("t", X.prose(t).alias("p"), X.specificity(t).alias("s"), X.symbol_ratio(t).alias("y"), X.content_tokens(t).alias("c"), t.rlike(quality.IDENTIFIERS).alias("i"), X.strip(t).alias("z"))
+    for r in got.withColumn("l", X.coleman_liau(F.col("p"))).collect():
+        x = r["t"]
+        assert (r["p"], r["c"], r["i"], r["z"]) == (prose(x), content(x), marks(x), x.strip()), x
+        assert r["s"] == pytest.approx(specificity(x)) and r["y"] == pytest.approx(symbols(x)) and r["l"] == pytest.approx(cli(prose(x)), abs=0.0051), x
