@@ -302,11 +302,23 @@ def symbol_ratio(s, d):
     return _texts(s, d).select("doc_id", F.round(X.symbol_ratio(F.col("text")), 6).alias("ratio"))
 
 
-PROSE = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '`[^`\n]+`', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g'))"
+# RE2 has no look-around and its \b knows ASCII only. So words get marks at their ends before paths are cut out, and for ASCII words a letter outside ASCII
+# becomes Z, which is a letter but in no class below.
+BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+PROSE = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '```[\s\S]*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g'), 'https?://[^{BLANK[1:-1]}]+', ' ', 'g'),
+ '({W})', chr(1) || '\1' || chr(2) || chr(3), 'g'), '[\x01\x03][\p{{L}}\p{{N}}_/\x01\x02\x03-]+\.\x01(?:{X.PATH_EXTENSIONS})\x02', ' ', 'g'), '[\x01-\x03]', '', 'g'), '{BLANK}+', ' ', 'g'))"""
+
+
+def _ascii_words_sql(c: str, least: str = "+") -> str:
+    """The words of ASCII letters, digits, underscores and inner hyphens of c, in lower case."""
+    small = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all(regexp_replace(regexp_replace({small}, '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), '[^\x00-\x7F]', 'Z', 'g'), '\b[a-z0-9_-]{least}\b')"
+
+
 CLI = """round(case when len(w) > 0 then 0.0588::double * (length(array_to_string(w, '')) / len(w) * 100) - 0.296::double * (greatest(1, len(list_filter(regexp_split_to_array(p, '[.!?]+'), lambda x: trim(x) <> ''))) / len(w) * 100) - 15.8::double else 0 end, 2)"""
 
 
-@query(f"select doc_id, {CLI} cli from (select doc_id, p, regexp_extract_all(p, '[a-zA-Z0-9_-]+') w from (select doc_id, {PROSE} p from documents))")
+@query(f"select doc_id, {CLI} cli from (select doc_id, p, {_ascii_words_sql('p')} w from (select doc_id, {PROSE} p from documents))")
 def readability(s, d):
     return _texts(s, d).select("doc_id", X.prose(F.col("text")).alias("p")).select("doc_id", X.coleman_liau(F.col("p")).alias("cli"))
 
@@ -316,7 +328,7 @@ LEX = "[" + ",".join(f"'{x}'" for x in BIGRAMS) + "]"
 BIG = f"round(case when len(w) > 1 then len(list_filter(range(1, len(w)), lambda i: length(w[i]) > 2 and length(w[i + 1]) > 2 and (list_contains({FW}, w[i]) or list_contains({FW}, w[i + 1])) or list_contains({LEX}, w[i] || ' ' || w[i + 1]))) / (len(w) - 1) else 1 end, 3)"
 
 
-@query(f"select doc_id, {BIG} validity from (select doc_id, regexp_extract_all(lower({PROSE}), '[a-z0-9_-]+') w from documents)")
+@query(f"select doc_id, {BIG} validity from (select doc_id, {_ascii_words_sql(f'lower({PROSE})')} w from documents)")
 def bigram_validity(s, d):
     return _texts(s, d).select("doc_id", X.prose(F.col("text")).alias("p")).select("doc_id", X.bigram_validity(F.col("p")).alias("validity"))
 
@@ -349,8 +361,8 @@ GATE = rf"""with b as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g')
  g as (select m.*, h, len(w) nw, case when len(w) >= 3 then 1 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: list_aggregate(w[i:i + 2], 'string_agg', ' ')))) / (len(w) - 2) else 0 end d3,
  case when len(w) >= 5 then 1 - len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')))) / (len(w) - 4) else 0 end d5,
  case when len(w) > 0 then len(list_distinct(w)) / len(w) else 0 end ttr from m join h using (doc_id)),
- q as (select g.* exclude (w), {CLI} cli, len(w) np from (select g.* exclude (w), regexp_extract_all(p, '[a-zA-Z0-9_-]+') w from g) g),
- r as (select q.*, {BIG} big from (select q.*, regexp_extract_all(lower(p), '[a-z0-9_-]+') w from q) q)
+ q as (select g.* exclude (w), {CLI} cli, len(w) np from (select g.* exclude (w), {_ascii_words_sql('p')} w from g) g),
+ r as (select q.*, {BIG} big from (select q.*, {_ascii_words_sql('lower(p)')} w from q) q)
  select doc_id, case when length(t) < 20 then 'SHORT_LENGTH' when sym > 0.35 then 'HIGH_SYMBOL_RATIO' when h < 2.5 then 'LOW_ENTROPY' when nw >= 20 and d3 > 0.3 then 'HIGH_3GRAM_REPETITION' when nw >= 20 and d5 > 0.2 then 'HIGH_5GRAM_REPETITION'
  when nw > 30 and ttr < 0.35 then 'LOW_TTR' when np > 25 and big < 0.15 then 'WORD_SALAD_PERPLEXITY' when np > 30 and (cli < 2 or cli > 26) then 'EXTREME_READABILITY_BOUNDS' when length(t) > 8000 or h > 5.3 then 'WARN' else 'ACCEPT' end verdict from r"""
 
@@ -690,19 +702,35 @@ def markdown_structure(s, d):
     return _texts(s, d).select("doc_id", quality.structure(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
+STEM = "case " + " ".join(f"when ends_with(x, '{e}') and length(x) > {len(e) + 3} then left(x, length(x) - {len(e)})" for e in X.SUFFIXES) + " else x end"
+STOP = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS) + "]"
+
+
+def _mixed(s, d):
+    """doc_id and text: documents among what the measures must tell apart: fences, code, addresses, paths, loose hyphens, letters outside ASCII."""
+    parts = [F.lit("# Caf\u00e9 notes - on the "), F.col("text"), F.lit("\n- see /src/"), F.col("source"), F.lit(".py/next.md and a.b\u00e9 --flag- of the `word "), F.col("lang"), F.lit("` at https://x.y/z.md\u00a0end of it.\n```\ncode "), F.col("text"), F.lit("\n```\nDone - word caf\u00e9-bar. Yes!")]
+    return spread(_docs(s, d).select("doc_id", F.concat(*parts).alias("text")), "doc_id")
+
+
+MIXED = "(select doc_id, '# Caf\u00e9 notes - on the ' || text || chr(10) || '- see /src/' || source || '.py/next.md and a.b\u00e9 --flag- of the `word ' || lang || '` at https://x.y/z.md\u00a0end of it.' || chr(10) || '```' || chr(10) || 'code ' || text || chr(10) || '```' || chr(10) || 'Done - word caf\u00e9-bar. Yes!' as text from documents)"
+
+
+@query(f"""select m.doc_id, sha256(m.p) prose, {CLI} cli, {BIG} validity, len(w) n_words, tokens from (select doc_id, p, {_ascii_words_sql('lower(p)')} w from (select doc_id, {PROSE} p from {MIXED})) m join
+ (select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(w, lambda x: not list_contains({STOP}, x)), lambda x: {STEM}))), ' ') tokens from (select doc_id, {_ascii_words_sql("lower(text)", "{3,}")} w from {MIXED})) t using (doc_id)""")
+def text_measures(s, d):
+    """Prose and what is measured of it, and content words, of documents among code, paths and hyphens."""
+    m = _mixed(s, d).withColumn("p", X.prose(F.col("text")))
+    n = F.size(F.regexp_extract_all("p", F.lit(f"({X.ASCII_WORD})"), F.lit(1))).cast("long")
+    return m.select("doc_id", F.sha2("p", 256).alias("prose"), X.coleman_liau(F.col("p")).alias("cli"), X.bigram_validity(F.col("p")).alias("validity"), n.alias("n_words"), F.array_join(X.content_tokens(F.col("text")), " ").alias("tokens"))
+
+
 @query()
 def specificity(s, d):
     """No SQL: DuckDB's patterns have no look-around."""
     return _texts(s, d).select("doc_id", F.round(X.specificity(F.col("text")), 6).alias("ratio"))
 
 
-STEM = "case " + " ".join(f"when ends_with(x, '{e}') and length(x) > {len(e) + 3} then left(x, length(x) - {len(e)})" for e in X.SUFFIXES) + " else x end"
-STOP = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS) + "]"
-
-
-# Without look-around: words with a letter outside ASCII go first, with a hyphen on either side.
-@query(rf"""select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(w, lambda x: not list_contains({STOP}, x)), lambda x: {STEM}))), ' ') tokens from (select doc_id,
- regexp_extract_all(regexp_replace(regexp_replace(lower(text), '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), '-?[a-z0-9_]*[^\x00-\x7F](?:[a-z0-9_]|[^\x00-\x7F])*-?', ' ', 'g'), '[a-z0-9_-]{{3,}}') w from documents)""")
+@query(rf"""select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(w, lambda x: not list_contains({STOP}, x)), lambda x: {STEM}))), ' ') tokens from (select doc_id, {_ascii_words_sql("lower(text)", "{3,}")} w from documents)""")
 def content_tokens(s, d):
     return _texts(s, d).select("doc_id", F.array_join(X.content_tokens(F.col("text")), " ").alias("tokens"))
 
