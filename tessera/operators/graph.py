@@ -78,14 +78,39 @@ def lineage_by_parents(entities: DataFrame, root: str, max_depth: int = 10) -> D
 
 
 def lineage_by_edges(relations: DataFrame, root: str, predicate: str = "consolidated_from", max_depth: int = 10) -> DataFrame:
-    """(id, depth), distinct, along edges of one predicate."""
+    """(id, depth), distinct, along edges of one predicate. Each level is written as it is found, and the walk ends with the first empty one."""
     edges = relations.where(F.col("predicate") == predicate).select("source_id", "target_id")
     front = relations.sparkSession.createDataFrame([(root, 0)], "id string, depth int")
     out = front
     for depth in range(1, max_depth + 1):
-        front = edges.join(front.select(F.col("id").alias("source_id")), "source_id").select(F.col("target_id").alias("id")).distinct().withColumn("depth", F.lit(depth))
+        front = written(edges.join(front.select(F.col("id").alias("source_id")), "source_id").select(F.col("target_id").alias("id")).distinct().withColumn("depth", F.lit(depth)), "lineage")
+        if front.isEmpty():
+            break
         out = out.unionByName(front)
-    return out.distinct()
+    return out
+
+
+def edges_touching(relations: DataFrame, ids: DataFrame, predicate: str | None = None) -> DataFrame:
+    """The edges, each once, an end of which is among ids (id). The OR over both ends is a union of semi-joins, the second without what the first has."""
+    rel = relations if predicate is None else relations.where(F.col("predicate") == predicate)
+    ids = ids.select("id").distinct()
+    source, target = ids.withColumnRenamed("id", "source_id"), ids.withColumnRenamed("id", "target_id")
+    return rel.join(source, "source_id", "left_semi").unionByName(rel.join(source, "source_id", "left_anti").join(target, "target_id", "left_semi"))
+
+
+def lineage_graph(entities: DataFrame, relations: DataFrame, root: str, predicate: str = "consolidated_from", max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the lineage by edges: (id, depth, title, status, owner_id, updated_at) of what is stored, and all edges of the predicate that touch the
+    set, whether their other end is in it or not."""
+    found = written(lineage_by_edges(relations, root, predicate, max_depth), "lineage")
+    nodes = found.join(entities.select("id", "title", "status", "owner_id", "updated_at"), "id").select("id", "depth", "title", "status", "owner_id", "updated_at")
+    return nodes, edges_touching(relations, found, predicate).select("source_id", "target_id", "predicate")
+
+
+def one_hop(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, near): for each of ids (id) itself and the other ends of its edges, each once; ids without edges have themselves alone."""
+    ids = ids.select("id").distinct()
+    out = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("near")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("near")))
+    return out.join(ids, "id", "left_semi").unionByName(ids.select("id", F.col("id").alias("near"))).distinct()
 
 
 def topology(relations: DataFrame, entities: DataFrame, predicate: str | None = None, exclude_archived: bool = True, limit: int | None = 250) -> DataFrame:

@@ -12,6 +12,10 @@ from tessera.session import checkpointed
 
 DENSE, DENSE_SOONER, NEAR = 5, 3, 0.25
 COOLDOWN_S, STALE_LOCK_S = 300, 600
+#: About how many ids a request names; a larger group makes several requests.
+PART = 10_000
+#: Over how many tasks a group is counted.
+SALTS = 16
 
 
 def _request(df: DataFrame, owner: Column, fields: list[Column], now: Column) -> DataFrame:
@@ -20,17 +24,33 @@ def _request(df: DataFrame, owner: Column, fields: list[Column], now: Column) ->
     return df.select(uid.alias("id"), now.alias("timestamp"), F.coalesce(owner, F.lit("librarian")).alias("agent_id"), F.lit(REQUEST).alias("type"), content.alias("content"), *[F.lit(None).cast("string").alias(c) for c in ("error_code", "session_id", "context_id")])
 
 
-def dense_tags(entities: DataFrame, tags: DataFrame, entity_tags: DataFrame) -> DataFrame:
-    """(tag_name, owner_id, entity_ids) of tags with many raw entities of one owner; fewer are enough for runbooks and decisions."""
-    raw = entities.where("status = 'raw'").select(F.col("id").alias("entity_id"), "owner_id")
-    n = raw.join(entity_tags, "entity_id").join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy(F.col("name").alias("tag_name"), "owner_id").agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"))
-    least = F.when(F.lower("tag_name").contains("runbook") | F.lower("tag_name").contains("decision"), DENSE_SOONER).otherwise(DENSE)
-    return n.where(F.size("entity_ids") >= least)
+def in_parts(rows: DataFrame, keys: list[str], least: Column | int, size: int = PART) -> DataFrame:
+    """(keys, n, part, entity_ids) of the groups that have at least so many rows: their ids, in parts of about size, and how many there are in all.
 
+    A row's part follows from its id, so that neither a task nor a row of the result holds a large group whole; groups are counted
+    by salt first, and each salt finds the sum. Null keys are groups like any other.
+    """
+    rows = rows.select(*keys, F.col("id").alias("entity_id"), F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long").alias("h")).withColumn("salt", F.col("h") % SALTS)
+    n = rows.groupBy(*keys, "salt").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where(F.col("n") >= least)
+    n = n.select(*[F.col(k).alias(f"{k}_") for k in keys], "n", F.explode("salts").alias("salt_"))
+    same = F.col("salt") == F.col("salt_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    part = F.pmod(F.floor(F.col("h") / SALTS), F.ceil(F.col("n") / size)).alias("part")
+    return rows.join(n, same).select(*keys, "n", part, "entity_id").groupBy(*keys, "n", "part").agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"))
 
-def accumulated(entities: DataFrame, least: int = DENSE) -> DataFrame:
-    """(owner_id, scope, entity_ids) of owners and scopes with many raw entities."""
-    return entities.where("status = 'raw'").groupBy("owner_id", "scope").agg(F.array_sort(F.collect_list("id")).alias("entity_ids")).where(F.size("entity_ids") >= least)
+
+def dense_tags(entities: DataFrame, tags: DataFrame, entity_tags: DataFrame, size: int = PART) -> DataFrame:
+    """(tag_name, owner_id, n, part, entity_ids) of tags with many raw entities of one owner; fewer are enough for runbooks and decisions."""
+    raw = entities.where("status = 'raw'").select("id", "owner_id")
+    linked = entity_tags.join(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name")), "tag_id")
+    sooner = F.lower("tag_name").contains("runbook") | F.lower("tag_name").contains("decision")
+    return in_parts(raw.join(linked.select(F.col("entity_id").alias("id"), "tag_name"), "id"), ["tag_name", "owner_id"], F.when(sooner, DENSE_SOONER).otherwise(DENSE), size)
+
+
+def accumulated(entities: DataFrame, least: int = DENSE, size: int = PART) -> DataFrame:
+    """(owner_id, scope, n, part, entity_ids) of owners and scopes with many raw entities."""
+    return in_parts(entities.where("status = 'raw'"), ["owner_id", "scope"], least, size)
 
 
 def ready_vectors(entities: DataFrame, embeddings: DataFrame, status: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.functions import text as X
 from tessera.functions.embed import backfill, hashing_embedder
 from tessera.functions.lexicon import BIGRAMS
 from tessera.functions.mdformat import format_markdown_udf
-from tessera.functions.redact import redact
+from tessera.functions.redact import MARK, SECRET_PATTERNS, redact
 from tessera.operators import dedup, events, graph, hybrid, lexical, report, scd, vector
 from tessera.operators import tags as tagging
 from tessera.plans import consolidation, librarian
@@ -355,6 +355,19 @@ def redact_custom(s, d):
     return _texts(s, d).select("doc_id", F.sha2(redact(F.col("text"), [TOKEN_RULE]), 256).alias("hash"))
 
 
+#: One key of every shape, made of a row's hashes h (128 hexadecimal digits); and what is none: too short, or within a longer word.
+KEYS = ["'ghp_' || left(h, 40)", "'github_pat_' || left(h, 90)", "'sk-ant-sid01-' || left(h, 24)", "'sk-ant-' || left(h, 24)", "'sk-' || left(h, 50)", "'sk-proj-' || left(h, 24)", "left(h, 22) || ':' || left(h, 44)", "'AKIA' || upper(left(h, 16))", "'M' || left(h, 23) || '.' || left(h, 6) || '.' || left(h, 27)", "'ghp_' || left(h, 30)", "'xAKIA' || left(h, 16)"]
+
+
+@query(rf"""select doc_id, k::int k, sha256(regexp_replace('set ' || key || ', then ' || text || ' (' || key || ')', '{"|".join(SECRET_PATTERNS)}', '{MARK}', 'gi')) hash
+ from (select doc_id, text, unnest([{", ".join(KEYS)}]) key, unnest(range({len(KEYS)})) k from (select doc_id, text, sha256(text) || sha256(source || text) h from documents))""")
+def redact_keys(s, d):
+    """Every document with a key of each shape, and with what only looks like one."""
+    t = _texts(s, d).join(_docs(s, d).select("doc_id", "source"), "doc_id").withColumn("h", F.concat(F.sha2("text", 256), F.sha2(F.concat("source", "text"), 256)))
+    each = t.select("doc_id", "text", F.posexplode(F.array(*[F.expr(k) for k in KEYS])).alias("k", "key"))
+    return each.select("doc_id", "k", F.sha2(redact(F.concat(F.lit("set "), "key", F.lit(", then "), "text", F.lit(" ("), "key", F.lit(")"))), 256).alias("hash"))
+
+
 GATE = rf"""with b as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') text from documents),
  h as (select doc_id, -sum(n / t * log2(n / t)) h from (select doc_id, ch, count(*)::double n, sum(count(*)) over (partition by doc_id)::double t from (select doc_id, unnest(string_split(text, '')) ch from b) group by 1, 2) group by 1),
  m as (select doc_id, text t, regexp_extract_all(lower(text), '{W}') w, {PROSE} p, {SYM.format(c="text")} sym from b),
@@ -460,14 +473,24 @@ def tag_canonical(s, d):
     return links.groupBy(F.col("tag_id").alias("root")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {ENT}, {TAG} select tag_id tag_name, owner_id, count(*) n from et join ent on ent.id = entity_id where status = 'raw' group by 1, 2 having count(*) >= 5")
+#: Parts of so many ids in the queries below, so that groups of the smallest tables have several.
+PART = 20
+
+
+def _parts_sql(rows: str, keys: str) -> str:
+    return f"""r as ({rows}), n as (select {keys}, count(*) n from r group by all having count(*) >= 5), h as (select r.*, ('0x' || left(md5(id), 8))::bigint h from r)
+ select {keys}, n, (h // {librarian.SALTS}) % ceil(n / {PART})::bigint part, string_agg(id, ',' order by id) ids from h join n using ({keys}) group by all"""
+
+
+@query(f"with {ENT}, {TAG}, {_parts_sql('select id, tag_id tag_name, owner_id from et join ent on ent.id = entity_id where status = ' + chr(39) + 'raw' + chr(39), 'tag_name, owner_id')}")
 def tag_clutter(s, d):
-    return librarian.dense_tags(lens.entities(s, d), lens.tags(s, d), lens.entity_tags(s, d)).select("tag_name", "owner_id", F.size("entity_ids").cast("long").alias("n"))
+    """Dense tags of an owner, their ids in parts."""
+    return librarian.dense_tags(lens.entities(s, d), lens.tags(s, d), lens.entity_tags(s, d), PART).withColumn("ids", F.array_join("entity_ids", ",")).drop("entity_ids")
 
 
-@query(f"with {ENT} select owner_id, scope, count(*) n, string_agg(id, ',' order by id) ids from ent where status = 'raw' group by 1, 2 having count(*) >= 5")
+@query(f"with {ENT}, {_parts_sql('select id, owner_id, scope from ent where status = ' + chr(39) + 'raw' + chr(39), 'owner_id, scope')}")
 def owner_scope_accum(s, d):
-    return librarian.accumulated(lens.entities(s, d)).select("owner_id", "scope", F.size("entity_ids").cast("long").alias("n"), F.array_join("entity_ids", ",").alias("ids"))
+    return librarian.accumulated(lens.entities(s, d), size=PART).withColumn("ids", F.array_join("entity_ids", ",")).drop("entity_ids")
 
 
 @query(f"with {TAG} select name from tag where name ilike '%src%'")
@@ -534,6 +557,33 @@ def status_counts(s, d):
     return report.status_counts(lens.entities(s, d))
 
 
+@query(f"""with {ENT}, {TAG}, hit as (select ent.* from ent where context_id = 'en' and id in (select entity_id from et where tag_id = '#src1')), n as (select count(*) total, ceil(count(*) / 50)::bigint total_pages from hit),
+ p as (select * from hit order by updated_at desc, id limit 50) select id, owner_id, status, embedding_status, (select string_agg(tag_id, ',' order by tag_id) from et where entity_id = p.id) tags, total, total_pages from p, n""")
+def entity_list(s, d):
+    """A page of the list by context and exact tag, with display status, tags and totals."""
+    rows, n = report.entity_list(lens.entities(s, d), lens.entity_tags(s, d), lens.tags(s, d), tag="#src1", context="en")
+    return rows.select("id", "owner_id", "status", "embedding_status", F.array_join("tags", ",").alias("tags")).join(F.broadcast(n))  # a single row
+
+
+@query(f"""with {ENT}, {REL}, hit as (select * from rel where predicate = 'derived_from'), n as (select count(*) total, ceil(count(*) / 200)::bigint total_pages from hit), p as (select * from hit order by created_at desc, id limit 200)
+ select p.id, coalesce(s.title, source_id) source_title, coalesce(t.title, target_id) target_title, total, total_pages from p left join ent s on s.id = source_id left join ent t on t.id = target_id, n""")
+def relation_list(s, d):
+    """The first page of relations of one predicate with titles and totals."""
+    rows, n = report.relation_list(lens.relations(s, d), lens.entities(s, d), predicate="derived_from")
+    return rows.select("id", "source_title", "target_title").join(F.broadcast(n))  # a single row
+
+
+@query(f"""with {ENT}, {REL}, top as (select title, weight, round(score, 4) score, row_number() over (order by score desc, id) place from (select ent.id, title, weight, score from hits join ent on ent.doc_id = hits.id where status <> 'archived') qualify place <= 3),
+ last as (select *, row_number() over (order by ts desc, event_id desc) place from events qualify place <= 5)
+ select 'status' section, count(*) place, upper(status) as label, null::varchar detail from ent group by status union all select 'core', weight, title, id from ent where is_core and status <> 'archived'
+ union all select 'event', place, user_id || ' ' || upper(event_type), case when json_extract_string(props, '$.target') is null then case when length(props) > 80 then left(props, 80) || '...' else props end end from last
+ union all select 'search', place, title, printf('%.4f', score) || ' ' || weight from top""".replace("with ", f"with {_bm25_sql(TERMS[:1])}, ", 1))
+def store_overview(s, d):
+    """What a reader of the store looks at first."""
+    hits = _hits(s, d, TERMS[:1]).withColumn("id", F.col("id").cast("string"))
+    return report.overview(lens.entities(s, d), lens.ledger(s, d), hits)
+
+
 # Graph ----------------------------------------------------------------------------------------------------------
 
 VALID = f"(valid_to is null or valid_to > {NOW_SQL})"
@@ -927,6 +977,24 @@ def lineage_edges(s, d):
     return graph.lineage_by_edges(lens.relations(s, d), "150", "derived_from")
 
 
+LINEAGE = "walk as (select '150' id, 0 depth union select target_id, depth + 1 from walk join rel on source_id = walk.id and predicate = 'derived_from' where depth < 10)"
+
+
+@query(f"""with recursive {ENT}, {REL}, {LINEAGE} select id, depth, title, status, null source_id, null target_id from walk join ent using (id)
+ union all select null, null, null, null, source_id, target_id from rel where predicate = 'derived_from' and (source_id in (select id from walk) or target_id in (select id from walk))""")
+def lineage_graph(s, d):
+    """The nodes of a lineage, and all its edges that touch them."""
+    nodes, edges = graph.lineage_graph(lens.entities(s, d), lens.relations(s, d), "150", "derived_from")
+    return nodes.select("id", "depth", "title", "status").unionByName(edges.select("source_id", "target_id"), allowMissingColumns=True)
+
+
+@query(f"""with {ENT}, {REL} select distinct e.id, case when k = 0 then e.id when k = 1 then t.target_id else u.source_id end near from ent e cross join range(3) k(k) left join rel t on t.source_id = e.id and k = 1
+ left join rel u on u.target_id = e.id and k = 2 where status = 'consolidated' and near is not null""")
+def one_hop(s, d):
+    """Every consolidated row with the other ends of its edges."""
+    return graph.one_hop(lens.relations(s, d), lens.entities(s, d).where("status = 'consolidated'"))
+
+
 def _failing_embedder():
     """Raises for a batch with a certain word, as a model may for a text that it can't read."""
     plain = hashing_embedder(8)
