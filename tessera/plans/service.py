@@ -48,8 +48,16 @@ def parameters(given: dict, allowed: set[str]) -> dict:
     return out
 
 
-#: Names the folder of a store that is given none.
-ROOT_VARIABLE = "TESSERA_ROOT"
+#: Names the folder of a store that is given none; and what turns the semantic side of searches off.
+ROOT_VARIABLE, SEMANTIC_VARIABLE = "TESSERA_ROOT", "TESSERA_SEMANTIC"
+
+
+def semantic_enabled() -> bool:
+    """False where the environment says 0, false, no or off, in any case."""
+    return os.environ.get(SEMANTIC_VARIABLE, "1").strip().lower() not in ("0", "false", "no", "off")
+
+#: How many hits find() gives.
+FOUND = 20
 
 
 def indexed_fields() -> dict:
@@ -159,9 +167,9 @@ class Store:
             rows = rows.where(hybrid.active() if status_filter == "active" else F.col("status") == status_filter)
         return hybrid.page(rows, [F.desc("updated_at"), F.col("id")], limit, hybrid.decode_cursor(cursor) if cursor else offset)
 
-    def search_memory(self, query_keywords=None, owner_id=None, tags_filter=None, metadata_filter=None, limit=5, context_id=None, is_core=None, tag_operator="AND", cursor=None, semantic=True, explain_mode=False, project_id=None, include_related=True) -> DataFrame:
-        """The page of hits with title, snippet and score, and with up to five related entities each unless they aren't asked for. Rank fusion covers all hits, paging comes after it."""
-        tags_filter = as_list(tags_filter)
+    def search_memory(self, query_keywords=None, owner_id=None, tags_filter=None, metadata_filter=None, limit=5, context_id=None, is_core=None, tag_operator="AND", cursor=None, semantic=None, explain_mode=False, project_id=None, include_related=True) -> DataFrame:
+        """The page of hits with title, snippet and score, and with up to five related entities each unless they aren't asked for. Rank fusion covers all hits, paging comes after it. semantic: by default as semantic_enabled() says."""
+        tags_filter, semantic = as_list(tags_filter), semantic_enabled() if semantic is None else semantic
         ent = self.table("entities").where(hybrid.active() & hybrid.visible(owner_id))
         if context_id is not None:
             ent = ent.where(hybrid.in_context(context_id))
@@ -198,6 +206,31 @@ class Store:
         related = hybrid.neighbours(hits, self.table("relations").where(hybrid.valid_at(self.now())), self.table("entities")).withColumnRenamed("id", "of")
         return hits.join(related, F.col("id") == F.col("of"), "left").orderBy(*order).select(*cols, "related")
 
+    def find(self, q=None) -> DataFrame:
+        """The best twenty hits."""
+        return self.search_memory(q, limit=FOUND, include_related=False)
+
+    # Lists
+    def list_entities(self, page=1, owner_id=None, status=None, context_id=None, is_core=None, tags=None) -> tuple[DataFrame, DataFrame]:
+        """(page, totals); tags: one tag by its exact name."""
+        return report.entity_list(self.table("entities"), self.table("entity_tags"), self.table("tags"), page, tags, owner=owner_id, status=status, context=context_id, is_core=is_core)
+
+    def list_relations(self, page=1, predicate=None) -> tuple[DataFrame, DataFrame]:
+        return report.relation_list(self.table("relations"), self.table("entities"), page, predicate)
+
+    def lineage(self, entity_id) -> tuple[DataFrame, DataFrame] | None:
+        """(nodes, edges) of the row that the text means, by its id or title or a part of it; None if there is none."""
+        row = graph.fuzzy(self.table("entities"), entity_id).select("id").first()
+        return graph.lineage_graph(self.table("entities"), self.table("relations"), row["id"]) if row else None
+
+    def neighbourhood(self, entity_id) -> DataFrame:
+        """(id, near) of one row: itself and the other ends of its edges."""
+        return graph.one_hop(self.table("relations"), self._resolved(entity_id).select("id"))
+
+    def overview(self, query_keywords=None) -> DataFrame:
+        """Rows by status, core rows, the latest events and the best hits of a query; nothing is written."""
+        return report.overview(self.table("entities"), self.table("events"), self.texts.search(query_keywords)[0])
+
     def _explained(self, query: str | None, tags: list[str] | None) -> DataFrame:
         """(term, found) of the query's words as the search reads them, and of unknown tags."""
         out = self.texts.explain(query)

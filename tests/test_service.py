@@ -64,3 +64,29 @@ def test_small_parts(spark, tmp_path):
     assert parameters({"q": "x", "query_keywords": "y"}, {"query_keywords"}) == {"query_keywords": "y"}
     with pytest.raises(TypeError):
         parameters({"zzz": 1}, {"query_keywords"})
+
+
+def test_lists(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path))
+    assert s.lineage("nothing") is None and {r["section"] for r in s.overview("x").collect()} == set()
+    a = s.store_memory(NOTE.format("alpha"), "Alpha", owner_id="o", tags=["ops"], is_core=True, weight=4)["id"]
+    b = s.store_memory("Database backups run each night on the second host and the results are kept for ten days in the archive.", "Beta", owner_id="p", skip_duplicate_check=True)["id"]
+    s.store_relation("Beta", "Alpha", "depends_on")
+    c = s.commit_consolidation([a], "Joint", "All of the release notes of the service are in one place now, with the names of those who keep them.")["id"]
+    s.log_event("x" * 100, agent_id="me")
+    s.log_event('{"target": "tag", "tag_name": "#ops", "entity_ids": []}', agent_id="lib", type="consolidation_request")
+    page, total = s.list_entities(page="x", tags="#ops")
+    assert [(r["id"], r["embedding_status"], r["tags"]) for r in page.collect()] == [(a, "archived", ["#ops"])] and total.first()["total"] == 1
+    assert s.list_entities(tags="ops")[0].count() == 0 and {r["embedding_status"] for r in s.list_entities(status="raw")[0].collect()} == {"pending"}
+    page, total = s.list_relations(predicate="consolidated_from")
+    assert [(r["source_title"], r["target_title"]) for r in page.collect()] == [("Joint", "Alpha")] and s.list_relations(9)[0].count() == 0 and s.list_relations(9)[1].first()["total"] == 2
+    nodes, edges = s.lineage("joi")
+    assert [(r["id"], r["depth"]) for r in nodes.orderBy("depth").collect()] == [(c, 0), (a, 1)] and [(r["source_id"], r["target_id"]) for r in edges.collect()] == [(c, a)]
+    assert {r["near"] for r in s.neighbourhood(b).collect()} == {b, c}
+    seen = {(r["section"], r["label"], r["detail"]) for r in s.overview("backups").collect()}
+    assert ("event", "lib CONSOLIDATION_REQUEST", "Consolidation request for tag #ops") in seen and ("event", "me EVENT", "x" * 80 + "...") in seen
+    assert {x[1] for x in seen if x[0] == "search"} == {"Beta"} and {x[1] for x in seen if x[0] == "status"} == {"RAW", "CONSOLIDATED", "ARCHIVED"}
+    s.backfill_embeddings()
+    assert s.find("zzzz").count() > 0
+    monkeypatch.setenv("TESSERA_SEMANTIC", "Off")
+    assert s.find("zzzz").count() == 0 and [r["id"] for r in s.find("backups").collect()] == [b]

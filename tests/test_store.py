@@ -340,3 +340,21 @@ def test_depths_build_no_paths(spark):
     ent = entities(spark, *[{"id": k, "title": k.upper()} for k in want])
     paths = {r["id"]: r["path"] for r in graph.paths_to(found, ent, "00x").collect()}
     assert len(paths) == len(got) and paths["01y"] == "00X -> 01Y" and all(p.count("->") == want[k][0] and p.endswith(k.upper()) for k, p in paths.items())
+
+
+def test_groups_in_parts(spark):
+    rows = [(f"i{i}", "big") for i in range(900)] + [(f"j{i}", None) for i in range(7)] + [("k", "small")]
+    out = librarian.in_parts(spark.createDataFrame(rows, "id string, owner_id string"), ["owner_id"], 5, 50).collect()
+    assert {(r["owner_id"], r["n"]) for r in out} == {("big", 900), (None, 7)}
+    big = [r["entity_ids"] for r in out if r["owner_id"] == "big"]
+    assert len(big) == 18 and sorted(x for ids in big for x in ids) == sorted(f"i{i}" for i in range(900)) and max(map(len, big)) < 100
+
+
+def test_edges_touching_and_one_hop(spark):
+    rel = edges(spark, ("a", "b", "p"), ("b", "a", "p"), ("a", "a", "p"), ("c", "a", "q"), ("x", "y", "p"))
+    ids = spark.createDataFrame([("a",), ("a",), ("lone",)], "id string")
+    assert sorted(r["id"] for r in graph.edges_touching(rel, ids).collect()) == ["e0", "e1", "e2", "e3"]
+    assert {(r["id"], r["near"]) for r in graph.one_hop(rel, ids).collect()} == {("a", "a"), ("a", "b"), ("a", "c"), ("lone", "lone")}
+    loop = edges(spark, ("a", "b", "consolidated_from"), ("b", "a", "consolidated_from"), ("z", "b", "consolidated_from"))
+    nodes, touching = graph.lineage_graph(entities(spark, {"id": "a"}, {"id": "b"}), loop, "a", max_depth=3)
+    assert sorted((r["id"], r["depth"]) for r in nodes.collect()) == [("a", 0), ("a", 2), ("b", 1), ("b", 3)] and touching.count() == 3
