@@ -33,7 +33,7 @@ def structure(c: Column) -> Column:
     return F.struct(valid.alias("valid"), F.size(levels).alias("headers"), skip.alias("header_skip"), untyped.alias("untyped"), msdi.alias("msdi"))
 
 
-IDENTIFIERS = rf"{X.EDGE}[\p{{L}}\p{{N}}_/-]+\.(?:py|rs|js|ts|json|md|sql|yml|yaml|c|cpp|h|sh){X.EDGE}|{X.EDGE}[a-z0-9_]+_[a-z0-9_]+{X.EDGE}"
+IDENTIFIERS = rf"{X.EDGE}[\p{{L}}\p{{N}}_/-]++\.(?:py|rs|js|ts|json|md|sql|yml|yaml|c|cpp|h|sh){X.EDGE}|{X.EDGE}[a-z0-9_]+_[a-z0-9_]+{X.EDGE}"
 
 
 def gate(df: DataFrame, text_col: str, lexicon: list[str] | None = BIGRAMS) -> DataFrame:

@@ -16,6 +16,8 @@ WORD = _W + "+"
 EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 #: What stands in a class for white space: all of Unicode's, with the four separators of ASCII.
 SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: A run of it; most characters are told by the first, short test.
+SPACES = f"(?![!-~])[{SPACE}]+"
 
 #: Words that carry no content.
 STOP_WORDS = (
@@ -43,7 +45,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(c, rf"\A{SPACES}|{SPACES}\z", "")
 
 
 def words(c: Column) -> Column:
@@ -95,7 +97,8 @@ def symbol_ratio(c: Column) -> Column:
 
 def specificity(c: Column) -> Column:
     """Identifiers with inner capitals, digits or dots, words in capitals and file names, to words."""
-    ident = f"{EDGE}[a-z0-9_]+[A-Z0-9_.][a-zA-Z0-9_]*{EDGE}|{EDGE}[A-Z0-9_]{{2,}}{EDGE}|{EDGE}{WORD}\\.(?:py|js|ts|json|md|rs|go|c|cpp|h|yml|yaml|sql|sh|db){EDGE}"
+    start, end = f"(?<!{_W})", f"(?!{_W})"  # what an edge comes to beside a character of a word
+    ident = f"{start}[a-z0-9_]+[A-Z0-9_.][a-zA-Z0-9_]*{EDGE}|{start}[A-Z0-9_]{{2,}}{end}|{start}{WORD}+\\.(?:py|js|ts|json|md|rs|go|c|cpp|h|yml|yaml|sql|sh|db){end}"
     n = F.size(words(c))
     return F.when(n > 0, F.regexp_count(c, F.lit(ident)) / n).otherwise(F.lit(0.0))
 
@@ -116,7 +119,7 @@ def duplicate_ratio_of(w: Column, n: int) -> Column:
 
 def prose(c: Column) -> Column:
     """The text without code, addresses and paths, in single blanks."""
-    steps = [r"```[\s\S]*?```", r"`[^`\n]+`", f"https?://[^{SPACE}]+", rf"{EDGE}[\p{{L}}\p{{N}}_/-]+\.(?:{PATH_EXTENSIONS}){EDGE}", f"[{SPACE}]+"]
+    steps = [r"```[\s\S]*?```", r"`[^`\n]+`", f"https?://[^{SPACE}]+", rf"{EDGE}[\p{{L}}\p{{N}}_/-]++\.(?:{PATH_EXTENSIONS}){EDGE}", SPACES]
     return strip(reduce(lambda x, p: F.regexp_replace(x, p, " "), steps, c))
 
 
@@ -127,7 +130,7 @@ def coleman_liau(p: Column) -> Column:
     w = F.regexp_extract_all(p, F.lit(f"({ASCII_WORD})"), F.lit(1))
     n = F.size(w)
     letters = F.length(F.array_join(w, ""))
-    sentences = F.greatest(F.lit(1), F.size(F.filter(F.split(p, "[.!?]+"), lambda x: strip(x) != "")))
+    sentences = F.greatest(F.lit(1), F.size(F.filter(F.split(p, "[.!?]+"), lambda x: x.rlike(f"[^{SPACE}]"))))
     return F.when(n > 0, F.round(0.0588 * (letters / n * 100) - 0.296 * (sentences / n * 100) - 15.8, 2)).otherwise(F.lit(0.0))
 
 
