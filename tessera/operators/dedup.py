@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.similar_sets import similar_pairs
+
 NEAR, SUPERSEDE = 0.25, 0.88
 
 
@@ -14,33 +16,9 @@ def exact_duplicates(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def token_pairs(left: DataFrame, right: DataFrame, least: float = NEAR, same: Column | None = None) -> DataFrame:
-    """(a, b, similarity) of pairs with Jaccard similarity of at least least. Both: id, tokens (a sorted set).
-
-    Prefix filtering: ordered from the rarest token on, two sets that are similar enough share one of the first
-    n - ceil(least * n) + 1 tokens of each. Only those are joined; candidates are verified on their whole sets,
-    once each. Frequent tokens are at the end of the order and so hardly ever joined. A shared token proposes a pair only
-    if enough tokens follow it in both sets, which holds for the first token that two similar sets share.
-    """
-    both = left.select("tokens").unionByName(right.select("tokens"))
-    rank = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(df: DataFrame, name: str) -> DataFrame:
-        n = F.size("tokens")
-        each = df.select("id", n.alias("n"), F.explode("tokens").alias("token")).join(rank, "token")
-        ordered = each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-        keep = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-        return ordered.select(F.col("id").alias(name), "n", F.col("n").alias(f"n_{name}"), F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("at", "t")).select(name, f"n_{name}", (F.col("n") - F.col("at")).alias(f"rest_{name}"), F.col("t.token").alias("token"))
-
-    a, b = prefix(left.where(F.size("tokens") > 0), "a"), prefix(right.where(F.size("tokens") > 0), "b")
-    needed = (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9  # tokens that similar sets share
-    cand = a.join(b, "token").where(F.least("rest_a", "rest_b") >= needed).where((F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9))
-    if same is not None:
-        cand = cand.where(same)
-    cand = cand.select("a", "b").distinct()
-    full = cand.join(left.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    sim = shared / (F.size("x") + F.size("y") - shared)
-    return full.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least)
+    """(a, b, similarity) of pairs with Jaccard similarity of at least least, those for which same holds. Both: id, tokens (a sorted set)."""
+    found = similar_pairs(left, right, least)
+    return found if same is None else found.where(same)
 
 
 def route(pairs: DataFrame, warn: float = NEAR, supersede: float = SUPERSEDE) -> DataFrame:

@@ -98,6 +98,38 @@ def test_token_pairs_equal_brute_force(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.4})
 
 
+@pytest.mark.parametrize("least", [0.25, 0.88])
+def test_similar_sets_over_a_grid(spark, monkeypatch, least):
+    """Sets of very unequal sizes in many blocks, copies among them, of one table and of two; no candidate or whole set is joined."""
+    import random
+
+    from tessera.operators import similar_sets
+
+    monkeypatch.setattr(similar_sets, "LEAST_BLOCK", 400)
+    monkeypatch.setattr(similar_sets, "FREQUENT", 20)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(70)]
+    among = [rng.choice([6, 20, 70]) for _ in range(150)]
+    sets = [(f"k{i:03}", sorted(rng.sample(words[:m], min(m, rng.choice([0, 1, 3, 6, 15, 40]))))) for i, m in enumerate(among)]
+    sets += [(f"c{i:03}", sets[i % 4 + 21][1]) for i in range(30)]
+    schema = "id string, tokens array<string>"
+    df, other = spark.createDataFrame(sets, schema), spark.createDataFrame(sets[:60] + [("new", ["w1", "w2"])], schema)
+
+    def want(xs, ys):
+        return {(i, j): len(set(x) & set(y)) / len(set(x) | set(y)) for i, x in xs for j, y in ys if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= least}
+
+    def got(pairs):
+        rows = [(r["a"], r["b"], r["similarity"]) for r in pairs.collect()]
+        assert len(rows) == len({x[:2] for x in rows})
+        return {x[:2]: x[2] for x in rows}
+
+    assert got(similar_sets.similar_pairs(df, df, least)) == want(sets, sets)
+    assert got(similar_sets.similar_pairs(df, other, least)) == want(sets, sets[:60] + [("new", ["w1", "w2"])])
+    assert got(similar_sets.similar_pairs(other, df.limit(0), least)) == {}
+    plan = dedup.token_pairs(df, df, least)._jdf.queryExecution().toString()
+    assert "explode" not in plan and "array_intersect" not in plan
+
+
 def test_events(spark):
     made = events.event(spark.createDataFrame([("a", "x" * 1500, "note"), ("a", '{"entity_ids": ["e"]}', events.REQUEST)], "agent_id string, content string, type string"), now())
     got = {r["type"]: r["content"] for r in events.recent(made).collect()}
