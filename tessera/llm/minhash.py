@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the texts decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash balls and MinHash bands propose pairs, the texts decide.
+
+Texts whose SimHash fingerprints over the same shingles are equal or linked (simhash.py: three bits at most) are compared first. That
+finds copies and the nearest ones; most pairs near the limit are more bits apart, for which there are the bands.
 
 The signature of a text is cut into BANDS bands of ROWS minima. Texts that agree in a band share a bucket; two texts
 of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, which is 0.9999 at 0.8 and more above. Each
@@ -28,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from tessera.llm.common import SLICE_ROWS, fresh, map_rows, materialize
 from tessera.llm.components import components
-from tessera.llm.simhash import rows_of_ids
+from tessera.llm.simhash import fingerprint, links, rows_of_ids
 
 WORDS, LIMIT = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -99,6 +102,16 @@ def shareable(of: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return held.select(F.col("t").alias("of"), "can", by_cell.alias("cells"))
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b, n, n2) of texts to compare with their shingles: each with the least of its fingerprint, and the least ones of linked fingerprints. nodes: t, n, fp."""
+    least = materialize(nodes.groupBy(F.col("fp").alias("of")).agg(F.min(F.struct("t", "n")).alias("hub")), "minhash-fingerprints")
+    same = nodes.join(least, F.col("fp") == F.col("of")).where(F.col("t") != F.col("hub.t")).select(F.col("t").alias("a"), F.col("hub.t").alias("b"), "n", F.col("hub.n").alias("n2"))
+    ends = [least.select(F.col("of").alias(f"fp_{x}"), F.col("hub").alias(f"hub_{x}")) for x in "ab"]
+    near = links(least.select(F.col("of").alias("fp"))).join(ends[0], F.col("a") == F.col("fp_a")).join(ends[1], F.col("b") == F.col("fp_b"))
+    near = near.select(F.col("hub_a.t").alias("a"), F.col("hub_b.t").alias("b"), F.col("hub_a.n").alias("n"), F.col("hub_b.n").alias("n2"))
+    return materialize(same.unionByName(near), "minhash-linked")
+
+
 def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: float = LIMIT) -> DataFrame:
     """t (the text's hash), first (its least id) and component_id (its component's least id) of every distinct text."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -106,22 +119,24 @@ def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def make():
         def one(text: str) -> tuple:
             found = shingles(text, words)
-            return len(found), bands(found)
+            return len(found), bands(found), fingerprint(text, words)
 
         return lambda some: [one(t) for (t,) in some]
 
-    banded = map_rows(rows, ["text"], [("n", LongType()), ("bands", ArrayType(LongType()))], make).drop("text")
-    nodes = materialize(banded.groupBy("t").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands")), "minhash-texts")
+    banded = map_rows(rows, ["text"], [("n", LongType()), ("bands", ArrayType(LongType())), ("fp", LongType())], make).drop("text")
+    nodes = materialize(banded.groupBy("t").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "minhash-texts")
+    linked = by_fingerprint(nodes)
     buckets = nodes.select(F.explode("bands").alias("b"), "t", "n")
     hubs = buckets.groupBy(F.col("b").alias("of")).agg(F.min(F.struct("t", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("of", F.col("hub.t").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = materialize(buckets.join(hubs, F.col("b") == F.col("of")).select("b", "t", "n", "hub", "hub_n"), "minhash-buckets")
-    needed = shared.select(F.col("t").alias("of")).distinct()
+    needed = shared.select(F.col("t").alias("of")).unionByName(linked.select(F.explode(F.array("a", "b")).alias("of"))).distinct()
     texts = materialize(rows.join(needed, F.col("t") == F.col("of"), "left_semi").groupBy("t").agg(F.first("text").alias("text")), "minhash-candidates")
 
     def fits(a: str, b: str):
         return F.least(a, b) >= F.greatest(a, b) * limit
 
-    to_hub = shared.where((F.col("t") != F.col("hub")) & fits("n", "hub_n")).select(F.col("t").alias("a"), F.col("hub").alias("b")).distinct()
+    to_hub = shared.where((F.col("t") != F.col("hub")) & fits("n", "hub_n")).select(F.col("t").alias("a"), F.col("hub").alias("b"))
+    to_hub = to_hub.unionByName(linked.where(fits("n", "n2")).select("a", "b")).distinct()
     roots = components(verified(to_hub.withColumns({"x": F.col("a"), "y": F.col("b")}), texts, words, limit), "a", "b")
     rooted = materialize(shared.join(roots, F.col("t") == F.col("node"), "left").select("b", "t", "n", "hub", F.coalesce("root", "t").alias("root")), "minhash-roots")
     mixed = rooted.groupBy(F.col("b").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("of")

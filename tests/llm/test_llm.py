@@ -122,6 +122,18 @@ def test_near_duplicates(docs, none):
     assert Counter(kept)[14] == 1 and 7 not in kept and simhash.keep_first(none).columns == docs.columns
 
 
+def test_the_stage_proposes_by_fingerprints_too(spark):
+    """SimHash's links over five-word shingles are among the pairs that the shingles decide on: copies of one fingerprint, and linked ones."""
+    plain = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(plain), " ".join([*plain[:-2], "other", "other"]), " ".join(plain).upper(), "something else altogether here now"]
+    fps = [minhash.fingerprint(t, minhash.WORDS) for t in texts]
+    assert fps[0] == fps[2] and 0 < ((fps[0] ^ fps[1]) % (1 << 64)).bit_count() <= 3
+    df = spark.createDataFrame([(i, t, len(t.split()), fps[i]) for i, t in enumerate(texts)], "t long, text string, n long, fp long")
+    assert {frozenset((r["a"], r["b"])) for r in minhash.by_fingerprint(df.select("t", "n", "fp")).collect()} == {frozenset((0, 2)), frozenset((0, 1))}
+    got = {r["first"]: r["component_id"] for r in minhash.component_ids(df.withColumnRenamed("t", "doc_id").select("doc_id", "text")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_texts_of_one_original_edited_apart(spark):
     """Copies of one text with a few edits each, at places of their own: many are near the limit, with the original or not, with each other or not."""
     rng = random.Random(29)
