@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,14 @@ from tessera.session import checkpointed, written
 
 #: Vectors of a block at most, on average: a task holds two blocks.
 BLOCK = 16384
-#: Rows of a block whose products with another block are taken at a time.
-STRIP = 1024
+#: Vectors of a block at least where there is one cell.
+LEAST_BLOCK = 512
+#: Rows whose products with a block are taken, or that are sent to cells, at a time.
+STRIP = 64
+#: Tasks of a join at most; a task may take several keys.
+MOST_TASKS = 4096
+#: Pairs of an Arrow batch at most.
+PAIRS = 1 << 17
 #: The most centres of cells; every task holds them.
 MOST_CENTRES = 1024
 #: What angles are widened by, in radians: more than rounding can add up to.
@@ -46,16 +54,38 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vect
     return vectors.select(F.col(id_col).alias("id"), cosine_distance(F.col(vector_col), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def _near(p: pd.DataFrame, q: pd.DataFrame, distance: float) -> pd.DataFrame:
-    """(a, b, distance) of the rows of p and q within the distance, a strip of p at a time."""
-    out = [pd.DataFrame({"a": p["id"].iloc[:0], "b": q["id"].iloc[:0], "distance": np.zeros(0)})]
-    if len(p) and len(q):
-        x, y = _unit(p["v"]), _unit(q["v"]).T
-        for at in range(0, len(p), STRIP):
-            d = 1 - x[at : at + STRIP] @ y
-            i, j = np.nonzero(d <= distance)
-            out.append(pd.DataFrame({"a": p["id"].to_numpy()[at + i], "b": q["id"].to_numpy()[j], "distance": d[i, j]}))
-    return pd.concat(out, ignore_index=True)
+def _near(batches: Iterable[pa.RecordBatch], distance: float, within: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) of rows within the distance, from rows (cell, x, y, asks, id, v) in this order: those that ask meet those that don't, a strip at a time.
+
+    within: keys with x = y hold a block and itself, of whose pairs those with a < b are taken. A task holds one block as a matrix.
+    """
+
+    def unit(v: pa.Array) -> np.ndarray:
+        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    last, held, block, ids = None, [], None, None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)] if len(keys) else [0]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[start, :3])
+            if key != last:
+                last, held, block = key, [], None
+            if not keys[start, 3]:
+                held.append((batch.column(4).slice(start, end - start), unit(batch.column(5).slice(start, end - start))))
+                continue
+            if held:
+                ids, block, held = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]).T, []
+            for at in range(start, end, STRIP) if block is not None else ():
+                n = min(STRIP, end - at)
+                d = 1 - unit(batch.column(5).slice(at, n)) @ block
+                i, j = np.nonzero(d <= distance)
+                for some in range(0, len(i), PAIRS):
+                    p, q = i[some : some + PAIRS], j[some : some + PAIRS]
+                    out = pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(at + p)), ids.take(pa.array(q)), pa.array(d[p, q])], names=["a", "b", "distance"])
+                    yield out.filter(pc.less(out.column(0), out.column(1))) if within and key[1] == key[2] else out
 
 
 def _angles(vectors: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,18 +100,21 @@ class Cells:
     A row lies in the cell of the centre that it makes the least angle with; a cell's radius is the largest such angle. By the triangle
     inequality a row can only have a partner in a cell whose centre it sees at the cell's radius and the limit together, so it
     is sent to those cells alone. Cells of many rows are dealt into blocks. What the driver and every task hold are the
-    centres with their radii and counts. For distances that reach a right angle or more there is one cell.
+    centres with their radii and counts. For distances that reach a right angle or more there is one cell, as for those at which cells
+    prune too little to be worth their copies (plain).
     """
 
-    def __init__(self, rows: DataFrame, distance: float, id_col: str, vector_col: str):
-        self.limit, self.all = (math.acos(1 - distance) + SLACK if distance < 1 else 2 * math.pi), distance >= 1
+    def __init__(self, rows: DataFrame, distance: float, id_col: str, vector_col: str, plain: bool = False):
+        self.limit, self.all = (math.acos(1 - distance) + SLACK if distance < 1 else 2 * math.pi), plain or distance >= 1
         self.rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
         self.kind = rows.schema[id_col].dataType.simpleString()
-        n = self.rows.count()
+        n = self.n = self.rows.count()
+        block = self.block = max(1, min(BLOCK, max(LEAST_BLOCK, n // 8))) if self.all else BLOCK
         wanted = 1 if self.all else max(1, min(MOST_CENTRES, math.isqrt(n)))
         some = self.rows.where(dot(F.col("v"), F.col("v")) > 0).orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
         self.centres = _unit(pd.Series([r["v"] for r in some])) if some else np.zeros((0, 0))
         self.radius, self.blocks = np.zeros(len(self.centres)), np.ones(len(self.centres), np.int64)
+        self.sizes = np.zeros(len(self.centres), np.int64)
         if some:
             centres, all_ = self.centres, self.all
 
@@ -93,7 +126,7 @@ class Cells:
                         yield pd.DataFrame({"cell": a.argmin(axis=1)[keep], "angle": a.min(axis=1)[keep]})
 
             for r in self.rows.mapInPandas(own, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
-                self.radius[r["cell"]], self.blocks[r["cell"]] = r["radius"], -(-r["n"] // BLOCK)
+                self.radius[r["cell"]], self.blocks[r["cell"]], self.sizes[r["cell"]] = r["radius"], -(-r["n"] // block), r["n"]
 
     def residents(self) -> DataFrame:
         """(cell, block, id, v) of the rows in their own cells' blocks."""
@@ -133,25 +166,55 @@ class Cells:
         return self.rows.sparkSession.createDataFrame([], f"{columns}, id {kind or self.kind}, v array<double>")
 
 
-def _met(residents: DataFrame, guests: DataFrame, cells: Cells, distance: float, kinds: tuple[str, str]) -> DataFrame:
+def _counts(guests: DataFrame, cells: Cells) -> np.ndarray:
+    out = np.zeros(max(1, len(cells.centres)), np.int64)
+    for r in guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each cell
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def _worth(cells: Cells, sent: np.ndarray, rows: int, products: float) -> bool:
+    """Whether cells are cheaper than one cell in blocks: fewer copies, or less than half of all products."""
+    pruned = float((sent[: len(cells.sizes)] * cells.sizes).sum())
+    return cells.all or not len(cells.centres) or sent.sum() <= rows * max(8, -(-cells.n // BLOCK)) or pruned < products / 2
+
+
+def _of(values: np.ndarray) -> Column:
+    """The value of the row's cell."""
+    return F.get(F.array(*[F.lit(int(x)) for x in values]), F.col("cell").cast("int"))
+
+
+def _joined(rows: DataFrame, tasks: int, distance: float, kinds: tuple[str, str], within: bool) -> DataFrame:
+    rows = rows.select("cell", "x", "y", "asks", "id", "v").repartition(max(1, min(MOST_TASKS, tasks)), "cell", "x", "y").sortWithinPartitions("cell", "x", "y", "asks")
+    return rows.mapInArrow(lambda batches: _near(batches, distance, within), f"a {kinds[0]}, b {kinds[1]}, distance double")
+
+
+def _met(residents: DataFrame, guests: DataFrame, sent: np.ndarray, cells: Cells, distance: float, kinds: tuple[str, str]) -> DataFrame:
     """(a, b, distance) of guests a and residents b within the distance: each block of a cell's residents meets each part of its guests in one task."""
-    counts = guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each cell
-    parts = np.ones(max(1, len(cells.centres)), np.int64)
-    for r in counts:
-        parts[r["cell"]] = -(-r["n"] // BLOCK)
-    of = lambda values: F.get(F.array(*[F.lit(int(x)) for x in values]), F.col("cell").cast("int"))
+    parts = np.maximum(1, -(-sent // cells.block))
     blocks = cells.blocks if len(cells.blocks) else np.ones(1, np.int64)
-    left = guests.withColumn("part", F.pmod("h", of(parts)).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks) - 1))).select("cell", F.col("block").cast("long").alias("block"), "part", "id", "v")
-    right = residents.withColumn("part", F.explode(F.sequence(F.lit(0), of(parts) - 1))).select("cell", "block", F.col("part").cast("long").alias("part"), "id", "v")
-    keys = ["cell", "block", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda p, q: _near(p, q, distance), f"a {kinds[0]}, b {kinds[1]}, distance double")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (_of(n) - 1).cast("long")))
+    left = guests.withColumn("y", F.pmod("h", _of(parts)).cast("long")).withColumn("x", every(blocks)).withColumn("asks", F.lit(1).cast("long"))
+    right = residents.withColumnRenamed("block", "x").withColumn("y", every(parts)).withColumn("asks", F.lit(0).cast("long"))
+    names = ["cell", "x", "y", "asks", "v"]
+    if kinds[0] != kinds[1]:
+        left, right = (df.withColumn("id", F.col("id").cast("string")) for df in (left, right))
+    found = _joined(left.select(*names, "id").unionByName(right.select(*names, "id")), int((parts * blocks).sum()), distance, kinds if kinds[0] == kinds[1] else ("string", "string"), False)
+    return found.select(F.col("a").cast(kinds[0]).alias("a"), F.col("b").cast(kinds[1]).alias("b"), "distance")
 
 
 def pairs_within(left: DataFrame, right: DataFrame, distance: float, left_id: str = "id", right_id: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(a, b, distance) of all pairs of a left and a right row within the distance. The right rows lie in cells; a left one is sent where partners can be."""
     cells = Cells(right, distance, right_id, vector_col)
+    n = left.count()
+    guests = cells.guests(left, left_id, vector_col, after_own=False)
+    sent = _counts(guests, cells)
+    if not _worth(cells, sent, n, float(n) * cells.n):
+        cells = Cells(right, distance, right_id, vector_col, plain=True)
+        guests = cells.guests(left, left_id, vector_col, after_own=False)
+        sent = _counts(guests, cells)
     kinds = left.schema[left_id].dataType.simpleString(), cells.kind
-    return _met(cells.residents(), cells.guests(left, left_id, vector_col, after_own=False), cells, distance, kinds)
+    return _met(cells.residents(), guests, sent, cells, distance, kinds)
 
 
 def pairs_among(rows: DataFrame, distance: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -160,19 +223,21 @@ def pairs_among(rows: DataFrame, distance: float, id_col: str = "id", vector_col
     Rows meet those of their own cell, block by block, and of the cells after it that can hold a partner.
     """
     cells = Cells(rows, distance, id_col, vector_col)
+    guests = cells.guests(rows, id_col, vector_col, after_own=True)
+    sent = _counts(guests, cells)
+    if not _worth(cells, sent, cells.n, cells.n**2 / 2):
+        cells = Cells(rows, distance, id_col, vector_col, plain=True)
+        guests, sent = cells.guests(rows, id_col, vector_col, after_own=True), np.zeros(1, np.int64)
     kind = cells.kind
     own = checkpointed(cells.residents())
-    of = F.get(F.array(*[F.lit(int(x)) for x in (cells.blocks if len(cells.blocks) else [1])]), F.col("cell").cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (of - 1).cast("long"))))
-    met = met.select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "v")
-
-    def near(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        out = _near(both[both["block"] == key[1]], both[both["block"] == key[2]], distance)
-        return out[out["a"] < out["b"]] if key[1] == key[2] else out
-
-    inside = met.groupBy("cell", "x", "y").applyInPandas(near, f"a {kind}, b {kind}, distance double")
-    across = _met(own, cells.guests(rows, id_col, vector_col, after_own=True), cells, distance, (kind, kind))
-    both = inside.unionByName(across)
+    blocks = cells.blocks if len(cells.blocks) else np.ones(1, np.int64)
+    other = F.sequence(F.lit(0).cast("long"), (_of(blocks) - 1).cast("long"))
+    # A block holds the rows that those of a later one ask, and its own.
+    role = lambda o, asks: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y"), asks.cast("long").alias("asks"))
+    roles = F.concat(F.transform(other, lambda o: role(o, F.col("block") > o)), F.array(role(F.col("block"), F.lit(1))))
+    met = own.select("cell", F.explode(roles).alias("r"), "id", "v").select("cell", "r.x", "r.y", "r.asks", "id", "v")
+    inside = _joined(met, int((blocks * (blocks + 1) // 2).sum()), distance, (kind, kind), True)
+    both = inside if cells.all else inside.unionByName(_met(own, guests, sent, cells, distance, (kind, kind)))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").where("a <> b")
 
 

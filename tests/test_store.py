@@ -348,6 +348,35 @@ def test_pairs_at_wide_distances(spark, distance):
     assert vector.pairs_among(rows.where("id > 80"), distance).count() == 0
 
 
+def test_near_pairs_leave_a_task_in_small_batches(monkeypatch):
+    """Rows that are all near each other: a block's pairs are never held whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector, "PAIRS", 1000)
+    n = 400
+    v = pa.array([[1.0, i / 1e4] for i in range(n)])
+    zero = pa.array(np.zeros(n, np.int64))
+    batch = [pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(np.full(n, asks)), pa.array(np.arange(n)), v], names=["cell", "x", "y", "asks", "id", "v"]) for asks in (0, 1)]
+    made = list(vector._near(batch, 0.5, True))
+    assert max(b.num_rows for b in made) <= 1000 and sum(b.num_rows for b in made) == n * (n - 1) // 2
+
+
+def test_wide_distances_are_compared_in_blocks(spark, monkeypatch):
+    """Where every row would be sent to most cells, rows lie in blocks of one cell instead, with the pairs of brute force."""
+    import numpy as np
+
+    monkeypatch.setattr(vector, "LEAST_BLOCK", 20)
+    v = np.random.default_rng(8).normal(size=(400, 16))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    made = []
+    monkeypatch.setattr(vector, "Cells", lambda *a, plain=False, kind=vector.Cells, **k: made.append(plain) or kind(*a, plain=plain, **k))
+    got = [(r["a"], r["b"]) for r in vector.pairs_among(rows, 0.7).collect()]
+    assert made == [False, True] and len(got) == len(set(got))
+    assert set(got) == {(i, j) for i, j in np.argwhere(1 - unit @ unit.T <= 0.7) if i < j}
+
+
 def test_depths_build_no_paths(spark):
     """A graph of 2**20 paths: each level is its own nodes. Least depths and parents equal a breadth-first search."""
     import collections
