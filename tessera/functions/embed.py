@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -14,6 +15,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from tessera.functions.porter import fts_tokens
 from tessera.session import written
 
+#: Texts that are embedded at a time.
+SLICE_ROWS = 256
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -57,11 +60,16 @@ def _tried(embedder: Embedder, texts: list[str]) -> list[tuple]:
 def embed_or_fail(texts: Column, make: Callable[[], Embedder] = hashing_embedder) -> Column:
     """(embedding, error) of each text, one of them null."""
 
-    @F.pandas_udf("embedding array<float>, error string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("embedding", pa.list_(pa.float32())), ("error", pa.string())])
+
+    @F.arrow_udf("embedding array<float>, error string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = make()
         for batch in batches:
-            yield pd.DataFrame(_tried(embedder, batch.fillna("").tolist()) if len(batch) else [], columns=["embedding", "error"])
+            # Only a slice's texts and vectors are Python objects at a time; Arrow holds the batch's others.
+            slices = ([t or "" for t in batch.slice(at, SLICE_ROWS).to_pylist()] for at in range(0, len(batch), SLICE_ROWS))
+            made = [pa.array([{"embedding": v, "error": e} for v, e in _tried(embedder, some)], kind) for some in slices]
+            yield pa.concat_arrays(made) if made else pa.array([], kind)
 
     return run(texts)
 

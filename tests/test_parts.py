@@ -94,6 +94,25 @@ def test_a_poison_text_fails_alone():
     assert [v for v, _ in out] == [[1.0], [2.0], None, [4.0], [1.0]] and [e for _, e in out] == [None, None, "ValueError: no", None, None] and len(sizes) < 9
 
 
+def test_texts_become_python_objects_a_slice_at_a_time(spark, monkeypatch):
+    """The stemmer and the embedder see small slices of an Arrow batch, with the results of the whole."""
+    import numpy as np
+
+    from tessera.functions.embed import embed_or_fail
+
+    def make():
+        def embed(texts):
+            return np.full((len(texts), 1), len(texts), np.float32)
+
+        return embed
+
+    df = spark.range(700).coalesce(1).select(F.concat(F.lit("Nations of "), F.col("id").cast("string")).alias("t")).unionByName(spark.createDataFrame([(None,)], "t string")).coalesce(1)
+    sizes = [r["e"]["embedding"][0] for r in df.select(embed_or_fail(F.col("t"), make).alias("e")).collect()]
+    assert len(sizes) == 701 and max(sizes) <= 256
+    for r in df.select("t", lexical.tokens_of(F.col("t"), True).alias("w")).collect():
+        assert r["w"] == fts_tokens(r["t"])
+
+
 def test_section_paths(spark):
     text = "intro\n## One\nbody\n### Sub [tea]\nx\n```\n## not a header\n### nor this\n```\ny\n### Sub two\nz\n## Two rules\n### Deep\nq\n#### low\nr\n## Empty\n\n## Last\nend"
     df = spark.createDataFrame([("f", text), ("g", None), ("h", "### first\na\n## top\nb")], "path string, text string")
