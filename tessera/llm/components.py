@@ -22,6 +22,7 @@ def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # Large star: larger partners of u move to the least of u and its partners.
     large = both.join(_least(both), F.col("u") == F.col("at")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u > v").distinct()
+    large = materialize(large, "large-star")  # read twice, so the plan of the small star stays small
     # Small star: u and its smaller partners move to the least of them.
     small = large.join(_least(large), F.col("u") == F.col("at"))
     moved = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))

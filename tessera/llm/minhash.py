@@ -112,6 +112,13 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return materialize(same.unionByName(near), "minhash-linked")
 
 
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """The rows (b, t, n, can, root) of buckets b that hold several components (root), and top, the one of most rows there."""
+    sizes = rows.groupBy("b", "root").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("b").alias("of")).agg(F.max(F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
+    found = rows.join(sizes.where("roots > 1").select("of", F.col("largest.root").alias("top")), F.col("b") == F.col("of"))
+    return found.select("b", "t", "n", "can", "root", "top")
+
+
 def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: float = LIMIT) -> DataFrame:
     """t (the text's hash), first (its least id) and component_id (its component's least id) of every distinct text."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -168,12 +175,13 @@ def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     merged = components(verified(as_pairs(second.where(may_link())), texts, words, limit), "x", "y")
     rest = renamed(second.where("t != t2").drop("root2", "t2", "n2", "can2"), merged)
     rest = materialize(rest, "minhash-last")
-    mixed = rest.groupBy(F.col("b").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("of")
-    rest = rest.join(mixed, F.col("b") == F.col("of"), "left_semi").join(usable.select("of", "cells"), F.col("t") == F.col("of")).drop("of")
-    other = rest.select(*[F.col(c).alias(f"{c}2") for c in ("b", "t", "n", "can", "root", "cells")])
+    rest = materialize(mixed_buckets(rest).join(usable.select("of", "cells"), F.col("t") == F.col("of")).drop("of"), "minhash-across")
+    # Two texts of a bucket's largest component need no comparison, so one of each pair is of another.
+    few, other = rest.where("root != top").drop("top"), rest.select(*[F.col(c).alias(f"{c}2") for c in ("b", "t", "n", "can", "root", "cells")])
     most = F.aggregate(F.zip_with("cells", "cells2", lambda x, y: F.least(x, y)), F.lit(0), lambda sum, x: sum + x)
-    across = rest.join(other, (F.col("b") == F.col("b2")) & (F.col("t") < F.col("t2")) & may_link() & (most >= least_shared()))
-    last = components(verified(as_pairs(across), texts, words, limit), "x", "y")
+    across = few.join(other, (F.col("b") == F.col("b2")) & may_link() & (most >= least_shared()))
+    across = materialize(as_pairs(across), "minhash-across-pairs")
+    last = components(verified(across, texts, words, limit), "x", "y")
     whole = nodes.join(roots, F.col("t") == F.col("node"), "left").select("t", "first", F.coalesce("root", "t").alias("root"))
     whole = materialize(renamed(renamed(whole, merged), last), "minhash-components")
     least = whole.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
