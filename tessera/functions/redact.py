@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tessera.functions.measures import arrow_column
 
 #: Shapes of provider keys.
 SECRET_PATTERNS = (
@@ -22,7 +26,25 @@ SECRET_PATTERNS = (
 )
 #: What the compatible switch looks for first.
 PREFIXES = ("ghp_", "github_pat_", "sk-ant-", "sk-proj-", "sk-", "AKIA")
-MARK = "[REDACTED_SECRET]"
+MARK, BOUND = "[REDACTED_SECRET]", r"\b"
+#: The same patterns, whose letters are ASCII's in either case. Each begins with LEAST characters of a run, so it can match only where one begins that is as long.
+SECRET = re.compile("|".join(rf"\b(?ai:{p.removeprefix(BOUND).removesuffix(BOUND)})\b" for p in SECRET_PATTERNS))
+LEAST = 20
+IN_RUN = bytes(ord("x") if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "_-") else ord(" ") for i in range(256))
+
+
+def without_secrets(t: str | None) -> str | None:
+    if t is None:
+        return None
+    runs, out, done, at = t.encode("ascii", "replace").translate(IN_RUN), [], 0, 0  # a byte a character
+    long = b"x" * LEAST
+    while (at := runs.find(long, at)) >= 0:
+        if found := SECRET.match(t, at):
+            out += [t[done:at], MARK]
+            done = at = found.end()
+        else:
+            at += 1
+    return "".join([*out, t[done:]]) if out else t
 
 
 def checked_rules(spark: SparkSession, lines: Iterable[str]) -> tuple[list[str], dict[str, str]]:
@@ -42,7 +64,7 @@ def checked_rules(spark: SparkSession, lines: Iterable[str]) -> tuple[list[str],
 
 def redact(c: Column, rules: list[str] | None = None, only_with_prefix: bool = False) -> Column:
     """c with secrets replaced. only_with_prefix: texts without a provider's prefix stay as they are, unless there are rules."""
-    done = F.regexp_replace(c, "(?i)" + "|".join(SECRET_PATTERNS), F.lit(MARK))
+    done = arrow_column(StringType(), without_secrets)(c)
     for rule in rules or []:  # each by itself, so a rule's groups and flags are its own
         done = F.regexp_replace(done, f"(?i){rule}", F.lit(MARK))
     if not only_with_prefix or rules:

@@ -134,3 +134,22 @@ def test_measures_know_words_edges_and_spaces_as_python_does(spark):
         x = r["t"]
         assert (r["p"], r["c"], r["i"], r["z"]) == (prose(x), content(x), marks(x), x.strip()), x
         assert r["s"] == pytest.approx(specificity(x)) and r["y"] == pytest.approx(symbols(x)) and r["l"] == pytest.approx(cli(prose(x)), abs=0.0051), x
+
+
+def test_measures_of_long_texts_take_one_pass():
+    from time import process_time
+
+    from tessera.functions import measures
+
+    t = "Plain words of a text, some of them long_ones, and src/a.py too. " * 2000
+    began = process_time()
+    m, p = measures.of_words(t), measures.of_prose(measures.prose(t, X.PATH), frozenset(X.FUNCTION_WORDS), frozenset())
+    assert process_time() - began < 1.0  # 130,000 characters
+    assert m["n"] == m["n_lower"] == 28000 and m["spec"] == pytest.approx(2 / 14) and m["ttr"] == pytest.approx(12 / 28000) and p["n"] == 22000
+    assert m["sym"] == pytest.approx(measures.symbol_ratio(t)) and p["cli"] == measures.coleman_liau(measures.prose(t, X.PATH))
+
+
+@pytest.mark.parametrize("key", ["ghp_" + "a1" * 18, "AKIA" + "Q7" * 8, "sk-proj-" + "b" * 20, "c" * 20 + ":" + "d" * 40, "M" + "e" * 23 + "." + "f" * 6 + "." + "g" * 27])
+def test_redaction_behind_other_runs(spark, key):
+    assert one(spark, f"x-{key}, {'y' * 30} ({key})é_{key} {key[:-1]}", redact).count(MARK) >= 2
+    assert one(spark, "z" + key, redact) == ("z" + key if ":" not in key else MARK)
