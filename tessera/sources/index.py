@@ -10,19 +10,26 @@ segment and its totals count together or not at all. compact() writes all live r
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.functions import text as X
 from tessera.functions.porter import fts_tokens
 from tessera.operators import lexical
+from tessera.session import spread
 from tessera.sources.commits import Commits, delete
 
 BUCKETS, MOST_SALTS = 128, 8
+#: Groups of buckets that a compaction deals out.
+GROUPS = 16
+#: Token lists of an Arrow batch that become Python objects at a time.
+SLICE_ROWS = 64
 #: The folder of a later segment's postings.
 ALL = -1
 #: Segments beside the first from which an update compacts.
@@ -31,6 +38,25 @@ POSTINGS = StructType([StructField("id", StringType()), StructField("field", Str
 DOCS = StructType([StructField("id", StringType()), StructField("alive", BooleanType()), StructField("len", LongType()), StructField("s", LongType())])
 
 
+PLACES = StructType([StructField("term", StringType()), StructField("positions", ArrayType(IntegerType()))])
+
+
+@F.arrow_udf(ArrayType(PLACES))
+def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each token of a list once, with its places in ascending order."""
+    kind = to_arrow_type(ArrayType(PLACES))
+
+    def one(tokens: list[str] | None) -> list[dict]:
+        at: dict[str, list[int]] = {}
+        for i, t in enumerate(tokens or []):
+            at.setdefault(t, []).append(i)
+        return [{"term": t, "positions": p} for t, p in at.items()]
+
+    for lists in batches:
+        made = [pa.array([one(x) for x in lists.slice(at, SLICE_ROWS).to_pylist()], kind) for at in range(0, len(lists), SLICE_ROWS)]
+        yield pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
 
@@ -55,15 +81,18 @@ class TextIndex:
         state = self.state()
         segments = state.get("segments", [])
         at = max([time.time_ns(), *[n + 1 for n in segments]])  # no other writer's
-        each = docs.select(F.col("id").cast("string").alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), self.tokens(c).alias("tokens")) for n, c in fields.items()])).alias("f"))
-        each = each.select("id", "f.field", F.posexplode("f.tokens").alias("p", "term"))
+        each = spread(docs, "id").select(F.col("id").cast("string").alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), self.tokens(c).alias("tokens")) for n, c in fields.items()])).alias("f"))
+        # Places are gathered where a text lies, so what moves has a row for each of its terms.
+        each = each.select("id", "f.field", F.explode(places(F.col("f.tokens"))).alias("x")).select("id", "field", "x.term", "x.positions")
+        twice = docs.groupBy(F.col("id").cast("string").alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null")
+        if not twice.isEmpty():  # rows of one id count as one
+            each = each.groupBy("id", "field", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
         if not segments:
-            # Dealt by bucket (large ones to several tasks) before places are gathered, so tokens are shuffled once; the write needs no second time.
-            salts = min(MOST_SALTS, max(1, docs.rdd.getNumPartitions()))
-            each = each.withColumn("b", bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).repartition("b", "salt")
-            self._write_postings(each.groupBy("b", "salt", "id", "field", "term").agg(F.array_sort(F.collect_list("p")).alias("positions")).drop("salt"), at)
+            # Dealt by bucket (large ones to several tasks) once; the write needs no second time.
+            each = each.withColumn("b", bucket(F.col("term"))).repartition("b", self._salt(docs))
+            self._write_postings(each, at)
         else:
-            self._write_postings(each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("p")).alias("positions")).withColumn("b", F.lit(ALL)), at)
+            self._write_postings(each.withColumn("b", F.lit(ALL)), at)
         lengths = self._postings([at]).groupBy("id").agg(F.sum(F.size("positions")).alias("len"))
         rows = docs.select(F.col("id").cast("string").alias("id")).distinct().join(lengths, "id", "left").select("id", F.lit(True).alias("alive"), F.coalesce("len", F.lit(0)).cast("long").alias("len"))
         if gone is not None:
@@ -79,8 +108,13 @@ class TextIndex:
         """The state with all live rows as one segment; a search reads the same before and after."""
         state = state or self.state()
         at, live = max([time.time_ns(), *[n + 1 for n in state["segments"]]]), self.rows(state)
-        kept = self._postings(state["segments"]).join(live.select("id", "s"), ["id", "s"], "left_semi").select("id", "field", "term", "positions")
-        self._write_postings(kept.withColumn("b", bucket(F.col("term"))).hint("rebalance", "b"), at)  # adaptive execution splits large buckets
+        held = self._postings(state["segments"]).select("id", "s", "field", "term", "positions", bucket(F.col("term")).alias("b"), F.lit(False).alias("mark"))
+        held = held.withColumn("g", F.col("b") % GROUPS)
+        # A live row's mark goes to each group of buckets and meets the row's postings there, so these are dealt once, as they are to lie.
+        marks = live.select("id", "s", F.lit(True).alias("mark"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g"))
+        both = held.unionByName(marks, allowMissingColumns=True).withColumn("salt", self._salt(held)).repartition("g", "salt")
+        both = both.withColumn("live", F.max("mark").over(Window.partitionBy("g", "salt", "id", "s")))
+        self._write_postings(both.where("live and not mark").select("id", "field", "term", "positions", "b"), at)
         live.select("id", F.lit(True).alias("alive"), "len").write.parquet(f"{self.root}/docs/s={at}")
         return {**state, "segments": [at]}
 
@@ -101,6 +135,11 @@ class TextIndex:
     def compact(self) -> int:
         return self._commit(self.compacted)
 
+    @staticmethod
+    def _salt(df: DataFrame) -> Column:
+        """By which a bucket's rows are dealt to several tasks: a row's postings of a bucket lie in one."""
+        return F.pmod(F.xxhash64("id"), F.lit(min(MOST_SALTS, max(1, df.rdd.getNumPartitions()))))
+
     def _write_postings(self, posts: DataFrame, at: int) -> None:
         posts.sortWithinPartitions("b", "term", "id").write.partitionBy("b").parquet(f"{self.root}/postings/s={at}")
 

@@ -149,3 +149,17 @@ def test_root_by_the_environment(spark, tmp_path, monkeypatch, name):
     assert Store(spark).root == str(tmp_path)
     monkeypatch.delenv(name)
     assert Store(spark).root.endswith("/tessera")
+
+
+def test_an_index_gathers_places_before_rows_move(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "a b a"), ("2", "b"), ("1", "a"), (None, "c")], "id string, text string")
+    kept = index.TextIndex(spark, str(tmp_path / "index"), index.PLAIN)
+    kept.update(docs, {"content": F.col("text")})
+    found = {(r["id"], r["term"]): r["positions"] for r in kept.postings().collect()}
+    assert found == {("1", "a"): [0, 0, 2], ("1", "b"): [1], ("2", "b"): [0]}  # rows of one id count as one
+    kept.update(spark.createDataFrame([("2", "c b c")], "id string, text string"), {"content": F.col("text")})
+    kept.compact()
+    found = {(r["id"], r["term"]): r["positions"] for r in kept.postings().collect()}
+    assert found == {("1", "a"): [0, 0, 2], ("1", "b"): [1], ("2", "b"): [1], ("2", "c"): [0, 2]}
+    made = spark.createDataFrame([(["x", "y", "x"],)], "t array<string>").select(index.places("t").alias("p")).first()["p"]
+    assert [(p["term"], p["positions"]) for p in made] == [("x", [0, 2]), ("y", [1])]
