@@ -27,8 +27,10 @@ from tessera.session import written
 FREQUENT, RESERVED = 1 << 16, 1 << 21
 #: Tokens of a block, at most and, of small tables, at least.
 BLOCK, LEAST_BLOCK = 1 << 23, 1 << 16
-#: Sets that ask at a time, and postings or tokens that are looked at at a time.
-STRIP, AT_ONCE = 32, 1 << 21
+#: Sets that ask at a time where few of a block are met, and where there is a count for each; postings or tokens that are looked at at a time.
+WIDE, STRIP, AT_ONCE = 1024, 32, 1 << 21
+#: Postings are sorted where they are so many times fewer than those counts.
+SPARSE = 16
 LOW = 0xFFFFFFFF
 
 
@@ -119,11 +121,12 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
 
 
-def _chunks(lengths: np.ndarray) -> Iterator[slice]:
-    """Slices of about AT_ONCE in all, or of one."""
+def _chunks(lengths: np.ndarray, most: int | None = None) -> Iterator[slice]:
+    """Slices of about AT_ONCE in all and of most at most, or of one."""
     ends, at = lengths.cumsum(), 0
     while at < len(lengths):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        end = min(end, at + most) if most else end
         yield slice(at, end)
         at = end
 
@@ -148,7 +151,7 @@ class Held:
         self.posts = of[order]
         self.starts = np.r_[0, np.bincount(prefix, minlength=len(self.vocabulary)).cumsum()]
 
-    def ask(self, cls: np.ndarray, n: np.ndarray, kind: np.ndarray, tokens: np.ndarray, at: np.ndarray, both: bool) -> tuple[np.ndarray, ...]:
+    def ask(self, cls: np.ndarray, n: np.ndarray, kind: np.ndarray, tokens: np.ndarray, at: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, ...]]:
         """(place of the one that asks, place of the class here, shared tokens) of pairs that reach the limit; both: classes of both tables meet, too."""
         size, words, least = len(self.n), len(self.vocabulary), self.least
         i = np.minimum(np.searchsorted(self.vocabulary, tokens), words - 1)
@@ -158,10 +161,21 @@ class Held:
         asked = known & (np.arange(len(tokens)) - at[of] < kept[of])
         word, who = i[asked], of[asked]
         lengths = self.starts[word + 1] - self.starts[word]
-        counts = np.zeros(len(n) * size, np.int64)
-        for some in _chunks(lengths):
-            counts += np.bincount(np.repeat(who[some] * size, lengths[some]) + self.posts[_runs(self.starts[word[some]], lengths[some])], minlength=len(counts))
-        met = np.flatnonzero(counts)
+        few = lengths.sum() <= min(AT_ONCE, len(n) * size // SPARSE)
+        if not few and len(n) > STRIP:
+            for s in range(0, len(n), STRIP):
+                e = min(s + STRIP, len(n))
+                for a, b, shared in self.ask(cls[s:e], n[s:e], kind[s:e], tokens[at[s] : at[e]], at[s : e + 1] - at[s], both):
+                    yield a + s, b, shared
+            return
+        if few:
+            met, counts = np.unique(np.repeat(who * size, lengths) + self.posts[_runs(self.starts[word], lengths)], return_counts=True)
+        else:
+            counts = np.zeros(len(n) * size, np.int64)
+            for some in _chunks(lengths):
+                counts += np.bincount(np.repeat(who[some] * size, lengths[some]) + self.posts[_runs(self.starts[word[some]], lengths[some])], minlength=len(counts))
+            met = np.flatnonzero(counts)
+            counts = counts[met]
         a, b = met // size, met % size
         # Of two sets the smaller one is held and the larger asks, of equally large ones that of the larger number.
         later = (n[a] > self.n[b]) | ((n[a] == self.n[b]) & (cls[a] > self.cls[b]))
@@ -169,18 +183,23 @@ class Held:
         needed = (n[a] + self.n[b]) * (least / (1 + least)) - 1e-9
         # What isn't counted follows the end of that prefix which ends at the rarer token.
         last = tokens[at[:-1] + kept - 1]
-        may = fits & (counts[met] + np.where(last[a] >= self.last[b], (n - kept)[a], self.rest[b]) >= needed)
+        may = fits & (counts + np.where(last[a] >= self.last[b], (n - kept)[a], self.rest[b]) >= needed)
         a, b, needed = a[may], b[may], needed[may]
         shared = np.zeros(len(a), np.int64)
         if len(a):
-            mark = np.zeros(len(n) * words, bool)
-            mark[of[known] * words + i[known]] = True
+            mine = of[known] * words + i[known]
+            if few:
+                mine.sort()
+            else:
+                mark = np.zeros(len(n) * words, bool)
+                mark[mine] = True
             for some in _chunks(self.n[b]):
                 held = self.n[b[some]]
-                hit = mark[np.repeat(a[some] * words, held) + self.tokens[_runs(self.at[b[some]], held)]]
+                theirs = np.repeat(a[some] * words, held) + self.tokens[_runs(self.at[b[some]], held)]
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs if few else mark[theirs]
                 shared[some] = np.add.reduceat(hit, held.cumsum() - held, dtype=np.int64)
         enough = shared / (n[a] + self.n[b] - shared) >= least
-        return a[enough], b[enough], shared[enough]
+        yield a[enough], b[enough], shared[enough]
 
 
 def _met(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -192,9 +211,9 @@ def _met(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordB
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             if cells[start] != cell:
                 cell, held, block = cells[start], [], None
-            step = STRIP if asks[start] else end - start
-            for at in range(start, end, step):
-                part = batch.slice(at, min(step, end - at))
+            whole = batch.slice(start, end - start)
+            for some in _chunks(whole.column(3).to_numpy().astype(np.int64), WIDE) if asks[start] else [slice(0, end - start)]:
+                part = whole.slice(some.start, some.stop - some.start)
                 cls, n, kind = (part.column(c).to_numpy().astype(np.int64) for c in (2, 3, 4))
                 tokens, begins = _tokens([part.column(5), part.column(6)])
                 if not asks[start]:
@@ -203,8 +222,8 @@ def _met(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordB
                 if held and block is None:
                     block, held = Held(held, least), []
                 if block is not None:
-                    a, b, shared = block.ask(cls, n, kind, tokens, begins, cell % 2 == 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(block.cls[b]), pa.array(shared / (n[a] + block.n[b] - shared))], names=["x", "y", "similarity"])
+                    for a, b, shared in block.ask(cls, n, kind, tokens, begins, cell % 2 == 0):
+                        yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(block.cls[b]), pa.array(shared / (n[a] + block.n[b] - shared))], names=["x", "y", "similarity"])
 
 
 def similar_classes(classes: DataFrame, least: float, alone: bool, block: int | None = None) -> DataFrame:

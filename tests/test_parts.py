@@ -163,3 +163,64 @@ def test_an_index_gathers_places_before_rows_move(spark, tmp_path):
     assert found == {("1", "a"): [0, 0, 2], ("1", "b"): [1], ("2", "b"): [1], ("2", "c"): [0, 2]}
     made = spark.createDataFrame([(["x", "y", "x"],)], "t array<string>").select(index.places("t").alias("p")).first()["p"]
     assert [(p["term"], p["positions"]) for p in made] == [("x", [0, 2]), ("y", [1])]
+
+
+def test_sets_that_few_share_a_token_with_are_met_without_a_count_for_each():
+    """Questions to a block of 200,000 classes with rare tokens take memory for what is met."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import similar_sets
+
+    def rows(asks, first, n, changed):
+        tokens = (np.arange(n * 10).reshape(n, 10) * 7 + similar_sets.FREQUENT).astype(np.uint32)[:, ::-1].copy()
+        tokens[:, 0] += changed
+        rare = pa.array([t.tobytes() for t in tokens], pa.binary())
+        cols = [np.zeros(n, np.int64), np.full(n, asks, np.int32), np.arange(first, first + n), np.full(n, 10, np.int32), np.ones(n, np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), rare, pa.array([b""] * n, pa.binary())], names=["cell", "asks", "cls", "n", "kind", "rare", "often"])
+
+    def batches():
+        asking = rows(1, 10**6, 64, 1)  # nine of ten tokens are shared
+        yield rows(0, 0, 200_000, 0)
+        yield asking.slice(0, 1)  # for which the block is made
+        tracemalloc.start()
+        yield asking.slice(1)
+
+    found = pa.Table.from_batches(similar_sets._met(batches(), 0.8)).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["x"] - 10**6, r["y"]) for r in found] == [(i, i) for i in range(64)] and {round(r["similarity"], 9) for r in found} == {round(9 / 11, 9)}
+    assert peak < 20e6  # a count for each of 32 x 200,000 pairs takes 51 MB
+
+
+def test_strips_of_either_kind_return_the_same_pairs(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tessera.operators import similar_sets
+
+    rng = random.Random(5)
+
+    def table(first, n):
+        rows = [sorted(rng.sample(range(60), rng.randint(3, 12)), reverse=True) for _ in range(n)]
+        rows.sort(key=len)
+        size = np.array([len(r) for r in rows])
+        return np.arange(first, first + n), size, np.ones(n, np.int64), np.concatenate(rows).astype(np.uint32), np.r_[0, size.cumsum()]
+
+    held, asks = table(0, 300), table(1000, 100)
+
+    def found(sparse):
+        monkeypatch.setattr(similar_sets, "SPARSE", sparse)
+        parts = list(similar_sets.Held([held], 0.5).ask(*asks, True))
+        rows = [x for p in parts for x in zip(*(c.tolist() for c in p), strict=True)]
+        assert len(rows) == len(set(rows))
+        return len(parts), set(rows)
+
+    (few, some), (many, all_) = found(1e-9), found(1e9)
+    assert few == 1 and many == 4 and some == all_
+    words = [[set(t[3][s:e].tolist()) for s, e in zip(t[4][:-1], t[4][1:], strict=True)] for t in (asks, held)]
+    want = {(x, y, len(p & q)) for x, p in enumerate(words[0]) for y, q in enumerate(words[1]) if len(p) >= len(q) and len(p & q) / len(p | q) >= 0.5}
+    assert some == want and want
