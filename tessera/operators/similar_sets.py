@@ -4,7 +4,8 @@ Sets are written once as numbers, from the rarest token on: the FREQUENT most fr
 bytes), others 32 bits of their hash (tokens whose bits agree get numbers of their own, so no two tokens share one). Equal
 sets are one class. A class of n tokens is held in a block of classes of about its size, and asks all blocks that can hold a partner that
 isn't larger. Two sets that are similar enough share a token among the rarest of each, so a block has postings of these alone; what a set shares
-with each of a block's is counted, and where that and what may follow reach the limit, the whole sets are compared.
+with each of a block's is counted, and where that and what may follow reach the limit, the whole sets are compared. Where a set meets many of a block, all
+of its tokens are counted but the most frequent ones; of these a pair shares no more than the lesser has, and bits tell how many.
 
 A task holds one block, of BLOCK tokens at most or one set, and reads those that ask a strip at a time. What is shuffled grows with the
 tokens times the blocks that they ask, and the counting with the pairs that share a rare token: with the square of the rows in the
@@ -25,12 +26,15 @@ from tessera.session import written
 
 #: Tokens with numbers of two bytes; below RESERVED are these and those whose hashes' bits agree.
 FREQUENT, RESERVED = 1 << 16, 1 << 21
+TWO_BYTES = 1 << 16
 #: Tokens of a block, at most and, of small tables, at least.
 BLOCK, LEAST_BLOCK = 1 << 23, 1 << 16
 #: Sets that ask at a time where few of a block are met, and where there is a count for each; postings or tokens that are looked at at a time.
 WIDE, STRIP, AT_ONCE = 1024, 32, 1 << 21
 #: Postings are sorted where they are so many times fewer than those counts.
 SPARSE = 16
+#: Tokens whose bits tell what two sets share, at most, and bits of a block.
+COMMON, BITS = 2048, 1 << 29
 LOW = 0xFFFFFFFF
 
 
@@ -150,32 +154,38 @@ class Held:
         order = np.argsort(prefix, kind="stable")
         self.posts = of[order]
         self.starts = np.r_[0, np.bincount(prefix, minlength=len(self.vocabulary)).cumsum()]
+        # Tokens of two bytes are looked up by their number.
+        self.place = np.zeros(TWO_BYTES, np.int64)
+        low = self.vocabulary[self.vocabulary < TWO_BYTES]
+        self.place[low] = np.arange(len(low))
+        self.bits = None
 
     def ask(self, cls: np.ndarray, n: np.ndarray, kind: np.ndarray, tokens: np.ndarray, at: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, ...]]:
         """(place of the one that asks, place of the class here, shared tokens) of pairs that reach the limit; both: classes of both tables meet, too."""
-        size, words, least = len(self.n), len(self.vocabulary), self.least
-        i = np.minimum(np.searchsorted(self.vocabulary, tokens), words - 1)
+        i = self.place[np.minimum(tokens, TWO_BYTES - 1)]
+        other = np.flatnonzero(tokens >= TWO_BYTES)
+        i[other] = np.minimum(np.searchsorted(self.vocabulary, tokens[other]), len(self.vocabulary) - 1)
         known = self.vocabulary[i] == tokens
+        yield from self._ask(cls, n, kind, tokens, at, i, known, both)
+
+    def _ask(self, cls: np.ndarray, n: np.ndarray, kind: np.ndarray, tokens: np.ndarray, at: np.ndarray, i: np.ndarray, known: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """ask(), where i are the tokens' places in the vocabulary, if they are known."""
+        size, words, least = len(self.n), len(self.vocabulary), self.least
         of = np.repeat(np.arange(len(n)), n)
         kept = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
         asked = known & (np.arange(len(tokens)) - at[of] < kept[of])
         word, who = i[asked], of[asked]
         lengths = self.starts[word + 1] - self.starts[word]
-        few = lengths.sum() <= min(AT_ONCE, len(n) * size // SPARSE)
-        if not few and len(n) > STRIP:
-            for s in range(0, len(n), STRIP):
+        if lengths.sum() > min(AT_ONCE, len(n) * size // SPARSE):
+            for s in range(0, len(n), STRIP) if len(n) > STRIP else []:
                 e = min(s + STRIP, len(n))
-                for a, b, shared in self.ask(cls[s:e], n[s:e], kind[s:e], tokens[at[s] : at[e]], at[s : e + 1] - at[s], both):
+                some = slice(at[s], at[e])
+                for a, b, shared in self._ask(cls[s:e], n[s:e], kind[s:e], tokens[some], at[s : e + 1] - at[s], i[some], known[some], both):
                     yield a + s, b, shared
+            if len(n) <= STRIP:
+                yield self._counted(cls, n, kind, at, i, known, both)
             return
-        if few:
-            met, counts = np.unique(np.repeat(who * size, lengths) + self.posts[_runs(self.starts[word], lengths)], return_counts=True)
-        else:
-            counts = np.zeros(len(n) * size, np.int64)
-            for some in _chunks(lengths):
-                counts += np.bincount(np.repeat(who[some] * size, lengths[some]) + self.posts[_runs(self.starts[word[some]], lengths[some])], minlength=len(counts))
-            met = np.flatnonzero(counts)
-            counts = counts[met]
+        met, counts = np.unique(np.repeat(who * size, lengths) + self.posts[_runs(self.starts[word], lengths)], return_counts=True)
         a, b = met // size, met % size
         # Of two sets the smaller one is held and the larger asks, of equally large ones that of the larger number.
         later = (n[a] > self.n[b]) | ((n[a] == self.n[b]) & (cls[a] > self.cls[b]))
@@ -184,23 +194,75 @@ class Held:
         # What isn't counted follows the end of that prefix which ends at the rarer token.
         last = tokens[at[:-1] + kept - 1]
         may = fits & (counts + np.where(last[a] >= self.last[b], (n - kept)[a], self.rest[b]) >= needed)
-        a, b, needed = a[may], b[may], needed[may]
+        a, b = a[may], b[may]
         shared = np.zeros(len(a), np.int64)
         if len(a):
-            mine = of[known] * words + i[known]
-            if few:
-                mine.sort()
-            else:
-                mark = np.zeros(len(n) * words, bool)
-                mark[mine] = True
+            mine = np.sort(of[known] * words + i[known])
             for some in _chunks(self.n[b]):
                 held = self.n[b[some]]
                 theirs = np.repeat(a[some] * words, held) + self.tokens[_runs(self.at[b[some]], held)]
-                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs if few else mark[theirs]
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
                 shared[some] = np.add.reduceat(hit, held.cumsum() - held, dtype=np.int64)
         enough = shared / (n[a] + self.n[b] - shared) >= least
         yield a[enough], b[enough], shared[enough]
 
+    def _split(self) -> None:
+        """The common tokens, those below a number, as bits of each class; postings of all others."""
+        size, share = len(self.n), 2 * self.least / (1 + self.least)
+        # Two equally large sets that share no other tokens are to fall short of the limit.
+        held = np.bincount(self.tokens, minlength=len(self.vocabulary))[self.vocabulary < COMMON]
+        below = np.bincount(self.vocabulary[: len(held)], held, COMMON).cumsum()
+        self.common = max(64, min(int(np.searchsorted(below, 0.85 * share * len(self.tokens))), BITS // size, COMMON) // 64 * 64)
+        first = int(np.searchsorted(self.vocabulary, self.common))
+        self.bits = np.empty((size, self.common // 64), np.uint64)
+        step = 16 * AT_ONCE // COMMON
+        for s in range(0, size, step):
+            e = min(s + step, size)
+            self.bits[s:e] = self._as_bits(self.n[s:e], self.tokens[self.at[s] : self.at[e]], self.tokens[self.at[s] : self.at[e]] < first)
+        self.few = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        self.least_shared = np.floor(self.n * (self.least / (1 + self.least)) - 1e-9).astype(np.int64)
+        others = self.tokens >= first
+        word, of = self.tokens[others], np.repeat(np.arange(size, dtype=np.int32), self.n)[others]
+        self.others = of[np.argsort(word, kind="stable")]
+        self.begins = np.r_[0, np.bincount(word, minlength=len(self.vocabulary)).cumsum()]
+
+    def _as_bits(self, n: np.ndarray, places: np.ndarray, common: np.ndarray) -> np.ndarray:
+        has = np.zeros((len(n), self.common), bool)
+        has[np.repeat(np.arange(len(n)), n)[common], self.vocabulary[places[common]]] = True
+        return np.packbits(has, axis=1).view(np.uint64)
+
+    def _counted(self, cls: np.ndarray, n: np.ndarray, kind: np.ndarray, at: np.ndarray, i: np.ndarray, known: np.ndarray, both: bool) -> tuple[np.ndarray, ...]:
+        """ask() of a strip by a count for each class that a set may meet."""
+        if self.bits is None:
+            self._split()
+        share = self.least / (1 + self.least)
+        mine = self._as_bits(n, i, known & (self.vocabulary[i] < self.common))
+        few = np.bitwise_count(mine).sum(1, dtype=np.int64)
+        # The smaller set is held and the larger asks, of equally large ones that of the larger number.
+        lo = np.searchsorted(self.n, n * self.least - 1e-9)
+        left, right = np.searchsorted(self.n, n), np.searchsorted(self.n, n, "right")
+        found = []
+        for a in range(len(n)):
+            end = left[a] + np.searchsorted(self.cls[left[a] : right[a]], cls[a])
+            if lo[a] >= end:
+                continue
+            here = slice(lo[a], end)
+            word = i[at[a] : at[a + 1]][known[at[a] : at[a + 1]]]
+            runs = [self.others[s:e] for s, e in zip(self.begins[word].tolist(), self.begins[word + 1].tolist(), strict=True) if s < e]
+            counts = np.bincount(np.concatenate(runs, dtype=np.intp), minlength=len(self.n))[here] if runs else np.zeros(end - lo[a], np.intp)
+            may = np.minimum(self.few[here], few[a])
+            may += counts
+            may -= self.least_shared[here]
+            b = np.flatnonzero(may >= math.floor(n[a] * share - 1e-9))
+            found.append((np.full(len(b), a), b + lo[a], counts[b]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        a, b, shared = (np.concatenate(x) for x in zip(*found, strict=True))
+        for some in _chunks(np.full(len(a), self.common // 64)):
+            shared[some] += np.bitwise_count(self.bits[b[some]] & mine[a[some]]).sum(1, dtype=np.int64)
+        enough = (shared / (n[a] + self.n[b] - shared) >= self.least) & (both | (kind[a] != 3) | (self.kind[b] != 3))
+        return a[enough], b[enough], shared[enough]
+
 
 def _met(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """(x, y, similarity) from rows (cell, asks, cls, n, kind, rare, often), in order of cell, asks, n and cls."""
@@ -255,9 +317,11 @@ def similar_classes(classes: DataFrame, least: float, alone: bool, block: int |
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs of a left and a right set with Jaccard similarity of at least least. Both: id, tokens (a set)."""
     alone = left is right
-    both = left.select("tokens") if alone else left.select("tokens").unionByName(right.select("tokens"))
+    # Texts are cut into tokens once; these are read for the vocabulary and for the sets.
+    tables = [written(df.select("id", "tokens"), "words") for df in ([left] if alone else [left, right])]
+    both = tables[0].select("tokens") if alone else tables[0].select("tokens").unionByName(tables[1].select("tokens"))
     known = vocabulary(both.select(F.explode("tokens").alias("token")))
-    rows = [written(encoded(df.select("id", "tokens"), *known), "sets") for df in ([left] if alone else [left, right])]
+    rows = [written(encoded(df, *known), "sets") for df in tables]
     sets = None
     for kind, df in zip([3] if alone else [1, 2], rows, strict=True):
         df = df.groupBy("key").agg(F.first("n").alias("n"), F.lit(kind).alias("kind"), F.first("rare").alias("rare"), F.first("often").alias("often"))

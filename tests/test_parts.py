@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import embed, quality, redact
+from tessera.functions import text as X
 from tessera.functions.porter import fts_tokens
 from tessera.operators import lexical
 from tessera.plans.service import Store
@@ -226,6 +227,61 @@ def test_strips_of_either_kind_return_the_same_pairs(monkeypatch):
     assert some == want and want
 
 
+def test_a_strip_that_meets_many_postings_compares_no_whole_sets(monkeypatch):
+    """Of sets that share their frequent tokens only the others are counted; bits tell the rest. Copies, short sets and unknown tokens are among them."""
+    import random
+
+    import numpy as np
+
+    from tessera.operators import similar_sets
+
+    rng = random.Random(6)
+    rows = [sorted({*rng.sample(range(300), rng.randint(4, 40)), *rng.sample(range(70_000, 1 << 22), rng.randint(0, 25))}, reverse=True) for _ in range(400)]
+    rows += [r for r in rows[:30]] + [sorted({*r[:-3], rng.randint(1 << 22, 1 << 23)}, reverse=True) for r in rows[30:60]]
+    rows.sort(key=len)
+    size = np.array([len(r) for r in rows])
+    cls = np.arange(len(rows))
+    table = cls, size, np.full(len(rows), 3), np.concatenate(rows).astype(np.uint32), np.r_[0, size.cumsum()]
+    looked, runs = [0], similar_sets._runs
+
+    def counted(starts, lengths):
+        looked[0] += int(lengths.sum())
+        return runs(starts, lengths)
+
+    monkeypatch.setattr(similar_sets, "SPARSE", 1e9)
+    block = similar_sets.Held([table], 0.25)
+    monkeypatch.setattr(similar_sets, "_runs", counted)
+    found = {x for p in block.ask(*table, True) for x in zip(*(c.tolist() for c in p), strict=True)}
+    sets = [set(r) for r in rows]
+    assert found == {(a, b, len(sets[a] & sets[b])) for a in cls for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.25} and found
+    assert not any(len(p[0]) for p in block.ask(*table, False))
+    assert looked[0] == 0  # neither postings of prefixes nor whole sets of candidates
+
+
+def test_texts_are_cut_into_tokens_once(spark):
+    from tessera.operators import similar_sets
+
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(text):
+        cut.add(1)
+        return sorted(set(text.split()))
+
+    df = spark.createDataFrame([(i, f"one two three w{i // 2}") for i in range(20)], "id long, text string").repartition(2).select("id", tokens("text").alias("tokens"))
+    got = {(r["a"], r["b"]) for r in similar_sets.similar_pairs(df, df, 0.9).collect() if r["a"] < r["b"]}
+    assert got == {(i, i + 1) for i in range(0, 20, 2)}
+    assert cut.value == 20
+
+
+def test_word_sets_are_those_of_the_plain_pattern(spark):
+    texts = [None, "", "a bc", "abc ABC abc_1 é\u0301té naïve", "İstanbul ΣΑΣ straße ½½½ ①②③ 中文字 x\u00adyz ab\u200bcd \U0001d400\U0001d401\U0001d402 ٣٤٥"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}_]{3,})"), F.lit(1))))
+    rows = df.select(X.word_set(F.lower("t")).alias("got"), plain.alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and rows[-1]["got"]
+
+
 def test_a_text_of_many_requests_is_in_no_single_window(spark, monkeypatch):
     """Of requests with one text the first counts, by owner; no window holds those of a text."""
     from tessera.plans import store as storing
