@@ -166,6 +166,53 @@ def test_an_index_gathers_places_before_rows_move(spark, tmp_path):
     assert [(p["term"], p["positions"]) for p in made] == [("x", [0, 2]), ("y", [1])]
 
 
+def test_an_index_keeps_a_line_for_each_term_of_a_chunk(spark, tmp_path, monkeypatch):
+    """Postings of a chunk's rows lie together, none of a row that went is kept by a compaction, and what is live is told without their shuffle; chunks end anywhere."""
+    docs = spark.range(300).coalesce(1).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("Common words w"), F.col("id") % 7).alias("text"))
+    kept = index.TextIndex(spark, str(tmp_path / "index"), index.PLAIN)
+    kept.update(docs.repartition(1), {"content": F.col("text")})
+    lines = lambda: kept._postings(kept.state()["segments"]).where("term = 'common'")
+    assert lines().count() <= spark.sparkContext.defaultParallelism * 2 < 300
+    kept.update(docs.where("id % 3 = 0").select("id", F.lit("other words").alias("text")), {"content": F.col("text")}, gone=docs.where("id % 3 = 1").select("id"))
+    kept.compact()
+    assert lines().select(F.explode("posts")).count() == 100
+    want = {(str(i), "content", t, (p,), 2 if i % 3 == 0 else 3) for i in range(300) if i % 3 != 1 for p, t in enumerate(["other", "words"] if i % 3 == 0 else ["common", "words", f"w{i % 7}"])}
+    assert set(held(kept)) == want and kept.state()["rows"] == 200 and kept.state()["len"] == 500
+    found = kept.postings()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((g#" in found and "Join Inner, (id#" not in found
+
+
+@pytest.mark.parametrize("rows", [1, 64, 200])
+def test_chunks_of_any_size_hold_the_same_postings(monkeypatch, rows):
+    import pyarrow as pa
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(index, "TaskContext", Context)
+    monkeypatch.setattr(index, "CHUNK_TOKENS", 50 if rows < 200 else 1 << 22)
+    texts = [(f"{i // 3 if 90 < i < 300 else i:04}" if i else None, " ".join(f"w{j % (i % 5 + 1)}" for j in range(i % 9))) for i in range(400)]
+    texts.sort(key=lambda x: (x[0] is not None, x[0]))
+    table = pa.table({"id": [x[0] for x in texts], "f0": [x[1] for x in texts]}, pa.schema([("id", pa.string()), ("f0", pa.string())]))
+    made = pa.Table.from_batches(index.packed(["content"], str.split)(table.to_batches(max_chunksize=rows))).to_pylist()
+    ids = {r["c"]: r["ids"] for r in made if r["term"] is None}
+    got = sorted((ids[r["c"]][p["at"]] or "", r["term"], p["positions"]) for r in made if r["term"] is not None for p in r["posts"])
+    want = {}
+    for i, t in texts:
+        for at, w in enumerate(t.split()):
+            want.setdefault((i or "", w), []).append(at)
+    assert got == sorted((i, w, sorted(p)) for (i, w), p in want.items())
+    assert (len(ids) == 1) == (rows == 200) and sum(map(len, ids.values())) == len({i for i, _ in texts})
+    lens = {i: n for r in made if r["term"] is None for i, n in zip(r["ids"], r["lens"], strict=True)}
+    assert lens.pop(None) == 0 and sum(lens.values()) == sum(len(t.split()) for i, t in texts if i is not None)
+
+
 def test_sets_that_few_share_a_token_with_are_met_without_a_count_for_each():
     """Questions to a block of 200,000 classes with rare tokens take memory for what is met."""
     import tracemalloc
